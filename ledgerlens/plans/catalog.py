@@ -1,3 +1,4 @@
 """Imports every query module so their ``register`` calls run."""
 
 from . import q_match  # noqa: F401
+from . import q_profile  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.match import match, match_batch, match_multi
 from ..sources.fixtures import FIXTURE_SQL, fixture
-from .common import round_doubles, sql_norm
+from .common import round_doubles, sig, sql_norm
 from .registry import register
 from .sqlparts import build, fuzzy_best_ctes
 
@@ -45,8 +45,8 @@ def match_items(spark, sf, threshold=T):
 
 
 @register("J4_match_items", build(
-    "SELECT id, item, SheetB_id, size, match_type, round(similarity_score, 6) AS similarity_score, matched_key, "
-    "category FROM mres", match_result_ctes()))
+    "SELECT id, item, SheetB_id, size, match_type, SIGSCORE AS similarity_score, matched_key, "
+    "category FROM mres".replace("SIGSCORE", sig("similarity_score")), match_result_ctes()))
 def q_match_items(spark, sf):
     """Exact then fuzzy best match of every A row, categorised."""
     r = match_items(spark, sf)
@@ -71,8 +71,8 @@ def q_exact_orders(spark, sf):
 
 
 MULTI_SQL = build("""
-SELECT id, item, match_type, round(similarity_score, 6) AS similarity_score, m_name, m_brand, m_id, category,
-  round(s_name, 6) AS s_name, round(s_brand, 6) AS s_brand
+SELECT id, item, match_type, SIGSCORE AS similarity_score, m_name, m_brand, m_id, category,
+  SIGSN AS s_name, SIGSB AS s_brand
 FROM mm""", fx("fx_match_a", "fx_match_b") + [
     ("ma", f"SELECT id, item, coalesce({sql_norm('name')}, 'nan') AS v0, coalesce({sql_norm('brand')}, 'nan') AS v1 "
            "FROM fx_match_a"),
@@ -112,7 +112,8 @@ def _lcs_fill(sql: str) -> str:
     return sql.replace("LCS0", lcs_sql("v0", "w0")).replace("LCS1", lcs_sql("v1", "w1"))
 
 
-@register("J6_match_multi_name_brand", _lcs_fill(MULTI_SQL))
+@register("J6_match_multi_name_brand", _lcs_fill(MULTI_SQL).replace("SIGSCORE", sig("similarity_score"))
+          .replace("SIGSN", sig("s_name")).replace("SIGSB", sig("s_brand")))
 def q_match_multi(spark, sf):
     """Two-field (name, brand) exact, else weighted fuzzy best match with breakdown."""
     a = fixture(spark, sf, "fx_match_a")
