@@ -7,7 +7,8 @@ Input is a *long* table ``(column, value)`` (any number of measured columns).
    partitions are balanced whatever the skew of the raw data.
 3. per (partition, column) totals: a table of at most partitions x columns
    rows, turned into exclusive offsets by a window over that small table.
-4. a window *inside* each range partition plus the broadcast offset gives
+4. the range-partitioned table is checkpointed (its bounds are sampled, so it
+   must be evaluated once), then a window *inside* each range partition plus the broadcast offset gives
    every distinct value its cumulative count.
 
 From the cumulative counts we get linear-interpolated quantiles (pandas'
@@ -21,6 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _checkpoint(df: DataFrame) -> DataFrame:
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def value_counts(long: DataFrame, group: str = "column") -> DataFrame:
     return long.groupBy(group, "value").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -30,7 +37,9 @@ def cumulative_counts(long: DataFrame, group: str = "column", partitions: int |
     vc = value_counts(long, group)
     spark = long.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = vc.repartitionByRange(p, group, "value").withColumn("_pid", F.spark_partition_id())
+    # range bounds come from sampling, so the partitioned table is materialised once (reliable
+    # checkpoint): totals and positions must both see the same partitioning
+    ranged = _checkpoint(vc.repartitionByRange(p, group, "value").withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid", group).agg(F.sum("cnt").alias("_pt"))
     w_off = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (totals.withColumn("_off", F.coalesce(F.sum("_pt").over(w_off), F.lit(0)))
@@ -82,7 +91,7 @@ def row_positions(df: DataFrame, order_by: list[str], partitions: int | None = N
     """
     spark = df.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.repartitionByRange(p, *order_by).withColumn("_pid", F.spark_partition_id())
+    ranged = _checkpoint(df.repartitionByRange(p, *order_by).withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pt"))
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_pt").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_pt")

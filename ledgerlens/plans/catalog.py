@@ -2,3 +2,4 @@
 
 from . import q_match  # noqa: F401
 from . import q_profile  # noqa: F401
+from . import q_quality  # noqa: F401
