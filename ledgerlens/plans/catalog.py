@@ -6,3 +6,4 @@ from . import q_quality  # noqa: F401
 from . import q_business  # noqa: F401
 from . import q_consolidate  # noqa: F401
 from . import q_tests  # noqa: F401
+from . import q_cells  # noqa: F401

@@ -84,6 +84,17 @@ SELECT 'b' AS book, 's' AS sheet, concat('C', cast(p_partkey AS varchar(20))) AS
 FROM part CROSS JOIN (VALUES ('font','name'), ('font','bold'), ('fill','color'), ('border','left'), ('alignment','wrap'),
   ('number_format','code'), ('protection','locked')) AS v(cat, attr)
 WHERE p_partkey % 9 <> 0""",
+    # sheet objects: row heights / hidden flags and conditional-format rules, second version edited
+    "fx_objects_a": """
+SELECT 's' AS sheet, 'row' AS kind, cast(p_partkey + 1 AS varchar(20)) AS id, 'height' AS attr,
+  cast(p_size AS varchar(20)) AS value FROM part
+UNION ALL
+SELECT 's', 'conditional_format', concat('rule', cast(p_size AS varchar(20))), 'type', p_type FROM part WHERE p_partkey % 50 = 0""",
+    "fx_objects_b": """
+SELECT 's' AS sheet, 'row' AS kind, cast(p_partkey + 1 AS varchar(20)) AS id, 'height' AS attr,
+  cast(CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS varchar(20)) AS value FROM part WHERE p_partkey % 97 <> 0
+UNION ALL
+SELECT 's', 'conditional_format', concat('rule', cast(p_size AS varchar(20))), 'type', p_type FROM part WHERE p_partkey % 40 = 0""",
     # consolidation inputs: two differently shaped tables
     "fx_cons_customer": """
 SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer""",
