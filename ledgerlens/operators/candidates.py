@@ -194,12 +194,13 @@ def _grid_fn(threshold: float, distinct_only: bool):
         return m
 
     def fn(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
-        cols = ["blk", "ka", "kb", "lcs", "score"]
         if pa.empty or pb.empty:
-            return pd.DataFrame({c: [] for c in cols}).astype(
-                {"blk": "object", "ka": "object", "kb": "object", "lcs": "int32", "score": "float64"})
+            return pd.DataFrame({"ida": np.array([], dtype=np.int64), "idb": np.array([], dtype=np.int64),
+                                 "lcs": np.array([], dtype=np.int32), "score": np.array([], dtype=np.float64)})
         ka = pa["ka"].tolist()
         kb = pb["kb"].tolist()
+        ida = pa["ida"].to_numpy()
+        idb = pb["idb"].to_numpy()
         vocab = {}
         for s in ka + kb:
             for ch in s:
@@ -224,12 +225,11 @@ def _grid_fn(threshold: float, distinct_only: bool):
                 nn = len(a) + len(b)
                 lcs = lcs_len(a, b)
                 if lcs * 200.0 >= t * nn:
-                    out_a.append(a)
-                    out_b.append(b)
+                    out_a.append(ida[s0 + i])
+                    out_b.append(idb[j])
                     out_l.append(lcs)
                     out_s.append(100.0 if nn == 0 else lcs * 200.0 / nn)
-        blk = pa["blk"].iloc[0]
-        return pd.DataFrame({"blk": [blk] * len(out_a), "ka": out_a, "kb": out_b,
+        return pd.DataFrame({"ida": np.array(out_a, dtype=np.int64), "idb": np.array(out_b, dtype=np.int64),
                              "lcs": np.array(out_l, dtype=np.int32), "score": np.array(out_s, dtype=np.float64)})
 
     return fn
@@ -242,8 +242,11 @@ def grid_scored_pairs(left: DataFrame, right: DataFrame, threshold: float, disti
     ``distinct_only`` keeps only pairs with ka < kb (self-join use).
     """
     t = float(threshold)
-    a = left.select(F.col("blk").cast("string").alias("blk"), "ka").withColumn("la", F.length("ka"))
-    b = right.select(F.col("blk").cast("string").alias("blk"), "kb").withColumn("lb", F.length("kb"))
+    # compact unique ids for the distinct keys; materialised once so ids stay stable for the join back
+    ka_ids = _ids(left.select(F.col("blk").cast("string").alias("blk"), "ka").distinct(), "ida")
+    kb_ids = _ids(right.select(F.col("blk").cast("string").alias("blk"), "kb").distinct(), "idb")
+    a = ka_ids.withColumn("la", F.length("ka"))
+    b = kb_ids.withColumn("lb", F.length("kb"))
     lo = _min_partner_len(F.col("la"), t).cast("int")
     hi = F.floor(F.col("la") * F.lit((200.0 - t) / max(t, 1e-9))).cast("int")
     a = a.withColumn("lb", F.explode(F.sequence(lo, F.greatest(lo, hi)))).filter(F.col("lb") <= hi)
@@ -256,11 +259,18 @@ def grid_scored_pairs(left: DataFrame, right: DataFrame, threshold: float, disti
     ga = (a.join(sizes, ["blk", "lb"])
           .withColumn("_i", F.pmod(F.xxhash64("ka"), F.col("_sa")).cast("int"))
           .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_sb") - 1)))
-          .select("blk", "lb", "_i", "_j", "ka"))
+          .select("blk", "lb", "_i", "_j", "ka", "ida"))
     gb = (b.join(sizes, ["blk", "lb"])
           .withColumn("_j", F.pmod(F.xxhash64("kb"), F.col("_sb")).cast("int"))
           .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_sa") - 1)))
-          .select("blk", "lb", "_i", "_j", "kb"))
-    schema = "blk string, ka string, kb string, lcs int, score double"
-    return (ga.groupBy("blk", "lb", "_i", "_j").cogroup(gb.groupBy("blk", "lb", "_i", "_j"))
+          .select("blk", "lb", "_i", "_j", "kb", "idb"))
+    schema = "ida long, idb long, lcs int, score double"
+    hits = (ga.groupBy("blk", "lb", "_i", "_j").cogroup(gb.groupBy("blk", "lb", "_i", "_j"))
             .applyInPandas(_grid_fn(t, distinct_only), schema))
+    return (hits.join(ka_ids, "ida").join(kb_ids.drop("blk"), "idb")
+            .select("blk", "ka", "kb", "lcs", "score"))
+
+
+def _ids(keys: DataFrame, name: str) -> DataFrame:
+    from .ranks import _checkpoint
+    return _checkpoint(keys.withColumn(name, F.monotonically_increasing_id()))

@@ -8,3 +8,4 @@ from . import q_consolidate  # noqa: F401
 from . import q_tests  # noqa: F401
 from . import q_cells  # noqa: F401
 from . import q_summaries  # noqa: F401
+from . import q_mapping  # noqa: F401
