@@ -9,3 +9,4 @@ from . import q_tests  # noqa: F401
 from . import q_cells  # noqa: F401
 from . import q_summaries  # noqa: F401
 from . import q_mapping  # noqa: F401
+from . import q_io  # noqa: F401
