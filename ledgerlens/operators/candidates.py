@@ -178,6 +178,26 @@ def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, native: bo
 GRID_CHUNK = 1500
 
 
+def lcs_batch(pat_masks, pat_len, text_idx):
+    """Vectorised bit-parallel LCS for many (pattern, text) pairs at once (patterns of at most 64 characters).
+
+    ``pat_masks``: (P, V) uint64 match masks per vocabulary symbol for each pair's pattern; ``pat_len``: (P,)
+    pattern lengths; ``text_idx``: (P, L) symbol ids of each pair's text, -1 as padding.
+    """
+    import numpy as np
+    n = pat_masks.shape[0]
+    full = np.where(pat_len >= 64, np.uint64(0xFFFFFFFFFFFFFFFF),
+                    (np.uint64(1) << pat_len.astype(np.uint64)) - np.uint64(1))
+    v = full.copy()
+    rows = np.arange(n)
+    for k in range(text_idx.shape[1]):
+        c = text_idx[:, k]
+        m = np.where(c >= 0, pat_masks[rows, np.maximum(c, 0)], np.uint64(0))
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return pat_len - np.bitwise_count(v).astype(np.int64)
+
+
 def _grid_fn(threshold: float, distinct_only: bool):
     import numpy as np
     import pandas as pd
@@ -186,11 +206,23 @@ def _grid_fn(threshold: float, distinct_only: bool):
 
     t = float(threshold)
 
-    def bags(keys, vocab):
-        m = np.zeros((len(keys), len(vocab)), dtype=np.int32)
+    def encode(keys, vocab):
+        lens = np.array([len(s) for s in keys], dtype=np.int64)
+        width = int(lens.max()) if len(keys) else 0
+        idx = np.full((len(keys), max(width, 1)), -1, dtype=np.int32)
+        bags = np.zeros((len(keys), len(vocab)), dtype=np.uint8 if width < 256 else np.int32)
         for r, s in enumerate(keys):
-            for ch in s:
-                m[r, vocab[ch]] += 1
+            for p, ch in enumerate(s):
+                v = vocab[ch]
+                idx[r, p] = v
+                bags[r, v] += 1
+        return lens, idx, bags
+
+    def masks_of(idx, lens, nvocab):
+        m = np.zeros((idx.shape[0], nvocab), dtype=np.uint64)
+        for r in range(idx.shape[0]):
+            for p in range(min(int(lens[r]), 64)):
+                m[r, idx[r, p]] |= np.uint64(1) << np.uint64(p)
         return m
 
     def fn(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
@@ -206,31 +238,43 @@ def _grid_fn(threshold: float, distinct_only: bool):
             for ch in s:
                 if ch not in vocab:
                     vocab[ch] = len(vocab)
-        vocab = vocab or {"": 0}
-        ba, bb = bags(ka, vocab), bags(kb, vocab)
-        la = np.array([len(s) for s in ka], dtype=np.int64)
-        lb = np.array([len(s) for s in kb], dtype=np.int64)
-        out_a, out_b, out_l, out_s = [], [], [], []
-        step = max(1, 4_000_000 // max(1, len(kb) * max(1, len(vocab))))
+        nv = max(len(vocab), 1)
+        la, xa, ba = encode(ka, vocab)
+        lb, xb, bb = encode(kb, vocab)
+        ma = masks_of(xa, la, nv)
+        out_a, out_b, out_l = [], [], []
+        step = max(1, 8_000_000 // max(1, len(kb) * nv))
         for s0 in range(0, len(ka), step):
             sl = slice(s0, s0 + step)
-            ov = np.minimum(ba[sl, None, :], bb[None, :, :]).sum(axis=2)
+            ov = np.minimum(ba[sl, None, :], bb[None, :, :]).sum(axis=2, dtype=np.int32)
             n = la[sl, None] + lb[None, :]
             ok = (np.minimum(la[sl, None], lb[None, :]) * 200.0 >= t * n) & (ov * 200.0 >= t * n)
             if distinct_only:
                 ok &= np.array(ka[sl], dtype=object)[:, None] < np.array(kb, dtype=object)[None, :]
             ii, jj = np.nonzero(ok)
-            for i, j in zip(ii.tolist(), jj.tolist()):
-                a, b = ka[s0 + i], kb[j]
-                nn = len(a) + len(b)
-                lcs = lcs_len(a, b)
-                if lcs * 200.0 >= t * nn:
-                    out_a.append(ida[s0 + i])
-                    out_b.append(idb[j])
+            ii = ii + s0
+            short = la[ii] <= 64
+            if short.any():
+                si, sj = ii[short], jj[short]
+                for b0 in range(0, len(si), 200_000):
+                    bi, bj = si[b0:b0 + 200_000], sj[b0:b0 + 200_000]
+                    lcs = lcs_batch(ma[bi], la[bi], xb[bj])
+                    out_a.append(bi)
+                    out_b.append(bj)
                     out_l.append(lcs)
-                    out_s.append(100.0 if nn == 0 else lcs * 200.0 / nn)
-        return pd.DataFrame({"ida": np.array(out_a, dtype=np.int64), "idb": np.array(out_b, dtype=np.int64),
-                             "lcs": np.array(out_l, dtype=np.int32), "score": np.array(out_s, dtype=np.float64)})
+            for i, j in zip(ii[~short].tolist(), jj[~short].tolist()):
+                out_a.append(np.array([i]))
+                out_b.append(np.array([j]))
+                out_l.append(np.array([lcs_len(ka[i], kb[j])]))
+        if not out_a:
+            return fn(pa.iloc[0:0], pb)
+        ai, bj, lc = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_l)
+        nn = la[ai] + lb[bj]
+        keep = lc * 200.0 >= t * nn
+        ai, bj, lc, nn = ai[keep], bj[keep], lc[keep], nn[keep]
+        score = np.where(nn == 0, 100.0, lc * 200.0 / np.maximum(nn, 1))
+        return pd.DataFrame({"ida": ida[ai].astype(np.int64), "idb": idb[bj].astype(np.int64),
+                             "lcs": lc.astype(np.int32), "score": score.astype(np.float64)})
 
     return fn
 
