@@ -111,3 +111,37 @@ def anomalies(df: DataFrame, amount: str) -> DataFrame:
                  F.sum(F.when(z < -2, 1).otherwise(0)).alias("below_2sigma"),
                  F.sum(F.when(F.abs(z) > 3, 1).otherwise(0)).alias("beyond_3sigma"),
                  F.count(F.lit(1)).alias("n"))
+
+
+def date_ranges(df: DataFrame, dates: list[str]) -> DataFrame:
+    """Per date column start, end, span in days and non-null points."""
+    parts = [df.agg(F.lit(c).alias("column"), F.min(col(c)).cast("date").alias("start_date"),
+                    F.max(col(c)).cast("date").alias("end_date"),
+                    F.datediff(F.max(col(c)).cast("date"), F.min(col(c)).cast("date")).alias("duration_days"),
+                    F.count(col(c)).alias("data_points")) for c in dates]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def key_insights(df: DataFrame, amounts: list[str], categories: list[str], ratings: list[str], n_dates: int,
+                 limit: int = 6) -> DataFrame:
+    """Up to six insight lines: totals and averages per amount column, top value of the first two category
+    columns, average ratings, number of time dimensions."""
+    from functools import reduce as _reduce
+    lines = []
+    for c in amounts:
+        lines.append(df.agg(F.format_string("Total %s: %.2f | Average: %.2f", F.lit(c), F.sum(col(c)), F.avg(col(c)))
+                            .alias("insight")))
+    for c in categories[:2]:
+        vc = df.filter(col(c).isNotNull()).groupBy(col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        lines.append(vc.agg(F.format_string("Top %s: %s (%d records)", F.lit(c),
+                                            F.min_by("v", F.struct((-F.col("n")).alias("a"), F.col("v").alias("b"))),
+                                            F.max("n")).alias("insight")))
+    for c in ratings:
+        lines.append(df.agg(F.format_string("Average %s: %.2f", F.lit(c), F.avg(col(c))).alias("insight")))
+    if n_dates:
+        lines.append(df.limit(1).select(F.lit(f"Data spans {n_dates} time dimension(s)").alias("insight")))
+    tagged = [l.withColumn("position", F.lit(i)) for i, l in enumerate(lines)]
+    return _reduce(lambda a, b: a.unionByName(b), tagged).filter(F.col("position") < limit)

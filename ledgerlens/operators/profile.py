@@ -324,3 +324,89 @@ def summary_cards(df: DataFrame) -> DataFrame:
         F.when(F.col("total_cells") > 0, 100.0 - F.col("overall_missing_percentage")).alias("completeness"),
         F.lit(n_num).alias("numeric_columns"), F.lit(n_txt).alias("text_columns"),
         F.lit(n_dt).alias("date_columns"), F.lit(len(fields) - n_num - n_txt - n_dt).alias("other_columns"))
+
+
+def _date_types():
+    return (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def data_types(df: DataFrame, samples: int = 3,
+               date_formats=("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy-MM-dd HH:mm:ss")) -> DataFrame:
+    """Per column current type, unique and null counts, recommended type and the smallest ``samples`` values.
+
+    A6 rule: > 50% null -> cleaning advice; numeric types -> numeric, date types -> datetime (D15: typed columns keep
+    their type); text: all values numeric -> numeric, all parse as dates -> datetime; unique ratio < 0.1 and fewer than
+    50 values -> categorical; else text.
+    """
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, f in enumerate(df.schema.fields):
+        c = col(f.name)
+        aggs += [F.count_distinct(c).alias(f"u{i}"), F.sum(F.when(_missing(df, f.name), 1).otherwise(0)).alias(f"z{i}")]
+        if isinstance(f.dataType, T.StringType):
+            nn = c.isNotNull()
+            parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in date_formats])
+            aggs += [F.min(F.when(~nn | c.try_cast("double").isNotNull(), 1).otherwise(0)).alias(f"num{i}"),
+                     F.min(F.when(~nn | parsed.isNotNull(), 1).otherwise(0)).alias(f"dt{i}")]
+    one = df.agg(*aggs)
+    rows = []
+    for i, f in enumerate(df.schema.fields):
+        u, z, n = F.col(f"u{i}"), F.coalesce(F.col(f"z{i}"), F.lit(0)), F.col("_n")
+        cat = F.when((u / n < 0.1) & (u < 50), "categorical").otherwise("text")
+        if isinstance(f.dataType, NUMERIC):
+            typed = F.lit("numeric")
+        elif isinstance(f.dataType, _date_types()):
+            typed = F.lit("datetime")
+        elif isinstance(f.dataType, T.StringType):
+            typed = F.when(F.col(f"num{i}") == 1, "numeric").when(F.col(f"dt{i}") == 1, "datetime").otherwise(cat)
+        else:
+            typed = cat
+        rec = F.when(z / n > 0.5, "High null percentage - consider data cleaning").otherwise(typed)
+        rows.append(F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+                             F.lit(f.dataType.simpleString()).alias("current_type"), u.alias("unique_values"),
+                             z.cast("long").alias("null_values"), rec.alias("recommended_type")))
+    types = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    long = to_long(df, df.columns, cast="string").distinct()
+    smallest = top_k(long, ["column"], [F.asc("value")], samples).groupBy("column").agg(
+        F.array_sort(F.collect_list("value")).alias("sample_values"))
+    return types.join(smallest, "column", "left")
+
+
+def box_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Five-number summary and IQR fences per numeric column (box-plot feed)."""
+    cols = cols or numeric_columns(df)
+    long = to_long(df, cols)
+    q = ranks.quantile_wide(long, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    mm = long.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    x = mm.join(q, "column")
+    return (x.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
+            .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
+
+
+def outlier_points(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """The values outside the IQR fences, per column (the box plots' outlier points)."""
+    cols = cols or numeric_columns(df)
+    b = box_stats(df, cols).select("column", "lower_fence", "upper_fence")
+    long = to_long(df, cols)
+    return (long.join(F.broadcast(b), "column")
+            .filter((F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence")))
+            .select("column", "value"))
+
+
+def overview_alignment(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Type-class counts per table, column overlap %, row gap % and advice (< 50% overlap, > 10% row gap)."""
+    def classes(df):
+        fs = df.schema.fields
+        return (sum(isinstance(f.dataType, NUMERIC) for f in fs), sum(isinstance(f.dataType, T.StringType) for f in fs),
+                sum(isinstance(f.dataType, _date_types()) for f in fs))
+    na, ta, da = classes(a)
+    nb, tb, db = classes(b)
+    common = len(set(a.columns) & set(b.columns))
+    union = len(set(a.columns) | set(b.columns))
+    overlap = common * 100.0 / union if union else 0.0
+    x = attach(a.agg(F.count(F.lit(1)).alias("rows_a")), b.agg(F.count(F.lit(1)).alias("rows_b")))
+    gap = F.abs(F.col("rows_a") - F.col("rows_b")) * 100.0 / F.greatest("rows_a", "rows_b")
+    advice = F.concat_ws("; ", F.when(F.lit(overlap) < 50, F.lit("Low column overlap: check that the tables describe the same entity")),
+                         F.when(gap > 10, F.lit("Row counts differ by more than 10%: check filters and completeness")))
+    return x.select("rows_a", "rows_b", F.lit(na).alias("numeric_a"), F.lit(ta).alias("text_a"), F.lit(da).alias("date_a"),
+                    F.lit(nb).alias("numeric_b"), F.lit(tb).alias("text_b"), F.lit(db).alias("date_b"),
+                    F.lit(overlap).alias("column_overlap"), gap.alias("row_gap"), advice.alias("advice"))

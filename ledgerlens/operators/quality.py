@@ -290,3 +290,29 @@ def risk_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     warn = d.select("column", "outliers_percentage").filter(F.col("outliers_percentage") > 10).agg(
         F.count(F.lit(1)).alias("columns_with_many_outliers"))
     return attach(one, warn).withColumn("missing_warning", 100 - F.col("completeness") > 10)
+
+
+def issue_counts(validation: DataFrame) -> DataFrame:
+    """Q15: number of issues per column and its type class (the quality-dashboard feed)."""
+    return validation.select("column", F.when(F.col("current_type") == "string", "text").otherwise("numeric")
+                             .alias("type_class"), F.size("issues").alias("issue_count"))
+
+
+def compare_quality(a: DataFrame, b: DataFrame, name_a: str = "A", name_b: str = "B") -> DataFrame:
+    """Q14: the Q11 scores of two tables side by side with an improvement plan (< 80 priority, < 90 improve,
+    completeness < 85, score gap > 20)."""
+    ra = quality_report(a).select(*[F.col(c).alias(f"{c}_a") for c in
+                                    ["overall_quality_score", "overall_completeness", "duplicate_percentage"]])
+    rb = quality_report(b).select(*[F.col(c).alias(f"{c}_b") for c in
+                                    ["overall_quality_score", "overall_completeness", "duplicate_percentage"]])
+    m = attach(ra, rb)
+    items = []
+    for tag, name in (("a", name_a), ("b", name_b)):
+        s, c = F.col(f"overall_quality_score_{tag}"), F.col(f"overall_completeness_{tag}")
+        items += [Rule(s < 80, "High", name, f"{name}: quality score below 80 - prioritise cleaning"),
+                  Rule((s >= 80) & (s < 90), "Medium", name, f"{name}: quality score below 90 - targeted improvements"),
+                  Rule(c < 85, "High", name, f"{name}: completeness below 85% - fill or source missing values")]
+    items.append(Rule(F.abs(F.col("overall_quality_score_a") - F.col("overall_quality_score_b")) > 20, "Medium", "gap",
+                      "Quality scores differ by more than 20 points - align collection processes"))
+    plan = rules(m, items)
+    return attach(plan, m)

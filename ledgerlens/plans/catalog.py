@@ -10,3 +10,4 @@ from . import q_cells  # noqa: F401
 from . import q_summaries  # noqa: F401
 from . import q_mapping  # noqa: F401
 from . import q_io  # noqa: F401
+from . import q_extra  # noqa: F401
