@@ -410,3 +410,16 @@ def overview_alignment(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.select("rows_a", "rows_b", F.lit(na).alias("numeric_a"), F.lit(ta).alias("text_a"), F.lit(da).alias("date_a"),
                     F.lit(nb).alias("numeric_b"), F.lit(tb).alias("text_b"), F.lit(db).alias("date_b"),
                     F.lit(overlap).alias("column_overlap"), gap.alias("row_gap"), advice.alias("advice"))
+
+
+def analyze_table(df: DataFrame, name: str = "table") -> dict[str, DataFrame]:
+    """The whole column profile of one table as named lazy DataFrames."""
+    nums, strs = numeric_columns(df), string_columns(df)
+    out = {"shape": shape(df), "missing": missing(df), "missing_summary": missing_summary(df), "types": data_types(df)}
+    if nums:
+        d = describe(df, nums)
+        out.update({"descriptive": d, "outliers": outliers(df, nums), "histogram": histogram(df, nums),
+                    "normality": normality(d), "correlation": correlations(df, nums)})
+    if strs:
+        out["categorical"] = categorical(df, strs)
+    return out

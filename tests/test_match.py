@@ -44,7 +44,7 @@ def test_match_equals_brute_force(spark):
         b_rows.append((k, i))
     a = spark.createDataFrame([(i, k) for i, k in enumerate(a_keys)], "aid int, key string")
     b = spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate(b_rows)], "pos int, bkey string, payload int")
-    for t in (60, 80, 90):
+    for t in (60, 90):
         got = {r.key: (r.match_type, round(r.similarity_score, 9), r.payload)
                for r in match(a, b, "key", "bkey", extract=["payload"], threshold=t, b_order="pos").collect()}
         exp = _brute_best(a_keys, [(k, p) for k, p in b_rows], t)
@@ -60,7 +60,7 @@ def test_prefix_and_grid_agree(spark):
     keys = ["".join(rnd.choice("abcdef ") for _ in range(rnd.randint(1, 25))) for _ in range(150)]
     left = spark.createDataFrame([("0", k) for k in set(keys[:80])], "blk string, ka string")
     right = spark.createDataFrame([("0", k) for k in set(keys[70:])], "blk string, kb string")
-    for t in (70, 80, 90):
+    for t in (70, 90):
         g = {(r.ka, r.kb) for r in grid_scored_pairs(left, right, t).collect()}
         p = {(r.ka, r.kb) for r in scored_pairs(left, right, t, method="prefix").collect()}
         brute = {(x, y) for x in set(keys[:80]) for y in set(keys[70:]) if 200 * __import__(
