@@ -91,3 +91,19 @@ SELECT "column", CASE WHEN current_type = 'string' THEN 'text' ELSE 'numeric' EN
   CAST(len(issues) AS INTEGER) AS issue_count FROM valid""", "fx_nulls", ctes=(("conv", _CONV), ("outl", _OUTL), ("valid", _VALID))))
 def q_q15(spark, sf):
     return Q.issue_counts(Q.type_validation(fixture(spark, sf, "fx_nulls").select(*NULL_COLS)))
+
+
+@register("A13_H5_kendall_customer", f"""
+WITH p AS (SELECT c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer
+  WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL),
+pr AS (SELECT sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN 1 ELSE 0 END) / 2 AS nc,
+  sum(CASE WHEN (a.x - b.x) * (a.y - b.y) < 0 THEN 1 ELSE 0 END) / 2 AS nd FROM p a, p b),
+t AS (SELECT (SELECT count(*) FROM p) AS n,
+  (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM p GROUP BY x)) AS nx,
+  (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM p GROUP BY y)) AS ny)
+SELECT n, CAST(nc AS BIGINT) AS concordant, CAST(nd AS BIGINT) AS discordant,
+  {S('(nc - nd) / sqrt((n * (n - 1) / 2 - nx) * (n * (n - 1) / 2 - ny))', 'tau_b')} FROM pr, t""")
+def q_kendall(spark, sf):
+    """Kendall tau-b of account balance against nation key (exact, no pair enumeration)."""
+    from ..operators.kendall import kendall_tau_b
+    return round_doubles(kendall_tau_b(load(spark, sf, "customer"), "c_acctbal", "c_nationkey"))

@@ -27,3 +27,22 @@ def test_t_and_mann_whitney_small(spark):
     assert abs(u.u_statistic - 2.0) < 1e-12
     d = H.ks_test(long).collect()[0]
     assert abs(d.ks_statistic - 0.6) < 1e-12
+
+
+def test_kendall_brute_force(spark):
+    import itertools
+    import random
+    from collections import Counter
+    from ledgerlens.operators.kendall import kendall_tau_b
+    rnd = random.Random(8)
+    rows = [(float(rnd.randint(0, 20)), float(rnd.randint(0, 6))) for _ in range(250)] + [(3.0, 2.0)] * 40
+    df = spark.createDataFrame(rows, "a double, b double")
+    r = kendall_tau_b(df, "a", "b", blocks=6).collect()[0]
+    nc = sum(1 for p, q in itertools.combinations(rows, 2) if (p[0] - q[0]) * (p[1] - q[1]) > 0)
+    nd = sum(1 for p, q in itertools.combinations(rows, 2) if (p[0] - q[0]) * (p[1] - q[1]) < 0)
+    n = len(rows)
+    n0 = n * (n - 1) / 2
+    n1 = sum(t * (t - 1) / 2 for t in Counter(x for x, _ in rows).values())
+    n2 = sum(t * (t - 1) / 2 for t in Counter(y for _, y in rows).values())
+    assert (r.concordant, r.discordant) == (nc, nd)
+    assert abs(r.tau_b - (nc - nd) / math.sqrt((n0 - n1) * (n0 - n2))) < 1e-12
