@@ -309,12 +309,22 @@ def grid_scored_pairs(left: DataFrame, right: DataFrame, threshold: float, disti
           .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_sa") - 1)))
           .select("blk", "lb", "_i", "_j", "kb", "idb"))
     schema = "ida long, idb long, lcs int, score double"
+    # the scoring stage is compute-heavy on little data: pin the partition count so adaptive coalescing cannot
+    # fold all chunk pairs into one Python task (both sides share the partitioning, so no extra exchange)
+    parts = python_parallelism(left.sparkSession)
+    keys = ["blk", "lb", "_i", "_j"]
+    ga, gb = ga.repartition(parts, *keys), gb.repartition(parts, *keys)
     hits = (ga.groupBy("blk", "lb", "_i", "_j").cogroup(gb.groupBy("blk", "lb", "_i", "_j"))
             .applyInPandas(_grid_fn(t, distinct_only), schema))
     return (hits.join(ka_ids, "ida").join(kb_ids.drop("blk"), "idb")
             .select("blk", "ka", "kb", "lcs", "score"))
 
 
+def python_parallelism(spark) -> int:
+    """Partitions for Python-heavy stages: the shuffle setting, at least twice the default parallelism."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def _ids(keys: DataFrame, name: str) -> DataFrame:
     from .ranks import _checkpoint
     return _checkpoint(keys.withColumn(name, F.monotonically_increasing_id()))
