@@ -94,13 +94,13 @@ def benchmarks(df: DataFrame, amount: str) -> DataFrame:
 
 def sector_ranking(df: DataFrame, sector: str, amount: str) -> DataFrame:
     """Per sector sum, mean, count, share %, rank (sum desc), tier; low-share (<5%) flag for the bottom 3."""
-    from pyspark.sql.window import Window
     g = df.filter(col(sector).isNotNull()).groupBy(col(sector).alias("sector")).agg(
         F.sum(col(amount)).alias("revenue"), F.avg(col(amount)).alias("average"), F.count(F.lit(1)).alias("records"))
     tot = g.agg(F.sum("revenue").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    # one row per sector: the ranking window runs over the (small) sector table
-    w = Window.orderBy(F.desc("revenue"), F.asc("sector"))
-    x = attach(g, tot).withColumn("share", F.col("revenue") / F.col("_t") * 100).withColumn("rank", F.row_number().over(w))
+    # global rank without a single-partition window: range-partitioned positions over (revenue desc, sector)
+    pos = ranks.row_positions(g.withColumn("_neg", -F.col("revenue")), ["_neg", "sector"]).drop("_neg")
+    x = (attach(pos, tot).withColumn("share", F.col("revenue") / F.col("_t") * 100)
+         .withColumn("rank", (F.col("_pos") + 1).cast("int")).drop("_pos"))
     tier = F.when(F.col("share") >= 20, "Leader").when(F.col("share") >= 10, "Strong").when(F.col("share") >= 5, "Moderate") \
         .otherwise("Emerging")
     return x.select("sector", "revenue", "average", "records", "share", "rank", tier.alias("tier"),
