@@ -113,15 +113,21 @@ def dependency_levels(cells: DataFrame, parsed: DataFrame, max_rounds: int = 100
              .select("book", F.col("dst").alias("cell"), F.lit(0).alias("level")))
     known = known.unionByName(fc.filter(F.col("_need") == 0).select("book", F.col("src").alias("cell"), F.lit(1).alias("level")))
     known = _checkpoint(known)
+    size = known.count()
+    fc = _checkpoint(fc)
     for _ in range(max_rounds):
         resolved = (e.join(known.withColumnRenamed("cell", "dst"), ["book", "dst"])
                     .groupBy("book", "src").agg(F.count(F.lit(1)).alias("_have"), F.max("level").alias("_mx")))
-        new = _checkpoint(fc.join(resolved, ["book", "src"]).filter(F.col("_have") == F.col("_need"))
-                          .join(known.withColumnRenamed("cell", "src"), ["book", "src"], "left_anti")
-                          .select("book", F.col("src").alias("cell"), (F.col("_mx") + 1).alias("level")))
-        if new.isEmpty():
+        new = (fc.join(resolved, ["book", "src"]).filter(F.col("_have") == F.col("_need"))
+               .join(known.withColumnRenamed("cell", "src"), ["book", "src"], "left_anti")
+               .select("book", F.col("src").alias("cell"), (F.col("_mx") + 1).alias("level")))
+        # one job per round: the grown state is written once; its size (read from the written data) says whether
+        # anything was levelled this round
+        grown = _checkpoint(known.unionByName(new))
+        grown_size = grown.count()
+        if grown_size == size:
             break
-        known = _checkpoint(known.unionByName(new))
+        known, size = grown, grown_size
     return (formula_cells.withColumnRenamed("src", "cell").join(known, ["book", "cell"], "left")
             .withColumn("on_or_behind_cycle", F.col("level").isNull()))
 
