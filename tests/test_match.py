@@ -106,3 +106,20 @@ def test_multi_column_ties_first_row(spark):
     assert r.bid == 10
     assert r.category in ("matched", "suggested")
     assert [f.field for f in r.field_breakdown] == ["n → n", "b → b"]
+
+
+def test_match_independent_of_shuffle_partitions(spark):
+    from ledgerlens.sources.fixtures import fixture
+    from conftest import SF
+    a = fixture(spark, SF, "fx_match_a")
+    b = fixture(spark, SF, "fx_match_b")
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for p in ("3", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", p)
+            r = match(a, b, "item", "item", extract=["id"], b_order="id")
+            results.append(sorted((x.item, x.match_type, x.similarity_score, x.SheetB_id) for x in r.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1]
