@@ -1,10 +1,10 @@
 """Formula analysis over a cell table ``cells(book, sheet, cell, row_no, col_no, formula)``.
 
 Parsing is regular-expression extraction in Catalyst (no Python); the
-dependency graph is an edge DataFrame. Dependency levels are computed by an
-iterative join (at most ``max_rounds``); each round's new rows and the
-running state are written with a reliable ``checkpoint`` so lineage stays
-one round deep and a lost executor recomputes at most one round; cells never levelled sit on or behind a
+dependency graph is an edge DataFrame. Dependency levels are computed by
+frontier propagation (at most ``max_rounds``); each round's frontier and
+state are written with a reliable ``checkpoint`` so lineage stays one round
+deep and a lost executor recomputes at most one round; cells never levelled sit on or behind a
 cycle. The reachable (cascade) set is expanded the same way, deduplicated
 each round.
 """
@@ -103,31 +103,38 @@ def validation_summary(v: DataFrame) -> DataFrame:
 
 def dependency_levels(cells: DataFrame, parsed: DataFrame, max_rounds: int = 100) -> DataFrame:
     """level of every formula cell: plain or absent precedents are level 0; a formula cell is 1 + the max level of
-    its precedents once all are known. Cells still unknown after convergence are on or behind a cycle (level null)."""
+    its precedents once all are known. Cells still unknown after convergence are on or behind a cycle (level null).
+
+    Frontier propagation (topological layering): each round joins only the cells levelled in the previous round
+    with the edges pointing at them, decrements the unresolved-precedent count of their dependents and keeps a
+    running max; dependents reaching zero form the next frontier. Resolved cells leave the state, so total join
+    work is proportional to the number of edges, not edges x depth. State and frontier are checkpointed each round.
+    """
     e = edges(parsed)
     formula_cells = parsed.select("book", F.concat("sheet", F.lit("!"), "cell").alias("src"))
     need = e.groupBy("book", "src").agg(F.count(F.lit(1)).alias("_need"))
     fc = formula_cells.join(need, ["book", "src"], "left").na.fill(0, ["_need"])
-    # precedents that are not formula cells are level 0 from the start
-    known = (e.select("book", "dst").distinct().join(formula_cells.withColumnRenamed("src", "dst"), ["book", "dst"], "left_anti")
+    plain = (e.select("book", "dst").distinct().join(formula_cells.withColumnRenamed("src", "dst"), ["book", "dst"], "left_anti")
              .select("book", F.col("dst").alias("cell"), F.lit(0).alias("level")))
-    known = known.unionByName(fc.filter(F.col("_need") == 0).select("book", F.col("src").alias("cell"), F.lit(1).alias("level")))
-    known = _checkpoint(known)
-    size = known.count()
-    fc = _checkpoint(fc)
+    roots = fc.filter(F.col("_need") == 0).select("book", F.col("src").alias("cell"), F.lit(1).alias("level"))
+    frontier = _checkpoint(plain.unionByName(roots))
+    state = _checkpoint(fc.filter(F.col("_need") > 0).select("book", "src", F.col("_need").alias("_left"),
+                                                            F.lit(-1).alias("_mx")))
+    levelled = [roots]
     for _ in range(max_rounds):
-        resolved = (e.join(known.withColumnRenamed("cell", "dst"), ["book", "dst"])
-                    .groupBy("book", "src").agg(F.count(F.lit(1)).alias("_have"), F.max("level").alias("_mx")))
-        new = (fc.join(resolved, ["book", "src"]).filter(F.col("_have") == F.col("_need"))
-               .join(known.withColumnRenamed("cell", "src"), ["book", "src"], "left_anti")
-               .select("book", F.col("src").alias("cell"), (F.col("_mx") + 1).alias("level")))
-        # one job per round: the grown state is written once; its size (read from the written data) says whether
-        # anything was levelled this round
-        grown = _checkpoint(known.unionByName(new))
-        grown_size = grown.count()
-        if grown_size == size:
+        contrib = (e.join(frontier.withColumnRenamed("cell", "dst"), ["book", "dst"])
+                   .groupBy("book", "src").agg(F.count(F.lit(1)).alias("_k"), F.max("level").alias("_m")))
+        upd = (state.join(contrib, ["book", "src"], "left")
+               .select("book", "src", (F.col("_left") - F.coalesce("_k", F.lit(0))).alias("_left"),
+                       F.greatest(F.col("_mx"), F.coalesce("_m", F.lit(-1))).alias("_mx")))
+        upd = _checkpoint(upd)
+        frontier = _checkpoint(upd.filter(F.col("_left") == 0).select("book", F.col("src").alias("cell"),
+                                                                      (F.col("_mx") + 1).alias("level")))
+        if frontier.isEmpty():
             break
-        known, size = grown, grown_size
+        levelled.append(frontier)
+        state = upd.filter(F.col("_left") > 0)
+    known = reduce(lambda a, b: a.unionByName(b), levelled)
     return (formula_cells.withColumnRenamed("src", "cell").join(known, ["book", "cell"], "left")
             .withColumn("on_or_behind_cycle", F.col("level").isNull()))
 
