@@ -146,24 +146,28 @@ def _date_parse(c: F.Column) -> F.Column:
 
 
 def conversions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Q7/Q8/Q9 per text column over all non-null values: number rate (>0.8 -> int64/float64), date rate (>0.7), boolean set."""
+    """Q7/Q8/Q9 per text column over all non-null values: number rate (>0.8 -> int64/float64), date rate (>0.7),
+    boolean set. One aggregate (one scan) for all columns."""
     cols = cols or string_columns(df)
-    parts = []
-    for c in cols:
+    aggs = []
+    for i, c in enumerate(cols):
         v = col(c).cast("string")
-        nn = df.filter(v.isNotNull())
+        nn = v.isNotNull()
         num_ok = F.regexp_replace(v, NUMBER_STRIP, "").try_cast("double").isNotNull()
         low = F.lower(F.trim(v))
-        parts.append(nn.agg(
-            F.lit(c).alias("column"), F.count(F.lit(1)).alias("_n"),
-            F.sum(F.when(num_ok, 1).otherwise(0)).alias("_num"),
-            F.max(F.when(F.instr(v, ".") > 0, 1).otherwise(0)).alias("_dot"),
-            F.sum(F.when(_date_parse(v).isNotNull(), 1).otherwise(0)).alias("_date"),
-            F.count_distinct(low).alias("_bool_distinct"),
-            F.min(F.when(low.isin(*BOOLEAN_WORDS), 1).otherwise(0)).alias("_bool_all")))
-    x = reduce(lambda a, b: a.unionByName(b), parts)
-    num_rate = F.col("_num") / F.col("_n")
-    date_rate = F.col("_date") / F.col("_n")
+        aggs += [F.count(v).alias(f"n{i}"), F.sum(F.when(nn & num_ok, 1).otherwise(0)).alias(f"num{i}"),
+                 F.max(F.when(F.instr(v, ".") > 0, 1).otherwise(0)).alias(f"dot{i}"),
+                 F.sum(F.when(nn & _date_parse(v).isNotNull(), 1).otherwise(0)).alias(f"dt{i}"),
+                 F.count_distinct(low).alias(f"bd{i}"),
+                 F.min(F.when(nn, F.when(low.isin(*BOOLEAN_WORDS), 1).otherwise(0))).alias(f"ba{i}")]
+    one = df.agg(*aggs)
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(f"n{i}").alias("_n"), F.col(f"num{i}").alias("_num"), F.col(f"dot{i}").alias("_dot"),
+        F.col(f"dt{i}").alias("_date"), F.col(f"bd{i}").alias("_bool_distinct"), F.col(f"ba{i}").alias("_bool_all"))
+        for i, c in enumerate(cols)]))
+    x = one.select(rows.alias("r")).select("r.*")
+    num_rate = F.try_divide(F.col("_num"), F.col("_n"))
+    date_rate = F.try_divide(F.col("_date"), F.col("_n"))
     return x.select(
         "column", num_rate.alias("numeric_rate"), (num_rate > 0.8).alias("numeric_convertible"),
         F.when(num_rate > 0.8, F.when(F.col("_dot") == 1, "float64").otherwise("int64")).alias("numeric_type"),
