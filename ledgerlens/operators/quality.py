@@ -158,7 +158,9 @@ def conversions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         aggs += [F.count(v).alias(f"n{i}"), F.sum(F.when(nn & num_ok, 1).otherwise(0)).alias(f"num{i}"),
                  F.max(F.when(F.instr(v, ".") > 0, 1).otherwise(0)).alias(f"dot{i}"),
                  F.sum(F.when(nn & _date_parse(v).isNotNull(), 1).otherwise(0)).alias(f"dt{i}"),
-                 F.count_distinct(low).alias(f"bd{i}"),
+                 # distinct count only matters when every value is a boolean word: presence flags per word
+                 reduce(lambda x, y: x + y, [F.max(F.when(low == w, 1).otherwise(0)) for w in BOOLEAN_WORDS])
+                 .alias(f"bd{i}"),
                  F.min(F.when(nn, F.when(low.isin(*BOOLEAN_WORDS), 1).otherwise(0))).alias(f"ba{i}")]
     one = df.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(
