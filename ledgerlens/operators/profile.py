@@ -344,7 +344,8 @@ def data_types(df: DataFrame, samples: int = 3,
         aggs += [F.count_distinct(c).alias(f"u{i}"), F.sum(F.when(_missing(df, f.name), 1).otherwise(0)).alias(f"z{i}")]
         if isinstance(f.dataType, T.StringType):
             nn = c.isNotNull()
-            parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in date_formats])
+            shape_ok = c.rlike(r"^\s*\d{1,6}[-/]\d{1,2}[-/]\d{1,6}(\s+\d{1,2}:\d{1,2}:\d{1,2})?\s*$")
+            parsed = F.when(shape_ok, F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in date_formats]))
             aggs += [F.min(F.when(~nn | c.try_cast("double").isNotNull(), 1).otherwise(0)).alias(f"num{i}"),
                      F.min(F.when(~nn | parsed.isNotNull(), 1).otherwise(0)).alias(f"dt{i}")]
     one = df.agg(*aggs)

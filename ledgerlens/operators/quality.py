@@ -141,27 +141,38 @@ def key_candidates(df: DataFrame, first: int = 3) -> DataFrame:
     return chosen.join(dups, "column").withColumn("candidate_rank", F.col("candidate_rank") + 1)
 
 
+# every format in DATE_FORMATS has this shape: values without it are skipped before the (costly) parse attempts
+DATE_SHAPE = r"^\s*\d{1,6}[-/]\d{1,2}[-/]\d{1,6}(\s+\d{1,2}:\d{1,2}:\d{1,2})?\s*$"
+
+
 def _date_parse(c: F.Column) -> F.Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt, _ in DATE_FORMATS])
+    return F.when(c.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt, _ in DATE_FORMATS]))
 
 
 def conversions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Q7/Q8/Q9 per text column over all non-null values: number rate (>0.8 -> int64/float64), date rate (>0.7),
     boolean set. One aggregate (one scan) for all columns."""
     cols = cols or string_columns(df)
-    aggs = []
+    flags, aggs = [], []
     for i, c in enumerate(cols):
         v = col(c).cast("string")
         nn = v.isNotNull()
-        num_ok = F.regexp_replace(v, NUMBER_STRIP, "").try_cast("double").isNotNull()
         low = F.lower(F.trim(v))
-        aggs += [F.count(v).alias(f"n{i}"), F.sum(F.when(nn & num_ok, 1).otherwise(0)).alias(f"num{i}"),
-                 F.max(F.when(F.instr(v, ".") > 0, 1).otherwise(0)).alias(f"dot{i}"),
-                 F.sum(F.when(nn & _date_parse(v).isNotNull(), 1).otherwise(0)).alias(f"dt{i}"),
-                 # distinct count only matters when every value is a boolean word: presence flags per word
-                 reduce(lambda x, y: x + y, [F.max(F.when(low == w, 1).otherwise(0)) for w in BOOLEAN_WORDS])
-                 .alias(f"bd{i}"),
-                 F.min(F.when(nn, F.when(low.isin(*BOOLEAN_WORDS), 1).otherwise(0))).alias(f"ba{i}")]
+        # per-row flags in a projection; the aggregate below only sums / maxes small integers
+        flags += [F.when(nn, 1).otherwise(0).alias(f"f_n{i}"),
+                  F.when(nn & F.regexp_replace(v, NUMBER_STRIP, "").try_cast("double").isNotNull(), 1).otherwise(0)
+                  .alias(f"f_num{i}"),
+                  F.when(F.instr(v, ".") > 0, 1).otherwise(0).alias(f"f_dot{i}"),
+                  F.when(nn & _date_parse(v).isNotNull(), 1).otherwise(0).alias(f"f_dt{i}"),
+                  F.when(nn, F.when(low.isin(*BOOLEAN_WORDS), 1).otherwise(0)).alias(f"f_ba{i}"),
+                  F.when(low.isin(*BOOLEAN_WORDS), F.array_position(F.array(*[F.lit(w) for w in BOOLEAN_WORDS]), low))
+                  .alias(f"f_bw{i}")]
+        aggs += [F.sum(f"f_n{i}").alias(f"n{i}"), F.sum(f"f_num{i}").alias(f"num{i}"), F.max(f"f_dot{i}").alias(f"dot{i}"),
+                 F.sum(f"f_dt{i}").alias(f"dt{i}"), F.min(f"f_ba{i}").alias(f"ba{i}"),
+                 # distinct count only matters when every value is a boolean word: presence bits per word
+                 reduce(lambda x, y: x + y, [F.max(F.when(F.col(f"f_bw{i}") == k, 1).otherwise(0))
+                                             for k in range(1, len(BOOLEAN_WORDS) + 1)]).alias(f"bd{i}")]
+    df = df.select(*flags)
     one = df.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(
         F.lit(c).alias("column"), F.col(f"n{i}").alias("_n"), F.col(f"num{i}").alias("_num"), F.col(f"dot{i}").alias("_dot"),
