@@ -60,3 +60,17 @@ def test_ties_in_top_values(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), ("b",)], "x string")
     t = [r.value for r in P.top_values(df, ["x"], k=2).orderBy("rank").collect()]
     assert t == ["a", "b"]
+
+
+def test_date_shape_precheck_is_lossless(spark):
+    """Every value one of the fixed formats parses must pass the cheap shape test that guards the parser."""
+    import datetime
+    vals = []
+    for d in [datetime.datetime(1995, 1, 2, 3, 4, 5), datetime.datetime(2001, 12, 31, 23, 59, 59)]:
+        vals += [d.strftime(f) for _, f in Q.DATE_FORMATS]
+    vals += ["$899,000", "yes", "1995-13-45", "2024/02/30", "u5@mail.com", " ", "12-31-1999"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    unguarded = F.coalesce(*[F.try_to_timestamp(F.col("v"), F.lit(f)) for f, _ in Q.DATE_FORMATS])
+    rows = df.select("v", unguarded.isNotNull().alias("raw"), Q._date_parse(F.col("v")).isNotNull().alias("guarded")).collect()
+    assert all(r.raw == r.guarded for r in rows)
+    assert sum(r.raw for r in rows) >= 10
