@@ -76,3 +76,28 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(edges.select("v", "v").distinct())
+
+
+def frequent(df: DataFrame, count_col: str, most: int) -> int:
+    """The least power of two such that at most `most` rows have at least that count."""
+    least, room = 1 << 62, most
+    by_power = df.groupBy(F.floor(F.log2(count_col)).alias("e")).count().orderBy(F.desc("e")).collect()
+    for row in by_power:
+        if row["count"] > room:
+            break
+        least, room = 1 << row["e"], room - row["count"]
+    return least
+
+
+def filtered(df: DataFrame, column: str, decide) -> DataFrame:
+    """The rows of df, all columns as they are, for whose text `decide(text or "")` is true; no join, no shuffle."""
+    import pyarrow as pa
+
+    at = df.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            keep = pa.array([bool(decide(t or "")) for t in b.column(at).to_pylist()], pa.bool_())
+            yield b.filter(keep)
+
+    return df.mapInArrow(run, df.schema)

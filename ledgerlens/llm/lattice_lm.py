@@ -34,7 +34,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import discard, written
+from ledgerlens.llm.common import discard, frequent, written
 
 #: Most words broadcast with their scores.
 HOT = 100_000
@@ -292,13 +292,7 @@ def score_texts(df: DataFrame, train: Column, model_file: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), pa.array(s)], names=["word", "c", "c_train", "s"])
 
     vocabulary = written(counts.select("word", "c_train", "c").mapInArrow(value, "word binary, c long, c_train long, s double"))
-    # powers of two of the counts: the frequent words to broadcast, at most `hot`
-    level, room = 64, hot
-    for row in vocabulary.groupBy(F.floor(F.log2("c")).alias("e")).count().orderBy(F.desc("e")).collect():
-        if row["count"] > room:
-            break
-        level, room = row["e"], room - row["count"]
-    least = 2 ** level
+    least = frequent(vocabulary, "c", hot)  # the frequent words are broadcast, at most `hot`
     top = vocabulary.where(F.col("c") >= least).select("word", "c_train", "s").toArrow()
     words = top.column(0).to_pylist()
     known = top.column(1).to_numpy()
