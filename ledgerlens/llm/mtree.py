@@ -214,7 +214,7 @@ def index(vectors: DataFrame, norm2: float, rows: int = ROWS) -> DataFrame:
         sizes, tree = t.column("dim").to_numpy(), int(t.column("tree")[0].as_py())
         for dim in np.unique(sizes).tolist():
             part = t.filter(pa.array(sizes == dim))
-            flat = part.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            flat = part.column("v").combine_chunks().flatten().to_numpy().reshape(part.num_rows, dim)
             made = build(part.column("id").to_numpy(), flat, norm2)
             for i in range(0, len(made), 256):
                 some = made[i: i + 256]
@@ -238,7 +238,7 @@ def _trees(batches):
                 yield held
                 held = []
             p["routing"], p["ids"], p["own"] = (np.array(p[k]) for k in ("routing", "ids", "own"))
-            p["vectors"] = np.array(p["vectors"], float).reshape(-1, p["dim"])
+            p["vectors"] = np.array(p["vectors"], float).reshape(len(p["ids"]), p["dim"])
             held.append(p)
     if held:
         yield held

@@ -3,8 +3,8 @@
 One weight vector over hashed text features is shared by all grades, ordered thresholds cut its score:
 P(grade >= k) = sigmoid(w.x - theta_k). It gives the expected grade, and the tail probability for selection.
 
-Features, each 0 or 1, hashed to 2^BITS places: the distinct words (lower case, ASCII punctuation as white space) and
-shape bands (share of capitals, digits, each ASCII mark, immediate repeats, distinct words, mean word length).
+Features, each 0 or 1, hashed to 2^BITS places: the distinct words (lower case, ASCII punctuation as white space),
+their stems, and shape bands (share of capitals, digits, each ASCII mark, immediate repeats, distinct words, mean word length).
 
 Fitting uses a bounded sample of the labelled rows: about SAMPLE rows, chosen by a hash of the id. Their features are
 made in Spark; the bounded matrix is fitted in numpy. Scoring is one pass over whole texts without a shuffle.
@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import filtered
 
 BITS = 18
+#: Bytes of a word's beginning that count as its stem.
+STEM = 4
 SAMPLE = 20_000
-#: Features in fewer sampled texts keep weight zero.
-LEAST_TEXTS = 4
-EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.15, 1e-5
+#: Features in fewer sampled texts, or whose texts' mean grade lies within SCREEN standard errors of the mean of all,
+#: keep weight zero: words that say nothing of the grade must not add up to noise in long texts.
+LEAST_TEXTS, SCREEN, EFFECT = 4, 3.0, 0.4
+EPOCHS, BATCH, RATE, DECAY = 150, 256, 1.0, 1e-5
 _GAPS = bytes(32 if chr(b) in string.punctuation or b < 32 else b for b in range(256))
 _MARKS = [m.encode() for m in string.punctuation]
 _CAPITALS = bytes(range(65, 91))
@@ -52,7 +55,9 @@ def features(text: str | None) -> np.ndarray:
              f"repeats {tenth(sum(a == b for a, b in zip(plain, plain[1:])) / n)}"]
     shape += [f"{m.decode()} {tenth(k / n)}" for m in _MARKS if (k := raw.count(m)) * 10 >= n]
     mask = (1 << BITS) - 1
-    return np.unique(np.array([crc32(w) & mask for w in distinct] + [crc32(s.encode(), 1) & mask for s in shape], np.int32))
+    stems = {w[:STEM] for w in distinct if len(w) > STEM}
+    return np.unique(np.array([crc32(w) & mask for w in distinct] + [crc32(w, 2) & mask for w in stems]
+                              + [crc32(s.encode(), 1) & mask for s in shape], np.int32))
 
 
 @dataclass
@@ -73,10 +78,15 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, seed:
     if len(np.unique(grades)) < 2:
         top = int(grades[0]) if len(grades) else n_grades - 1
         return Ordinal(np.zeros(size, np.float32), np.where(np.arange(1, n_grades) <= top, -30.0, 30.0))
-    seen = np.bincount(np.concatenate(rows), minlength=size) >= LEAST_TEXTS
-    rows = [r[seen[r]] for r in rows]
+    places, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    texts = np.bincount(places, minlength=size)
+    shift = np.bincount(places, (grades - grades.mean())[owner], minlength=size) / grades.std()
+    seen = (texts >= LEAST_TEXTS) & (np.abs(shift) >= np.maximum(SCREEN * np.sqrt(texts), EFFECT * texts))
+    kept = np.flatnonzero(seen)
+    number = np.cumsum(seen) - 1
+    rows = [number[r[seen[r]]] for r in rows]
     at_least = np.array([(grades >= k).mean() for k in range(1, n_grades)]).clip(1e-4, 1 - 1e-4)
-    w, past = np.zeros(size), np.full(size, 1e-8)
+    w, past = np.zeros(len(kept)), np.full(len(kept), 1e-8)
     theta = np.sort(-np.log(at_least / (1 - at_least)))
     base, gaps = theta[0], np.log(np.diff(theta) + 1e-3)
     past_t = np.full(n_grades - 1, 1e-8)
@@ -99,7 +109,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, seed:
             p = np.maximum(f[rows_at, y + 1] - f[rows_at, y], 1e-9)
             up, down = slope[rows_at, y + 1] / p, slope[rows_at, y] / p
             g_eta = up - down  # of -log p
-            g_w = np.bincount(places, g_eta[owner], minlength=size) / len(part) + DECAY * w
+            g_w = np.bincount(places, g_eta[owner], minlength=len(kept)) / len(part) + DECAY * w
             past += g_w ** 2
             w -= RATE * g_w / np.sqrt(past)
             g_theta = np.zeros(n_grades + 1)
@@ -111,7 +121,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, seed:
             step = RATE * g / np.sqrt(past_t)
             base, gaps = base - step[0], np.clip(gaps - step[1:], -6, 4)
     theta = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-    return Ordinal(w.astype(np.float32), theta)
+    weights = np.zeros(size, np.float32)
+    weights[kept] = w
+    return Ordinal(weights, theta)
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
