@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ EVIDENCE = 32
 SMOOTH = 0.1
 FLUSH = 200_000
 #: Results of unknown words that a worker keeps, for speed only.
-KEPT = 100_000
+KEPT = 50_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -96,30 +97,46 @@ class Model:
         self.langs, self.prior = langs, prior
         self.place, self.word_lp = words
         self.gram_place, self.gram_lp = grams
-        self.kept: dict[str, np.ndarray] = {}
-
-    def unknown(self, word: str) -> np.ndarray:
-        found = self.kept.get(word)
-        if found is None:
-            found = np.zeros(len(self.langs))
-            for order in range(min(ORDERS, len(word) + 2), 0, -1):
-                at = [k for g in grams_of(word, order) if (k := self.gram_place.get(g)) is not None]
-                if at:
-                    found = self.gram_lp[at].mean(axis=0)
-                    break
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[word] = found
-        return found
+        self.kept: dict[str, int] = {}  # unknown words met before, and their rows in self.rows
+        self.rows = np.zeros((0, len(langs)), np.float32)
+
+    def known_grams(self, word: str) -> list[int]:
+        """Places of the known n-grams of the longest order that has any."""
+        marked, get = f"<{word}>", self.gram_place.get
+        for order in range(min(ORDERS, len(marked)), 1, -1):
+            at = [k for i in range(len(marked) - order + 1) if (k := get(marked[i: i + order])) is not None]
+            if at:
+                return at
+        return [k for c in word if (k := get(c)) is not None]
+
+    def unknown(self, words: list[str]) -> np.ndarray:
+        """Sum over the words of the mean log frequency of their known n-grams."""
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.kept]
+        first = len(self.kept)
+        if first + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows[:first], np.zeros((len(new) + KEPT, len(self.langs)), np.float32)])
+        if new:
+            found = [self.known_grams(w) for w in new]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            some = sizes > 0
+            self.rows[first: first + len(new)] = 0
+            if some.any():
+                starts = np.cumsum(sizes[some]) - sizes[some]
+                flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+                self.rows[first + np.flatnonzero(some)] = np.add.reduceat(self.gram_lp[flat], starts) / sizes[some][:, None]
+            self.kept.update(zip(new, range(first, first + len(new))))
+        at = np.fromiter(map(self.kept.__getitem__, words), np.int64, len(words))
+        return np.ones(len(at), np.float32) @ self.rows[at]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        at = np.array([self.place.get(w, -1) for w in words], np.int64)
-        total = self.word_lp[at[at >= 0]].sum(axis=0)
-        for k in np.flatnonzero(at < 0).tolist():
-            total = total + self.unknown(words[k])
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        known = self.word_lp[at[at >= 0]]
+        total = np.ones(len(known), np.float32) @ known + self.unknown([words[k] for k in np.flatnonzero(at < 0).tolist()])
         z = self.prior + total / len(words) * min(len(words), EVIDENCE)
         p = np.exp(z - z.max())
         best = int(np.argmax(p))
