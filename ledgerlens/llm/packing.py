@@ -92,11 +92,10 @@ def best_fit(fills: np.ndarray, size: int) -> list[list[int]]:
 
 def pack(pieces: DataFrame, size: int, per_task: int = PER_TASK) -> DataFrame:
     """pieces (length, and any more columns) with sequence_id and offset: gapless places in sequences of `size`."""
-    spark = pieces.sparkSession
     items = written(pieces.withColumn("item", F.monotonically_increasing_id()))
     state = items.select(F.col("length").alias("fill"), F.array("item").alias("members"), F.array("length").alias("lengths"))
     kind = "fill long, members array<bigint>, lengths array<bigint>, done boolean"
-    bins = spark.createDataFrame([], kind)
+    bins = None
     tasks = before = 0
     while True:
         left = state.agg(F.count("*").alias("n"), F.min("fill").alias("least")).first()
@@ -127,10 +126,13 @@ def pack(pieces: DataFrame, size: int, per_task: int = PER_TASK) -> DataFrame:
             yield made(out)
 
         packed = written(state.repartition(tasks, F.xxhash64("members", F.lit(tasks))).mapInArrow(run, kind))
-        bins = bins.union(packed.where("done"))
+        done = packed.where("done")
+        bins = done if bins is None else bins.union(done)
         if last:
             break
         state = packed.where("not done").drop("done")
+    if bins is None:
+        return items.drop("item").select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     # a bin's number is its first member's, which is in no other bin
     placed = bins.select(F.col("members")[0].alias("sequence_id"), "members", F.expr(
         "slice(aggregate(lengths, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x))), 1, size(lengths))").alias("at")

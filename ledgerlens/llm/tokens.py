@@ -33,7 +33,6 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     if path not in _ENCODERS:
         as_json = path.endswith(".json")
         fast, _ = _tiktoken(path.removesuffix(".json") + ".tiktoken" if as_json else path)
-        slow = tokenizers.Tokenizer.from_file(path) if as_json else None
 
         def encode(text: str) -> np.ndarray:
             try:
@@ -41,9 +40,9 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
                     return np.array(fast.encode(text, allowed_special="all"), np.int64)
                 return np.array(fast.encode_ordinary(text), np.int64)
             except BaseException as e:  # the pattern engine panics with a class of its own
-                if slow is None or isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                if not as_json or isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
-                return np.array(slow.encode(text, add_special_tokens=False).ids, np.int64)
+                return np.array(tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, np.int64)
 
         _ENCODERS[path] = encode
     return _ENCODERS[path]
