@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.normalize import col
-from ...functions.rules import Rule, rules
+from ...functions.rules import Rule, band, rules
 from .. import ranks
 from ..frames import attach
 from ..profile import to_long
@@ -21,106 +21,150 @@ from .sales import month
 
 
 def _thirds(df: DataFrame, amount: str, date: str, tie: str) -> DataFrame:
-    pos = ranks.row_positions(df.select(col(date).alias("_d"), col(tie).alias("_t"), col(amount).alias("_a")), ["_d", "_t"])
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    x = attach(pos, n).withColumn("_k", F.floor(F.col("_n") / 3))
+    """Means of the first and last third (by date, ties by ``tie``) of the rows that have both date and amount."""
+    rows = df.filter(col(date).isNotNull() & col(amount).isNotNull() & ~F.isnan(col(amount).cast("double"))).select(
+        col(date).alias("_d"), col(tie).alias("_t"), col(amount).alias("_a"))
+    x = attach(ranks.row_positions(rows, ["_d", "_t"]), rows.agg(F.count(F.lit(1)).alias("_n")))
+    x = x.withColumn("_k", F.floor(F.col("_n") / 3))
     return x.agg(F.avg(F.when(F.col("_pos") < F.col("_k"), F.col("_a"))).alias("first_third_mean"),
                  F.avg(F.when(F.col("_pos") >= F.col("_n") - F.col("_k"), F.col("_a"))).alias("last_third_mean"))
 
 
+def alert_metrics(sales: DataFrame, amount: str, date: str, tie: str, customer: str) -> DataFrame:
+    """B47 inputs as one row: third means and change % (null unless the first mean is positive), count of values
+    beyond 3 sigma (0 up to ten values), top customer's share % of the revenue with a customer."""
+    th = _thirds(sales, amount, date, tie)
+    a = sales.filter(col(amount).isNotNull()).select(col(amount).cast("double").alias("a"))
+    st = a.agg(F.avg("a").alias("_m"), F.stddev_samp("a").alias("_s"), F.count(F.lit(1)).alias("_k"))
+    z = attach(a, st).agg(F.sum(F.when((F.col("_k") > 10) & (F.abs(F.col("a") - F.col("_m")) > 3 * F.col("_s")), 1).otherwise(0))
+                          .alias("anomalies"))
+    top = (sales.filter(col(customer).isNotNull()).groupBy(col(customer)).agg(F.coalesce(F.sum(col(amount)), F.lit(0.0)).alias("_v"))
+           .agg(F.max("_v").alias("_top"), F.sum("_v").alias("_t")))
+    m = attach(attach(th, z), top)
+    change = F.when(F.col("first_third_mean") > 0, (F.col("last_third_mean") / F.col("first_third_mean") - 1) * 100)
+    share = F.when(F.col("_t") > 0, F.col("_top") / F.col("_t") * 100)
+    return m.select("first_third_mean", "last_third_mean", change.alias("trend_change_pct"),
+                    F.coalesce("anomalies", F.lit(0)).cast("long").alias("anomalies"), share.alias("top_customer_share"))
+
+
+#: Fixed output texts: alert type and advice of each rule, in rule order.
+ALERT_TEXTS = [
+    ("Liquidity Crisis", "Immediate cash flow review required"),
+    ("Liquidity Warning", "Monitor cash flow closely"),
+    ("Revenue Decline", "Urgent business review required"),
+    ("Revenue Softening", "Investigate market conditions"),
+    ("Data Anomalies Detected", "Investigate unusual transactions"),
+    ("Customer Concentration Risk", "Diversify customer base urgently"),
+    ("High Customer Dependency", "Consider customer diversification"),
+]
+
+
 def early_warnings(sales: DataFrame, amount: str, date: str, tie: str, customer: str,
                    finance: DataFrame | None = None, current_assets: str | None = None,
                    current_liabilities: str | None = None) -> DataFrame:
-    """Alert rows: liquidity (<1 critical, <1.5 warning), last vs first third mean (-20% / -10%),
-    3-sigma anomalies, top customer share of revenue (>50% / >30%)."""
-    th = _thirds(sales, amount, date, tie)
-    st = sales.agg(F.avg(col(amount)).alias("_m"), F.stddev_samp(col(amount)).alias("_s"), F.sum(col(amount)).alias("_t"))
-    z = attach(sales.filter(col(amount).isNotNull()).select(col(amount).alias("a")), st).agg(
-        F.sum(F.when(F.abs((F.col("a") - F.col("_m")) / F.col("_s")) > 3, 1).otherwise(0)).alias("anomalies"))
-    top = (sales.filter(col(customer).isNotNull()).groupBy(col(customer)).agg(F.sum(col(amount)).alias("_v"))
-           .agg(F.max("_v").alias("_top")))
-    m = attach(attach(attach(th, st), z), top)
+    """Alert rows: liquidity (< 1 critical, < 1.5 warning), last against first third (below -20% / -10%),
+    values beyond 3 sigma, top customer share (> 50% / > 30%)."""
+    m = alert_metrics(sales, amount, date, tie, customer)
     if finance is not None:
-        m = attach(m, finance.agg((F.sum(col(current_assets)) / F.sum(col(current_liabilities))).alias("current_ratio")))
+        m = attach(m, finance.agg(F.round(F.try_divide(F.sum(col(current_assets)), F.sum(col(current_liabilities))), 2)
+                                  .alias("current_ratio")))
     else:
         m = m.withColumn("current_ratio", F.lit(None).cast("double"))
-    change = (F.col("last_third_mean") - F.col("first_third_mean")) / F.col("first_third_mean") * 100
-    share = F.col("_top") / F.col("_t") * 100
-    m = m.withColumn("_change", change).withColumn("_share", share)
-
-    def msg(fmt, c):
-        return F.format_string(fmt, F.round(c, 2))
-    items = [
-        Rule(F.col("current_ratio") < 1, "critical", "liquidity", msg("Current ratio %s is below 1", F.col("current_ratio"))),
-        Rule((F.col("current_ratio") >= 1) & (F.col("current_ratio") < 1.5), "warning", "liquidity",
-             msg("Current ratio %s is below 1.5", F.col("current_ratio"))),
-        Rule(F.col("_change") <= -20, "critical", "trend", msg("Recent mean fell %s%% against the first third", F.col("_change"))),
-        Rule((F.col("_change") > -20) & (F.col("_change") <= -10), "warning", "trend",
-             msg("Recent mean fell %s%% against the first third", F.col("_change"))),
-        Rule(F.col("anomalies") > 0, "warning", "anomaly", F.format_string("%d values beyond 3 sigma", F.col("anomalies"))),
-        Rule(F.col("_share") > 50, "critical", "concentration", msg("Top customer holds %s%% of revenue", F.col("_share"))),
-        Rule((F.col("_share") > 30) & (F.col("_share") <= 50), "warning", "concentration",
-             msg("Top customer holds %s%% of revenue", F.col("_share"))),
+    ratio, change, share = F.col("current_ratio"), F.col("trend_change_pct"), F.col("top_customer_share")
+    fell = F.format_string("Revenue declined by %.1f%%", F.abs(change))
+    holds = F.format_string("Top customer represents %.1f%% of revenue", share)
+    conds = [
+        (ratio < 1, "CRITICAL", F.format_string("Current ratio of %s is below safe threshold of 1.0", ratio)),
+        ((ratio >= 1) & (ratio < 1.5), "WARNING", F.format_string("Current ratio of %s approaching low threshold", ratio)),
+        (change < -20, "CRITICAL", fell),
+        ((change >= -20) & (change < -10), "WARNING", fell),
+        (F.col("anomalies") > 0, "WARNING", F.format_string("%d extreme outliers found in transaction data", F.col("anomalies"))),
+        (share > 50, "CRITICAL", holds),
+        ((share > 30) & (share <= 50), "WARNING", holds),
     ]
-    return rules(m, items).withColumnRenamed("priority", "severity")
+    fired = rules(m, [Rule(c, severity, kind, text) for (c, severity, text), (kind, _) in zip(conds, ALERT_TEXTS)])
+    advice = F.element_at(F.array(*[F.lit(x) for _, x in ALERT_TEXTS]), F.col("rule_no"))
+    return fired.withColumnRenamed("priority", "severity").withColumn("recommendation", advice)
 
 
-def alert_metrics(sales: DataFrame, amount: str, date: str, tie: str, customer: str) -> DataFrame:
-    """B47 inputs as one row: third means and change %, 3-sigma anomaly count, top customer share %."""
-    th = _thirds(sales, amount, date, tie)
-    st = sales.agg(F.avg(col(amount)).alias("_m"), F.stddev_samp(col(amount)).alias("_s"), F.sum(col(amount)).alias("_t"))
-    z = attach(sales.filter(col(amount).isNotNull()).select(col(amount).alias("a")), st).agg(
-        F.sum(F.when(F.abs((F.col("a") - F.col("_m")) / F.col("_s")) > 3, 1).otherwise(0)).alias("anomalies"))
-    top = (sales.filter(col(customer).isNotNull()).groupBy(col(customer)).agg(F.sum(col(amount)).alias("_v"))
-           .agg(F.max("_v").alias("_top")))
-    m = attach(attach(attach(th, st), z), top)
-    return m.select("first_third_mean", "last_third_mean",
-                    ((F.col("last_third_mean") - F.col("first_third_mean")) / F.col("first_third_mean") * 100)
-                    .alias("trend_change_pct"), F.col("anomalies").cast("long").alias("anomalies"),
-                    (F.col("_top") / F.col("_t") * 100).alias("top_customer_share"))
-
-
-def benchmarks(df: DataFrame, amount: str) -> DataFrame:
-    """Revenue per record, completeness % and dimension count with tiers."""
+def benchmarks(df: DataFrame, amount: str, dimensions: list[str]) -> DataFrame:
+    """Mean amount, completeness % and number of business dimensions (category, amount and date columns), each
+    with its tiers."""
     cols = df.columns
     nn = reduce(lambda a, b: a + b, [F.count(col(c)) for c in cols])
-    s = df.agg((F.sum(col(amount)) / F.count(F.lit(1))).alias("revenue_per_record"),
-               (nn * 100.0 / (F.count(F.lit(1)) * len(cols))).alias("completeness"))
-    return s.select("revenue_per_record", "completeness", F.lit(len(cols)).alias("dimensions"),
-                    F.when(F.col("completeness") >= 95, "Excellent").when(F.col("completeness") >= 85, "Good")
-                    .otherwise("Needs Improvement").alias("completeness_tier"),
-                    F.lit("Rich" if len(cols) >= 20 else "Moderate" if len(cols) >= 10 else "Basic").alias("dimension_tier"))
+    s = df.agg(F.avg(col(amount)).alias("revenue_per_record"),
+               F.try_divide(nn * 100.0, F.count(F.lit(1)) * len(cols)).alias("completeness"))
+    n, rev, comp = len(dimensions), F.col("revenue_per_record"), F.col("completeness")
+    return s.select(
+        "revenue_per_record", "completeness", F.lit(n).alias("dimensions"),
+        band(rev, [(1000, "High Performer"), (500, "Average Performer")], "Below Average").alias("revenue_tier"),
+        band(rev, [(750, "Above median")], "Below median").alias("industry_comparison"),
+        band(comp, [(95, "Excellent"), (85, "Good")], "Needs Improvement").alias("completeness_tier"),
+        band(comp, [(95, "Enterprise Grade"), (85, "Business Grade")], "Basic Grade").alias("compliance_level"),
+        F.lit("Enterprise" if n >= 10 else "Mid-Market" if n >= 5 else "Small Business").alias("dimension_tier"),
+        F.lit("Advanced" if n >= 8 else "Intermediate" if n >= 4 else "Basic").alias("analytics_readiness"))
 
 
 def sector_ranking(df: DataFrame, sector: str, amount: str) -> DataFrame:
-    """Per sector sum, mean, count, share %, rank (sum desc), tier; low-share (<5%) flag for the bottom 3."""
+    """Per sector sum, mean, count, share %, rank (sum desc), tier by rank (first Leader, next two Strong, rest
+    Developing); potential of the bottom three where their share is below 5% (High above the median mean, else Medium)."""
     g = df.filter(col(sector).isNotNull()).groupBy(col(sector).alias("sector")).agg(
-        F.sum(col(amount)).alias("revenue"), F.avg(col(amount)).alias("average"), F.count(F.lit(1)).alias("records"))
+        F.coalesce(F.sum(col(amount)), F.lit(0.0)).alias("revenue"), F.avg(col(amount)).alias("average"),
+        F.count(col(amount)).alias("records"))
     tot = g.agg(F.sum("revenue").alias("_t"), F.count(F.lit(1)).alias("_k"))
+    med = ranks.quantile_wide(to_long(g, ["average"]), {"_med": 0.5}).drop("column")
     # global rank without a single-partition window: range-partitioned positions over (revenue desc, sector)
     pos = ranks.row_positions(g.withColumn("_neg", -F.col("revenue")), ["_neg", "sector"]).drop("_neg")
-    x = (attach(pos, tot).withColumn("share", F.col("revenue") / F.col("_t") * 100)
-         .withColumn("rank", (F.col("_pos") + 1).cast("int")).drop("_pos"))
-    tier = F.when(F.col("share") >= 20, "Leader").when(F.col("share") >= 10, "Strong").when(F.col("share") >= 5, "Moderate") \
-        .otherwise("Emerging")
+    x = attach(pos, attach(tot, med)).withColumn("share", F.try_divide(F.col("revenue") * 100.0, F.col("_t"))).withColumn(
+        "rank", (F.col("_pos") + 1).cast("int"))
+    tier = F.when(F.col("rank") == 1, "Leader").when(F.col("rank") <= 3, "Strong").otherwise("Developing")
+    weak = (F.col("rank") > F.col("_k") - 3) & (F.col("share") < 5)
     return x.select("sector", "revenue", "average", "records", "share", "rank", tier.alias("tier"),
-                    ((F.col("rank") > F.col("_k") - 3) & (F.col("share") < 5)).alias("low_share_bottom3"))
+                    F.when(weak, F.when(F.col("average") > F.col("_med"), "High").otherwise("Medium")).alias("growth_potential"))
+
 
+#: Fixed output texts of the risk factors: type, impact, mitigation.
+RISK_TEXTS = {
+    "concentration": ("Revenue Concentration", "Business vulnerability to category-specific downturns",
+                      "Diversify product/service portfolio across multiple categories"),
+    "quality": ("Data Quality", "Unreliable analytics and decision-making", "Implement data quality controls and validation processes"),
+    "complexity": ("Operational Complexity", "Increased operational overhead and maintenance costs",
+                   "Simplify data model and focus on key business metrics"),
+}
 
-def risk_assessment(df: DataFrame, category: str) -> DataFrame:
-    """+30 if one category holds >70% of rows, +20 if >20% cells missing, +10 if >50 columns; level 50/25."""
+
+def _risk_inputs(df: DataFrame, category: str, amount: str) -> DataFrame:
     cols = df.columns
-    vc = df.groupBy(col(category)).agg(F.count(F.lit(1)).alias("_c"))
-    top = vc.agg(F.max("_c").alias("_top"), F.sum("_c").alias("_n"))
+    by = df.filter(col(category).isNotNull()).groupBy(col(category)).agg(F.coalesce(F.sum(col(amount)), F.lit(0.0)).alias("_c"))
+    top = by.agg(F.max("_c").alias("_top"), F.sum("_c").alias("_n"))
     nn = reduce(lambda a, b: a + b, [F.count(col(c)) for c in cols])
-    miss = df.agg((100 - nn * 100.0 / (F.count(F.lit(1)) * len(cols))).alias("missing_pct"))
-    x = attach(top, miss)
-    conc = F.col("_top") / F.col("_n") * 100
-    score = (F.when(conc > 70, 30).otherwise(0) + F.when(F.col("missing_pct") > 20, 20).otherwise(0)
-             + F.lit(10 if len(cols) > 50 else 0))
-    return x.select(conc.alias("category_concentration"), "missing_pct", F.lit(len(cols)).alias("columns"),
-                    score.alias("risk_points"),
-                    F.when(score >= 50, "High").when(score >= 25, "Medium").otherwise("Low").alias("risk_level"))
+    miss = df.agg((100 - F.try_divide(nn * 100.0, F.count(F.lit(1)) * len(cols))).alias("missing_pct"))
+    return attach(top, miss).select(F.when(F.col("_n") > 0, F.col("_top") / F.col("_n") * 100).alias("category_concentration"),
+                                    "missing_pct", F.lit(len(cols)).alias("columns"))
+
+
+def risk_assessment(df: DataFrame, category: str, amount: str) -> DataFrame:
+    """+30 if one category holds more than 70% of revenue, +20 if over 20% of cells are missing, +10 if over 50
+    columns; level 50 / 25."""
+    x = _risk_inputs(df, category, amount)
+    score = (F.when(F.col("category_concentration") > 70, 30).otherwise(0) + F.when(F.col("missing_pct") > 20, 20).otherwise(0)
+             + F.when(F.col("columns") > 50, 10).otherwise(0))
+    return x.withColumn("risk_points", score).withColumn(
+        "risk_level", band(F.col("risk_points"), [(50, "High"), (25, "Medium")], "Low"))
+
+
+def risk_factors(df: DataFrame, category: str, amount: str) -> DataFrame:
+    """A row for each risk factor: severity, type, description, impact, mitigation."""
+    x = _risk_inputs(df, category, amount)
+    conc, miss = F.col("category_concentration"), F.col("missing_pct")
+    fired = rules(x, [
+        Rule(conc > 70, "High", "concentration", F.format_string("Over-dependence on single category (%.1f%%)", conc)),
+        Rule((miss > 20) & (miss < 40), "Medium", "quality", F.format_string("High missing data rate (%.1f%%)", miss)),
+        Rule(miss >= 40, "High", "quality", F.format_string("High missing data rate (%.1f%%)", miss)),
+        Rule(F.col("columns") > 50, "Medium", "complexity", F.format_string("High number of data dimensions (%d columns)", F.col("columns")))])
+    text = F.create_map(*[x for k, v in RISK_TEXTS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])[F.col("category")]
+    return fired.select(F.col("priority").alias("severity"), text[0].alias("type"), F.col("message").alias("description"),
+                        text[1].alias("impact"), text[2].alias("mitigation"))
 
 
 def value_concentration(df: DataFrame, amount: str) -> DataFrame:
@@ -128,8 +172,9 @@ def value_concentration(df: DataFrame, amount: str) -> DataFrame:
     long = to_long(df, [amount])
     q = ranks.quantile_wide(long, {"_q80": 0.8}).drop("column")
     x = attach(long.select(F.col("value").alias("a")), q)
-    s = x.agg((F.sum(F.when(F.col("a") >= F.col("_q80"), F.col("a")).otherwise(0.0)) / F.sum("a") * 100).alias("top_share"),
-              (F.sum(F.when(F.col("a") >= F.col("_q80"), 1).otherwise(0)) * 100.0 / F.count(F.lit(1))).alias("top_rows_pct"))
+    high = F.col("a") >= F.col("_q80")
+    s = x.agg(F.try_divide(F.sum(F.when(high, F.col("a")).otherwise(0.0)) * 100, F.sum("a")).alias("top_share"),
+              F.try_divide(F.sum(F.when(high, 1).otherwise(0)) * 100.0, F.count(F.lit(1))).alias("top_rows_pct"))
     return s.withColumn("concentration", F.when(F.col("top_share") >= 80, "High").when(F.col("top_share") >= 60, "Medium")
                         .otherwise("Low"))
 
@@ -142,65 +187,91 @@ def growth_indicator(df: DataFrame, amount: str, date: str) -> DataFrame:
     prev = x.filter(F.col("month") < F.col("_last")).agg(F.max_by("s", "month").alias("previous_month"))
     cur = x.filter(F.col("month") == F.col("_last")).select(F.col("s").alias("last_month"))
     y = attach(cur, prev)
-    g = (F.col("last_month") - F.col("previous_month")) / F.col("previous_month") * 100
+    g = F.try_divide((F.col("last_month") - F.col("previous_month")) * 100, F.col("previous_month"))
     return y.select("last_month", "previous_month", g.alias("growth_pct"),
                     F.when(g > 5, "growing").when(g < -5, "declining").otherwise("stable").alias("indicator"))
 
 
 def risk_score(alerts: DataFrame) -> DataFrame:
-    """30 per critical + 15 per warning alert, capped at 100; health = 100 - risk; grade A+ ... D."""
-    s = alerts.agg(F.sum(F.when(F.col("severity") == "critical", 1).otherwise(0)).alias("critical"),
-                   F.sum(F.when(F.col("severity") == "warning", 1).otherwise(0)).alias("warning"))
-    s = s.na.fill(0)
-    r = F.least(F.lit(100), F.col("critical") * 30 + F.col("warning") * 15)
-    h = 100 - r
-    return s.select(F.col("critical").cast("long"), F.col("warning").cast("long"), r.alias("risk_score"),
-                    h.alias("health_score"), F.when(h >= 90, "A+").when(h >= 80, "A").when(h >= 70, "B").when(h >= 60, "C")
-                    .otherwise("D").alias("grade"))
+    """30 per critical + 15 per warning alert, capped at 100."""
+    s = alerts.agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "WARNING").alias("warning"))
+    return s.withColumn("risk_score", F.least(F.lit(100), F.col("critical") * 30 + F.col("warning") * 15).cast("long"))
+
+
+def metric_score(name: Column, value: Column) -> Column:
+    """Points 0-100 of a named financial metric."""
+    return (F.when(name == "current_ratio", band(value, [(2.0, 100), (1.5, 80), (1.0, 60)], 30))
+            .when(F.instr(name, "margin") > 0, band(value, [(20, 100), (15, 80), (10, 60), (5, 40)], 20))
+            .when(name.isin("roe", "roa"), band(value, [(15, 100), (10, 80), (5, 60)], 40)).otherwise(70))
+
+
+def performance_grade(score: Column) -> Column:
+    """Nine grades."""
+    return band(score, [(90, "A+"), (85, "A"), (80, "A-"), (75, "B+"), (70, "B"), (65, "B-"), (60, "C+"), (55, "C")], "D")
 
 
-def executive_summary(alerts: DataFrame, concentration: DataFrame, growth: DataFrame) -> DataFrame:
-    """One row joining risk score/grade, concentration and growth, with a risk level (D9: read the alerts)."""
-    rs = risk_score(alerts)
-    x = attach(attach(rs, concentration.select("top_share", "concentration")), growth.select("growth_pct", "indicator"))
-    return x.withColumn("risk_level", F.when(F.col("critical") > 0, "HIGH").when(F.col("warning") > 0, "MEDIUM")
-                        .otherwise("LOW"))
+def performance_scorecard(metrics: DataFrame) -> DataFrame:
+    """Mean metric score, grade and comparison over rows (name, value); 0 and D without metrics."""
+    s = metrics.filter(F.col("value").isNotNull()).agg(
+        F.coalesce(F.round(F.avg(metric_score(F.lower("name"), F.col("value"))), 1), F.lit(0.0)).alias("overall_score"),
+        F.count(F.lit(1)).alias("metrics_analyzed"))
+    return s.select("overall_score", performance_grade(F.col("overall_score")).alias("performance_grade"), "metrics_analyzed",
+                    band(F.col("overall_score"), [(75, "Above Industry Average"), (60, "Industry Average")], "Below Industry Average")
+                    .alias("benchmark_comparison"))
+
+
+def executive_summary(df: DataFrame, amount: str, dimensions: list[str], alerts: DataFrame, concentration: DataFrame,
+                      growth: DataFrame, scorecard: DataFrame) -> DataFrame:
+    """One row: overview, highlights, risk (HIGH with a critical alert, MEDIUM above two warnings; D9: read from the
+    alerts), scorecard, findings and advice."""
+    cols = df.columns
+    nn = reduce(lambda a, b: a + b, [F.count(col(c)) for c in cols])
+    over = df.agg(F.count(F.lit(1)).alias("records"), F.try_divide(nn * 100.0, F.count(F.lit(1)) * len(cols)).alias("completeness"),
+                  F.sum(col(amount)).alias("total_value"), F.avg(col(amount)).alias("average_transaction"))
+    x = attach(attach(attach(attach(over, risk_score(alerts)), concentration.select("top_share", "concentration")),
+                      growth.select("growth_pct", "indicator")), scorecard)
+    risk = F.when(F.col("critical") > 0, "HIGH").when(F.col("warning") > 2, "MEDIUM").otherwise("LOW")
+    x = x.withColumn("risk_level", risk).withColumn("dimensions", F.lit(len(dimensions))).withColumn(
+        "data_quality_grade", band(F.col("completeness"), [(95, "A"), (85, "B")], "C"))
+    some = lambda *items: F.filter(F.array(*[F.when(c, F.lit(t)) for c, t in items]), lambda v: v.isNotNull())
+    return x.withColumn("key_findings", some(
+        (F.col("total_value") > 1000000, "High-value dataset with significant financial impact"),
+        (F.col("average_transaction") > 1000, "Premium transaction profile indicates quality customer base")))
 
 
 def recommendations(df: DataFrame, amount: str, rating: str | None, product: str | None, date: str | None,
-                    limit: int = 8) -> DataFrame:
-    """CV > 1, many low values (< P10 over 10% of rows), rating < 3.5, top product > 50% of rows,
-    monthly revenue CV > 0.5, missing > 10%; at most ``limit`` messages."""
+                    categories: int = 1, limit: int = 8) -> DataFrame:
+    """CV > 1, over 10% of amounts below P10, mean rating < 3.5 or > 4.5, one product above half of revenue, CV of
+    row counts per calendar month > 0.5, several category columns, missing > 10%; the first ``limit`` messages."""
     long = to_long(df, [amount])
     q = ranks.quantile_wide(long, {"_p10": 0.1}).drop("column")
-    a = attach(long.select(F.col("value").alias("a")), q).agg(
-        (F.stddev_samp("a") / F.avg("a")).alias("_cv"),
-        (F.sum(F.when(F.col("a") < F.col("_p10"), 1).otherwise(0)) / F.count(F.lit(1))).alias("_low"))
-    m = a
-    if rating:
-        m = attach(m, df.agg(F.avg(col(rating)).alias("_rating")))
-    else:
-        m = m.withColumn("_rating", F.lit(None).cast("double"))
+    m = attach(long.select(F.col("value").alias("a")), q).agg(
+        F.try_divide(F.stddev_samp("a"), F.avg("a")).alias("_cv"),
+        F.try_divide(F.sum(F.when(F.col("a") < F.col("_p10"), 1).otherwise(0)), F.count(F.lit(1))).alias("_low"))
+    none = F.lit(None).cast("double")
+    m = attach(m, df.agg(F.avg(col(rating)).alias("_rating"))) if rating else m.withColumn("_rating", none)
     if product:
-        m = attach(m, df.groupBy(col(product)).agg(F.count(F.lit(1)).alias("_c")).agg(
-            (F.max("_c") / F.sum("_c")).alias("_pshare")))
+        per = df.filter(col(product).isNotNull()).groupBy(col(product)).agg(F.coalesce(F.sum(col(amount)), F.lit(0.0)).alias("_c"))
+        m = attach(m, per.agg(F.when(F.count(F.lit(1)) > 1, F.try_divide(F.max("_c"), F.sum("_c"))).alias("_pshare")))
     else:
-        m = m.withColumn("_pshare", F.lit(None).cast("double"))
+        m = m.withColumn("_pshare", none)
     if date:
-        mo = df.filter(col(date).isNotNull()).groupBy(month(date)).agg(F.sum(col(amount)).alias("_s"))
-        m = attach(m, mo.agg((F.stddev_samp("_s") / F.avg("_s")).alias("_mcv")))
+        mo = df.filter(col(date).isNotNull()).groupBy(F.month(col(date))).agg(F.count(F.lit(1)).alias("_s"))
+        m = attach(m, mo.agg(F.try_divide(F.stddev_samp("_s"), F.avg("_s")).alias("_mcv")))
     else:
-        m = m.withColumn("_mcv", F.lit(None).cast("double"))
+        m = m.withColumn("_mcv", none)
     cols = df.columns
     nn = reduce(lambda x, y: x + y, [F.count(col(c)) for c in cols])
-    m = attach(m, df.agg((100 - nn * 100.0 / (F.count(F.lit(1)) * len(cols))).alias("_miss")))
+    m = attach(m, df.agg((100 - F.try_divide(nn * 100.0, F.count(F.lit(1)) * len(cols))).alias("_miss")))
     items = [
-        Rule(F.col("_cv") > 1.0, "Medium", "pricing", "High revenue variance: consider tiered pricing."),
-        Rule(F.col("_low") > 0.1, "Medium", "upsell", "Many low-value transactions: explore upselling."),
-        Rule(F.col("_rating") < 3.5, "High", "satisfaction", "Low average rating: review customer satisfaction."),
-        Rule(F.col("_pshare") > 0.5, "Medium", "products", "One product dominates: diversify the portfolio."),
-        Rule(F.col("_mcv") > 0.5, "Medium", "seasonality", "Volatile monthly revenue: plan for seasonality."),
-        Rule(F.col("_miss") > 10, "High", "data", "More than 10% of cells are missing: improve data collection."),
+        Rule(F.col("_cv") > 1.0, "Medium", "pricing", "High revenue variance detected - consider implementing tiered pricing strategy"),
+        Rule(F.col("_low") > 0.1, "Medium", "upsell", "Many low-value transactions - explore upselling opportunities"),
+        Rule(F.col("_rating") < 3.5, "High", "satisfaction", "Customer satisfaction below average - prioritize service improvement"),
+        Rule(F.col("_rating") > 4.5, "Low", "satisfaction", "Excellent customer satisfaction - leverage for referral programs"),
+        Rule(F.col("_pshare") > 0.5, "Medium", "products", "Revenue concentrated in one product - diversify product portfolio"),
+        Rule(F.col("_mcv") > 0.5, "Medium", "seasonality", "Seasonal patterns detected - plan inventory and marketing accordingly"),
+        Rule(F.lit(categories > 1), "Low", "dimensions", "Multiple business dimensions available - consider cross-category analysis"),
+        Rule(F.col("_miss") > 10, "High", "data", "Significant missing data detected - improve data collection processes"),
     ]
     return rules(m, items, limit=limit)
 

@@ -36,10 +36,11 @@ def frequency_segments(df: DataFrame, customer: str) -> DataFrame:
 
 
 def behaviour_by_category(df: DataFrame, category: str, amount: str, k: int = 10) -> DataFrame:
-    """The k most frequent categories with their mean spend (2 dp)."""
+    """Mean spend (2 dp) of every category; transactions of the k most frequent ones only (else null)."""
     g = df.filter(col(category).isNotNull()).groupBy(col(category).alias("category")).agg(
         F.count(F.lit(1)).alias("transactions"), F.round(F.avg(col(amount)), 2).alias("average_spend"))
-    return g.orderBy(F.desc("transactions"), F.asc("category")).limit(k)
+    top = g.orderBy(F.desc("transactions"), F.asc("category")).limit(k).select("category", "transactions")
+    return g.drop("transactions").join(F.broadcast(top), "category", "left").select("category", "transactions", "average_spend")
 
 
 def behaviour_by_time(df: DataFrame, date: str) -> DataFrame:

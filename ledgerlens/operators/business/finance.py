@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.normalize import col
-from ...functions.rules import Rule, rules
+from ...functions.rules import Rule, band, rules
 from .. import ranks
 from ..frames import attach
 from ..profile import to_long
@@ -123,50 +123,71 @@ def financial_kpis(df: DataFrame, amount: str, date: str | None = None, quantity
 
 
 def margins(df: DataFrame, amount: str, cost: str, category: str | None = None) -> DataFrame:
-    """Profit and margin % (2 dp) per row; totals, overall margin, mean/median/std margin, bands 30/15/0.
+    """Profit and margin % (2 dp) per row; totals, overall margin, mean/median/std margin, bands 30/15 (losses count
+    as low and as negative).
 
-    With ``category`` (D8 fixed) the same figures per category value.
+    With ``category`` (D8 fixed) the same figures per category value, and which category has the highest profit and
+    which the highest mean margin (ties: the first in order).
     """
     m = df.filter(col(amount).isNotNull() & col(cost).isNotNull()).select(
         *([col(category).alias("category")] if category else []), col(amount).alias("_a"), col(cost).alias("_c"))
-    m = m.withColumn("_p", F.col("_a") - F.col("_c")).withColumn("_mp", F.round(F.col("_p") / F.col("_a") * 100, 2))
+    m = m.withColumn("_p", F.col("_a") - F.col("_c")).withColumn(
+        "_mp", F.round(F.try_divide(F.col("_p"), F.col("_a")) * 100, 2))
     keys = ["category"] if category else []
     g = m.groupBy(*keys).agg(
         F.sum("_a").alias("total_revenue"), F.sum("_c").alias("total_costs"), F.sum("_p").alias("total_profit"),
-        (F.sum("_p") / F.sum("_a") * 100).alias("overall_margin_percent"), F.avg("_mp").alias("average_margin_percent"),
+        (F.try_divide(F.sum("_p"), F.sum("_a")) * 100).alias("overall_margin_percent"), F.avg("_mp").alias("average_margin_percent"),
         F.stddev_samp("_mp").alias("margin_volatility"),
         F.sum(F.when(F.col("_mp") > 30, 1).otherwise(0)).alias("high_margin_transactions"),
         F.sum(F.when((F.col("_mp") > 15) & (F.col("_mp") <= 30), 1).otherwise(0)).alias("medium_margin_transactions"),
-        F.sum(F.when((F.col("_mp") > 0) & (F.col("_mp") <= 15), 1).otherwise(0)).alias("low_margin_transactions"),
-        F.sum(F.when(F.col("_mp") <= 0, 1).otherwise(0)).alias("negative_margin_transactions"))
+        F.sum(F.when(F.col("_mp") <= 15, 1).otherwise(0)).alias("low_margin_transactions"),
+        F.sum(F.when(F.col("_mp") < 0, 1).otherwise(0)).alias("negative_margin_transactions"))
     grp = F.col("category").cast("string") if category else F.lit("all")
     med = ranks.quantile_wide(m.select(grp.alias("column"), F.col("_mp").alias("value")),
                               {"median_margin_percent": 0.5})
     if category:
-        return g.join(med.withColumnRenamed("column", "category"), "category")
+        g = g.withColumn("category", F.col("category").cast("string")).join(med.withColumnRenamed("column", "category"), "category")
+        best = g.agg(F.min_by("category", F.struct((-F.round("total_profit", 2)).alias("a"), F.col("category").alias("b"))).alias("_bp"),
+                     F.min_by("category", F.struct((-F.round("average_margin_percent", 2)).alias("a"), F.col("category").alias("b")))
+                     .alias("_bm"))
+        return attach(g, best).withColumn("most_profitable", F.col("category") == F.col("_bp")).withColumn(
+            "highest_margin", F.col("category") == F.col("_bm")).drop("_bp", "_bm")
     return attach(g, med.drop("column"))
 
 
-def fulfilment(df: DataFrame, order_date: str, ship_date: str, status: str, on_time_pattern: str) -> DataFrame:
-    """Mean cycle days (ship - order) and on-time % by a status pattern (D6 fixed: columns given)."""
-    return df.agg(F.avg(F.datediff(col(ship_date).cast("date"), col(order_date).cast("date"))).alias("avg_cycle_days"),
-                  (F.avg(F.when(col(status).rlike(on_time_pattern), 1.0).otherwise(0.0)) * 100).alias("on_time_percentage"),
-                  F.count(F.lit(1)).alias("orders"))
-
-
-def workforce(df: DataFrame, status: str, left_values: list[str], benefit: str, cost: str) -> DataFrame:
-    """Turnover % (rows whose status is a leaving value) and training ROI % = (benefit - cost) / cost."""
-    return df.agg((F.avg(F.when(col(status).isin(*left_values), 1.0).otherwise(0.0)) * 100).alias("turnover_rate"),
-                  (_div(F.sum(col(benefit)) - F.sum(col(cost)), F.sum(col(cost))) * 100).alias("training_roi"))
-
-
-def project_indices(df: DataFrame, planned: str, actual: str, start: str, end: str, actual_end: str) -> DataFrame:
-    """CPI = sum planned / sum actual; SPI = planned span / actual span in days."""
-    s = df.agg(F.sum(col(planned)).alias("_p"), F.sum(col(actual)).alias("_a"),
-               F.datediff(F.max(col(end)).cast("date"), F.min(col(start)).cast("date")).alias("planned_days"),
-               F.datediff(F.max(col(actual_end)).cast("date"), F.min(col(start)).cast("date")).alias("actual_days"))
-    return s.select(_div(F.col("_p"), F.col("_a")).alias("cpi"), "planned_days", "actual_days",
-                    _div(F.col("planned_days").cast("double"), F.col("actual_days").cast("double")).alias("spi"))
+def fulfilment(df: DataFrame, order_date: str, ship_date: str, status: str,
+               on_time_pattern: str = "on.time|delivered|success") -> DataFrame:
+    """Mean cycle days (ship - order); % of the non-null status values that match the pattern in any case, with its
+    band 95 / 85 (D6 fixed: columns given)."""
+    rate = F.try_divide(F.count_if(col(status).cast("string").rlike(f"(?i)({on_time_pattern})")) * 100.0, F.count(col(status)))
+    s = df.agg(F.avg(F.datediff(col(ship_date).cast("date"), col(order_date).cast("date"))).alias("avg_cycle_days"),
+               F.coalesce(rate, F.lit(0.0)).alias("on_time_percentage"), F.count(col(status)).alias("orders"))
+    return s.withColumn("interpretation", band(F.col("on_time_percentage"), [(95, "Excellent"), (85, "Good")], "Needs Improvement"))
+
+
+def workforce(df: DataFrame, employee: str, departure: str, performance: str, training_cost: str) -> DataFrame:
+    """Turnover % = rows with a departure / distinct employees; training ROI % = (mean performance x 1000 - cost) /
+    cost, null unless the cost is positive; each with its band."""
+    s = df.agg(F.coalesce(F.try_divide(F.count(col(departure)) * 100.0, F.count_distinct(col(employee))), F.lit(0.0)).alias("turnover_rate"),
+               F.avg(col(performance)).alias("_p"), F.sum(col(training_cost)).alias("_c"))
+    roi = F.when(F.col("_c") > 0, (F.col("_p") * 1000 - F.col("_c")) / F.col("_c") * 100)
+    t = F.col("turnover_rate")
+    return s.select("turnover_rate", F.when(t <= 10, "Good").when(t >= 20, "Concerning").otherwise("Moderate").alias("turnover_band"),
+                    roi.alias("training_roi"), F.when(roi.isNotNull(), band(roi, [(200, "Excellent"), (100, "Good")], "Poor")).alias("roi_band"))
+
+
+def project_indices(df: DataFrame, planned_cost: str, actual_cost: str, planned_date: str, actual_date: str) -> DataFrame:
+    """CPI = sum planned / sum actual cost; SPI = span in days (max - min) of the planned date column / span of the
+    actual one; 0 where the divisor isn't positive."""
+    def span(c):
+        return F.datediff(F.max(col(c)).cast("date"), F.min(col(c)).cast("date"))
+    s = df.agg(F.sum(col(planned_cost)).alias("_p"), F.sum(col(actual_cost)).alias("_a"),
+               span(planned_date).alias("planned_days"), span(actual_date).alias("actual_days"))
+    cpi = F.when(F.col("_a") > 0, F.col("_p") / F.col("_a")).otherwise(0.0)
+    spi = F.when(F.col("actual_days") > 0, F.col("planned_days") / F.col("actual_days")).otherwise(0.0)
+    return s.select(cpi.alias("cpi"), F.when(cpi > 1, "Under Budget").when(cpi < 1, "Over Budget").otherwise("On Budget").alias("cost_status"),
+                    "planned_days", "actual_days", spi.alias("spi"),
+                    F.when(spi > 1, "Ahead of Schedule").when(spi < 1, "Behind Schedule").otherwise("On Schedule").alias("schedule_status"))
 
 
 def banking(df: DataFrame, receivables: str, sales: str, debt: str, equity: str) -> DataFrame:
@@ -176,20 +197,23 @@ def banking(df: DataFrame, receivables: str, sales: str, debt: str, equity: str)
     return s.select(_div(F.col("_r"), F.col("_s") / 365).alias("dso"), _div(F.col("_d"), F.col("_e")).alias("debt_to_equity"))
 
 
-def engagement(df: DataFrame, user: str, duration: str) -> DataFrame:
-    """Active users (distinct), events per user, mean session duration."""
-    s = df.agg(F.count_distinct(col(user)).alias("active_users"), F.count(F.lit(1)).alias("_n"),
-               F.avg(col(duration)).alias("avg_session_duration"))
-    return s.select("active_users", _div(F.col("_n").cast("double"), F.col("active_users").cast("double"))
-                    .alias("engagement_rate"), "avg_session_duration")
+def engagement(df: DataFrame, user: str, interactions: str, duration: str) -> DataFrame:
+    """Active users (distinct), sum and mean of an interaction column, mean session duration, each with its band."""
+    s = df.agg(F.count_distinct(col(user)).alias("active_users"), F.sum(col(interactions)).cast("long").alias("total_interactions"),
+               F.avg(col(interactions)).alias("avg_interactions_per_record"), F.avg(col(duration)).alias("avg_session_duration"))
+    return (s.withColumn("user_band", band(F.col("active_users"), [(1000, "High Engagement"), (100, "Medium Engagement")], "Low Engagement"))
+            .withColumn("activity_band", band(F.col("avg_interactions_per_record"), [(10, "High Activity"), (5, "Moderate Activity")], "Low Activity"))
+            .withColumn("session_band", band(F.col("avg_session_duration"), [(15, "Highly Engaged"), (5, "Engaged")], "Brief Sessions")))
 
 
-def governance(df: DataFrame, audit: str, amount: str, date: str) -> DataFrame:
-    """Valid (non-null) cell %, audit coverage (% rows with the audit column set), MRR = mean monthly sum."""
+def governance(df: DataFrame, audit: str, subscription: str) -> DataFrame:
+    """Valid (non-null) cell %, audit coverage (% rows with the audit column set), MRR = sum of the subscription
+    column, each with its band."""
     cols = df.columns
     nn = sum([F.count(col(c)) for c in cols[1:]], F.count(col(cols[0])))
-    s = df.agg((nn * 100.0 / (F.count(F.lit(1)) * len(cols))).alias("valid_cell_percentage"),
-               (F.count(col(audit)) * 100.0 / F.count(F.lit(1))).alias("audit_coverage"))
-    mrr = (df.filter(col(date).isNotNull()).groupBy(F.date_trunc("month", col(date))).agg(F.sum(col(amount)).alias("_s"))
-           .agg(F.avg("_s").alias("mrr")))
-    return attach(s, mrr)
+    s = df.agg(F.coalesce(F.try_divide(nn * 100.0, F.count(F.lit(1)) * len(cols)), F.lit(0.0)).alias("valid_cell_percentage"),
+               F.try_divide(F.count(col(audit)) * 100.0, F.count(F.lit(1))).alias("audit_coverage"),
+               F.count(col(audit)).alias("tracked_records"), F.coalesce(F.sum(col(subscription)), F.lit(0.0)).alias("mrr"))
+    return (s.withColumn("quality_band", band(F.col("valid_cell_percentage"), [(95, "Excellent"), (85, "Good")], "Needs Improvement"))
+            .withColumn("audit_band", band(F.col("audit_coverage"), [(95, "Full Compliance"), (80, "Partial Compliance")], "Poor Compliance"))
+            .withColumn("mrr_band", band(F.col("mrr"), [(50000, "Strong MRR"), (10000, "Growing MRR")], "Early Stage")))

@@ -49,22 +49,29 @@ def discount_effectiveness(df: DataFrame, discount: str, amount: str) -> DataFra
 
 
 def optimal_discount_range(df: DataFrame, discount: str, amount: str, bins: int = 10) -> DataFrame:
-    """10 equal right-closed bins (lowest edge widened by 0.1% of the range); best bin by sum and by mean."""
+    """10 equal right-closed bins (lowest edge widened by 0.1% of the range), ranges without rows with 0 and a null
+    mean; best bin by sum and by mean. A constant column is one point within the middle bins' border: it fills bin 4."""
     d = df.filter(col(discount).isNotNull() & col(amount).isNotNull()).select(col(discount).cast("double").alias("d"),
                                                                              col(amount).alias("a"))
     r = d.agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
+    # a constant c is cut over c -/+ 0.1% of |c| (0.001 for zero)
+    pad = F.when(F.col("_lo") == F.col("_hi"), F.when(F.col("_lo") == 0, 0.001).otherwise(F.abs("_lo") * 0.001)).otherwise(0.0)
+    r = r.filter("_lo is not null").select((F.col("_lo") - pad).alias("_lo"), (F.col("_hi") + pad).alias("_hi"), (pad > 0).alias("_const"))
     w = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.least(F.greatest(F.ceil((F.col("d") - F.col("_lo")) / w) - 1, F.lit(0)), F.lit(bins - 1)).cast("int")
-    g = attach(d, r).withColumn("bin", b).groupBy("bin", "_lo", "_hi").agg(
+    b = F.when(F.col("_const"), (bins - 1) // 2).otherwise(
+        F.least(F.greatest(F.ceil((F.col("d") - F.col("_lo")) / w) - 1, F.lit(0)), F.lit(bins - 1))).cast("int")
+    g = attach(d, r).withColumn("bin", b).groupBy("bin").agg(
         F.count(F.lit(1)).alias("transactions"), F.sum("a").alias("revenue"), F.avg("a").alias("average"))
-    lower = F.when(F.col("bin") == 0, F.col("_lo") - (F.col("_hi") - F.col("_lo")) * 0.001).otherwise(
-        F.col("_lo") + F.col("bin") * w)
-    upper = F.col("_lo") + (F.col("bin") + 1) * w
     e = g.agg(F.min_by("bin", F.struct((-F.col("revenue")).alias("a"), F.col("bin").alias("b"))).alias("_bs"),
               F.min_by("bin", F.struct((-F.col("average")).alias("a"), F.col("bin").alias("b"))).alias("_bm"))
-    return (attach(g, e).select("bin", lower.alias("lower"), upper.alias("upper"), "transactions", "revenue", "average",
-                                (F.col("bin") == F.col("_bs")).alias("best_for_revenue"),
-                                (F.col("bin") == F.col("_bm")).alias("best_for_average")))
+    every = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    lower = F.when((F.col("bin") == 0) & ~F.col("_const"), F.col("_lo") - (F.col("_hi") - F.col("_lo")) * 0.001).otherwise(
+        F.col("_lo") + F.col("bin") * w)
+    upper = F.col("_lo") + (F.col("bin") + 1) * w
+    return attach(every.join(g, "bin", "left"), e).select(
+        "bin", lower.alias("lower"), upper.alias("upper"), F.coalesce("transactions", F.lit(0)).cast("long").alias("transactions"),
+        F.coalesce("revenue", F.lit(0.0)).alias("revenue"), "average", (F.col("bin") == F.col("_bs")).alias("best_for_revenue"),
+        (F.col("bin") == F.col("_bm")).alias("best_for_average"))
 
 
 def price_points(df: DataFrame, amount: str) -> DataFrame:

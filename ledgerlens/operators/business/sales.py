@@ -47,7 +47,7 @@ def revenue_distribution(df: DataFrame, amount: str) -> DataFrame:
 def performance(df: DataFrame, amount: str, date: str | None = None) -> DataFrame:
     """Non-null count, mean, 'conversion' % of rows; growth first->last month sum when > 10 amounts."""
     base = df.agg(F.count(col(amount)).alias("total_transactions"), F.avg(col(amount)).alias("revenue_per_transaction"),
-                  (F.count(col(amount)) * 100.0 / F.count(F.lit(1))).alias("conversion_rate"))
+                  F.try_divide(F.count(col(amount)) * 100.0, F.count(F.lit(1))).alias("conversion_rate"))
     if not date:
         return base
     monthly = (df.filter(col(date).isNotNull() & col(amount).isNotNull())
@@ -55,7 +55,7 @@ def performance(df: DataFrame, amount: str, date: str | None = None) -> DataFram
     g = monthly.agg(F.min_by("s", "m").alias("_first"), F.max_by("s", "m").alias("_last"), F.count(F.lit(1)).alias("_k"))
     out = attach(base, g)
     growth = F.when((F.col("total_transactions") > 10) & (F.col("_k") > 1),
-                    (F.col("_last") - F.col("_first")) / F.col("_first") * 100)
+                    F.try_divide((F.col("_last") - F.col("_first")) * 100, F.col("_first")))
     return out.withColumn("revenue_growth_rate", growth).drop("_first", "_last", "_k")
 
 
@@ -105,7 +105,7 @@ def anomalies(df: DataFrame, amount: str) -> DataFrame:
     """Rows beyond 2 sigma (KPI) and 3 sigma (alert) from the mean, above and below."""
     st = df.agg(F.avg(col(amount)).alias("_m"), F.stddev_samp(col(amount)).alias("_s"))
     x = attach(df.filter(col(amount).isNotNull()).select(col(amount).alias("a")), st)
-    z = (F.col("a") - F.col("_m")) / F.col("_s")
+    z = F.try_divide(F.col("a") - F.col("_m"), F.col("_s"))
     return x.agg(F.max("_m").alias("mean"), F.max("_s").alias("std"),
                  F.sum(F.when(z > 2, 1).otherwise(0)).alias("above_2sigma"),
                  F.sum(F.when(z < -2, 1).otherwise(0)).alias("below_2sigma"),

@@ -122,7 +122,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float, q: int
         max_b = None
     # length-band equi-join for pairs the gram bound cannot see
     lo = _min_partner_len(F.col("_len"), t)
-    hi = F.floor(F.col("_len") * F.lit((200.0 - t) / t)) if t > 0 else F.col("_len") * 1000
+    hi = F.floor(F.least(F.lit(100_000_000.0), F.col("_len") * F.lit((200.0 - t) / max(t, 1e-6))))
     if max_b is not None:
         hi = F.least(hi, max_b)
     band = (short_a.select("blk", "ka", F.explode(F.sequence(lo.cast("int"), F.greatest(lo, hi).cast("int"))).alias("lb"),
@@ -291,9 +291,13 @@ def grid_scored_pairs(left: DataFrame, right: DataFrame, threshold: float, disti
     kb_ids = _ids(right.select(F.col("blk").cast("string").alias("blk"), "kb").distinct(), "idb")
     a = ka_ids.withColumn("la", F.length("ka"))
     b = kb_ids.withColumn("lb", F.length("kb"))
-    lo = _min_partner_len(F.col("la"), t).cast("int")
-    hi = F.floor(F.col("la") * F.lit((200.0 - t) / max(t, 1e-9))).cast("int")
-    a = a.withColumn("lb", F.explode(F.sequence(lo, F.greatest(lo, hi)))).filter(F.col("lb") <= hi)
+    # only lengths that occur: with a low threshold every length is allowed, and the bound itself may be beyond int
+    lo = _min_partner_len(F.col("la"), t).cast("long")
+    hi = F.floor(F.least(F.lit(float(1 << 40)), F.col("la") * F.lit((200.0 - t) / max(t, 1e-6)))).cast("long")
+    lens = b.groupBy("blk").agg(F.array_sort(F.collect_set(F.col("lb").cast("long"))).alias("_lens"))  # a row per block: its lengths
+    a = (a.join(lens, "blk").withColumn("_lo", lo).withColumn("_hi", hi)
+         .withColumn("lb", F.explode(F.expr("filter(_lens, x -> x >= _lo AND x <= _hi)"))).drop("_lens", "_lo", "_hi")
+         .withColumn("lb", F.col("lb").cast("int")))
     # grid sizes per (block, length) bucket from a small count table (one row per bucket)
     ca = a.groupBy("blk", "lb").agg(F.count(F.lit(1)).alias("_na"))
     cb = b.groupBy("blk", "lb").agg(F.count(F.lit(1)).alias("_nb"))

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import Rule, rules
 from .frames import attach, top_k
 from .ranks import _checkpoint
 
@@ -101,64 +102,69 @@ def validation_summary(v: DataFrame) -> DataFrame:
         F.round(F.greatest(F.lit(0.0), 100 - issues / F.col("total_formulas_validated") * 100), 1)))
 
 
-def dependency_levels(cells: DataFrame, parsed: DataFrame, max_rounds: int = 100) -> DataFrame:
+def dependency_levels(cells: DataFrame, parsed: DataFrame) -> DataFrame:
     """level of every formula cell: plain or absent precedents are level 0; a formula cell is 1 + the max level of
     its precedents once all are known. Cells still unknown after convergence are on or behind a cycle (level null).
 
-    Frontier propagation (topological layering): each round joins only the cells levelled in the previous round
-    with the edges pointing at them, decrements the unresolved-precedent count of their dependents and keeps a
-    running max; dependents reaching zero form the next frontier. Resolved cells leave the state, so total join
-    work is proportional to the number of edges, not edges x depth. State and frontier are checkpointed each round.
+    Frontier propagation (topological layering) until the frontier is empty, however deep the longest chain: each
+    round joins only the cells levelled in the previous round with the edges pointing at them, decrements the
+    unresolved-precedent count of their dependents and keeps a running max; dependents reaching zero form the next
+    frontier. Edges are computed once; resolved cells leave the state. State and frontier are checkpointed each round.
     """
-    e = edges(parsed)
+    e = _checkpoint(edges(parsed).repartition("book", "dst"))
     formula_cells = parsed.select("book", F.concat("sheet", F.lit("!"), "cell").alias("src"))
     need = e.groupBy("book", "src").agg(F.count(F.lit(1)).alias("_need"))
     fc = formula_cells.join(need, ["book", "src"], "left").na.fill(0, ["_need"])
     plain = (e.select("book", "dst").distinct().join(formula_cells.withColumnRenamed("src", "dst"), ["book", "dst"], "left_anti")
              .select("book", F.col("dst").alias("cell"), F.lit(0).alias("level")))
-    roots = fc.filter(F.col("_need") == 0).select("book", F.col("src").alias("cell"), F.lit(1).alias("level"))
+    roots = _checkpoint(fc.filter(F.col("_need") == 0).select("book", F.col("src").alias("cell"), F.lit(1).alias("level")))
     frontier = _checkpoint(plain.unionByName(roots))
     state = _checkpoint(fc.filter(F.col("_need") > 0).select("book", "src", F.col("_need").alias("_left"),
                                                             F.lit(-1).alias("_mx")))
     levelled = [roots]
-    for _ in range(max_rounds):
+    while True:
         contrib = (e.join(frontier.withColumnRenamed("cell", "dst"), ["book", "dst"])
                    .groupBy("book", "src").agg(F.count(F.lit(1)).alias("_k"), F.max("level").alias("_m")))
         upd = (state.join(contrib, ["book", "src"], "left")
                .select("book", "src", (F.col("_left") - F.coalesce("_k", F.lit(0))).alias("_left"),
                        F.greatest(F.col("_mx"), F.coalesce("_m", F.lit(-1))).alias("_mx")))
         upd = _checkpoint(upd)
-        frontier = _checkpoint(upd.filter(F.col("_left") == 0).select("book", F.col("src").alias("cell"),
-                                                                      (F.col("_mx") + 1).alias("level")))
+        frontier = upd.filter(F.col("_left") == 0).select("book", F.col("src").alias("cell"), (F.col("_mx") + 1).alias("level"))
         if frontier.isEmpty():
             break
         levelled.append(frontier)
+        if len(levelled) == 64:  # keep the final plan small
+            levelled = [_checkpoint(reduce(lambda a, b: a.unionByName(b), levelled))]
         state = upd.filter(F.col("_left") > 0)
     known = reduce(lambda a, b: a.unionByName(b), levelled)
     return (formula_cells.withColumnRenamed("src", "cell").join(known, ["book", "cell"], "left")
             .withColumn("on_or_behind_cycle", F.col("level").isNull()))
 
 
-def dependents(parsed: DataFrame, max_rounds: int = 100) -> DataFrame:
+def direct_dependents(parsed: DataFrame) -> DataFrame:
+    """per referenced cell the number of formulas that name it, and the highly connected flag (>= 5)."""
+    d = edges(parsed).groupBy("book", F.col("dst").alias("cell")).agg(F.count(F.lit(1)).alias("direct_dependents"))
+    return d.withColumn("highly_connected", F.col("direct_dependents") >= 5)
+
+
+def dependents(parsed: DataFrame) -> DataFrame:
     """per referenced cell: direct dependents, distinct transitive dependents (cascade), impact band (10 / 5),
-    highly connected flag (>= 5 direct dependents)."""
-    e = edges(parsed).select("book", F.col("dst").alias("cell"), F.col("src").alias("dep"))
+    highly connected flag (>= 5 direct dependents). Expands until no pair is new."""
+    e = _checkpoint(edges(parsed).select("book", F.col("dst").alias("cell"), F.col("src").alias("dep")))
     step = e.select("book", F.col("cell").alias("dep"), F.col("dep").alias("dep2"))
-    reach = _checkpoint(e.distinct())
+    reach = e.distinct()
     frontier = reach
-    for _ in range(max_rounds):
+    while True:
         nxt = _checkpoint(frontier.join(step, ["book", "dep"]).select("book", "cell", F.col("dep2").alias("dep")).distinct()
                           .join(reach, ["book", "cell", "dep"], "left_anti"))
         if nxt.isEmpty():
             break
         reach = _checkpoint(reach.unionByName(nxt))
         frontier = nxt
-    direct = e.groupBy("book", "cell").agg(F.count(F.lit(1)).alias("direct_dependents"))
     casc = reach.filter(F.col("cell") != F.col("dep")).groupBy("book", "cell").agg(F.count(F.lit(1)).alias("cascade_size"))
-    out = direct.join(casc, ["book", "cell"], "left").na.fill(0, ["cascade_size"])
-    return (out.withColumn("impact", F.when(F.col("cascade_size") >= 10, "high").when(F.col("cascade_size") >= 5, "medium")
-                           .otherwise("low"))
-            .withColumn("highly_connected", F.col("direct_dependents") >= 5))
+    out = direct_dependents(parsed).join(casc, ["book", "cell"], "left").na.fill(0, ["cascade_size"])
+    return out.withColumn("impact", F.when(F.col("cascade_size") >= 10, "high").when(F.col("cascade_size") >= 5, "medium")
+                          .otherwise("low")).select("book", "cell", "direct_dependents", "cascade_size", "impact", "highly_connected")
 
 
 def formula_statistics(parsed: DataFrame) -> DataFrame:
@@ -191,15 +197,17 @@ def top_functions(parsed: DataFrame, k: int = 10) -> DataFrame:
 
 def formula_diff(parsed_a: DataFrame, parsed_b: DataFrame) -> DataFrame:
     """F8 per cell: only in A / only in B / unchanged / changed, and the change type for changed formulas
-    (same functions -> reference change; length gap > 20 -> major; else minor)."""
+    (different lengths: major above a gap of 20, else minor; same length: reference change when the functions are the
+    same, else function change)."""
     a = parsed_a.select("sheet", "cell", F.col("formula").alias("formula_a"), F.col("functions").alias("fa"))
     b = parsed_b.select("sheet", "cell", F.col("formula").alias("formula_b"), F.col("functions").alias("fb"))
     j = a.join(b, ["sheet", "cell"], "full")
     status = (F.when(F.col("formula_b").isNull(), "only_in_a").when(F.col("formula_a").isNull(), "only_in_b")
               .when(F.col("formula_a") == F.col("formula_b"), "unchanged").otherwise("changed"))
     ctype = (F.when(status != "changed", F.lit(None))
-             .when(F.array_sort("fa") == F.array_sort("fb"), "reference change")
-             .when(F.abs(F.length("formula_a") - F.length("formula_b")) > 20, "major change").otherwise("minor change"))
+             .when(F.abs(F.length("formula_a") - F.length("formula_b")) > 20, "major change")
+             .when(F.length("formula_a") != F.length("formula_b"), "minor change")
+             .when(F.array_sort("fa") == F.array_sort("fb"), "reference change").otherwise("function change"))
     return j.select("sheet", "cell", "formula_a", "formula_b", status.alias("status"), ctype.alias("change_type"))
 
 
@@ -215,6 +223,20 @@ def function_overlap(parsed_a: DataFrame, parsed_b: DataFrame) -> DataFrame:
     return x.withColumn("function_overlap", F.when(u > 0, F.col("common_functions") * 100.0 / u).otherwise(0.0))
 
 
+def diff_advice(diff: DataFrame, overlap: DataFrame) -> DataFrame:
+    """F8: advice rows: more formulas only in A than only in B, differences in common cells, function overlap below 70%."""
+    s = diff.agg(F.count_if(F.col("status") == "only_in_a").alias("_a"), F.count_if(F.col("status") == "only_in_b").alias("_b"),
+                 F.count_if(F.col("status") == "changed").alias("_c"))
+    m = attach(s, overlap.select("function_overlap"))
+    return rules(m, [
+        Rule(F.col("_a") > F.col("_b"), "Medium", "coverage", F.format_string(
+            "Sheet A has %d more formulas than Sheet B. Consider if these are necessary.", F.col("_a"))),
+        Rule(F.col("_c") > 0, "Medium", "differences", F.format_string(
+            "Found %d formula differences in common cells. Review for consistency.", F.col("_c"))),
+        Rule(F.col("function_overlap") < 70, "Low", "functions",
+             "Low function overlap between sheets suggests different calculation approaches. Consider standardization.")])
+
+
 def analyze(cells: DataFrame) -> dict[str, DataFrame]:
     """the full bundle as named DataFrames (nothing is computed until an action)."""
     p = parse_formulas(cells)

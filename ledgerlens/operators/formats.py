@@ -54,20 +54,30 @@ def diff_examples(diff: DataFrame, k: int = 5) -> DataFrame:
     return top_k(diff, ["category"], [F.asc("sheet"), F.asc("cell"), F.asc("attr")], k, rank_col="example_no")
 
 
+def _cell_scores(diff: DataFrame, min_score: float) -> DataFrame:
+    w = diff.sparkSession.createDataFrame(list(CATEGORY_WEIGHTS.items()), "category string, weight int")
+    return (diff.join(F.broadcast(w), "category", "left").na.fill(1, ["weight"])
+            .groupBy("sheet", "cell").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("changes"))
+            .filter(F.col("score") > min_score))
+
+
 def significance(diff: DataFrame, min_score: float = 3, top: int = 20) -> DataFrame:
     """Per cell weighted change score (all cells, no sample cap), kept above ``min_score``, best ``top``;
-    impact by the mean score of the kept cells (>= 8 high, >= 5 medium)."""
-    spark = diff.sparkSession
-    w = spark.createDataFrame(list(CATEGORY_WEIGHTS.items()), "category string, weight int")
-    s = (diff.join(F.broadcast(w), "category", "left").na.fill(1, ["weight"])
-         .groupBy("sheet", "cell").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("changes"))
-         .filter(F.col("score") > min_score))
+    impact by the mean score of the kept cells (> 8 high, > 5 medium)."""
+    s = _cell_scores(diff, min_score)
     best = s.orderBy(F.desc("score"), F.asc("sheet"), F.asc("cell")).limit(top)
     m = s.agg(F.avg("score").alias("_mean"), F.count(F.lit(1)).alias("significant_cells"))
-    return (attach(best, m).withColumn("impact", F.when(F.col("_mean") >= 8, "high").when(F.col("_mean") >= 5, "medium")
+    return (attach(best, m).withColumn("impact", F.when(F.col("_mean") > 8, "high").when(F.col("_mean") > 5, "medium")
                                        .otherwise("low")).drop("_mean"))
 
 
+def change_impact(diff: DataFrame, min_score: float = 3) -> DataFrame:
+    """One row: impact level of the significant cells (none without any), their number and mean score."""
+    s = _cell_scores(diff, min_score).agg(F.count(F.lit(1)).alias("total_significant_changes"), F.avg("score").alias("average_significance_score"))
+    mean = F.col("average_significance_score")
+    return s.withColumn("impact_level", F.when(mean.isNull(), "none").when(mean > 8, "high").when(mean > 5, "medium").otherwise("low"))
+
+
 def structure_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Differences in merged ranges, column / row sizes and hidden flags, sheet properties and protection."""
     return attribute_diff(a, b, keys=("sheet", "kind", "id", "attr"))

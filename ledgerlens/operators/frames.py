@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a one-row aggregate to every row (broadcast equi-join on a constant)."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Append the columns of a one-row aggregate to every row (broadcast equi-join on a constant); nulls if there is none."""
+    return (df.withColumn("_attached", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("_attached", F.lit(1))), "_attached", "left").drop("_attached"))
 
 
 def top_k(df: DataFrame, group_cols: list[str], order_cols: list, k: int, rank_col: str = "rank",

@@ -126,6 +126,6 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, blocks: int = 32) -> DataFrame:
     n0 = n * (n - 1) / 2
     nd = F.col("nd_local") + F.lit(nd_table)
     nc = n0 - F.col("n_x") - F.col("n_y") + F.col("n_xy") - nd
-    tau = (nc - nd) / F.sqrt((n0 - F.col("n_x")) * (n0 - F.col("n_y")))
+    tau = F.try_divide(nc - nd, F.sqrt((n0 - F.col("n_x")) * (n0 - F.col("n_y"))))
     return m.select(F.col("n").cast("long").alias("n"), nc.cast("long").alias("concordant"), nd.cast("long").alias("discordant"),
                     tau.alias("tau_b"))

@@ -31,8 +31,8 @@ MATCHED, SUGGESTED, UNMATCHED = "matched", "suggested", "unmatched"
 
 
 def _order_expr(df: DataFrame, order_by) -> F.Column:
-    if order_by is None:
-        return F.monotonically_increasing_id()
+    if order_by is None:  # by content, whatever the partitioning; rows that tie are equal
+        return F.to_json(F.struct(*[col(c) for c in df.columns]))
     if isinstance(order_by, str):
         return col(order_by)
     cols = list(order_by)
@@ -59,13 +59,13 @@ def build_side(b: DataFrame, key_b: str, extract=(), ignore_case: bool = True, b
         F.max_by(F.struct("_orig", *[F.col(f"`{c}`") for c in extract]), "_pos").alias("_payload"))
 
 
-def best_fuzzy(a_keys: DataFrame, b_keys: DataFrame, threshold: float, native: bool = False) -> DataFrame:
+def best_fuzzy(a_keys: DataFrame, b_keys: DataFrame, threshold: float, native: bool = False, method: str = "grid") -> DataFrame:
     """For each A key, the best B key at or above ``threshold``; ties go to the first B key.
 
     ``a_keys``: (_blk, _k) distinct; ``b_keys``: (_blk, _k, _pos). Output (_blk, _k, _bk, _score).
     """
     pairs = scored_pairs(a_keys.select(F.col("_blk").alias("blk"), F.col("_k").alias("ka")),
-                         b_keys.select(F.col("_blk").alias("blk"), F.col("_k").alias("kb")), threshold, native=native)
+                         b_keys.select(F.col("_blk").alias("blk"), F.col("_k").alias("kb")), threshold, native=native, method=method)
     pos = b_keys.select(F.col("_blk").alias("blk"), F.col("_k").alias("kb"), F.col("_pos"))
     best = (pairs.join(pos, ["blk", "kb"]).groupBy("blk", "ka")
             .agg(F.min_by(F.struct("kb", "score"), F.struct((-F.col("score")).alias("s"), F.col("_pos").alias("p")))
@@ -76,7 +76,7 @@ def best_fuzzy(a_keys: DataFrame, b_keys: DataFrame, threshold: float, native: b
 
 def match(a: DataFrame, b: DataFrame, key_a: str, key_b: str, extract=(), threshold: float = 80,
           ignore_case: bool = True, b_order=None, null_keys: str = "match", native: bool = False,
-          prefix: str = "SheetB_", block_a: str | None = None, block_b: str | None = None) -> DataFrame:
+          prefix: str = "SheetB_", block_a: str | None = None, block_b: str | None = None, method: str = "grid") -> DataFrame:
     """Every A row with its match type, score, matched B key, extracted B columns and category.
 
     ``b_order`` gives B's row order (first-seen position / last-row payload);
@@ -101,7 +101,7 @@ def match(a: DataFrame, b: DataFrame, key_a: str, key_b: str, extract=(), thresh
         fuzzy = exact.limit(0).withColumn("_type", F.lit("Fuzzy"))
     else:
         fuzzy = (best_fuzzy(rest, side.filter(F.col("_k").isNotNull()).select("_blk", "_k", "_pos"), threshold,
-                            native).withColumn("_type", F.lit("Fuzzy")))
+                            native, method).withColumn("_type", F.lit("Fuzzy")))
     pay = side.select(F.col("_blk").alias("_pb"), F.col("_k").alias("_pk"), "_payload")
     resolved = (exact.unionByName(fuzzy)
                 .join(pay, (F.col("_blk") == F.col("_pb")) & F.col("_bk").eqNullSafe(F.col("_pk")), "left")
@@ -215,7 +215,7 @@ def match_multi(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str]
 
 def match_batch(ref: DataFrame, targets: DataFrame, key_ref: str, key_target: str, target_names: list[str],
                 target_col: str = "_target", threshold: float = 80, ignore_case: bool = True,
-                target_order=None) -> DataFrame:
+                target_order=None, null_keys: str = "match", method: str = "grid") -> DataFrame:
     """One reference table against every target at once, summarised per target.
 
     Targets arrive as one DataFrame tagged by ``target_col``; the target name
@@ -227,7 +227,7 @@ def match_batch(ref: DataFrame, targets: DataFrame, key_ref: str, key_target: st
     a = (ref.select(norm_key(key_ref, ignore_case).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
          .withColumn("_t", F.explode(F.array(*[F.lit(t) for t in target_names]))))
     m = match(a, targets, "_k", key_target, threshold=threshold, ignore_case=ignore_case, b_order=target_order,
-              null_keys="never", prefix="_b_", block_a="_t", block_b=target_col)
+              null_keys=null_keys, prefix="_b_", block_a="_t", block_b=target_col, method=method)
     return (m.groupBy(F.col("_t").alias(target_col)).agg(
         F.sum("_n").alias("rows"),
         F.sum(F.when(F.col("match_type") == "Exact", F.col("_n")).otherwise(0)).alias("exact"),

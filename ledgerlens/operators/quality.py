@@ -126,7 +126,7 @@ def column_duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     x = one.select("_n", rows.alias("r")).select("_n", "r.*")
     dup = F.col("_n") - F.col("unique_values") - F.col("_z")
     return x.select("column", dup.cast("long").alias("duplicate_count"), "unique_values",
-                    F.round(dup * 100.0 / F.col("_n"), 2).alias("duplicate_percentage"))
+                    F.round(F.try_divide(dup * 100.0, F.col("_n")), 2).alias("duplicate_percentage"))
 
 
 def key_candidates(df: DataFrame, first: int = 3) -> DataFrame:
@@ -134,7 +134,7 @@ def key_candidates(df: DataFrame, first: int = 3) -> DataFrame:
     cols = df.columns
     one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_distinct(col(c)).alias(f"u{i}") for i, c in enumerate(cols)])
     named = [any(w in c.lower() for w in KEY_NAME_WORDS) for c in cols]
-    cand = F.filter(F.array(*[F.when(F.lit(named[i]) | (F.col(f"u{i}") / F.col("_n") > 0.7), F.lit(c))
+    cand = F.filter(F.array(*[F.when(F.lit(named[i]) | (F.try_divide(F.col(f"u{i}"), F.col("_n")) > 0.7), F.lit(c))
                               for i, c in enumerate(cols)]), lambda x: x.isNotNull())
     chosen = one.select(F.posexplode(F.slice(cand, 1, first)).alias("candidate_rank", "column"))
     dups = column_duplicates(df, cols)
@@ -189,12 +189,16 @@ def conversions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def type_validation(df: DataFrame) -> DataFrame:
-    """Q10 per column: current type, recommended type (number, then date, then boolean: last hit wins), issues."""
-    str_cols = string_columns(df)
-    num_cols = numeric_columns(df)
-    conv = conversions(df, str_cols) if str_cols else None
-    out = []
-    if conv is not None:
+    """Q10, a row for every column: current type, recommended type (number, then date, then boolean: last hit wins),
+    issues; a column without any value has the one issue that it is empty."""
+    str_cols, num_cols = string_columns(df), numeric_columns(df)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    n = df.agg(*[F.count(F.when(col(c).isNotNull() & ~F.isnan(col(c)), 1) if types[c] in ("double", "float") else col(c)).alias(f"n{i}")
+                 for i, c in enumerate(df.columns)])
+    every = n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("current_type"),
+                                                  F.col(f"n{i}").alias("_n")) for i, c in enumerate(df.columns)])).alias("r")).select("r.*")
+    some = []
+    if str_cols:
         issues = F.filter(F.array(
             F.when(F.col("numeric_convertible"), F.concat(F.lit("Numeric data stored as text - can convert to "),
                                                            F.col("numeric_type"))),
@@ -204,16 +208,22 @@ def type_validation(df: DataFrame) -> DataFrame:
         rec = (F.when(F.col("boolean_convertible"), F.lit("bool"))
                .when(F.col("date_convertible"), F.lit("datetime64[ns]"))
                .when(F.col("numeric_convertible"), F.col("numeric_type")))
-        out.append(conv.select("column", F.lit("string").alias("current_type"), rec.alias("recommended_type"),
-                               issues.alias("issues")))
+        some.append(conversions(df, str_cols).select("column", rec.alias("recommended_type"), issues.alias("_issues")))
     if num_cols:
         o = ranks_outliers(df, num_cols)
-        out.append(o.select("column", "current_type", F.lit(None).cast("string").alias("recommended_type"),
-                            F.filter(F.array(F.when(F.col("outliers_count") > 0, F.concat(
-                                F.lit("Contains "), F.col("outliers_count").cast("string"),
-                                F.lit(" potential outliers")))), lambda x: x.isNotNull()).alias("issues")))
-    res = reduce(lambda a, b: a.unionByName(b), out)
-    return res.withColumn("conversion_possible", F.col("recommended_type").isNotNull())
+        some.append(o.select("column", F.lit(None).cast("string").alias("recommended_type"),
+                             F.filter(F.array(F.when(F.col("outliers_count") > 0, F.concat(
+                                 F.lit("Contains "), F.col("outliers_count").cast("string"),
+                                 F.lit(" potential outliers")))), lambda x: x.isNotNull()).alias("_issues")))
+    none = F.array().cast("array<string>")
+    if some:
+        every = every.join(reduce(lambda a, b: a.unionByName(b), some), "column", "left")
+    else:
+        every = every.withColumn("recommended_type", F.lit(None).cast("string")).withColumn("_issues", none)
+    empty = F.col("_n") == 0
+    return every.select("column", "current_type", F.when(~empty, F.col("recommended_type")).alias("recommended_type"),
+                        F.when(empty, F.array(F.lit("Column is completely empty"))).otherwise(F.coalesce("_issues", none)).alias("issues")
+                        ).withColumn("conversion_possible", F.col("recommended_type").isNotNull())
 
 
 def ranks_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -285,26 +295,23 @@ def completeness_grade(missing_cols: DataFrame) -> DataFrame:
 
 
 def risk_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Q16: ad-hoc risk score from variability, trend stability and completeness; warnings for first 3 numeric columns.
-
-    volatility = mean of per-column std / |mean| (CV); stability = 100 - min(100, CV%);
-    score = 0.3 * min(100, CV%) + 0.4 * (100 - stability) + 0.3 * missing%.
-    """
-    cols = (cols or numeric_columns(df))[:3]
-    d = ranks_outliers(df, cols)
-    mom = df.agg(*[F.stddev_samp(col(c)).alias(f"s{i}") for i, c in enumerate(cols)],
-                 *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[_n_missing(df, c).alias(f"z{i}") for i, c in enumerate(cols)], F.count(F.lit(1)).alias("_n"))
-    cv = reduce(lambda a, b: a + b, [F.when(F.col(f"m{i}") != 0, F.col(f"s{i}") / F.abs(F.col(f"m{i}")) * 100)
-                                     .otherwise(0.0) for i in range(len(cols))]) / len(cols)
-    miss = reduce(lambda a, b: a + b, [F.col(f"z{i}") for i in range(len(cols))]) * 100.0 / (F.col("_n") * len(cols))
-    vol = F.least(F.lit(100.0), cv)
-    score = 0.3 * vol + 0.4 * vol + 0.3 * miss
-    one = mom.select(vol.alias("volatility"), (100 - vol).alias("trend_stability"), (100 - miss).alias("completeness"),
-                     score.alias("risk_score"))
-    one = one.withColumn("risk_level", F.when(F.col("risk_score") >= 70, "High").when(F.col("risk_score") >= 30, "Medium")
-                         .otherwise("Low"))
-    warn = d.select("column", "outliers_percentage").filter(F.col("outliers_percentage") > 10).agg(
+    """Q16 over all numeric columns: volatility = mean standard deviation; stability = 1 - mean variance / (mean of the
+    means + 1); completeness of all cells; score = 0.3 volatility + 0.4 (1 - stability) + 0.3 missing %, within 0-100;
+    level 30 / 70. Warnings: missing above 10%; which of the first three numeric columns have over 10% outliers."""
+    cols = cols or numeric_columns(df)
+    k = len(cols)
+    mean = lambda p: reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{p}{i}"), F.lit(0.0)) for i in range(k)]) / F.greatest(
+        F.lit(1), reduce(lambda a, b: a + b, [F.col(f"{p}{i}").isNotNull().cast("int") for i in range(k)]))
+    mom = df.agg(*[f(col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(cols)
+                   for p, f in (("s", F.stddev_samp), ("v", F.var_samp), ("m", F.avg))],
+                 (F.lit(100.0) - F.try_divide(reduce(lambda a, b: a + b, [_n_missing(df, c) for c in df.columns]) * 100.0,
+                                              F.count(F.lit(1)) * len(df.columns))).alias("completeness"))
+    one = mom.select(mean("s").alias("volatility"), (1 - F.try_divide(mean("v"), mean("m") + 1)).alias("trend_stability"), "completeness")
+    score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("volatility") * 0.3 + (1 - F.col("trend_stability")) * 0.4
+                                             + (100 - F.col("completeness")) * 0.3))
+    one = one.withColumn("risk_score", score).withColumn(
+        "risk_level", F.when(score < 30, "Low").when(score < 70, "Medium").otherwise("High"))
+    warn = ranks_outliers(df, cols[:3]).filter(F.col("outliers_percentage") > 10).agg(
         F.count(F.lit(1)).alias("columns_with_many_outliers"))
     return attach(one, warn).withColumn("missing_warning", 100 - F.col("completeness") > 10)
 
@@ -316,20 +323,27 @@ def issue_counts(validation: DataFrame) -> DataFrame:
 
 
 def compare_quality(a: DataFrame, b: DataFrame, name_a: str = "A", name_b: str = "B") -> DataFrame:
-    """Q14: the Q11 scores of two tables side by side with an improvement plan (< 80 priority, < 90 improve,
-    completeness < 85, score gap > 20)."""
-    ra = quality_report(a).select(*[F.col(c).alias(f"{c}_a") for c in
-                                    ["overall_quality_score", "overall_completeness", "duplicate_percentage"]])
-    rb = quality_report(b).select(*[F.col(c).alias(f"{c}_b") for c in
-                                    ["overall_quality_score", "overall_completeness", "duplicate_percentage"]])
-    m = attach(ra, rb)
-    items = []
-    for tag, name in (("a", name_a), ("b", name_b)):
-        s, c = F.col(f"overall_quality_score_{tag}"), F.col(f"overall_completeness_{tag}")
-        items += [Rule(s < 80, "High", name, f"{name}: quality score below 80 - prioritise cleaning"),
-                  Rule((s >= 80) & (s < 90), "Medium", name, f"{name}: quality score below 90 - targeted improvements"),
-                  Rule(c < 85, "High", name, f"{name}: completeness below 85% - fill or source missing values")]
-    items.append(Rule(F.abs(F.col("overall_quality_score_a") - F.col("overall_quality_score_b")) > 20, "Medium", "gap",
-                      "Quality scores differ by more than 20 points - align collection processes"))
-    plan = rules(m, items)
-    return attach(plan, m)
+    """Q14: the Q11 scores of two tables with a combined plan: missing score < 80, duplicate score < 90 or type score < 85
+    on either table; overall scores more than 20 apart (naming the better and the worse); else one row of praise."""
+    names = ["missing_data_score", "duplicate_score", "data_type_score", "overall_quality_score"]
+    side = lambda df, t: quality_report(df).select(*[F.col(c).alias(f"{c}_{t}") for c in names])
+    m = attach(side(a, "a"), side(b, "b"))
+    below = lambda c, t: F.least(f"{c}_a", f"{c}_b") < t
+    sa, sb = F.col("overall_quality_score_a"), F.col("overall_quality_score_b")
+
+    def gap(x, nx, y, ny):
+        return F.format_string(f"{nx} has significantly better quality (%.1f) than {ny} (%.1f). Focus improvement efforts on {ny}.", x, y)
+    conds = [below("missing_data_score", 80), below("duplicate_score", 90), below("data_type_score", 85), sa - sb > 20, sb - sa > 20]
+    items = [
+        Rule(conds[0], "High", "Missing Data", "Both datasets have significant missing data. Consider data collection improvements or "
+                                               "imputation strategies."),
+        Rule(conds[1], "Medium", "Duplicates", "Implement data deduplication processes before analysis."),
+        Rule(conds[2], "Medium", "Data Types", "Standardize data entry formats and implement type validation."),
+        Rule(conds[3], "Medium", "Quality Gap", gap(sa, name_a, sb, name_b)),
+        Rule(conds[4], "Medium", "Quality Gap", gap(sb, name_b, sa, name_a)),
+        Rule(~reduce(lambda x, y: x | y, conds), "Info", "Excellent Overall Quality",
+             "Both datasets show good quality metrics across all dimensions!"),
+    ]
+    return rules(m, items, keep=[c for c in m.columns])
+
+

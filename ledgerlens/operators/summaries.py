@@ -53,16 +53,16 @@ def executive_summary(result: DataFrame) -> DataFrame:
 def quality_table(result: DataFrame, key: str) -> DataFrame:
     """M3: rates against targets; completeness is computed (share of rows with a key), not the fixed 95%."""
     k = _counts(result)
-    comp = result.agg((F.count(col(key)) * 100.0 / F.count(F.lit(1))).alias("completeness"))
+    comp = result.agg(F.try_divide(F.count(col(key)) * 100.0, F.count(F.lit(1))).alias("completeness"))
     x = attach(k, comp)
     t = F.col("total")
     rows = [
-        ("Overall Match Rate", F.col("matched") * 100.0 / t, "> 85%", F.col("matched") * 100.0 / t > 85),
+        ("Overall Match Rate", F.try_divide(F.col("matched") * 100.0, t), "> 85%", F.try_divide(F.col("matched") * 100.0, t) > 85),
         ("Exact Match Rate", F.when(F.col("matched") > 0, F.col("exact") * 100.0 / F.col("matched")), "> 70%",
-         F.col("exact") * 100.0 / F.col("matched") > 70),
+         F.try_divide(F.col("exact") * 100.0, F.col("matched")) > 70),
         ("Fuzzy Match Rate", F.when(F.col("matched") > 0, F.col("fuzzy") * 100.0 / F.col("matched")), "< 30%",
-         F.col("fuzzy") * 100.0 / F.col("matched") < 30),
-        ("Review Required Rate", F.col("suggested") * 100.0 / t, "< 15%", F.col("suggested") * 100.0 / t < 15),
+         F.try_divide(F.col("fuzzy") * 100.0, F.col("matched")) < 30),
+        ("Review Required Rate", F.try_divide(F.col("suggested") * 100.0, t), "< 15%", F.try_divide(F.col("suggested") * 100.0, t) < 15),
         ("Data Completeness", F.col("completeness"), "> 90%", F.col("completeness") > 90),
         ("Confidence Score Average", F.col("avg_similarity"), "> 80%", F.col("avg_similarity") > 80),
     ]
@@ -77,7 +77,7 @@ def recommendations(result: DataFrame) -> DataFrame:
     k = _counts(result)
     t = F.col("total")
     items = [
-        Rule(F.col("matched") / t < 0.7, "High", "Data Quality", "Low match rate detected. Consider data cleansing before comparison."),
+        Rule(F.try_divide(F.col("matched"), t) < 0.7, "High", "Data Quality", "Low match rate detected. Consider data cleansing before comparison."),
         Rule(F.col("suggested") > t * 0.2, "Medium", "Manual Review", "High number of suggested matches require manual verification."),
         Rule(F.col("unmatched") > t * 0.3, "High", "Coverage", "Significant unmatched records indicate potential data gaps."),
         Rule(F.lit(True), "Low", "Process Improvement", "Consider implementing automated data validation rules."),
@@ -113,7 +113,7 @@ def type_distribution(result: DataFrame) -> DataFrame:
     """M7: rows per match type and their share."""
     g = result.groupBy("match_type").agg(F.count(F.lit(1)).alias("count"))
     return attach(g, result.agg(F.count(F.lit(1)).alias("_t"))).withColumn(
-        "percentage", F.col("count") * 100.0 / F.col("_t")).drop("_t")
+        "percentage", F.try_divide(F.col("count") * 100.0, F.col("_t"))).drop("_t")
 
 
 def suggested_scores(result: DataFrame) -> DataFrame:
@@ -124,14 +124,16 @@ def suggested_scores(result: DataFrame) -> DataFrame:
 
 
 def key_readiness(a: DataFrame, key_a: str, b: DataFrame, key_b: str, ignore_case: bool = True) -> DataFrame:
-    """M9: unique keys on each side, keys present on both (potential exact matches), null % and a combined score."""
+    """M9: unique keys on each side, keys present on both (potential exact matches), null %, and readiness = 100 - null % of both sides pooled, at least 0."""
     ka = a.select(norm_key(key_a, ignore_case).alias("k"))
     kb = b.select(norm_key(key_b, ignore_case).alias("k"))
-    pa = ka.agg(F.count_distinct("k").alias("unique_a"), ((F.count(F.lit(1)) - F.count("k")) * 100.0 / F.count(F.lit(1)))
-                .alias("null_pct_a"))
-    pb = kb.agg(F.count_distinct("k").alias("unique_b"), ((F.count(F.lit(1)) - F.count("k")) * 100.0 / F.count(F.lit(1)))
-                .alias("null_pct_b"))
+    def side(k, tag):
+        rows, empty = F.count(F.lit(1)), F.count(F.lit(1)) - F.count("k")
+        return k.agg(F.count_distinct("k").alias(f"unique_{tag}"), F.try_divide(empty * 100.0, rows).alias(f"null_pct_{tag}"),
+                     empty.alias(f"_z_{tag}"), rows.alias(f"_n_{tag}"))
+    pa, pb = side(ka, "a"), side(kb, "b")
     both = (ka.filter(F.col("k").isNotNull()).distinct().join(kb.filter(F.col("k").isNotNull()).distinct(), "k")
             .agg(F.count(F.lit(1)).alias("potential_matches")))
     x = attach(attach(pa, pb), both)
-    return x.withColumn("readiness_score", 100 - (F.col("null_pct_a") + F.col("null_pct_b")) / 2)
+    pooled = F.try_divide((F.col("_z_a") + F.col("_z_b")) * 100.0, F.col("_n_a") + F.col("_n_b"))
+    return x.withColumn("readiness_score", F.greatest(F.lit(0.0), 100 - F.coalesce(pooled, F.lit(0.0)))).drop("_z_a", "_z_b", "_n_a", "_n_b")

@@ -197,8 +197,8 @@ def q_b18f(spark, sf):
 
 
 @register("B19_behaviour_by_category", WS(f"""
-SELECT category, count(*) AS transactions, {S('round(avg(amount), 2)', 'average_spend')} FROM fx_sales
-WHERE category IS NOT NULL GROUP BY 1 ORDER BY transactions DESC, category LIMIT 10"""))
+SELECT category, CASE WHEN row_number() OVER (ORDER BY count(*) DESC, category) <= 10 THEN count(*) END AS transactions,
+  {S('round(avg(amount), 2)', 'average_spend')} FROM fx_sales WHERE category IS NOT NULL GROUP BY 1"""))
 def q_b19(spark, sf):
     return round_doubles(CU.behaviour_by_category(sales(spark, sf), "category", "amount"))
 
@@ -311,10 +311,33 @@ def q_b27(spark, sf):
     return round_doubles(PD.product_trends(sales(spark, sf), "product", "amount", "order_date"))
 
 
-@register("B28_business_recommendations", None)
+_MISS = ("100 - (" + " + ".join(f"count({c})" for c, _ in SALES_COLS) + f") * 100.0 / (count(*) * {len(SALES_COLS)})")
+
+
+@register("B28_business_recommendations", WS(f"""
+SELECT CAST(n AS INTEGER) AS rule_no, priority, category, message FROM (
+  SELECT *, row_number() OVER (ORDER BY n) AS k FROM (
+    SELECT 1 AS n, 'Medium' AS priority, 'pricing' AS category,
+      'High revenue variance detected - consider implementing tiered pricing strategy' AS message
+      FROM a HAVING stddev_samp(amount) / avg(amount) > 1.0
+    UNION ALL SELECT 2, 'Medium', 'upsell', 'Many low-value transactions - explore upselling opportunities'
+      FROM a, (SELECT quantile_cont(amount, 0.1) AS p FROM a) HAVING count(*) FILTER (amount < p) * 1.0 / count(*) > 0.1
+    UNION ALL SELECT 3, 'High', 'satisfaction', 'Customer satisfaction below average - prioritize service improvement'
+      FROM fx_sales HAVING avg(rating) < 3.5
+    UNION ALL SELECT 4, 'Low', 'satisfaction', 'Excellent customer satisfaction - leverage for referral programs'
+      FROM fx_sales HAVING avg(rating) > 4.5
+    UNION ALL SELECT 5, 'Medium', 'products', 'Revenue concentrated in one product - diversify product portfolio'
+      FROM (SELECT product, coalesce(sum(amount), 0) AS s FROM fx_sales WHERE product IS NOT NULL GROUP BY 1)
+      HAVING count(*) > 1 AND max(s) / sum(s) > 0.5
+    UNION ALL SELECT 6, 'Medium', 'seasonality', 'Seasonal patterns detected - plan inventory and marketing accordingly'
+      FROM (SELECT count(*) AS c FROM fx_sales WHERE order_date IS NOT NULL GROUP BY month(order_date))
+      HAVING stddev_samp(c) / avg(c) > 0.5
+    UNION ALL SELECT 7, 'Low', 'dimensions', 'Multiple business dimensions available - consider cross-category analysis'
+    UNION ALL SELECT 8, 'High', 'data', 'Significant missing data detected - improve data collection processes'
+      FROM fx_sales HAVING {_MISS} > 10)) WHERE k <= 8""", ctes=(
+    ("a", "SELECT amount FROM fx_sales WHERE amount IS NOT NULL AND NOT isnan(amount)"),)))
 def q_b28(spark, sf):
-    """Rule messages (text rows; row-count check)."""
-    return AL.recommendations(sales(spark, sf), "amount", "rating", "product", "order_date")
+    return AL.recommendations(sales(spark, sf), "amount", "rating", "product", "order_date", categories=2)
 
 
 _DBINS = ("(VALUES (0, 'No Discount'), (1, 'Low (0-5%)'), (2, 'Medium (5-15%)'), (3, 'High (15-30%)'), "
@@ -348,13 +371,15 @@ def q_b30(spark, sf):
 
 @register("B31_optimal_discount_range", WS(f"""
 SELECT CAST(bin AS INTEGER) AS bin, {S('CASE WHEN bin = 0 THEN lo - (hi - lo) * 0.001 ELSE lo + bin * ((hi - lo) / 10) END', 'lower')},
-  {S('lo + (bin + 1) * ((hi - lo) / 10)', 'upper')}, transactions, {S('revenue')}, {S('average')},
+  {S('lo + (bin + 1) * ((hi - lo) / 10)', 'upper')}, coalesce(transactions, 0) AS transactions,
+  {S('coalesce(revenue, 0.0)', 'revenue')}, {S('average')},
   bin = (SELECT arg_min(bin, (-revenue, bin)) FROM g) AS best_for_revenue,
-  bin = (SELECT arg_min(bin, (-average, bin)) FROM g) AS best_for_average FROM g""", ctes=(
+  bin = (SELECT arg_min(bin, (-average, bin)) FROM g) AS best_for_average
+FROM r, (SELECT unnest(range(10)) AS bin) LEFT JOIN g USING (bin)""", ctes=(
     ("d", "SELECT CAST(discount AS DOUBLE) AS d, amount AS a FROM fx_sales WHERE discount IS NOT NULL AND amount IS NOT NULL"),
     ("r", "SELECT min(d) AS lo, max(d) AS hi FROM d"),
-    ("g", "SELECT CAST(least(greatest(ceil((d - lo) / ((hi - lo) / 10)) - 1, 0), 9) AS INTEGER) AS bin, lo, hi, "
-          "count(*) AS transactions, sum(a) AS revenue, avg(a) AS average FROM d, r GROUP BY 1, 2, 3"))))
+    ("g", "SELECT CAST(least(greatest(ceil((d - lo) / ((hi - lo) / 10)) - 1, 0), 9) AS INTEGER) AS bin, "
+          "count(*) AS transactions, sum(a) AS revenue, avg(a) AS average FROM d, r GROUP BY 1"))))
 def q_b31(spark, sf):
     return round_doubles(PR.optimal_discount_range(sales(spark, sf), "discount", "amount"))
 
@@ -402,8 +427,8 @@ _MARGIN_AGG = (f"{S('sum(a)', 'total_revenue')}, {S('sum(c)', 'total_costs')}, {
                f"{S('stddev_samp(mp)', 'margin_volatility')}, "
                "CAST(sum(CASE WHEN mp > 30 THEN 1 ELSE 0 END) AS BIGINT) AS high_margin_transactions, "
                "CAST(sum(CASE WHEN mp > 15 AND mp <= 30 THEN 1 ELSE 0 END) AS BIGINT) AS medium_margin_transactions, "
-               "CAST(sum(CASE WHEN mp > 0 AND mp <= 15 THEN 1 ELSE 0 END) AS BIGINT) AS low_margin_transactions, "
-               "CAST(sum(CASE WHEN mp <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_margin_transactions, "
+               "CAST(sum(CASE WHEN mp <= 15 THEN 1 ELSE 0 END) AS BIGINT) AS low_margin_transactions, "
+               "CAST(sum(CASE WHEN mp < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_margin_transactions, "
                f"{S('quantile_cont(mp, 0.5)', 'median_margin_percent')}")
 
 
@@ -412,24 +437,30 @@ def q_b35(spark, sf):
     return round_doubles(FI.margins(sales(spark, sf), "amount", "cost"))
 
 
-@register("B35_margins_by_category", WS(f"SELECT CAST(category AS VARCHAR) AS category, {_MARGIN_AGG} FROM m GROUP BY 1",
-                                        ctes=(("m", _MARGIN),)))
+@register("B35_margins_by_category", WS(f"""
+SELECT *, category = (SELECT arg_min(category, (-total_profit, category)) FROM g) AS most_profitable,
+  category = (SELECT arg_min(category, (-round(average_margin_percent, 2), category)) FROM g) AS highest_margin FROM g""",
+    ctes=(("m", _MARGIN), ("g", f"SELECT CAST(category AS VARCHAR) AS category, {_MARGIN_AGG} FROM m GROUP BY 1"))))
 def q_b35c(spark, sf):
     return round_doubles(FI.margins(sales(spark, sf), "amount", "cost", "category"))
 
 
-def _years(spark, sf):
+_HALF_A, _HALF_B = "order_date < TIMESTAMP '1995-07-01'", "order_date >= TIMESTAMP '1995-07-01'"
+
+
+def _halves(spark, sf):
+    """All orders, as two datasets by date."""
     s = sales(spark, sf)
-    return s.filter(F.year("order_date") == 1996), s.filter(F.year("order_date") == 1997)
+    return s.filter(_HALF_A), s.filter(_HALF_B)
 
 
 @register("B36_compare_datasets", WS(" UNION ALL ".join(
     f"SELECT '{n}' AS dataset, count(*) AS records, {S('sum(amount)', 'revenue')}, {S('avg(amount)', 'average_transaction')}, "
-    f"count(DISTINCT customer_id) AS customers, count(DISTINCT product) AS products FROM fx_sales WHERE year(order_date) = {y}"
-    for n, y in (("1996", 1996), ("1997", 1997)))))
+    f"count(DISTINCT customer_id) AS customers, count(DISTINCT product) AS products FROM fx_sales WHERE {y}"
+    for n, y in (("early", _HALF_A), ("late", _HALF_B)))))
 def q_b36(spark, sf):
-    a, b = _years(spark, sf)
-    return round_doubles(AL.compare_datasets(a, b, "amount", "customer_id", "product", "1996", "1997"))
+    a, b = _halves(spark, sf)
+    return round_doubles(AL.compare_datasets(a, b, "amount", "customer_id", "product", "early", "late"))
 
 
 @register("B37_retention", WS(f"""
@@ -450,35 +481,44 @@ def q_b38(spark, sf):
 
 
 @register("B39_fulfilment", f"""
+SELECT avg_cycle_days, on_time_percentage, orders, CASE WHEN on_time_percentage >= 95 THEN 'Excellent' WHEN on_time_percentage >= 85
+  THEN 'Good' ELSE 'Needs Improvement' END AS interpretation FROM (
 SELECT {S("avg(datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)))", 'avg_cycle_days')},
-  {S("avg(CASE WHEN regexp_matches(l_linestatus, '^F$') THEN 1.0 ELSE 0.0 END) * 100", 'on_time_percentage')},
-  count(*) AS orders
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+  {S("sum(CASE WHEN regexp_matches(st, '(?i)(on.time|delivered|success)') THEN 1 ELSE 0 END) * 100.0 / count(st)", 'on_time_percentage')},
+  count(st) AS orders
+FROM (SELECT l_orderkey, l_shipdate, CASE WHEN l_linestatus = 'F' THEN 'Delivered' WHEN l_returnflag = 'N' AND l_quantity < 25 THEN 'open' END AS st
+  FROM lineitem) JOIN orders ON l_orderkey = o_orderkey)""")
 def q_b39(spark, sf):
-    li = load(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", "l_linestatus")
+    st = F.when(F.col("l_linestatus") == "F", "Delivered").when((F.col("l_returnflag") == "N") & (F.col("l_quantity") < 25), "open")
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", st.alias("st"))
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
-    return round_doubles(FI.fulfilment(j, "o_orderdate", "l_shipdate", "l_linestatus", "^F$"))
+    return round_doubles(FI.fulfilment(li.join(o, li.l_orderkey == o.o_orderkey), "o_orderdate", "l_shipdate", "st"))
 
 
 @register("B40_turnover_training_roi", WS(f"""
-SELECT {S("avg(CASE WHEN category IN ('5-LOW') THEN 1.0 ELSE 0.0 END) * 100", 'turnover_rate')},
-  {S('(sum(amount) - sum(cost)) / sum(cost) * 100', 'training_roi')} FROM fx_sales"""))
+SELECT {S('t', 'turnover_rate')}, CASE WHEN t <= 10 THEN 'Good' WHEN t >= 20 THEN 'Concerning' ELSE 'Moderate' END AS turnover_band,
+  {S('r', 'training_roi')}, CASE WHEN r >= 200 THEN 'Excellent' WHEN r >= 100 THEN 'Good' ELSE 'Poor' END AS roi_band
+FROM (SELECT count(CASE WHEN category = '5-LOW' THEN order_date END) * 100.0 / count(DISTINCT customer_id) AS t,
+  (avg(rating) * 1000 - sum(discount)) / sum(discount) * 100 AS r FROM fx_sales)"""))
 def q_b40(spark, sf):
-    return round_doubles(FI.workforce(sales(spark, sf), "category", ["5-LOW"], "amount", "cost"))
+    df = sales(spark, sf).withColumn("left_on", F.when(F.col("category") == "5-LOW", F.col("order_date")))
+    return round_doubles(FI.workforce(df, "customer_id", "left_on", "rating", "discount"))
 
 
 @register("B41_cpi_spi", f"""
-SELECT {S('sum(l_extendedprice) / sum(l_extendedprice * (1 - l_discount))', 'cpi')},
+SELECT {S('cpi')}, CASE WHEN cpi > 1 THEN 'Under Budget' WHEN cpi < 1 THEN 'Over Budget' ELSE 'On Budget' END AS cost_status,
+  planned_days, actual_days, {S('planned_days / actual_days', 'spi')}, CASE WHEN planned_days > actual_days THEN 'Ahead of Schedule'
+  WHEN planned_days < actual_days THEN 'Behind Schedule' ELSE 'On Schedule' END AS schedule_status FROM (
+SELECT sum(l_extendedprice) / sum(l_extendedprice * (1 - l_discount)) AS cpi,
   CAST(datediff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS INTEGER) AS planned_days,
-  CAST(datediff('day', min(CAST(o_orderdate AS DATE)), max(CAST(l_shipdate AS DATE))) AS INTEGER) AS actual_days,
-  {S("CAST(datediff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS DOUBLE) / datediff('day', min(CAST(o_orderdate AS DATE)), max(CAST(l_shipdate AS DATE)))", 'spi')}
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+  CAST(datediff('day', min(CAST(l_shipdate AS DATE)), max(CAST(l_shipdate AS DATE))) AS INTEGER) AS actual_days
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""")
 def q_b41(spark, sf):
-    li = load(spark, sf, "lineitem")
-    o = load(spark, sf, "orders")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).withColumn("actual_cost", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return round_doubles(FI.project_indices(j, "l_extendedprice", "actual_cost", "o_orderdate", "o_orderdate", "l_shipdate"))
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate",
+                                            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("actual_cost"))
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    return round_doubles(FI.project_indices(j, "l_extendedprice", "actual_cost", "o_orderdate", "l_shipdate"))
 
 
 @register("B42_dso_debt_equity", WF(f"""
@@ -508,32 +548,47 @@ def q_b44(spark, sf):
 
 
 @register("B45_engagement_events", f"""
-SELECT count(DISTINCT user_id) AS active_users, {S('count(*) * 1.0 / count(DISTINCT user_id)', 'engagement_rate')},
-  {S('avg(value)', 'avg_session_duration')} FROM events""")
+SELECT active_users, total_interactions, {S('m', 'avg_interactions_per_record')}, {S('d', 'avg_session_duration')},
+  CASE WHEN active_users >= 1000 THEN 'High Engagement' WHEN active_users >= 100 THEN 'Medium Engagement' ELSE 'Low Engagement' END AS user_band,
+  CASE WHEN m >= 10 THEN 'High Activity' WHEN m >= 5 THEN 'Moderate Activity' ELSE 'Low Activity' END AS activity_band,
+  CASE WHEN d >= 15 THEN 'Highly Engaged' WHEN d >= 5 THEN 'Engaged' ELSE 'Brief Sessions' END AS session_band
+FROM (SELECT count(DISTINCT user_id) AS active_users, CAST(sum(length(event_type)) AS BIGINT) AS total_interactions,
+  avg(length(event_type)) AS m, avg(value) AS d FROM events)""")
 def q_b45(spark, sf):
-    return round_doubles(FI.engagement(load(spark, sf, "events"), "user_id", "value"))
+    ev = load(spark, sf, "events").select("user_id", "value", F.length("event_type").alias("interactions"))
+    return round_doubles(FI.engagement(ev, "user_id", "interactions", "value"))
 
 
 _SC = [c for c, _ in SALES_COLS]
+_FULL = '(' + ' + '.join(f'count({c})' for c in _SC) + f') * 100.0 / (count(*) * {len(_SC)})'
 
 
 @register("B46_governance", WS(f"""
-SELECT {S('(' + ' + '.join(f'count({c})' for c in _SC) + f') * 100.0 / (count(*) * {len(_SC)})', 'valid_cell_percentage')},
-  {S('count(amount) * 100.0 / count(*)', 'audit_coverage')},
-  {S(f"(SELECT avg(s) FROM (SELECT sum(amount) AS s FROM fx_sales WHERE order_date IS NOT NULL GROUP BY date_trunc('month', order_date)))", 'mrr')}
-FROM fx_sales"""))
+SELECT {S('v', 'valid_cell_percentage')}, {S('a', 'audit_coverage')}, n AS tracked_records, {S('m', 'mrr')},
+  CASE WHEN v >= 95 THEN 'Excellent' WHEN v >= 85 THEN 'Good' ELSE 'Needs Improvement' END AS quality_band,
+  CASE WHEN a >= 95 THEN 'Full Compliance' WHEN a >= 80 THEN 'Partial Compliance' ELSE 'Poor Compliance' END AS audit_band,
+  CASE WHEN m >= 50000 THEN 'Strong MRR' WHEN m >= 10000 THEN 'Growing MRR' ELSE 'Early Stage' END AS mrr_band
+FROM (SELECT {_FULL} AS v, count(amount) * 100.0 / count(*) AS a, count(amount) AS n, sum(discount) AS m FROM fx_sales)"""))
 def q_b46(spark, sf):
-    return round_doubles(FI.governance(sales(spark, sf), "amount", "amount", "order_date"))
+    return round_doubles(FI.governance(sales(spark, sf), "amount", "discount"))
+
+
+_ALERT_CTES = (
+    ("d", "SELECT order_date, order_id, amount FROM fx_sales WHERE order_date IS NOT NULL AND amount IS NOT NULL"),
+    ("p", "SELECT amount, row_number() OVER (ORDER BY order_date, order_id) - 1 AS pos, count(*) OVER () AS n, "
+          "floor(count(*) OVER () / 3) AS k FROM d"),
+    ("t", "SELECT avg(amount) FILTER (pos < k) AS f, avg(amount) FILTER (pos >= n - k) AS l FROM p"),
+    ("z", "SELECT avg(amount) AS m, stddev_samp(amount) AS s, count(amount) AS c FROM fx_sales"),
+    ("o", "SELECT CASE WHEN any_value(c) > 10 THEN count(*) FILTER (amount > m + 3 * s OR amount < m - 3 * s) ELSE 0 END AS anomalies "
+          "FROM fx_sales, z"),
+    ("c", "SELECT max(v) / sum(v) * 100 AS share FROM (SELECT coalesce(sum(amount), 0) AS v FROM fx_sales WHERE customer_id IS NOT NULL "
+          "GROUP BY customer_id)"),
+    ("x", "SELECT f, l, (l / f - 1) * 100 AS change, anomalies, share FROM t, o, c"))
 
 
 @register("B47_alert_metrics", WS(f"""
-SELECT {S('f', 'first_third_mean')}, {S('l', 'last_third_mean')}, {S('(l - f) / f * 100', 'trend_change_pct')},
-  (SELECT CAST(sum(CASE WHEN abs((amount - m) / s) > 3 THEN 1 ELSE 0 END) AS BIGINT) FROM fx_sales,
-    (SELECT avg(amount) AS m, stddev_samp(amount) AS s FROM fx_sales) WHERE amount IS NOT NULL) AS anomalies,
-  {S('(SELECT max(v) FROM (SELECT sum(amount) AS v FROM fx_sales WHERE customer_id IS NOT NULL GROUP BY customer_id)) / (SELECT sum(amount) FROM fx_sales) * 100', 'top_customer_share')}
-FROM (SELECT avg(CASE WHEN pos < k THEN amount END) AS f, avg(CASE WHEN pos >= n - k THEN amount END) AS l FROM (
-  SELECT amount, row_number() OVER (ORDER BY order_date, order_id) - 1 AS pos, count(*) OVER () AS n,
-    floor(count(*) OVER () / 3) AS k FROM fx_sales))"""))
+SELECT {S('f', 'first_third_mean')}, {S('l', 'last_third_mean')}, {S('change', 'trend_change_pct')}, anomalies,
+  {S('share', 'top_customer_share')} FROM x""", ctes=_ALERT_CTES))
 def q_b47m(spark, sf):
     return round_doubles(AL.alert_metrics(sales(spark, sf), "amount", "order_date", "order_id", "customer_id"))
 
@@ -543,47 +598,93 @@ def _alerts(spark, sf):
                              "current_assets", "current_liabilities")
 
 
-@register("B47_early_warnings", None)
+_ALERTS_SQL = """
+SELECT 1 AS rule_no, 'CRITICAL' AS severity, 'Liquidity Crisis' AS category, printf('Current ratio of %s is below safe threshold of 1.0', CAST(r AS VARCHAR)) AS message,
+  'Immediate cash flow review required' AS recommendation FROM y WHERE r < 1
+UNION ALL SELECT 2, 'WARNING', 'Liquidity Warning', printf('Current ratio of %s approaching low threshold', CAST(r AS VARCHAR)),
+  'Monitor cash flow closely' FROM y WHERE r >= 1 AND r < 1.5
+UNION ALL SELECT 3, 'CRITICAL', 'Revenue Decline', printf('Revenue declined by %.1f%%', abs(change)), 'Urgent business review required'
+  FROM y WHERE change < -20
+UNION ALL SELECT 4, 'WARNING', 'Revenue Softening', printf('Revenue declined by %.1f%%', abs(change)), 'Investigate market conditions'
+  FROM y WHERE change >= -20 AND change < -10
+UNION ALL SELECT 5, 'WARNING', 'Data Anomalies Detected', printf('%d extreme outliers found in transaction data', anomalies),
+  'Investigate unusual transactions' FROM y WHERE anomalies > 0
+UNION ALL SELECT 6, 'CRITICAL', 'Customer Concentration Risk', printf('Top customer represents %.1f%% of revenue', share),
+  'Diversify customer base urgently' FROM y WHERE share > 50
+UNION ALL SELECT 7, 'WARNING', 'High Customer Dependency', printf('Top customer represents %.1f%% of revenue', share),
+  'Consider customer diversification' FROM y WHERE share > 30 AND share <= 50"""
+_Y = (("fin", "SELECT round(sum(current_assets) / sum(current_liabilities), 2) AS r FROM fx_finance"), ("y", "SELECT x.*, r FROM x, fin"))
+
+
+def WSF(body, ctes=()):
+    return W(body, "fx_sales", "fx_finance", ctes=tuple(ctes))
+
+
+@register("B47_early_warnings", WSF(_ALERTS_SQL, ctes=_ALERT_CTES + _Y))
 def q_b47(spark, sf):
-    """Alert rows (text; row-count check)."""
     return _alerts(spark, sf)
 
 
-_SCOLS = [c for c, _ in SALES_COLS]
+_DIMENSIONS = ["category", "product", "amount", "cost", "order_date"]
 
 
 @register("B48_benchmarks", WS(f"""
-SELECT {S('sum(amount) / count(*)', 'revenue_per_record')},
-  {S('(' + ' + '.join(f'count({c})' for c in _SCOLS) + f') * 100.0 / (count(*) * {len(_SCOLS)})', 'completeness')},
-  {len(_SCOLS)} AS dimensions,
-  CASE WHEN ({' + '.join(f'count({c})' for c in _SCOLS)}) * 100.0 / (count(*) * {len(_SCOLS)}) >= 95 THEN 'Excellent'
-    WHEN ({' + '.join(f'count({c})' for c in _SCOLS)}) * 100.0 / (count(*) * {len(_SCOLS)}) >= 85 THEN 'Good'
-    ELSE 'Needs Improvement' END AS completeness_tier, 'Moderate' AS dimension_tier FROM fx_sales"""))
+SELECT {S('v', 'revenue_per_record')}, {S('f', 'completeness')}, 5 AS dimensions,
+  CASE WHEN v >= 1000 THEN 'High Performer' WHEN v >= 500 THEN 'Average Performer' ELSE 'Below Average' END AS revenue_tier,
+  CASE WHEN v >= 750 THEN 'Above median' ELSE 'Below median' END AS industry_comparison,
+  CASE WHEN f >= 95 THEN 'Excellent' WHEN f >= 85 THEN 'Good' ELSE 'Needs Improvement' END AS completeness_tier,
+  CASE WHEN f >= 95 THEN 'Enterprise Grade' WHEN f >= 85 THEN 'Business Grade' ELSE 'Basic Grade' END AS compliance_level,
+  'Mid-Market' AS dimension_tier, 'Intermediate' AS analytics_readiness
+FROM (SELECT avg(amount) AS v, {_FULL} AS f FROM fx_sales)"""))
 def q_b48(spark, sf):
-    return round_doubles(AL.benchmarks(sales(spark, sf), "amount"))
+    return round_doubles(AL.benchmarks(sales(spark, sf), "amount", _DIMENSIONS))
 
 
 @register("B49_sector_ranking", WS(f"""
 SELECT sector, {S('revenue')}, {S('average')}, records, {S('share')}, CAST(rk AS INTEGER) AS rank,
-  CASE WHEN share >= 20 THEN 'Leader' WHEN share >= 10 THEN 'Strong' WHEN share >= 5 THEN 'Moderate' ELSE 'Emerging' END AS tier,
-  rk > k - 3 AND share < 5 AS low_share_bottom3
+  CASE WHEN rk = 1 THEN 'Leader' WHEN rk <= 3 THEN 'Strong' ELSE 'Developing' END AS tier,
+  CASE WHEN rk > k - 3 AND share < 5 THEN CASE WHEN average > (SELECT quantile_cont(average, 0.5) FROM g) THEN 'High' ELSE 'Medium' END END
+    AS growth_potential
 FROM (SELECT *, revenue / sum(revenue) OVER () * 100 AS share, row_number() OVER (ORDER BY revenue DESC, sector) AS rk,
-  count(*) OVER () AS k FROM (SELECT category AS sector, sum(amount) AS revenue, avg(amount) AS average, count(*) AS records
-  FROM fx_sales WHERE category IS NOT NULL GROUP BY 1))"""))
+  count(*) OVER () AS k FROM g)""", ctes=(
+    ("g", "SELECT product || ' ' || category AS sector, sum(amount) AS revenue, avg(amount) AS average, count(amount) AS records "
+          "FROM fx_sales WHERE category IS NOT NULL AND product IS NOT NULL GROUP BY 1"),)))
 def q_b49(spark, sf):
-    return round_doubles(AL.sector_ranking(sales(spark, sf), "category", "amount"))
+    df = sales(spark, sf).select(F.concat("product", F.lit(" "), "category").alias("sector"), "amount")
+    return round_doubles(AL.sector_ranking(df, "sector", "amount"))
+
+
+_RISK = (("r", f"SELECT (SELECT max(s) / sum(s) * 100 FROM (SELECT sum(amount) AS s FROM fx_sales WHERE category IS NOT NULL GROUP BY category)) "
+               f"AS c, {_MISS} AS miss FROM fx_sales"),
+         ("p", "SELECT *, CASE WHEN c > 70 THEN 30 ELSE 0 END + CASE WHEN miss > 20 THEN 20 ELSE 0 END AS points FROM r"))
 
 
 @register("B50_risk_assessment", WS(f"""
-SELECT {S('top * 100.0 / n', 'category_concentration')}, {S('miss', 'missing_pct')}, {len(_SCOLS)} AS columns,
-  (CASE WHEN top * 100.0 / n > 70 THEN 30 ELSE 0 END + CASE WHEN miss > 20 THEN 20 ELSE 0 END + 0) AS risk_points,
-  CASE WHEN (CASE WHEN top * 100.0 / n > 70 THEN 30 ELSE 0 END + CASE WHEN miss > 20 THEN 20 ELSE 0 END) >= 50 THEN 'High'
-    WHEN (CASE WHEN top * 100.0 / n > 70 THEN 30 ELSE 0 END + CASE WHEN miss > 20 THEN 20 ELSE 0 END) >= 25 THEN 'Medium'
-    ELSE 'Low' END AS risk_level
-FROM (SELECT max(c) AS top, sum(c) AS n FROM (SELECT category, count(*) AS c FROM fx_sales GROUP BY 1)),
-  (SELECT 100 - ({' + '.join(f'count({c})' for c in _SCOLS)}) * 100.0 / (count(*) * {len(_SCOLS)}) AS miss FROM fx_sales)"""))
+SELECT {S('c', 'category_concentration')}, {S('miss', 'missing_pct')}, {len(_SC)} AS columns, points AS risk_points,
+  CASE WHEN points >= 50 THEN 'High' WHEN points >= 25 THEN 'Medium' ELSE 'Low' END AS risk_level FROM p""", ctes=_RISK))
 def q_b50(spark, sf):
-    return round_doubles(AL.risk_assessment(sales(spark, sf), "category"))
+    return round_doubles(AL.risk_assessment(sales(spark, sf), "category", "amount"))
+
+
+def _risky(spark, sf):
+    """All sales, one category but for urgent orders, most other columns emptied: every risk factor that data can have."""
+    s = sales(spark, sf)
+    return s.select(F.when(F.col("category") == "1-URGENT", "urgent").otherwise("rest").alias("category"), "amount",
+                    F.when(F.col("rating") == 1, F.col("rating")).alias("rating"))
+
+
+@register("B50_risk_factors", WS("""
+SELECT 'High' AS severity, 'Revenue Concentration' AS type, printf('Over-dependence on single category (%.1f%%)', c) AS description,
+  'Business vulnerability to category-specific downturns' AS impact,
+  'Diversify product/service portfolio across multiple categories' AS mitigation FROM r WHERE c > 70
+UNION ALL SELECT CASE WHEN miss < 40 THEN 'Medium' ELSE 'High' END, 'Data Quality', printf('High missing data rate (%.1f%%)', miss),
+  'Unreliable analytics and decision-making', 'Implement data quality controls and validation processes' FROM r WHERE miss > 20""", ctes=(
+    ("s", "SELECT CASE WHEN category = '1-URGENT' THEN 'urgent' ELSE 'rest' END AS category, amount, CASE WHEN rating = 1 THEN rating END AS rating "
+          "FROM fx_sales"),
+    ("r", "SELECT (SELECT max(t) / sum(t) * 100 FROM (SELECT sum(amount) AS t FROM s GROUP BY category)) AS c, "
+          "100 - (count(category) + count(amount) + count(rating)) * 100.0 / (count(*) * 3) AS miss FROM s"))))
+def q_b50f(spark, sf):
+    return AL.risk_factors(_risky(spark, sf), "category", "amount")
 
 
 @register("B51_value_concentration", WS(f"""
@@ -607,18 +708,61 @@ def q_b52(spark, sf):
     return round_doubles(AL.growth_indicator(sales(spark, sf), "amount", "order_date"))
 
 
-@register("B53_risk_score", None)
+_RS = (("al", _ALERTS_SQL), ("rs", "SELECT count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning FROM al"),
+       ("rk", "SELECT *, CAST(least(100, critical * 30 + warning * 15) AS BIGINT) AS risk_score FROM rs"))
+
+
+@register("B53_risk_score", WSF("SELECT * FROM rk", ctes=_ALERT_CTES + _Y + _RS))
 def q_b53(spark, sf):
-    """Risk score and grade from the B47 alert rows."""
     return AL.risk_score(_alerts(spark, sf))
 
 
-@register("B54_executive_summary", None)
+def _metrics(spark, sf):
+    """Financial metrics by entity, as rows (name, value)."""
+    f = fin(spark, sf)
+    one = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (
+        ("current_ratio", F.try_divide("current_assets", "current_liabilities")), ("net_margin", F.try_divide("net_income", "revenue") * 100),
+        ("roe", F.try_divide("net_income", "equity") * 100), ("asset_turnover", F.try_divide("revenue", "total_assets")))])
+    return f.select(F.explode(one).alias("m")).select("m.*")
+
+
+_SCORE = (
+    ("mt", "SELECT unnest([{'n': 'current_ratio', 'v': current_assets / nullif(current_liabilities, 0)}, {'n': 'net_margin', 'v': net_income / nullif(revenue, 0) * 100}, "
+           "{'n': 'roe', 'v': net_income / nullif(equity, 0) * 100}, {'n': 'asset_turnover', 'v': revenue / nullif(total_assets, 0)}]) AS m FROM fx_finance"),
+    ("ms", "SELECT CASE WHEN m.n = 'current_ratio' THEN CASE WHEN m.v >= 2 THEN 100 WHEN m.v >= 1.5 THEN 80 WHEN m.v >= 1 THEN 60 ELSE 30 END "
+           "WHEN m.n = 'net_margin' THEN CASE WHEN m.v >= 20 THEN 100 WHEN m.v >= 15 THEN 80 WHEN m.v >= 10 THEN 60 WHEN m.v >= 5 THEN 40 ELSE 20 END "
+           "WHEN m.n = 'roe' THEN CASE WHEN m.v >= 15 THEN 100 WHEN m.v >= 10 THEN 80 WHEN m.v >= 5 THEN 60 ELSE 40 END ELSE 70 END AS points "
+           "FROM mt WHERE m.v IS NOT NULL"),
+    ("sc0", "SELECT round(avg(points), 1) AS overall_score, count(*) AS metrics_analyzed FROM ms"),
+    ("sc", f"SELECT {S('overall_score')}, CASE WHEN overall_score >= 90 THEN 'A+' WHEN overall_score >= 85 THEN 'A' WHEN overall_score >= 80 THEN 'A-' "
+           "WHEN overall_score >= 75 THEN 'B+' WHEN overall_score >= 70 THEN 'B' WHEN overall_score >= 65 THEN 'B-' WHEN overall_score >= 60 THEN 'C+' "
+           "WHEN overall_score >= 55 THEN 'C' ELSE 'D' END AS performance_grade, metrics_analyzed, CASE WHEN overall_score >= 75 THEN "
+           "'Above Industry Average' WHEN overall_score >= 60 THEN 'Industry Average' ELSE 'Below Industry Average' END AS benchmark_comparison FROM sc0"))
+
+
+@register("B53_performance_scorecard", WF("SELECT * FROM sc", ctes=_SCORE))
+def q_b53p(spark, sf):
+    return round_doubles(AL.performance_scorecard(_metrics(spark, sf)))
+
+
+@register("B54_executive_summary", WSF(f"""
+SELECT records, {S('completeness')}, {S('total_value')}, {S('average_transaction')}, rk.*, {S('top_share')},
+  CASE WHEN top_share >= 80 THEN 'High' WHEN top_share >= 60 THEN 'Medium' ELSE 'Low' END AS concentration, {S('growth_pct')},
+  CASE WHEN growth_pct > 5 THEN 'growing' WHEN growth_pct < -5 THEN 'declining' ELSE 'stable' END AS indicator, sc.*,
+  CASE WHEN critical > 0 THEN 'HIGH' WHEN warning > 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, 5 AS dimensions,
+  CASE WHEN completeness >= 95 THEN 'A' WHEN completeness >= 85 THEN 'B' ELSE 'C' END AS data_quality_grade,
+  list_filter([CASE WHEN total_value > 1000000 THEN 'High-value dataset with significant financial impact' END,
+    CASE WHEN average_transaction > 1000 THEN 'Premium transaction profile indicates quality customer base' END], lambda v: v IS NOT NULL) AS key_findings
+FROM rk, sc, (SELECT count(*) AS records, {_FULL} AS completeness, sum(amount) AS total_value, avg(amount) AS average_transaction FROM fx_sales),
+  (SELECT sum(CASE WHEN amount >= q THEN amount ELSE 0.0 END) / sum(amount) * 100 AS top_share
+   FROM fx_sales, (SELECT quantile_cont(amount, 0.8) AS q FROM fx_sales) WHERE amount IS NOT NULL),
+  (SELECT (last(s ORDER BY month) - list(s ORDER BY month)[-2]) / list(s ORDER BY month)[-2] * 100 AS growth_pct FROM mo)""",
+    ctes=_ALERT_CTES + _Y + _RS + _SCORE + (
+        ("mo", f"SELECT {MONTH} AS month, sum(amount) AS s FROM fx_sales WHERE order_date IS NOT NULL GROUP BY 1"),)))
 def q_b54(spark, sf):
-    """One-row summary joining alerts, concentration and growth."""
     s = sales(spark, sf)
-    return round_doubles(AL.executive_summary(_alerts(spark, sf), AL.value_concentration(s, "amount"),
-                                              AL.growth_indicator(s, "amount", "order_date")))
+    return round_doubles(AL.executive_summary(s, "amount", _DIMENSIONS, _alerts(spark, sf), AL.value_concentration(s, "amount"),
+                                              AL.growth_indicator(s, "amount", "order_date"), AL.performance_scorecard(_metrics(spark, sf))))
 
 
 @register("B56_kpi_scorecard", WS(f"""
@@ -635,19 +779,19 @@ def q_b56(spark, sf):
 
 @register("B57_two_dataset_monthly", WS(f"""
 SELECT coalesce(a.month, b.month) AS month, {S('coalesce(a.s, 0.0)', 'revenue_a')}, {S('coalesce(b.s, 0.0)', 'revenue_b')}
-FROM (SELECT {MONTH} AS month, sum(amount) AS s FROM fx_sales WHERE year(order_date) = 1996 GROUP BY 1) a
-FULL JOIN (SELECT {MONTH} AS month, sum(amount) AS s FROM fx_sales WHERE year(order_date) = 1997 GROUP BY 1) b
+FROM (SELECT {MONTH} AS month, sum(amount) AS s FROM fx_sales WHERE {_HALF_A} GROUP BY 1) a
+FULL JOIN (SELECT {MONTH} AS month, sum(amount) AS s FROM fx_sales WHERE {_HALF_B} GROUP BY 1) b
 ON a.month = b.month"""))
 def q_b57m(spark, sf):
-    a, b = _years(spark, sf)
+    a, b = _halves(spark, sf)
     return round_doubles(AL.two_dataset_monthly(a, b, "amount", "order_date"))
 
 
 @register("B57_two_dataset_categories", WS(f"""
 SELECT coalesce(a.category, b.category) AS category, {S('coalesce(a.s, 0.0)', 'revenue_a')}, {S('coalesce(b.s, 0.0)', 'revenue_b')}
-FROM (SELECT category, sum(amount) AS s FROM fx_sales WHERE year(order_date) = 1996 AND category IS NOT NULL GROUP BY 1) a
-FULL JOIN (SELECT category, sum(amount) AS s FROM fx_sales WHERE year(order_date) = 1997 AND category IS NOT NULL GROUP BY 1) b
+FROM (SELECT category, sum(amount) AS s FROM fx_sales WHERE {_HALF_A} AND category IS NOT NULL GROUP BY 1) a
+FULL JOIN (SELECT category, sum(amount) AS s FROM fx_sales WHERE {_HALF_B} AND category IS NOT NULL GROUP BY 1) b
 ON a.category = b.category"""))
 def q_b57c(spark, sf):
-    a, b = _years(spark, sf)
+    a, b = _halves(spark, sf)
     return round_doubles(AL.two_dataset_categories(a, b, "category", "amount"))

@@ -84,19 +84,38 @@ def q_f6(spark, sf):
 SELECT book, dst AS cell, count(*) AS direct_dependents, count(*) >= 5 AS highly_connected FROM e GROUP BY 1, 2""",
     *WCELLS, ctes=(("p", parsed_sql("fx_cells")), ("e", _EDGES))))
 def q_f7d(spark, sf):
-    return C.dependents(parsed(spark, sf)).select("book", "cell", "direct_dependents", "highly_connected")
+    return C.direct_dependents(parsed(spark, sf))
 
 
-@register("F7_dependency_levels", None)
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_REACH = (("p", parsed_sql("fx_cells")), ("e", _EDGES), ("fc", "SELECT book, sheet || '!' || cell AS src FROM p"),
+          ("reach", "SELECT book, src AS x, dst AS y FROM e UNION SELECT r.book, r.x, e.dst FROM reach r JOIN e ON e.book = r.book AND e.src = r.y"))
+
+
+@register("F7_dependency_levels", _recursive(W("""
+SELECT fc.book, fc.src AS cell, CAST(max(d) AS INTEGER) AS level, max(d) IS NULL AS on_or_behind_cycle
+FROM fc LEFT JOIN lv ON lv.book = fc.book AND lv.cell = fc.src GROUP BY 1, 2""", *WCELLS, ctes=_REACH + (
+    ("bad", "SELECT DISTINCT r.book, r.x FROM reach r JOIN (SELECT book, x FROM reach WHERE x = y) c ON c.book = r.book AND c.x = r.y"),
+    ("ok", "SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.book = e.book AND bad.x = e.src)"),
+    ("base", "SELECT DISTINCT book, dst AS cell, 0 AS d FROM e ANTI JOIN fc ON fc.book = e.book AND fc.src = e.dst "
+             "UNION ALL SELECT book, src, 1 FROM fc ANTI JOIN e ON e.book = fc.book AND e.src = fc.src"),
+    ("lv", "SELECT * FROM base UNION SELECT ok.book, ok.src, lv.d + 1 FROM lv JOIN ok ON ok.book = lv.book AND ok.dst = lv.cell")))))
 def q_f7(spark, sf):
-    """iterative levels (tested against a brute-force walk in pytest)."""
     c = fixture(spark, sf, "fx_cells")
     return C.dependency_levels(c, C.parse_formulas(c))
 
 
-@register("F7_cascade_sizes", None)
+@register("F7_cascade_sizes", _recursive(W("""
+SELECT d.book, d.cell, direct_dependents, coalesce(n, 0) AS cascade_size,
+  CASE WHEN coalesce(n, 0) >= 10 THEN 'high' WHEN coalesce(n, 0) >= 5 THEN 'medium' ELSE 'low' END AS impact,
+  direct_dependents >= 5 AS highly_connected
+FROM (SELECT book, dst AS cell, count(*) AS direct_dependents FROM e GROUP BY 1, 2) d
+LEFT JOIN (SELECT book, y AS cell, count(*) AS n FROM reach WHERE x <> y GROUP BY 1, 2) r ON r.book = d.book AND r.cell = d.cell""",
+    *WCELLS, ctes=_REACH)))
 def q_f7c(spark, sf):
-    """distinct transitive dependents (tested against a brute-force walk in pytest)."""
     return C.dependents(parsed(spark, sf))
 
 
@@ -105,8 +124,8 @@ SELECT coalesce(a.sheet, b.sheet) AS sheet, coalesce(a.cell, b.cell) AS cell, a.
   CASE WHEN b.formula IS NULL THEN 'only_in_a' WHEN a.formula IS NULL THEN 'only_in_b' WHEN a.formula = b.formula THEN 'unchanged'
     ELSE 'changed' END AS status,
   CASE WHEN a.formula IS NULL OR b.formula IS NULL OR a.formula = b.formula THEN NULL
-    WHEN list_sort(a.functions) = list_sort(b.functions) THEN 'reference change'
-    WHEN abs(length(a.formula) - length(b.formula)) > 20 THEN 'major change' ELSE 'minor change' END AS change_type
+    WHEN abs(length(a.formula) - length(b.formula)) > 20 THEN 'major change' WHEN length(a.formula) <> length(b.formula) THEN 'minor change'
+    WHEN list_sort(a.functions) = list_sort(b.functions) THEN 'reference change' ELSE 'function change' END AS change_type
 FROM pa a FULL JOIN pb b ON a.sheet = b.sheet AND a.cell = b.cell""", "fx_cells", "fx_cells_b",
     ctes=(("pa", parsed_sql("fx_cells")), ("pb", parsed_sql("fx_cells_b")))))
 def q_f8(spark, sf):
@@ -124,6 +143,21 @@ def q_f8o(spark, sf):
     return round_doubles(C.function_overlap(parsed(spark, sf), parsed(spark, sf, "fx_cells_b")))
 
 
+@register("F8_advice", W("""
+SELECT 1 AS rule_no, 'Medium' AS priority, 'coverage' AS category,
+  printf('Sheet A has %d more formulas than Sheet B. Consider if these are necessary.', na) AS message FROM s WHERE na > nb
+UNION ALL SELECT 2, 'Medium', 'differences', printf('Found %d formula differences in common cells. Review for consistency.', nc) FROM s WHERE nc > 0
+UNION ALL SELECT 3, 'Low', 'functions', 'Low function overlap between sheets suggests different calculation approaches. Consider standardization.'
+  FROM s WHERE o < 70""", "fx_cells", "fx_cells_b", ctes=(("pa", parsed_sql("fx_cells")), ("pb", parsed_sql("fx_cells_b")),
+    ("fa", "SELECT DISTINCT unnest(functions) AS f FROM pa"), ("fb", "SELECT DISTINCT unnest(functions) AS f FROM pb"),
+    ("s", "SELECT (SELECT count(*) FROM pa ANTI JOIN pb USING (sheet, cell)) AS na, (SELECT count(*) FROM pb ANTI JOIN pa USING (sheet, cell)) AS nb, "
+          "(SELECT count(*) FROM pa JOIN pb USING (sheet, cell) WHERE pa.formula <> pb.formula) AS nc, "
+          "(SELECT count(*) FROM fa JOIN fb USING (f)) * 100.0 / (SELECT count(*) FROM (SELECT f FROM fa UNION SELECT f FROM fb)) AS o"))))
+def q_f8a(spark, sf):
+    a, b = parsed(spark, sf), parsed(spark, sf, "fx_cells_b")
+    return C.diff_advice(C.formula_diff(a, b), C.function_overlap(a, b))
+
+
 @register("F9_formula_statistics", W(f"""
 SELECT count(*) AS total_formulas, count(DISTINCT (book, sheet)) AS total_sheets_with_formulas,
   {S('round(count(*) * 1.0 / count(DISTINCT (book, sheet)), 1)', 'average_formulas_per_sheet')},
@@ -203,7 +237,7 @@ _W = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in G.CATEGORY_WEIGHTS.items
 
 @register("G3_significance", W(f"""
 SELECT sheet, cell, score, changes, (SELECT count(*) FROM s) AS significant_cells,
-  CASE WHEN (SELECT avg(score) FROM s) >= 8 THEN 'high' WHEN (SELECT avg(score) FROM s) >= 5 THEN 'medium' ELSE 'low' END AS impact
+  CASE WHEN (SELECT avg(score) FROM s) > 8 THEN 'high' WHEN (SELECT avg(score) FROM s) > 5 THEN 'medium' ELSE 'low' END AS impact
 FROM s ORDER BY score DESC, sheet, cell LIMIT 20""", *WA, ctes=(
     ("d", _DIFF),
     ("s", f"SELECT sheet, cell, sum(coalesce(w.weight, 1)) AS score, count(*) AS changes FROM d LEFT JOIN {_W} "
@@ -214,6 +248,18 @@ def q_g3(spark, sf):
                                                           "significant_cells", "impact")
 
 
+@register("G3_change_impact", W(f"""
+SELECT count(*) AS total_significant_changes, {S('avg(score)', 'average_significance_score')},
+  CASE WHEN count(*) = 0 THEN 'none' WHEN avg(score) > 8 THEN 'high' WHEN avg(score) > 5 THEN 'medium' ELSE 'low' END AS impact_level
+FROM s""", *WA, ctes=(
+    ("d", _DIFF),
+    ("s", f"SELECT sheet, cell, CAST(sum(coalesce(w.weight, 1)) AS DOUBLE) AS score FROM d LEFT JOIN {_W} USING (category) "
+          f"GROUP BY 1, 2 HAVING sum(coalesce(w.weight, 1)) > 3"))))
+def q_g3i(spark, sf):
+    a, b = attrs(spark, sf)
+    return round_doubles(G.change_impact(G.attribute_diff(a, b)))
+
+
 @register("G4_structure_diff", W("""
 SELECT coalesce(a.sheet, b.sheet) AS sheet, coalesce(a.kind, b.kind) AS kind, coalesce(a.id, b.id) AS id,
   coalesce(a.attr, b.attr) AS attr, a.value AS value_a, b.value AS value_b,

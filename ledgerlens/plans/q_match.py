@@ -134,12 +134,13 @@ SELECT target AS _target, sum(n) AS rows, sum(CASE WHEN t = 'Exact' THEN n ELSE
   sum(CASE WHEN t IS NULL THEN n ELSE 0 END) AS unmatched,
   round((sum(CASE WHEN t = 'Exact' THEN n ELSE 0 END) + sum(CASE WHEN t = 'Fuzzy' AND score >= 90 THEN n ELSE 0 END))
     * 100.0 / sum(n), 2) AS match_rate
-FROM (SELECT a.target, a.n, r.t, r.score FROM ak2 a LEFT JOIN res r ON r.k = a.tk) GROUP BY target""",
+FROM (SELECT a.target, a.n, CASE WHEN a.k IS NULL THEN nu.t ELSE r.t END AS t, r.score FROM ak2 a LEFT JOIN res r ON r.k = a.tk
+  LEFT JOIN (SELECT DISTINCT target, 'Exact' AS t FROM fx_batch WHERE item IS NULL) nu ON nu.target = a.target) GROUP BY target""",
     fx("fx_match_a", "fx_batch") + [
         ("ak0", f"SELECT {sql_norm('item')} AS k, count(*) AS n FROM fx_match_a GROUP BY 1"),
-        ("ak2", "SELECT concat(t.target, chr(1), k) AS tk, k, n, t.target FROM ak0, "
-                "(VALUES ('T0'), ('T1'), ('T2')) AS t(target) WHERE k IS NOT NULL"),
-        ("bk", f"SELECT concat(target, chr(1), {sql_norm('item')}) AS k, min(id) AS pos FROM fx_batch GROUP BY 1"),
+        ("ak2", "SELECT t.target || chr(1) || k AS tk, k, n, t.target FROM ak0, "
+                "(VALUES ('T0'), ('T1'), ('T2')) AS t(target)"),
+        ("bk", f"SELECT target || chr(1) || {sql_norm('item')} AS k, min(id) AS pos FROM fx_batch WHERE item IS NOT NULL GROUP BY 1"),
         ("ex", "SELECT tk AS k, CAST(100.0 AS DOUBLE) AS score, 'Exact' AS t FROM ak2 WHERE tk IN (SELECT k FROM bk)"),
         ("rest0", "SELECT tk AS k, target FROM ak2 WHERE tk NOT IN (SELECT k FROM bk)"),
         ("rest", "SELECT k FROM rest0"),

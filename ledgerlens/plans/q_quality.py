@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import quality as Q
 from ..operators import textpatterns as X
 from ..sources.fixtures import fixture
@@ -208,21 +210,45 @@ def q_q13(spark, sf):
     return round_doubles(Q.completeness_grade(Q.missing_columns(nulls(spark, sf))))
 
 
-_RISK_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+_RISK_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @register("Q16_risk_profile_lineitem", f"""
-WITH m AS (SELECT {', '.join(f"stddev_samp({c}) AS s{i}, avg({c}) AS m{i}" for i, c in enumerate(_RISK_COLS))},
-  count(*) AS n FROM lineitem),
-v AS (SELECT least(100.0, ({' + '.join(f'CASE WHEN m{i} <> 0 THEN s{i} / abs(m{i}) * 100 ELSE 0.0 END' for i in range(3))}) / 3)
-  AS vol FROM m),
-o AS ({' UNION ALL '.join(f"SELECT sum(CASE WHEN {c} + 0.0 < q1 - 1.5 * (q3 - q1) OR {c} + 0.0 > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) * 100.0 / count(*) AS p FROM lineitem, (SELECT quantile_cont({c} + 0.0, 0.25) AS q1, quantile_cont({c} + 0.0, 0.75) AS q3 FROM lineitem) GROUP BY q1, q3" for c in _RISK_COLS)})
-SELECT {S('vol', 'volatility')}, {S('100 - vol', 'trend_stability')}, {S('100.0', 'completeness')},
-  {S('0.3 * vol + 0.4 * vol + 0.3 * 0.0', 'risk_score')},
-  CASE WHEN 0.3 * vol + 0.4 * vol >= 70 THEN 'High' WHEN 0.3 * vol + 0.4 * vol >= 30 THEN 'Medium' ELSE 'Low' END AS risk_level,
-  (SELECT count(*) FROM o WHERE p > 10) AS columns_with_many_outliers, false AS missing_warning FROM v""")
+WITH m AS (SELECT ({' + '.join(f'stddev_samp({c})' for c in _RISK_COLS)}) / 8 AS vol, ({' + '.join(f'var_samp({c})' for c in _RISK_COLS)}) / 8 AS v,
+  ({' + '.join(f'avg({c})' for c in _RISK_COLS)}) / 8 AS a FROM lineitem),
+r AS (SELECT vol, 1 - v / (a + 1) AS st, least(100.0, greatest(0.0, vol * 0.3 + v / (a + 1) * 0.4)) AS score FROM m),
+o AS ({' UNION ALL '.join(f"SELECT sum(CASE WHEN {c} + 0.0 < q1 - 1.5 * (q3 - q1) OR {c} + 0.0 > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) * 100.0 / count(*) AS p FROM lineitem, (SELECT quantile_cont({c} + 0.0, 0.25) AS q1, quantile_cont({c} + 0.0, 0.75) AS q3 FROM lineitem) GROUP BY q1, q3" for c in _RISK_COLS[:3])})
+SELECT {S('vol', 'volatility')}, {S('st', 'trend_stability')}, {S('100.0', 'completeness')}, {S('score', 'risk_score')},
+  CASE WHEN score < 30 THEN 'Low' WHEN score < 70 THEN 'Medium' ELSE 'High' END AS risk_level,
+  (SELECT count(*) FROM o WHERE p > 10) AS columns_with_many_outliers, false AS missing_warning FROM r""")
 def q_q16(spark, sf):
-    return round_doubles(Q.risk_profile(load(spark, sf, "lineitem"), _RISK_COLS))
+    return round_doubles(Q.risk_profile(load(spark, sf, "lineitem").select(*_RISK_COLS)))
+
+
+@register("Q16_risk_profile_small", W(f"""
+SELECT {S('vol', 'volatility')}, {S('st', 'trend_stability')}, {S('dq', 'completeness')}, {S('score', 'risk_score')},
+  CASE WHEN score < 30 THEN 'Low' WHEN score < 70 THEN 'Medium' ELSE 'High' END AS risk_level, 0 AS columns_with_many_outliers,
+  100 - dq > 10 AS missing_warning
+FROM (SELECT *, least(100.0, greatest(0.0, vol * 0.3 + (1 - st) * 0.4 + (100 - dq) * 0.3)) AS score FROM (
+  SELECT (stddev_samp(grp) + stddev_samp(k)) / 2 AS vol, 1 - (var_samp(grp) + var_samp(k)) / 2 / ((avg(grp) + avg(k)) / 2 + 1) AS st,
+    (count(grp) + count(k) + count(num_text)) * 100.0 / (count(*) * 3) AS dq FROM (SELECT grp, seq % 7 AS k, num_text FROM fx_nulls)))""", "fx_nulls"))
+def q_q16s(spark, sf):
+    df = nulls(spark, sf).selectExpr("grp", "seq % 7 AS k", "num_text")
+    return round_doubles(Q.risk_profile(df).withColumn("columns_with_many_outliers", F.col("columns_with_many_outliers").cast("int")))
+
+
+@register("Q10_every_column", W("""
+SELECT 'flag' AS "column", 'boolean' AS current_type, NULL::VARCHAR AS recommended_type, []::VARCHAR[] AS issues, false AS conversion_possible
+UNION ALL SELECT 'nothing', 'double', NULL, ['Column is completely empty'], false
+UNION ALL SELECT 'no_text', 'string', NULL, ['Column is completely empty'], false
+UNION ALL SELECT 'no_date', 'date', NULL, ['Column is completely empty'], false
+UNION ALL SELECT 'seq', 'bigint', NULL, CASE WHEN n > 0 THEN ['Contains ' || n || ' potential outliers'] ELSE [] END, false
+FROM (SELECT count(*) FILTER (seq < q1 - 1.5 * (q3 - q1) OR seq > q3 + 1.5 * (q3 - q1)) AS n
+  FROM fx_nulls, (SELECT quantile_cont(seq, 0.25) AS q1, quantile_cont(seq, 0.75) AS q3 FROM fx_nulls))""", "fx_nulls"))
+def q_q10e(spark, sf):
+    df = nulls(spark, sf).selectExpr("flag_text = 'yes' AS flag", "cast(null AS double) AS nothing", "cast(null AS string) AS no_text",
+                                     "cast(null AS date) AS no_date", "cast(seq AS bigint) AS seq")
+    return Q.type_validation(df)
 
 
 _X1_COLS = ["num_text", "date_text", "flag_text", "email"]

@@ -117,7 +117,7 @@ SELECT (SELECT count(DISTINCT k) FROM a) AS unique_a, {S('(SELECT (count(*) - co
   (SELECT count(DISTINCT k) FROM b) AS unique_b, {S('(SELECT (count(*) - count(k)) * 100.0 / count(*) FROM b)', 'null_pct_b')},
   (SELECT count(*) FROM (SELECT DISTINCT k FROM a WHERE k IS NOT NULL) JOIN (SELECT DISTINCT k FROM b WHERE k IS NOT NULL)
     USING (k)) AS potential_matches,
-  {S('100 - ((SELECT (count(*) - count(k)) * 100.0 / count(*) FROM a) + (SELECT (count(*) - count(k)) * 100.0 / count(*) FROM b)) / 2', 'readiness_score')}
+  {S('greatest(0.0, 100 - (SELECT (count(*) - count(k)) * 100.0 / count(*) FROM (SELECT k FROM a UNION ALL SELECT k FROM b)))', 'readiness_score')}
 """, "fx_match_a", "fx_match_b", ctes=(("a", f"SELECT {sql_norm('item')} AS k FROM fx_match_a"),
                                        ("b", f"SELECT {sql_norm('item')} AS k FROM fx_match_b"))))
 def q_m9(spark, sf):

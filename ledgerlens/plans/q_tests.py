@@ -27,7 +27,7 @@ def WT(body, ctes=()):
 
 
 @register("H1_ttest_statistics", WT(f"""
-SELECT "column", n1, n2, {S('mean1')}, {S('mean2')}, {S('mean1 - mean2', 'mean_difference')},
+SELECT "column", n1, n2, {S('mean1')}, {S('mean2')}, {S('mean2 - mean1', 'mean_difference')},
   {S('(mean1 - mean2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2))', 't_statistic')},
   CAST(n1 + n2 - 2 AS DOUBLE) AS dof
 FROM (SELECT "column", count(*) FILTER (WHERE sample = 1) AS n1, count(*) FILTER (WHERE sample = 2) AS n2,

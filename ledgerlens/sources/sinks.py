@@ -36,7 +36,7 @@ def statistical_summary(df: DataFrame, name: str) -> DataFrame:
     nums = numeric_columns(df)
     base = attach(sh, ms)
     if nums:
-        cv = df.agg(*[(F.stddev_samp(F.col(f"`{c}`")) / F.abs(F.avg(F.col(f"`{c}`")))).alias(f"cv{i}")
+        cv = df.agg(*[F.try_divide(F.stddev_samp(F.col(f"`{c}`")), F.abs(F.avg(F.col(f"`{c}`")))).alias(f"cv{i}")
                       for i, c in enumerate(nums)])
         best = cv.select(F.explode(F.array(*[F.struct(F.col(f"cv{i}").alias("cv"), F.lit(c).alias("column"))
                                             for i, c in enumerate(nums)])).alias("x")).select("x.*")
