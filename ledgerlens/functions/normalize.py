@@ -26,8 +26,3 @@ def clean_values(c, ignore_case: bool = True) -> Column:
     if ignore_case:
         s = F.regexp_replace(F.regexp_replace(F.lower(s), _EDGE_SPACE, ""), r"\s+", " ")
     return s
-
-
-def composite_key(cols, ignore_case: bool = True, sep: str = " | ") -> Column:
-    """Several normalised keys joined with the reference separator."""
-    return F.concat_ws(sep, *[F.coalesce(norm_key(c, ignore_case), F.lit("nan")) for c in cols])

@@ -108,7 +108,7 @@ def customer_value_summary(df: DataFrame, customer: str, amount: str) -> DataFra
         F.sum(F.when((F.col("a") > F.col("t40")) & (F.col("a") <= F.col("t80")), 1).otherwise(0))
         .alias("medium_value_transactions"),
         F.sum(F.when(F.col("a") <= F.col("t40"), 1).otherwise(0)).alias("low_value_transactions"),
-        (F.max("t80") / F.avg("a")).alias("value_concentration"))
+        F.try_divide(F.max("t80"), F.avg("a")).alias("value_concentration"))
     cv = customer_values(df, customer, amount).select(F.col("value").alias("v")).filter(F.col("v").isNotNull())
     cq = ranks.quantile_wide(cv.select(F.lit("clv").alias("column"), F.col("v").alias("value")), {"c40": 0.4, "c80": 0.8})
     clv = attach(cv, cq.drop("column")).agg(
@@ -124,7 +124,7 @@ def retention(df: DataFrame, customer: str) -> DataFrame:
     """Retention % = customers with more than one row / customers; churn = 100 - retention."""
     f = df.filter(col(customer).isNotNull()).groupBy(col(customer)).agg(F.count(F.lit(1)).alias("n"))
     r = f.agg(F.count(F.lit(1)).alias("customers"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("returning"))
-    rate = F.col("returning") * 100.0 / F.col("customers")
+    rate = F.try_divide(F.col("returning") * 100.0, F.col("customers"))
     return r.select("customers", "returning", rate.alias("retention_rate"), (100 - rate).alias("churn_rate"))
 
 
@@ -134,5 +134,5 @@ def acquisition(df: DataFrame, customer: str, amount: str, marketing: str) -> Da
     c = cv.agg(F.count(F.lit(1)).alias("customers"), F.avg("value").alias("_mv"), F.avg("transactions").alias("_mt"))
     m = df.agg(F.sum(col(marketing)).alias("marketing_spend"))
     x = attach(c, m)
-    return x.select("customers", "marketing_spend", (F.col("marketing_spend") / F.col("customers")).alias("cac"),
+    return x.select("customers", "marketing_spend", F.try_divide("marketing_spend", "customers").alias("cac"),
                     (F.col("_mv") * F.col("_mt") / 12).alias("ltv"))

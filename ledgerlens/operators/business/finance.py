@@ -66,7 +66,7 @@ def sales_growth(df: DataFrame, amount: str, date: str, tie: str) -> DataFrame:
     x = attach(pos, n).withColumn("_h", F.floor(F.col("_n") / 2))
     s = x.agg(F.sum(F.when(F.col("_pos") < F.col("_h"), F.col("_a"))).alias("older_revenue"),
               F.sum(F.when(F.col("_pos") >= F.col("_n") - F.col("_h"), F.col("_a"))).alias("recent_revenue"))
-    g = F.round((F.col("recent_revenue") - F.col("older_revenue")) / F.col("older_revenue") * 100, 2)
+    g = F.round(F.try_divide(F.col("recent_revenue") - F.col("older_revenue"), F.col("older_revenue")) * 100, 2)
     return s.select("older_revenue", "recent_revenue", F.when(F.col("older_revenue") != 0, g).alias("sales_growth"),
                     F.when(F.col("older_revenue") == 0, None).when(g >= 20, "Excellent").when(g >= 10, "Good")
                     .when(g < 0, "Declining").otherwise("Stable").alias("growth_status"))
@@ -105,7 +105,7 @@ def financial_kpis(df: DataFrame, amount: str, date: str | None = None, quantity
     med = ranks.quantile_wide(to_long(df, [amount]), {"median_revenue_per_transaction": 0.5}).drop("column")
     s = df.agg(F.sum(col(amount)).alias("total_revenue"), F.avg(col(amount)).alias("average_revenue_per_transaction"),
                F.stddev_samp(col(amount)).alias("revenue_standard_deviation"), F.count(col(amount)).alias("total_transactions"),
-               (F.count(col(amount)) * 100.0 / F.count(F.lit(1))).alias("transaction_frequency"),
+               F.try_divide(F.count(col(amount)) * 100.0, F.count(F.lit(1))).alias("transaction_frequency"),
                *( [F.sum(col(quantity)).cast("double").alias("total_quantity_sold"),
                    F.avg(col(quantity)).alias("average_quantity_per_transaction")] if quantity else []))
     out = attach(s, med)
@@ -143,10 +143,10 @@ def margins(df: DataFrame, amount: str, cost: str, category: str | None = None)
         F.sum(F.when(F.col("_mp") <= 15, 1).otherwise(0)).alias("low_margin_transactions"),
         F.sum(F.when(F.col("_mp") < 0, 1).otherwise(0)).alias("negative_margin_transactions"))
     grp = F.col("category").cast("string") if category else F.lit("all")
-    med = ranks.quantile_wide(m.select(grp.alias("column"), F.col("_mp").alias("value")),
-                              {"median_margin_percent": 0.5})
+    by = "category" if category else "column"
+    med = ranks.quantile_wide(m.select(grp.alias(by), F.col("_mp").alias("value")), {"median_margin_percent": 0.5}, by)
     if category:
-        g = g.withColumn("category", F.col("category").cast("string")).join(med.withColumnRenamed("column", "category"), "category")
+        g = g.withColumn("category", F.col("category").cast("string")).join(med, "category")
         best = g.agg(F.min_by("category", F.struct((-F.round("total_profit", 2)).alias("a"), F.col("category").alias("b"))).alias("_bp"),
                      F.min_by("category", F.struct((-F.round("average_margin_percent", 2)).alias("a"), F.col("category").alias("b")))
                      .alias("_bm"))

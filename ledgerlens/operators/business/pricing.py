@@ -97,8 +97,8 @@ def price_points(df: DataFrame, amount: str) -> DataFrame:
     tb = cum.agg(F.sum(F.col("value") * top_rows).alias("_top"), F.sum(F.col("value") * bot_rows).alias("_bot"))
     x = attach(bands, tb)
     return x.select("current_average_price", "low_price_transactions", "medium_price_transactions", "high_price_transactions",
-                    (F.col("_top") / F.col("_total") * 100).alias("top_20_percent_contribution"),
-                    (F.col("_bot") / F.col("_total") * 100).alias("bottom_20_percent_contribution"))
+                    (F.try_divide("_top", "_total") * 100).alias("top_20_percent_contribution"),
+                    (F.try_divide("_bot", "_total") * 100).alias("bottom_20_percent_contribution"))
 
 
 def category_optimisation(df: DataFrame, category: str, amount: str) -> DataFrame:

@@ -17,7 +17,7 @@ def product_overview(df: DataFrame, product: str) -> DataFrame:
     s = vc.agg(F.count(F.lit(1)).alias("total_products"),
                F.min_by("p", F.struct((-F.col("n")).alias("a"), F.col("p").alias("b"))).alias("most_popular_product"),
                F.min_by("p", F.struct(F.col("n").alias("a"), F.col("p").alias("b"))).alias("least_popular_product"))
-    return attach(s, rows).withColumn("product_diversity_index", F.col("total_products") / F.col("_rows")).drop("_rows")
+    return attach(s, rows).withColumn("product_diversity_index", F.try_divide("total_products", "_rows")).drop("_rows")
 
 
 def product_performance(df: DataFrame, product: str, amount: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ...functions.dates import parse_date
 from ...functions.normalize import col
 from ..profile import NUMERIC
 
@@ -24,7 +25,7 @@ def _has(name: str, words) -> bool:
     return any(w in n for w in words)
 
 
-def roles(df: DataFrame, date_sample_formats=("yyyy-MM-dd", "MM/dd/yyyy")) -> DataFrame:
+def roles(df: DataFrame, date_formats=None) -> DataFrame:
     """One row per column: type, unique ratio and role flags (date, amount, category, rating, id, customer).
 
     Dates need a date/timestamp type, or a date keyword and text values that
@@ -35,14 +36,14 @@ def roles(df: DataFrame, date_sample_formats=("yyyy-MM-dd", "MM/dd/yyyy")) -> Da
     for i, f in enumerate(fields):
         aggs.append(F.count_distinct(col(f.name)).alias(f"u{i}"))
         if isinstance(f.dataType, T.StringType) and _has(f.name, DATE_WORDS):
-            parsed = F.coalesce(*[F.try_to_timestamp(col(f.name), F.lit(p)) for p in date_sample_formats])
+            parsed = parse_date(col(f.name), date_formats)
             aggs.append(F.min(F.when(col(f.name).isNull() | parsed.isNotNull(), 1).otherwise(0)).alias(f"d{i}"))
     one = df.agg(*aggs)
     rows = []
     for i, f in enumerate(fields):
         numeric = isinstance(f.dataType, NUMERIC)
         text = isinstance(f.dataType, T.StringType)
-        ratio = F.col(f"u{i}") / F.col("_n")
+        ratio = F.try_divide(F.col(f"u{i}"), F.col("_n"))
         if isinstance(f.dataType, DATE_TYPES):
             is_date = F.lit(True)
         elif text and _has(f.name, DATE_WORDS):

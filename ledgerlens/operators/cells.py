@@ -182,11 +182,11 @@ def formula_statistics(parsed: DataFrame) -> DataFrame:
                    F.sum(F.when(F.col("complexity") > 15, 1).otherwise(0)).cast("long").alias("complex_formulas"))
     x = attach(attach(s, med), fs)
     return x.select("total_formulas", "total_sheets_with_formulas",
-                    F.round(F.col("total_formulas") / F.col("total_sheets_with_formulas"), 1).alias("average_formulas_per_sheet"),
+                    F.round(F.try_divide("total_formulas", "total_sheets_with_formulas"), 1).alias("average_formulas_per_sheet"),
                     "unique_functions_used", "most_complex_formula_score", "average_complexity",
                     F.round("_med", 1).alias("median_complexity"), "complexity_std", "simple_formulas", "moderate_formulas",
                     "complex_formulas", "total_function_calls",
-                    F.round(F.col("unique_functions_used") / F.col("total_function_calls") * 100, 1).alias("function_diversity_score"))
+                    F.round(F.try_divide("unique_functions_used", "total_function_calls") * 100, 1).alias("function_diversity_score"))
 
 
 def top_functions(parsed: DataFrame, k: int = 10) -> DataFrame:

@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.normalize import col
 from .frames import attach
@@ -151,7 +150,3 @@ def consolidate(tables: dict[str, DataFrame], strategy: str = "union", **kw) ->
     if strategy == "schema":
         return catalogue(tables)
     raise ValueError(strategy)
-
-
-def is_numeric(dt) -> bool:
-    return isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType))

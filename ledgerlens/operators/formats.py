@@ -46,7 +46,7 @@ def diff_summary(diff: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     ch = diff.groupBy("category").agg(F.count(F.lit(1)).alias("changes"),
                                       F.sum(F.when(F.col("change") == "modified", 1).otherwise(0)).cast("long").alias("modified"))
     return (tot.join(ch, "category", "left").na.fill(0, ["changes", "modified"])
-            .withColumn("change_percentage", F.col("changes") * 100.0 / F.col("compared")))
+            .withColumn("change_percentage", F.try_divide(F.col("changes") * 100.0, F.col("compared"))))
 
 
 def diff_examples(diff: DataFrame, k: int = 5) -> DataFrame:

@@ -83,11 +83,18 @@ def _fenwick_y_local(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"nd": [out]})
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, blocks: int = 32) -> DataFrame:
+def _cuts(quantiles: list[float]) -> list[float]:
+    """Block borders; a value that fills several quantiles gets a block of its own."""
+    hot = {q for q in quantiles if quantiles.count(q) > 1}
+    return sorted({*quantiles, *(float(np.nextafter(q, -np.inf)) for q in hot)})
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, rows_per_block: int = 50_000) -> DataFrame:
     """Tau-b of two numeric columns over pairwise-complete rows: one row (n, concordant, discordant, tau_b)."""
     pts = df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y")).filter(
         F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    w = pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    w = ranks._checkpoint(pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
+    blocks = max(32, -(-w.count() // rows_per_block))
     long = pts.select(F.explode(F.array(F.struct(F.lit("x").alias("column"), F.col("x").alias("value")),
                                         F.struct(F.lit("y").alias("column"), F.col("y").alias("value")))).alias("kv")
                       ).select("kv.*")
@@ -95,14 +102,13 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, blocks: int = 32) -> DataFrame:
     bounds = {"x": [], "y": []}
     for r in ranks.quantiles(long, probs).collect():  # 2 * (blocks - 1) numbers
         bounds[r["column"]].append(r["q"])
-    bx_b = sorted(set(bounds["x"]))
-    by_b = sorted(set(bounds["y"]))
+    bx_b, by_b = _cuts(bounds["x"]), _cuts(bounds["y"])
     bx = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bx_b]), lambda b: b < F.col("x"))) if bx_b else F.lit(0)
     by = F.size(F.filter(F.array(*[F.lit(float(b)) for b in by_b]), lambda b: b < F.col("y"))) if by_b else F.lit(0)
     wb = w.withColumn("bx", bx.cast("int")).withColumn("by", by.cast("int"))
     # 1. block table (at most blocks x blocks cells)
     cells = wb.groupBy("bx", "by").agg(F.sum("w").alias("c")).collect()
-    grid = np.zeros((blocks + 1, blocks + 1), dtype=np.int64)
+    grid = np.zeros((len(bx_b) + 1, len(by_b) + 1), dtype=np.int64)  # one cell for each block pair
     for r in cells:
         grid[r["bx"], r["by"]] = r["c"]
     # S[a, c] = sum of grid[a' < a, c' > c]
@@ -114,8 +120,11 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, blocks: int = 32) -> DataFrame:
     s_table[1:, :] = before[:-1, :]
     nd_table = int((grid * s_table).sum())
     # 2. / 3. local counts per block
-    nd_x = wb.select("bx", "x", "y", "w").groupBy("bx").applyInPandas(_fenwick_x_local, "nd long")
-    nd_y = wb.select("by", "bx", "y", "w").groupBy("by").applyInPandas(_fenwick_y_local, "nd long")
+    # a block of one value has no pair inside: a hot value needs no task of its own
+    many_x = wb.groupBy("bx").agg((F.min("x") < F.max("x")).alias("many")).filter("many").select("bx")
+    many_y = wb.groupBy("by").agg((F.min("y") < F.max("y")).alias("many")).filter("many").select("by")
+    nd_x = wb.select("bx", "x", "y", "w").join(many_x, "bx").groupBy("bx").applyInPandas(_fenwick_x_local, "nd long")
+    nd_y = wb.select("by", "bx", "y", "w").join(many_y, "by").groupBy("by").applyInPandas(_fenwick_y_local, "nd long")
     local = nd_x.unionByName(nd_y).agg(F.coalesce(F.sum("nd"), F.lit(0)).alias("nd_local"))
     ties = w.agg(F.sum("w").alias("n"), F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("n_xy"))
     tx = w.groupBy("x").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n_x"))

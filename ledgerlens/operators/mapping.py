@@ -121,7 +121,7 @@ def align_columns(a: DataFrame, b: DataFrame) -> DataFrame:
     def prof(df, tag):
         one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
         st = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias(f"type_{tag}"),
-                                          ((F.col("_n") - F.col(f"c{i}")) * 100.0 / F.col("_n")).alias(f"missing_{tag}"))
+                                          F.try_divide((F.col("_n") - F.col(f"c{i}")) * 100.0, F.col("_n")).alias(f"missing_{tag}"))
                                  for i, c in enumerate(df.columns)]))
         return one.select(st.alias("r")).select("r.*")
     j = prof(a, "a").join(prof(b, "b"), "column", "full")

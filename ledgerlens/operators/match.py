@@ -235,4 +235,4 @@ def match_batch(ref: DataFrame, targets: DataFrame, key_ref: str, key_target: st
         .alias("fuzzy_matched"),
         F.sum(F.when(F.col("category") == SUGGESTED, F.col("_n")).otherwise(0)).alias("suggested"),
         F.sum(F.when(F.col("category") == UNMATCHED, F.col("_n")).otherwise(0)).alias("unmatched"))
-        .withColumn("match_rate", F.round((F.col("exact") + F.col("fuzzy_matched")) * 100.0 / F.col("rows"), 2)))
+        .withColumn("match_rate", F.round(F.try_divide((F.col("exact") + F.col("fuzzy_matched")) * 100.0, F.col("rows")), 2)))

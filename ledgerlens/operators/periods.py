@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.normalize import col
@@ -41,17 +40,16 @@ def _first_match(low, patterns):
 def detect_time_patterns(names: DataFrame, name_col: str = "sheet", years: range | None = None) -> DataFrame:
     """(sheet, pattern_type, period) for pattern types matched by at least two table names.
 
-    ``years`` is the range searched for year numbers (the reference uses the
-    current year - 10 .. + 4); pass it explicitly for reproducible results.
+    A year is the smallest number from 1900 to 2099 within the name, or one of ``years`` if given; the clock plays no part.
     """
-    import datetime
-    years = years if years is not None else range(datetime.date.today().year - 10, datetime.date.today().year + 5)
     low = F.lower(col(name_col))
+    found = F.regexp_extract_all(low, F.lit(r"(?=((?:19|20)\d\d))"), 1)
     seq = F.regexp_extract(low, SEQUENTIAL_RE, 0)
     seq_label = F.concat(F.initcap(F.regexp_extract(low, SEQUENTIAL_RE, 1)), F.lit(" "), F.regexp_extract(low, SEQUENTIAL_RE, 2))
     kinds = [("Monthly Time Series", _first_match(low, MONTH_PATTERNS)),
              ("Quarterly Time Series", _first_match(low, QUARTER_PATTERNS)),
-             ("Yearly Time Series", _first_match(low, [(str(y), str(y)) for y in years])),
+             ("Yearly Time Series", F.array_min(found if years is None else F.array_intersect(
+                 found, F.array(*[F.lit(str(y)) for y in years])))),
              ("Sequential Time Series", F.when(seq != "", seq_label))]
     long = names.select(col(name_col).alias("sheet"), F.explode(F.array(*[
         F.struct(F.lit(k).alias("pattern_type"), e.alias("period")) for k, e in kinds])).alias("x")).select("sheet", "x.*")
@@ -127,7 +125,7 @@ def period_changes(df: DataFrame, period: str, numeric: list[str], order: str |
     items = [F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in numeric]
     long = df.select(col(period).alias("period"), F.explode(F.array(*items)).alias("kv")).select("period", "kv.*")
     sums = long.groupBy("period", "column").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("sum"))
-    s = sums.join(F.broadcast(pn), "period")
+    s = sums.join(pn, "period")
     w = Window.partitionBy("column").orderBy("period_no")  # periods x columns rows only
     s = s.withColumn("previous_period", F.lag("period").over(w)).withColumn("previous_sum", F.lag("sum").over(w))
     return (s.filter(F.col("previous_period").isNotNull())
@@ -146,7 +144,7 @@ def baseline_comparison(df: DataFrame, period: str, baseline: str, numeric: list
     long = df.select(col(period).alias("period"), F.explode(F.array(*items)).alias("kv")).select("period", "kv.*")
     v = long.groupBy("period", "column").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
     base = v.filter(F.col("period") == baseline).select("column", F.col("value").alias("baseline_value"))
-    j = v.filter(F.col("period") != baseline).join(F.broadcast(base), "column")
+    j = v.filter(F.col("period") != baseline).join(base, "column")
     diff = F.col("value") - F.col("baseline_value")
     return j.select("period", "column", "value", "baseline_value", diff.alias("difference"),
                     F.when(F.col("baseline_value") != 0, diff / F.col("baseline_value") * 100).otherwise(0.0)
@@ -157,8 +155,3 @@ def historical_report(df: DataFrame, period: str, mode: str, include_variance: b
     """Periods analysed, total records, mode and variance flag."""
     return df.agg(F.count_distinct(col(period)).alias("periods_analyzed"), F.count(F.lit(1)).alias("total_records")).select(
         "periods_analyzed", "total_records", F.lit(mode).alias("analysis_mode"), F.lit(include_variance).alias("include_variance"))
-
-
-def is_text(dt) -> bool:
-    return isinstance(dt, T.StringType)
-

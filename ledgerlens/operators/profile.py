@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.dates import parse_date
 from ..functions.normalize import col
 from . import ranks
 from .frames import attach, top_k
@@ -124,7 +125,7 @@ def outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         F.sum(F.when(F.col("value") == 0, 1).otherwise(0)).alias("zeros_count"),
         F.sum(F.when(F.col("value") < 0, 1).otherwise(0)).alias("negative_count"),
         F.sum(F.when(F.col("value") > 0, 1).otherwise(0)).alias("positive_count"))
-    pct = F.col("outliers_count") * 100.0 / F.col("_n")
+    pct = F.try_divide(F.col("outliers_count") * 100.0, F.col("_n"))
     return (out.withColumn("outliers_percentage", pct)
             .withColumn("severity", F.when(pct > 10, "High").when(pct > 5, "Medium").otherwise("Low")).drop("_n"))
 
@@ -174,7 +175,7 @@ def categorical(df: DataFrame, cols: list[str] | None = None, top: int = 10) ->
     return per.select("column", "unique_values", F.col("_most.value").alias("most_frequent"),
                       F.col("_most.cnt").alias("most_frequent_count"), F.col("_least.value").alias("least_frequent"),
                       F.col("_least.cnt").alias("least_frequent_count"),
-                      (F.col("_len_sum") / F.col("_n")).alias("average_length"), "max_length", "min_length",
+                      F.try_divide("_len_sum", "_n").alias("average_length"), "max_length", "min_length",
                       F.col("empty_strings").cast("long").alias("empty_strings"))
 
 
@@ -186,7 +187,7 @@ def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> Dat
     tot = vc.groupBy("column").agg(F.sum("count").alias("_t"))
     best = top_k(vc, ["column"], [F.desc("count"), F.asc("value")], k)
     return (best.join(F.broadcast(tot), "column")
-            .withColumn("percentage", F.col("count") * 100.0 / F.col("_t")).drop("_t"))
+            .withColumn("percentage", F.try_divide(F.col("count") * 100.0, F.col("_t"))).drop("_t"))
 
 
 def normality(describe_df: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -260,6 +261,22 @@ def key_analysis(df: DataFrame, c: str, top: int = 10) -> DataFrame:
                       ((F.col("unique_values") == F.col("total_rows")) & (F.col("null_count") == 0)).alias("perfect_key"))
 
 
+def matching_quality(df: DataFrame, c: str) -> DataFrame:
+    """Predicted matching quality of a key column: 100, less min(null %, 30) above 5% nulls, less half of what
+    uniqueness lacks to 80%; a perfect key has 100. With its band (80 / 60) and the issues in words."""
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(col(c)).alias("u"), F.sum(F.when(_missing(df, c), 1).otherwise(0)).alias("z"))
+    null_pct = F.coalesce(F.try_divide(F.col("z") * 100.0, "n"), F.lit(0.0))
+    unique = F.coalesce(F.try_divide(F.col("u") * 100.0, "n"), F.lit(0.0))
+    perfect = (F.col("u") == F.col("n")) & (F.col("z") == 0)
+    score = 100 - F.when(null_pct > 5, F.least(null_pct, F.lit(30.0))).otherwise(0.0) - F.when(unique < 80, (80 - unique) * 0.5).otherwise(0.0)
+    score = F.when(perfect, 100.0).otherwise(F.greatest(F.lit(0.0), score))
+    issues = F.when(perfect, F.array(F.lit("Perfect key column - ideal for matching!"))).otherwise(F.filter(F.array(
+        F.when(null_pct > 5, F.lit("Missing data reduces matching accuracy")),
+        F.when(unique < 80, F.format_string("Low uniqueness (%.1f%%) may cause multiple matches", unique))), lambda x: x.isNotNull()))
+    return one.select(F.lit(c).alias("column"), score.alias("matching_quality"), F.when(score >= 80, "Excellent").when(score >= 60, "Good")
+                      .otherwise("Needs Attention").alias("band"), issues.alias("issues"))
+
+
 def dataset_diff(a: DataFrame, b: DataFrame, name_a: str = "A", name_b: str = "B") -> DataFrame:
     """row/column difference, size ratio and missing-% difference of two tables."""
     sa = attach(shape(a), missing_summary(a).drop("total_cells"))
@@ -291,7 +308,7 @@ def category_feed(a: DataFrame, b: DataFrame, c: str, k: int = 10) -> DataFrame:
         tot = vc.agg(F.sum(f"count_{tag}").alias("_t"))
         best = vc.orderBy(F.desc(f"count_{tag}"), F.asc("category")).limit(k)
         return (attach(best, tot)
-                .withColumn(f"share_{tag}", F.col(f"count_{tag}") * 100.0 / F.col("_t")).drop("_t"))
+                .withColumn(f"share_{tag}", F.try_divide(F.col(f"count_{tag}") * 100.0, F.col("_t"))).drop("_t"))
     j = topk(a, "a").join(topk(b, "b"), "category", "full")
     return j.na.fill(0, ["count_a", "count_b"]).na.fill(0.0, ["share_a", "share_b"])
 
@@ -330,8 +347,7 @@ def _date_types():
     return (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def data_types(df: DataFrame, samples: int = 3,
-               date_formats=("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy-MM-dd HH:mm:ss")) -> DataFrame:
+def data_types(df: DataFrame, samples: int = 3, date_formats=None) -> DataFrame:
     """Per column current type, unique and null counts, recommended type and the smallest ``samples`` values.
 
     A6 rule: > 50% null -> cleaning advice; numeric types -> numeric, date types -> datetime (D15: typed columns keep
@@ -344,15 +360,14 @@ def data_types(df: DataFrame, samples: int = 3,
         aggs += [F.count_distinct(c).alias(f"u{i}"), F.sum(F.when(_missing(df, f.name), 1).otherwise(0)).alias(f"z{i}")]
         if isinstance(f.dataType, T.StringType):
             nn = c.isNotNull()
-            shape_ok = c.rlike(r"^\s*\d{1,6}[-/]\d{1,2}[-/]\d{1,6}(\s+\d{1,2}:\d{1,2}:\d{1,2})?\s*$")
-            parsed = F.when(shape_ok, F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in date_formats]))
+            parsed = parse_date(c, date_formats)
             aggs += [F.min(F.when(~nn | c.try_cast("double").isNotNull(), 1).otherwise(0)).alias(f"num{i}"),
                      F.min(F.when(~nn | parsed.isNotNull(), 1).otherwise(0)).alias(f"dt{i}")]
     one = df.agg(*aggs)
     rows = []
     for i, f in enumerate(df.schema.fields):
         u, z, n = F.col(f"u{i}"), F.coalesce(F.col(f"z{i}"), F.lit(0)), F.col("_n")
-        cat = F.when((u / n < 0.1) & (u < 50), "categorical").otherwise("text")
+        cat = F.when((F.try_divide(u, n) < 0.1) & (u < 50), "categorical").otherwise("text")
         if isinstance(f.dataType, NUMERIC):
             typed = F.lit("numeric")
         elif isinstance(f.dataType, _date_types()):
@@ -361,7 +376,7 @@ def data_types(df: DataFrame, samples: int = 3,
             typed = F.when(F.col(f"num{i}") == 1, "numeric").when(F.col(f"dt{i}") == 1, "datetime").otherwise(cat)
         else:
             typed = cat
-        rec = F.when(z / n > 0.5, "High null percentage - consider data cleaning").otherwise(typed)
+        rec = F.when(F.try_divide(z, n) > 0.5, "High null percentage - consider data cleaning").otherwise(typed)
         rows.append(F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
                              F.lit(f.dataType.simpleString()).alias("current_type"), u.alias("unique_values"),
                              z.cast("long").alias("null_values"), rec.alias("recommended_type")))
@@ -405,7 +420,7 @@ def overview_alignment(a: DataFrame, b: DataFrame) -> DataFrame:
     union = len(set(a.columns) | set(b.columns))
     overlap = common * 100.0 / union if union else 0.0
     x = attach(a.agg(F.count(F.lit(1)).alias("rows_a")), b.agg(F.count(F.lit(1)).alias("rows_b")))
-    gap = F.abs(F.col("rows_a") - F.col("rows_b")) * 100.0 / F.greatest("rows_a", "rows_b")
+    gap = F.try_divide(F.abs(F.col("rows_a") - F.col("rows_b")) * 100.0, F.greatest("rows_a", "rows_b"))
     advice = F.concat_ws("; ", F.when(F.lit(overlap) < 50, F.lit("Low column overlap: check that the tables describe the same entity")),
                          F.when(gap > 10, F.lit("Row counts differ by more than 10%: check filters and completeness")))
     return x.select("rows_a", "rows_b", F.lit(na).alias("numeric_a"), F.lit(ta).alias("text_a"), F.lit(da).alias("date_a"),

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.normalize import col
 from ..functions.rules import Rule, rules
 from . import ranks
+from ..functions.dates import DATE_FORMATS, parse_date  # noqa: F401
 from .frames import attach
 from .profile import NUMERIC, _missing, numeric_columns, string_columns
 
@@ -24,9 +25,6 @@ from .profile import NUMERIC, _missing, numeric_columns, string_columns
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0", "y", "n", "t", "f"]
 NUMBER_STRIP = r"[,$%\s]"
 KEY_NAME_WORDS = ["id", "key", "code", "number"]
-# Date formats tried for text-to-date checks (Spark pattern, DuckDB strptime spelling).
-DATE_FORMATS = [("yyyy-MM-dd", "%Y-%m-%d"), ("yyyy/MM/dd", "%Y/%m/%d"), ("MM/dd/yyyy", "%m/%d/%Y"),
-                ("dd-MM-yyyy", "%d-%m-%Y"), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S")]
 
 
 def _n_missing(df: DataFrame, c: str) -> F.Column:
@@ -40,7 +38,7 @@ def missing_columns(df: DataFrame, worst: int = 5) -> DataFrame:
     long = one.select("_n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.coalesce(F.col(f"m{i}"), F.lit(0)).cast("long")
                  .alias("missing_count")) for i, c in enumerate(cols)])).alias("r")).select("_n", "r.*")
-    pct = F.round(F.col("missing_count") * 100.0 / F.col("_n"), 2)
+    pct = F.round(F.try_divide(F.col("missing_count") * 100.0, F.col("_n")), 2)
     from pyspark.sql.window import Window
     # one row per column: this window is over the column list, not over data rows
     w = Window.orderBy(F.desc("missing_percentage"), F.asc("position"))
@@ -49,7 +47,7 @@ def missing_columns(df: DataFrame, worst: int = 5) -> DataFrame:
             .select("column", "missing_count", "missing_percentage",
                     F.when(F.col("_r") <= worst, F.col("_r")).alias("worst_rank"),
                     (F.col("missing_count") == 0).alias("fully_present"),
-                    (F.col("missing_count") * 100.0 / F.col("_n") > 90).alias("mostly_empty")))
+                    (F.try_divide(F.col("missing_count") * 100.0, F.col("_n")) > 90).alias("mostly_empty")))
 
 
 def missing_overview(df: DataFrame) -> DataFrame:
@@ -67,7 +65,7 @@ def missing_overview(df: DataFrame) -> DataFrame:
         "total_rows", F.lit(len(cols)).alias("total_columns"),
         F.coalesce("rows_with_missing_data", F.lit(0)).cast("long").alias("rows_with_missing_data"),
         F.coalesce("completely_empty_rows", F.lit(0)).cast("long").alias("completely_empty_rows"),
-        F.round((cells - F.coalesce("total_missing_cells", F.lit(0))) * 100.0 / cells, 2).alias("overall_completeness"),
+        F.round(F.try_divide((cells - F.coalesce("total_missing_cells", F.lit(0))) * 100.0, cells), 2).alias("overall_completeness"),
         F.coalesce("total_missing_cells", F.lit(0)).cast("long").alias("total_missing_cells"),
         reduce(lambda x, y: x + y, [F.coalesce(F.col(f"h{i}"), F.lit(0)) for i in range(len(cols))]).cast("long")
         .alias("columns_with_missing_data"))
@@ -104,7 +102,7 @@ def duplicates(df: DataFrame) -> DataFrame:
                 F.count(F.lit(1)).alias("unique_rows"))
     return one.select(F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
                       F.coalesce("duplicate_rows", F.lit(0)).cast("long").alias("duplicate_rows"),
-                      F.round(F.col("duplicate_rows") * 100.0 / F.col("rows"), 2).alias("duplicate_percentage"),
+                      F.round(F.try_divide(F.col("duplicate_rows") * 100.0, F.col("rows")), 2).alias("duplicate_percentage"),
                       "unique_rows")
 
 
@@ -141,17 +139,9 @@ def key_candidates(df: DataFrame, first: int = 3) -> DataFrame:
     return chosen.join(dups, "column").withColumn("candidate_rank", F.col("candidate_rank") + 1)
 
 
-# every format in DATE_FORMATS has this shape: values without it are skipped before the (costly) parse attempts
-DATE_SHAPE = r"^\s*\d{1,6}[-/]\d{1,2}[-/]\d{1,6}(\s+\d{1,2}:\d{1,2}:\d{1,2})?\s*$"
-
-
-def _date_parse(c: F.Column) -> F.Column:
-    return F.when(c.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt, _ in DATE_FORMATS]))
-
-
-def conversions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def conversions(df: DataFrame, cols: list[str] | None = None, date_formats=None) -> DataFrame:
     """Q7/Q8/Q9 per text column over all non-null values: number rate (>0.8 -> int64/float64), date rate (>0.7),
-    boolean set. One aggregate (one scan) for all columns."""
+    boolean set. Dates by the shared format list, or by ``date_formats``. One aggregate (one scan) for all columns."""
     cols = cols or string_columns(df)
     flags, aggs = [], []
     for i, c in enumerate(cols):
@@ -163,7 +153,7 @@ def conversions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                   F.when(nn & F.regexp_replace(v, NUMBER_STRIP, "").try_cast("double").isNotNull(), 1).otherwise(0)
                   .alias(f"f_num{i}"),
                   F.when(F.instr(v, ".") > 0, 1).otherwise(0).alias(f"f_dot{i}"),
-                  F.when(nn & _date_parse(v).isNotNull(), 1).otherwise(0).alias(f"f_dt{i}"),
+                  F.when(nn & parse_date(v, date_formats).isNotNull(), 1).otherwise(0).alias(f"f_dt{i}"),
                   F.when(nn, F.when(low.isin(*BOOLEAN_WORDS), 1).otherwise(0)).alias(f"f_ba{i}"),
                   F.when(low.isin(*BOOLEAN_WORDS), F.array_position(F.array(*[F.lit(w) for w in BOOLEAN_WORDS]), low))
                   .alias(f"f_bw{i}")]

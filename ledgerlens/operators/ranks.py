@@ -28,6 +28,12 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _small(df: DataFrame, group: str) -> DataFrame:
+    """Broadcast a table with a row per measured column (bounded by the schema); groups that are data values are left to
+    the adaptive join."""
+    return F.broadcast(df) if group == "column" else df
+
+
 def value_counts(long: DataFrame, group: str = "column") -> DataFrame:
     return long.groupBy(group, "value").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -45,7 +51,7 @@ def cumulative_counts(long: DataFrame, group: str = "column", partitions: int |
     offsets = (totals.withColumn("_off", F.coalesce(F.sum("_pt").over(w_off), F.lit(0)))
                .withColumn("n", F.sum("_pt").over(Window.partitionBy(group))).drop("_pt"))
     w_in = Window.partitionBy("_pid", group).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return (ranged.join(F.broadcast(offsets), ["_pid", group])
+    return (ranged.join(_small(offsets, group), ["_pid", group])
             .withColumn("before", F.col("_off") + F.coalesce(F.sum("cnt").over(w_in), F.lit(0)))
             .drop("_pid", "_off"))
 
@@ -58,7 +64,7 @@ def quantiles(long: DataFrame, probs: list[float], group: str = "column", cum: D
          .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
          .withColumn("h", (F.col("n") - 1) * F.col("p"))
          .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h")))
-    hits = (cum.join(F.broadcast(t.select(group, "p", "h", "lo", "hi")), group)
+    hits = (cum.join(_small(t.select(group, "p", "h", "lo", "hi"), group), group)
             .filter(((F.col("before") <= F.col("lo")) & (F.col("lo") < F.col("before") + F.col("cnt"))) |
                     ((F.col("before") <= F.col("hi")) & (F.col("hi") < F.col("before") + F.col("cnt")))))
     picked = hits.groupBy(group, "p", "h", "lo").agg(

@@ -26,7 +26,7 @@ def quality_score(result: DataFrame) -> DataFrame:
     """M2: 70 * match rate + 20 * exact share - 10 * unmatched share + 10 * mean similarity / 100, clamped 0-100."""
     k = _counts(result)
     t = F.col("total")
-    raw = (F.col("matched") / t * 70 + F.col("exact") / t * 20 - F.col("unmatched") / t * 10
+    raw = (F.try_divide("matched", "total") * 70 + F.try_divide("exact", "total") * 20 - F.try_divide("unmatched", "total") * 10
            + F.coalesce(F.col("avg_similarity"), F.lit(0.0)) / 100 * 10)
     return k.select("*", F.when(t == 0, 0.0).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw))).alias("quality_score"))
 
@@ -72,8 +72,19 @@ def quality_table(result: DataFrame, key: str) -> DataFrame:
     return x.select(st.alias("r")).select("r.*")
 
 
+#: Fixed output texts: the action of each recommendation, in rule order.
+ACTIONS = [
+    "Review key columns for inconsistent formatting, typos, or missing data",
+    "Review suggested matches starting with highest confidence scores",
+    "Investigate if data exists in different format or location",
+    "Establish data quality standards and validation processes",
+    "Schedule periodic comparisons to track data quality over time",
+]
+
+
 def recommendations(result: DataFrame) -> DataFrame:
-    """M4: rule rows: match rate < 0.7, suggested > 20%, unmatched > 30%, plus the two standing process items."""
+    """M4: rule rows with their action: match rate < 0.7, suggested > 20%, unmatched > 30%, plus the two standing process
+    items."""
     k = _counts(result)
     t = F.col("total")
     items = [
@@ -83,7 +94,7 @@ def recommendations(result: DataFrame) -> DataFrame:
         Rule(F.lit(True), "Low", "Process Improvement", "Consider implementing automated data validation rules."),
         Rule(F.lit(True), "Medium", "Monitoring", "Set up regular comparison monitoring for data drift detection."),
     ]
-    return rules(k, items)
+    return rules(k, items).withColumn("action", F.element_at(F.array(*[F.lit(x) for x in ACTIONS]), F.col("rule_no")))
 
 
 def batch_summary(batch: DataFrame, target_col: str = "_target") -> DataFrame:

@@ -63,7 +63,7 @@ def pattern_counts(df: DataFrame, c: str) -> DataFrame:
                                for name, _ in X2_PATTERNS]))
     x = one.select("_n", rows.alias("r")).select("_n", "r.*")
     return (x.filter(F.col("count") > 0)
-            .select("pattern", "count", F.round(F.col("count") * 100.0 / F.col("_n"), 1).alias("percentage")))
+            .select("pattern", "count", F.round(F.try_divide(F.col("count") * 100.0, F.col("_n")), 1).alias("percentage")))
 
 
 def _type_class(dt) -> str:
@@ -113,10 +113,10 @@ def matching_advice(a: DataFrame, ca: str, b: DataFrame, cb: str, threshold: flo
                       F.avg(F.length(col(c).cast("string"))).alias(f"len_{tag}"))
     m = attach(prof(a, ca, "a"), prof(b, cb, "b"))
     both_text = isinstance(a.schema[ca].dataType, T.StringType) and isinstance(b.schema[cb].dataType, T.StringType)
-    null_a = (F.col("n_a") - F.col("nn_a")) * 100.0 / F.col("n_a")
-    null_b = (F.col("n_b") - F.col("nn_b")) * 100.0 / F.col("n_b")
+    null_a = F.try_divide((F.col("n_a") - F.col("nn_a")) * 100.0, F.col("n_a"))
+    null_b = F.try_divide((F.col("n_b") - F.col("nn_b")) * 100.0, F.col("n_b"))
     unique_all = (F.col("u_a") == F.col("n_a")) & (F.col("u_b") == F.col("n_b"))
-    low_unique = (F.col("u_a") / F.col("n_a") < 0.8) | (F.col("u_b") / F.col("n_b") < 0.8)
+    low_unique = (F.try_divide("u_a", "n_a") < 0.8) | (F.try_divide("u_b", "n_b") < 0.8)
     t = F.lit(float(threshold))
     items = [
         Rule((null_a > 20) | (null_b > 20), "High", "Data Cleaning",

@@ -111,9 +111,16 @@ def q_b10(spark, sf):
     return round_doubles(FI.ltv_estimate(sales(spark, sf), "amount", "customer_id"))
 
 
-@register("B11_ratio_insights", None)
+@register("B11_ratio_insights", WF("""
+SELECT 1 AS rule_no, 'Info' AS priority, 'roe' AS category, printf('ROE of %s%% indicates %s profitability', CAST(r AS VARCHAR),
+  CASE WHEN r >= 15 THEN 'strong' WHEN r >= 10 THEN 'moderate' ELSE 'weak' END) AS message FROM x
+UNION ALL SELECT 2, 'Info', 'margin', printf('Net margin of %s%% shows %s performance', CAST(m AS VARCHAR),
+  CASE WHEN m >= 20 THEN 'excellent' WHEN m >= 10 THEN 'good' ELSE 'weak' END) FROM x
+UNION ALL SELECT 3, 'Info', 'liquidity', printf('Current ratio of %s indicates %s liquidity', CAST(c AS VARCHAR),
+  CASE WHEN c >= 2 THEN 'strong' WHEN c >= 1 THEN 'adequate' ELSE 'weak' END) FROM x""", ctes=(
+    ("x", "SELECT round(sum(net_income) / sum(equity) * 100, 2) AS r, round(sum(net_income) / sum(revenue) * 100, 2) AS m, "
+          "round(sum(current_assets) / sum(current_liabilities), 2) AS c FROM fx_finance"),)))
 def q_b11(spark, sf):
-    """Insight sentences from B7/B8 (text rows; row-count check)."""
     f = fin(spark, sf)
     return FI.ratio_insights(FI.liquidity(f, "current_assets", "current_liabilities", "inventory", "cash"),
                              FI.profitability(f, "revenue", "net_income", "cogs", "equity", "total_assets"))

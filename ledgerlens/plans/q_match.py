@@ -127,7 +127,7 @@ def q_match_multi(spark, sf):
         F.element_at(bd, 1).getField("score").alias("s_name"), F.element_at(bd, 2).getField("score").alias("s_brand")))
 
 
-@register("J7_batch_targets", build("""
+J7_SQL = build("""
 SELECT target AS _target, sum(n) AS rows, sum(CASE WHEN t = 'Exact' THEN n ELSE 0 END) AS exact,
   sum(CASE WHEN t = 'Fuzzy' AND score >= 90 THEN n ELSE 0 END) AS fuzzy_matched,
   sum(CASE WHEN t = 'Fuzzy' AND score < 90 THEN n ELSE 0 END) AS suggested,
@@ -161,7 +161,10 @@ FROM (SELECT a.target, a.n, CASE WHEN a.k IS NULL THEN nu.t ELSE r.t END AS t, r
                      "QUALIFY row_number() OVER (PARTITION BY ka ORDER BY CAST(l AS DOUBLE) * 200 / n DESC, pos) = 1"),
          ("res", "SELECT k, score, t FROM ex UNION ALL SELECT k, score, 'Fuzzy' FROM fz_best")]).replace(
     "LCSB", __import__("ledgerlens.plans.sqlparts", fromlist=["lcs_sql"]).lcs_sql(
-        "split_part(p.ka, chr(1), 2)", "split_part(p.kb, chr(1), 2)")))
+        "split_part(p.ka, chr(1), 2)", "split_part(p.kb, chr(1), 2)"))
+
+
+@register("J7_batch_targets", J7_SQL)
 def q_batch(spark, sf):
     """fx_match_a against three target sheets in one job."""
     a = fixture(spark, sf, "fx_match_a")

@@ -210,6 +210,30 @@ def q_a14(spark, sf):
     return round_doubles(P.strong_pairs(c))
 
 
+def _quality_sql(c: str) -> str:
+    return f"""
+SELECT '{c}' AS "column", {S('s', 'matching_quality')}, CASE WHEN s >= 80 THEN 'Excellent' WHEN s >= 60 THEN 'Good' ELSE 'Needs Attention' END AS band,
+  CASE WHEN u = n AND z = 0 THEN ['Perfect key column - ideal for matching!'] ELSE list_filter([
+    CASE WHEN np > 5 THEN 'Missing data reduces matching accuracy' END,
+    CASE WHEN up < 80 THEN printf('Low uniqueness (%.1f%%) may cause multiple matches', up) END], lambda x: x IS NOT NULL) END AS issues
+FROM (SELECT *, CASE WHEN u = n AND z = 0 THEN 100.0 ELSE greatest(0.0, 100 - CASE WHEN np > 5 THEN least(np, 30.0) ELSE 0.0 END
+    - CASE WHEN up < 80 THEN (80 - up) * 0.5 ELSE 0.0 END) END AS s
+  FROM (SELECT n, u, z, z * 100.0 / n AS np, u * 100.0 / n AS up
+    FROM (SELECT count(*) AS n, count(DISTINCT {c}) AS u, count(*) - count({c}) AS z FROM fx_nulls)))"""
+
+
+_QUALITY_COLS = ["src_order", "num", "num_text", "flag_text"]
+
+
+@register("A17_matching_quality", W(" UNION ALL ".join(_quality_sql(c) for c in _QUALITY_COLS), "fx_nulls"))
+def q_a17m(spark, sf):
+    df = fixture(spark, sf, "fx_nulls").select(*NULL_COLS)
+    out = P.matching_quality(df, _QUALITY_COLS[0])
+    for c in _QUALITY_COLS[1:]:
+        out = out.unionByName(P.matching_quality(df, c))
+    return round_doubles(out)
+
+
 @register("A17_key_analysis_orders_custkey", f"""
 SELECT 'o_custkey' AS "column", count(*) AS total_rows, count(DISTINCT o_custkey) AS unique_values,
   CAST(count(*) - count(o_custkey) AS BIGINT) AS null_count,

@@ -194,9 +194,18 @@ def q_q11(spark, sf):
     return round_doubles(Q.quality_report(nulls(spark, sf)))
 
 
-@register("Q12_quality_recommendations", None)
+@register("Q12_quality_recommendations", W("""
+SELECT * FROM (
+  SELECT 1 AS rule_no, 'High' AS priority, 'completeness' AS category,
+    printf('Data completeness is only %s%%; investigate missing data sources.', CAST(oc AS VARCHAR)) AS message FROM rep WHERE oc < 90
+  UNION ALL SELECT 2, 'High', 'missing', printf('Column ''%s'' is %s%% missing; remove or impute it.', "column", CAST(p AS VARCHAR))
+    FROM (SELECT "column", round(missing_count * 100.0 / n, 2) AS p FROM miss WHERE missing_count > 0 ORDER BY p DESC, position LIMIT 1)
+  UNION ALL SELECT 3, 'Medium', 'duplicates', printf('%s%% exact duplicates found; deduplicate.', CAST(dp AS VARCHAR)) FROM rep WHERE dp > 5
+  UNION ALL SELECT 4, 'Medium', 'types', printf('%d columns can be converted to better types.', convertible_columns) FROM rep WHERE convertible_columns > 0
+  UNION ALL SELECT 5, 'Low', 'columns', printf('%d columns are mostly empty (>90%% missing); consider removing them.', k)
+    FROM (SELECT count(*) AS k FROM miss WHERE missing_count * 100.0 / n > 90) WHERE k > 0)""", "fx_nulls",
+    ctes=_REPORT_CTES + (("miss", _MISS_UNPIVOT),)))
 def q_q12(spark, sf):
-    """Q12: rule rows (text messages); checked by row count only."""
     return Q.quality_recommendations(nulls(spark, sf))
 
 
@@ -307,8 +316,32 @@ def q_x3(spark, sf):
     return round_doubles(X.compatibility(a, "item", b, "item"))
 
 
-@register("X4_matching_advice", None)
+_X4 = [
+    ("(na - nna) * 100.0 / na > 20 OR (nb - nnb) * 100.0 / nb > 20", "High", "Data Cleaning", "High missing data detected; clean data before matching."),
+    ("ua = na AND ub = nb AND t < 90", "Medium", "Threshold", "Keys are unique on both sides; a threshold of 90%+ gives better precision."),
+    ("NOT (ua = na AND ub = nb) AND (ua * 1.0 / na < 0.8 OR ub * 1.0 / nb < 0.8) AND t > 70", "Medium", "Threshold",
+     "High duplicate rate; a threshold of 60-70% gives better recall."),
+    ("abs(la - lb) > 10", "Low", "Strategy", "Large key length difference; consider multi-column matching."),
+    ("t < 80", "Low", "Performance", "Thresholds of 80%+ usually work well for names and IDs."),
+]
+
+
+def _x4_sql(a: str, b: str, t: int) -> str:
+    side = lambda c, x: f"SELECT count(*) AS n{x}, count({c}) AS nn{x}, count(DISTINCT {c}) AS u{x}, avg(length({c})) AS l{x} FROM k"
+    return " UNION ALL ".join(f"SELECT {n} AS rule_no, '{p}' AS priority, '{g}' AS category, '{m}' AS message FROM s{t} WHERE {cond}"
+                              for n, (cond, p, g, m) in enumerate(_X4, 1)), (f"s{t}", f"SELECT *, {t} AS t FROM ({side(a, 'a')}), ({side(b, 'b')})")
+
+
+_X4_KEYS = ("SELECT CASE WHEN src_order % 3 > 0 THEN CAST(grp AS VARCHAR) END AS few, CAST(src_order AS VARCHAR) AS id, "
+            "CAST(src_order AS VARCHAR) || ' of a long key' AS long_id FROM fx_nulls")
+_X4_CASES = [("few", "long_id", 75), ("id", "id", 70), ("id", "long_id", 85)]
+
+
+@register("X4_matching_advice", W(" UNION ALL ".join(f"SELECT '{a} {b} {t}' AS keys, * FROM ({_x4_sql(a, b, t)[0]})" for a, b, t in _X4_CASES),
+                                  "fx_nulls", ctes=(("k", _X4_KEYS), *[_x4_sql(*c)[1] for c in _X4_CASES])))
 def q_x4(spark, sf):
-    """Advice rows for item keys at threshold 80 (text rows; row-count check)."""
-    a, b = fixture(spark, sf, "fx_match_a"), fixture(spark, sf, "fx_match_b")
-    return X.matching_advice(a, "item", b, "item", 80)
+    """X4 for three pairs of keys and thresholds that between them fire every rule."""
+    k = nulls(spark, sf).selectExpr("CASE WHEN src_order % 3 > 0 THEN CAST(grp AS STRING) END AS few", "CAST(src_order AS STRING) AS id",
+                                    "concat(CAST(src_order AS STRING), ' of a long key') AS long_id")
+    parts = [X.matching_advice(k, a, k, b, t).select(F.lit(f"{a} {b} {t}").alias("keys"), "*") for a, b, t in _X4_CASES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -10,7 +10,7 @@ from ..operators import summaries as M
 from ..operators.match import match_batch, match_multi
 from ..sources.fixtures import fixture
 from .common import round_doubles, sig, sql_norm
-from .q_match import match_items, match_result_ctes
+from .q_match import J7_SQL, match_items, match_result_ctes
 from .q_profile import W
 from .registry import register
 from .sqlparts import build
@@ -72,9 +72,19 @@ def q_m3(spark, sf):
     return round_doubles(M.quality_table(match_items(spark, sf), "item"))
 
 
-@register("M4_match_recommendations", None)
+_RULES_M4 = [
+    ("matched * 1.0 / total < 0.7", "High", "Data Quality", "Low match rate detected. Consider data cleansing before comparison."),
+    ("suggested > total * 0.2", "Medium", "Manual Review", "High number of suggested matches require manual verification."),
+    ("unmatched > total * 0.3", "High", "Coverage", "Significant unmatched records indicate potential data gaps."),
+    ("true", "Low", "Process Improvement", "Consider implementing automated data validation rules."),
+    ("true", "Medium", "Monitoring", "Set up regular comparison monitoring for data drift detection."),
+]
+
+
+@register("M4_match_recommendations", M_SQL(" UNION ALL ".join(
+    f"SELECT {n} AS rule_no, '{p}' AS priority, '{c}' AS category, '{m}' AS message, '{M.ACTIONS[n - 1]}' AS action FROM {_K} WHERE {cond}"
+    for n, (cond, p, c, m) in enumerate(_RULES_M4, 1))))
 def q_m4(spark, sf):
-    """M4: rule rows (text; row-count check)."""
     return M.recommendations(match_items(spark, sf))
 
 
@@ -85,9 +95,12 @@ def batch(spark, sf):
                        target_order="id").withColumnRenamed("target", "_target")
 
 
-@register("M5_batch_summary", None)
+@register("M5_batch_summary", f"""
+SELECT b.*, CASE WHEN match_rate >= 80 THEN 'Good' WHEN match_rate >= 50 THEN 'Fair' ELSE 'Poor' END AS status,
+  match_rate = max(match_rate) OVER () AS is_best, match_rate = min(match_rate) OVER () AS is_worst,
+  {S('avg(CASE WHEN match_rate >= 50 THEN 1.0 ELSE 0.0 END) OVER () * 100', 'success_rate')}
+FROM (SELECT * REPLACE ({S('match_rate')}) FROM ({J7_SQL})) b""")
 def q_m5(spark, sf):
-    """M5: batch status bands over the J7 result (J7 itself is oracle-checked)."""
     return round_doubles(M.batch_summary(batch(spark, sf)))
 
 

@@ -89,3 +89,26 @@ def q_h6(spark, sf):
 def q_h7(spark, sf):
     a, b = samples(spark, sf)
     return H.significance_counts(H.compare_tests(a, b, COLS))
+
+
+_H6_CTES = (
+    ("t", """SELECT "column", n1, n2, mean1, mean2, mean2 - mean1 AS mean_difference, n1 + n2 - 2 AS dof,
+      (mean1 - mean2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t_statistic
+      FROM (SELECT "column", count(*) FILTER (sample = 1) AS n1, count(*) FILTER (sample = 2) AS n2, avg(value) FILTER (sample = 1) AS mean1,
+        avg(value) FILTER (sample = 2) AS mean2, var_samp(value) FILTER (sample = 1) AS v1, var_samp(value) FILTER (sample = 2) AS v2 FROM l GROUP BY 1)"""),
+    ("c", """SELECT "column", value, count(*) AS cnt, count(*) FILTER (sample = 1) AS c1, count(*) FILTER (sample = 2) AS c2 FROM l GROUP BY 1, 2"""),
+    ("r", """SELECT *, sum(cnt) OVER w - cnt + (cnt + 1) / 2.0 AS rk, sum(c1) OVER w AS s1, sum(c2) OVER w AS s2, sum(c1) OVER p AS n1, sum(c2) OVER p AS n2
+      FROM c WINDOW w AS (PARTITION BY "column" ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY "column")"""),
+    ("u", """SELECT "column", sum(c1 * rk) - any_value(n1) * (any_value(n1) + 1) / 2 AS u1, any_value(n1)::DOUBLE AS n1, any_value(n2)::DOUBLE AS n2,
+      sum(pow(cnt, 3) - cnt) AS ties, max(abs(s1 / n1 - s2 / n2)) AS ks FROM r GROUP BY 1"""))
+
+
+@register("H6_test_statistics", WT(f"""
+SELECT "column", t.n1, t.n2, {S('mean1')}, {S('mean2')}, {S('mean_difference')}, {S('t_statistic')}, CAST(dof AS DOUBLE) AS dof,
+  {S('u1', 'u_statistic')}, {S('(greatest(u1, u.n1 * u.n2 - u1) - u.n1 * u.n2 / 2 - 0.5) / sqrt(u.n1 * u.n2 / 12 * ((u.n1 + u.n2 + 1) - ties / ((u.n1 + u.n2) * (u.n1 + u.n2 - 1))))', 'z')},
+  {S('ks', 'ks_statistic')} FROM t JOIN u USING ("column")""", ctes=_H6_CTES))
+def q_h6s(spark, sf):
+    """H6 without its p-values, which pytest compares with published values."""
+    a, b = samples(spark, sf)
+    return round_doubles(H.compare_tests(a, b, COLS).select(
+        "column", "n1", "n2", "mean1", "mean2", "mean_difference", "t_statistic", "dof", "u_statistic", "z", "ks_statistic"))

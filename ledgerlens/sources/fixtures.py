@@ -128,12 +128,3 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build one fixture on Spark from the base tables under ``sf_dir``."""
     register_tables(spark, sf_dir)
     return spark.sql(FIXTURE_SQL[name])
-
-
-def with_fixtures(body: str, *names: str, ctes: tuple[tuple[str, str], ...] = ()) -> str:
-    """Prefix an oracle query with the fixtures (and extra CTEs) it reads."""
-    parts = [f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in names]
-    parts += [f"{n} AS ({sql.strip()})" for n, sql in ctes]
-    if not parts:
-        return body.strip()
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +63,3 @@ def export_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
     """Write consolidated / historical outputs, one folder per table."""
     for name, df in tables.items():
         df.write.mode(mode).format(fmt).save(f"{path}/{name}")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -7,7 +7,6 @@ where the schemas agree).
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,9 +72,3 @@ def validate(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             checks.append(F.struct(F.lit("column").alias("check"), F.lit(c).alias("column"), F.lit(False).alias("passed"),
                                    F.lit("column not found").alias("message")))
     return one.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
-
-
-def union_sources(tables: dict[str, DataFrame], source_col: str = "_source") -> DataFrame:
-    """Stack same-schema tables into one DataFrame tagged with the table name."""
-    parts = [df.withColumn(source_col, F.lit(name)) for name, df in tables.items()]
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
