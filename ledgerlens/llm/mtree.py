@@ -11,7 +11,7 @@ routing object. Every row is indexed.
 
 Search: queries in blocks of about QUERIES (broadcast, bounded), each against every tree. Within a tree best-first: the
 page with the highest possible score next, and |D(q, parent) - D(o, parent)| - radius, from stored distances alone,
-tells which pages and vectors need no distance computation. The k-th score of each query against a fixed sample of
+tells which pages and vectors need no distance computation. The k-th score of each query against a sample of about
 SAMPLE rows is the bound to start from. Bounds are rounded in the safe direction and scores are exact integers, so the
 result is exact, ties (smaller id first) included.
 
@@ -174,12 +174,16 @@ PAGES = ("tree long, dim int, page int, parent int, routing array<double>, radiu
          "ids array<bigint>, own array<double>, vectors array<double>")
 
 
+def _sample(vectors: DataFrame, n: int, size: int, seed: int) -> pa.Table:
+    """About `size` of the n rows (all, if fewer). Which rows decides on pruning only, not on results."""
+    return (vectors if n <= size else vectors.where(F.rand(seed) < size / n)).toArrow()
+
+
 def index(vectors: DataFrame, norm2: float, rows: int = ROWS) -> DataFrame:
     """The pages of all trees, written. vectors: (id, v)."""
     spark = vectors.sparkSession
     n = vectors.count()
-    # a bounded sample: each task sends its first CENTRES at most
-    sample = vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(CENTRES).toArrow().column("v").to_pylist()
+    sample = _sample(vectors, n, CENTRES, 5).column("v").to_pylist()
     groups: dict[int, np.ndarray] = {}
     for v in sample:
         groups[len(v)] = np.vstack([groups[len(v)], v]) if len(v) in groups else np.array([v], float)
@@ -252,7 +256,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_co
     norm2 = float(vectors.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n")).agg(F.max("n")).first()[0] or 0.0)
     asked = written(vectors.where(is_query).groupBy("id").agg(F.min("v").alias("v")))
     trees = index(vectors, norm2, rows)
-    sample = vectors.orderBy(F.xxhash64("id", F.lit(6)), "id").limit(SAMPLE).toArrow()
+    sample = _sample(vectors, vectors.count(), SAMPLE, 6)
     n_blocks = max(1, math.ceil(asked.count() / queries))
     result = None
     for block in range(n_blocks):

@@ -10,7 +10,7 @@ Fitting uses a bounded sample of the labelled rows: about SAMPLE rows, chosen by
 made in Spark; the bounded matrix is fitted in numpy. Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: a null or empty text has the features of no words. Labels with a null or unknown grade, and labels of
-no document, don't train; repeated labels or documents train as often as they occur. With fewer than two grades, the
+no document, don't train; equal labels count once, repeated documents train as often as they occur (within the bound). With fewer than two grades, the
 model gives every text the only (or highest) grade. An empty table gives no rows. Only the named columns are read.
 """
 
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
         sample: int = SAMPLE) -> Ordinal:
     """The model of a bounded sample of the labelled rows. grade: a column over labels, 0 .. n_grades - 1."""
     graded = labels.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where(
-        F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1))
+        F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1)).distinct()
     total = graded.count()
     if total > sample:
         graded = graded.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
@@ -141,8 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
             x = [features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.int32()))], names=["grade", "x"])
 
-    # the sample is bounded by its parameter, so it may be broadcast
-    got = rows.join(F.broadcast(graded), "id").select("text", "grade").mapInArrow(run, "grade int, x array<int>").toArrow()
+    # the sample is bounded by its parameter, so it may be broadcast; ids that repeat in docs mustn't break the bound
+    met = rows.join(F.broadcast(graded), "id")
+    n = met.count()
+    if n > 2 * sample:
+        met = met.where(F.rand(3) < sample / n)
+    got = met.select("text", "grade").mapInArrow(run, "grade int, x array<int>").toArrow()
     lists = got.column("x").combine_chunks()
     values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
     return fit_ordinal([values[i:j] for i, j in zip(ends[:-1], ends[1:])], got.column("grade").to_numpy(), n_grades)
