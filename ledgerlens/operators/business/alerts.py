@@ -276,17 +276,21 @@ def recommendations(df: DataFrame, amount: str, rating: str | None, product: str
     return rules(m, items, limit=limit)
 
 
-def kpi_scorecard(kpis: DataFrame, units: dict[str, str]) -> DataFrame:
-    """One row per KPI column of a one-row table: name, value, unit, status from the value's band words."""
-    names = list(units)
-    st = F.explode(F.array(*[F.struct(F.lit(n).alias("kpi"), F.col(n).cast("double").alias("value"),
-                                      F.lit(units[n]).alias("unit")) for n in names]))
-    return kpis.select(st.alias("k")).select("k.*")
+def kpi_scorecard(kpis: DataFrame, units: dict[str, str], bands: dict[str, str] | None = None) -> DataFrame:
+    """One row per KPI column of a one-row table: name, value, unit, interpretation (from the KPI's band column) and
+    status colour: green for excellent, good or strong, red for concerning, poor or critical, else orange."""
+    bands = bands or {}
+    st = F.explode(F.array(*[F.struct(F.lit(n).alias("kpi"), F.col(n).cast("double").alias("value"), F.lit(u).alias("unit"),
+                                      F.coalesce(F.col(bands[n]) if n in bands else F.lit(None).cast("string"), F.lit("Unknown"))
+                                      .alias("interpretation")) for n, u in units.items()]))
+    word = F.lower("interpretation")
+    return kpis.select(st.alias("k")).select("k.*").withColumn("status", F.when(word.rlike("excellent|good|strong"), "green")
+                                                             .when(word.rlike("concerning|poor|critical"), "red").otherwise("orange"))
 
 
 def compare_datasets(a: DataFrame, b: DataFrame, amount: str, customer: str, product: str,
                      name_a: str = "A", name_b: str = "B") -> DataFrame:
-    """Rows, columns, revenue (sum, mean), customers, products per dataset and B - A differences."""
+    """Rows, columns, revenue (sum, mean), customers, products per dataset."""
     def prof(df, name):
         return df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("records"),
                       F.sum(col(amount)).alias("revenue"), F.avg(col(amount)).alias("average_transaction"),
@@ -294,6 +298,29 @@ def compare_datasets(a: DataFrame, b: DataFrame, amount: str, customer: str, pro
     return prof(a, name_a).unionByName(prof(b, name_b))
 
 
+def dataset_differences(profiles: DataFrame, name_a: str = "A", name_b: str = "B") -> DataFrame:
+    """A row per measure of compare_datasets: both values, B - A, and growth % (0 unless A's value is positive)."""
+    names = ["records", "revenue", "average_transaction", "customers", "products"]
+    side = lambda n, t: profiles.filter(F.col("dataset") == n).select(*[F.col(c).cast("double").alias(f"{c}_{t}") for c in names])
+    x = attach(side(name_a, "a"), side(name_b, "b"))
+    rows = x.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(f"{c}_a").alias("dataset_a"), F.col(f"{c}_b").alias("dataset_b"))
+                                        for c in names])).alias("r")).select("r.*")
+    diff = F.col("dataset_b") - F.col("dataset_a")
+    return rows.withColumn("difference", diff).withColumn(
+        "growth_rate", F.when(F.col("dataset_a") > 0, diff / F.col("dataset_a") * 100).otherwise(0.0))
+
+
+def comparison_sentences(differences: DataFrame) -> DataFrame:
+    """Summary sentences on records and revenue."""
+    g, m = F.abs("growth_rate"), F.col("measure")
+    up, down = F.col("difference") > 0, F.col("difference") < 0
+    text = (F.when((m == "records") & up, F.format_string("Dataset B has %.1f%% more records than Dataset A", g))
+            .when((m == "records") & down, F.format_string("Dataset B has %.1f%% fewer records than Dataset A", g))
+            .when((m == "revenue") & up, F.format_string("Revenue increased by %.1f%% in Dataset B", g))
+            .when((m == "revenue") & down, F.format_string("Revenue decreased by %.1f%% in Dataset B", g)))
+    return differences.select("measure", text.alias("sentence")).filter(F.col("sentence").isNotNull())
+
+
 def two_dataset_monthly(a: DataFrame, b: DataFrame, amount: str, date: str) -> DataFrame:
     """Monthly sums of two datasets side by side (full outer join on month, 0 where absent)."""
     ma = a.filter(col(date).isNotNull()).groupBy(month(date).alias("month")).agg(F.sum(col(amount)).alias("revenue_a"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.normalize import col
+from ...functions.rules import band
 from .. import ranks
 from ..frames import attach
 from ..profile import to_long
@@ -121,18 +122,23 @@ def customer_value_summary(df: DataFrame, customer: str, amount: str) -> DataFra
 
 
 def retention(df: DataFrame, customer: str) -> DataFrame:
-    """Retention % = customers with more than one row / customers; churn = 100 - retention."""
+    """Retention % = customers with more than one row / customers (band 80 / 60); churn = 100 - retention (band 20 / 40)."""
     f = df.filter(col(customer).isNotNull()).groupBy(col(customer)).agg(F.count(F.lit(1)).alias("n"))
-    r = f.agg(F.count(F.lit(1)).alias("customers"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("returning"))
-    rate = F.try_divide(F.col("returning") * 100.0, F.col("customers"))
-    return r.select("customers", "returning", rate.alias("retention_rate"), (100 - rate).alias("churn_rate"))
+    r = f.agg(F.count(F.lit(1)).alias("customers"), F.coalesce(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)), F.lit(0)).alias("returning"))
+    rate = F.coalesce(F.try_divide(F.col("returning") * 100.0, F.col("customers")), F.lit(0.0))
+    churn = 100 - rate
+    return r.select("customers", "returning", rate.alias("retention_rate"), churn.alias("churn_rate"),
+                    band(rate, [(80, "Excellent"), (60, "Good")], "Needs Improvement").alias("retention_band"),
+                    F.when(churn <= 20, "Good").when(churn >= 40, "Concerning").otherwise("Moderate").alias("churn_band"))
 
 
 def acquisition(df: DataFrame, customer: str, amount: str, marketing: str) -> DataFrame:
-    """CAC = marketing spend / customers; LTV = mean customer value * mean transactions / 12."""
+    """CAC = marketing spend / customers (band 100 / 500); LTV = mean customer value * mean transactions / 12 (band
+    1000 / 500)."""
     cv = customer_values(df, customer, amount)
     c = cv.agg(F.count(F.lit(1)).alias("customers"), F.avg("value").alias("_mv"), F.avg("transactions").alias("_mt"))
-    m = df.agg(F.sum(col(marketing)).alias("marketing_spend"))
-    x = attach(c, m)
-    return x.select("customers", "marketing_spend", F.try_divide("marketing_spend", "customers").alias("cac"),
-                    (F.col("_mv") * F.col("_mt") / 12).alias("ltv"))
+    x = attach(c, df.agg(F.sum(col(marketing)).alias("marketing_spend")))
+    cac, ltv = F.coalesce(F.try_divide("marketing_spend", "customers"), F.lit(0.0)), F.col("_mv") * F.col("_mt") / 12
+    return x.select("customers", "marketing_spend", cac.alias("cac"), ltv.alias("ltv"),
+                    F.when(cac <= 100, "Efficient").when(cac >= 500, "Expensive").otherwise("Moderate").alias("cac_band"),
+                    band(ltv, [(1000, "High Value"), (500, "Medium Value")], "Low Value").alias("ltv_band"))

@@ -157,11 +157,13 @@ def margins(df: DataFrame, amount: str, cost: str, category: str | None = None)
 
 def fulfilment(df: DataFrame, order_date: str, ship_date: str, status: str,
                on_time_pattern: str = "on.time|delivered|success") -> DataFrame:
-    """Mean cycle days (ship - order); % of the non-null status values that match the pattern in any case, with its
+    """Mean cycle days (ship - order) with their band 2 / 5; % of the non-null status values that match the pattern in any case, with its
     band 95 / 85 (D6 fixed: columns given)."""
     rate = F.try_divide(F.count_if(col(status).cast("string").rlike(f"(?i)({on_time_pattern})")) * 100.0, F.count(col(status)))
     s = df.agg(F.avg(F.datediff(col(ship_date).cast("date"), col(order_date).cast("date"))).alias("avg_cycle_days"),
                F.coalesce(rate, F.lit(0.0)).alias("on_time_percentage"), F.count(col(status)).alias("orders"))
+    days = F.col("avg_cycle_days")
+    s = s.withColumn("cycle_band", F.when(days <= 2, "Excellent").when(days <= 5, "Good").otherwise("Needs Improvement"))
     return s.withColumn("interpretation", band(F.col("on_time_percentage"), [(95, "Excellent"), (85, "Good")], "Needs Improvement"))
 
 
@@ -191,10 +193,24 @@ def project_indices(df: DataFrame, planned_cost: str, actual_cost: str, planned_
 
 
 def banking(df: DataFrame, receivables: str, sales: str, debt: str, equity: str) -> DataFrame:
-    """DSO = mean receivables / (total sales / 365); debt-to-equity = sum debt / sum equity."""
-    s = df.agg(F.avg(col(receivables)).alias("_r"), F.sum(col(sales)).alias("_s"), F.sum(col(debt)).alias("_d"),
-               F.sum(col(equity)).alias("_e"))
-    return s.select(_div(F.col("_r"), F.col("_s") / 365).alias("dso"), _div(F.col("_d"), F.col("_e")).alias("debt_to_equity"))
+    """DSO = mean receivables / (total sales / 365) (band 30 / 45 days); debt-to-equity = sum debt / sum equity (band
+    0.5 / 1); 0 where the divisor isn't positive."""
+    s = df.agg(F.avg(col(receivables)).alias("_r"), (F.sum(col(sales)) / 365).alias("_s"), F.sum(col(debt)).alias("_d"), F.sum(col(equity)).alias("_e"))
+    dso = F.when(F.col("_s") > 0, F.col("_r") / F.col("_s")).otherwise(0.0)
+    dte = F.when(F.col("_e") > 0, F.col("_d") / F.col("_e")).otherwise(0.0)
+    return s.select(dso.alias("dso"), F.when(dso <= 30, "Excellent").when(dso <= 45, "Good").otherwise("Concerning").alias("dso_band"),
+                    dte.alias("debt_to_equity"), F.when(dte <= 0.5, "Conservative").when(dte <= 1, "Moderate").otherwise("Aggressive").alias("debt_band"))
+
+
+def sales_growth_kpi(df: DataFrame, amount: str, date: str, tie: str) -> DataFrame:
+    """B9 as KPI: recent against earlier half (by date) of the rows that have both date and amount; null unless the
+    earlier half is positive; bands 20 / 10 / below 0."""
+    rows = df.filter(col(date).isNotNull() & col(amount).isNotNull()).select(col(date).alias("_d"), col(tie).alias("_t"), col(amount).alias("_a"))
+    x = attach(ranks.row_positions(rows, ["_d", "_t"]), rows.agg(F.count(F.lit(1)).alias("_n"))).withColumn("_h", F.floor(F.col("_n") / 2))
+    s = x.agg(F.sum(F.when(F.col("_pos") < F.col("_h"), F.col("_a"))).alias("_o"), F.sum(F.when(F.col("_pos") >= F.col("_n") - F.col("_h"), F.col("_a"))).alias("_r"))
+    g = F.when(F.col("_o") > 0, (F.col("_r") - F.col("_o")) / F.col("_o") * 100)
+    return s.select(g.alias("sales_growth_percent"), F.when(g >= 20, "Excellent").when(g >= 10, "Good").when(g < 0, "Concerning")
+                    .when(g.isNotNull(), "Stable").alias("interpretation"))
 
 
 def engagement(df: DataFrame, user: str, interactions: str, duration: str) -> DataFrame:

@@ -96,21 +96,25 @@ def trend_slope(df: DataFrame, amount: str, date: str) -> DataFrame:
     r = xd.agg(F.regr_slope("y", "x").alias("slope_per_day"), F.avg("y").alias("_mean"), F.count(F.lit(1)).alias("n"))
     return r.select("slope_per_day", F.when(F.col("_mean") != 0, F.col("slope_per_day") / F.col("_mean") * 100)
                     .alias("slope_pct_of_mean"), "n",
-                    F.when(F.col("n") >= 30, "High").when(F.col("n") >= 10, "Medium").otherwise("Low").alias("confidence"),
-                    F.when(F.col("slope_per_day") > 0, "increasing").when(F.col("slope_per_day") < 0, "decreasing")
-                    .otherwise("flat").alias("direction"))
+                    F.when(F.col("n") >= 30, "Good").when(F.col("n") >= 10, "Moderate").otherwise("Basic").alias("confidence"),
+                    F.when(F.col("slope_per_day") > 0, "Growing").when(F.col("slope_per_day") < 0, "Declining")
+                    .otherwise("Stable").alias("direction"))
 
 
 def anomalies(df: DataFrame, amount: str) -> DataFrame:
-    """Rows beyond 2 sigma (KPI) and 3 sigma (alert) from the mean, above and below."""
-    st = df.agg(F.avg(col(amount)).alias("_m"), F.stddev_samp(col(amount)).alias("_s"))
-    x = attach(df.filter(col(amount).isNotNull()).select(col(amount).alias("a")), st)
-    z = F.try_divide(F.col("a") - F.col("_m"), F.col("_s"))
-    return x.agg(F.max("_m").alias("mean"), F.max("_s").alias("std"),
-                 F.sum(F.when(z > 2, 1).otherwise(0)).alias("above_2sigma"),
-                 F.sum(F.when(z < -2, 1).otherwise(0)).alias("below_2sigma"),
-                 F.sum(F.when(F.abs(z) > 3, 1).otherwise(0)).alias("beyond_3sigma"),
-                 F.count(F.lit(1)).alias("n"))
+    """Values beyond 2 sigma: rate %, count, thresholds and band 10 / 5 (null up to five values); also those above,
+    below, and beyond 3 sigma."""
+    a = df.filter(col(amount).isNotNull()).select(col(amount).cast("double").alias("a"))
+    st = a.agg(F.avg("a").alias("mean"), F.stddev_samp("a").alias("std"), F.count(F.lit(1)).alias("n"))
+    up, low = F.col("a") > F.col("mean") + 2 * F.col("std"), F.col("a") < F.col("mean") - 2 * F.col("std")
+    x = attach(a, st).agg(F.count_if(up).alias("above_2sigma"), F.count_if(low).alias("below_2sigma"),
+                          F.count_if(F.abs(F.col("a") - F.col("mean")) > 3 * F.col("std")).alias("beyond_3sigma"))
+    x = attach(st, x)
+    count = F.col("above_2sigma") + F.col("below_2sigma")
+    rate = F.when(F.col("n") > 5, count * 100.0 / F.col("n"))
+    return x.select("mean", "std", "above_2sigma", "below_2sigma", "beyond_3sigma", "n", rate.alias("anomaly_rate"),
+                    (F.col("mean") + 2 * F.col("std")).alias("threshold_upper"), (F.col("mean") - 2 * F.col("std")).alias("threshold_lower"),
+                    F.when(rate > 10, "High Variance").when(rate > 5, "Normal Variance").when(rate.isNotNull(), "Low Variance").alias("interpretation"))
 
 
 def date_ranges(df: DataFrame, dates: list[str]) -> DataFrame:

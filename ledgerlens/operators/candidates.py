@@ -172,10 +172,12 @@ def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, native: bo
 # B keys are bucketed by length; each A key is routed to every B length its
 # length filter allows; a bucket is split into an (i, j) grid of chunks sized
 # from its row counts, so a hot bucket spreads over many tasks. Inside a task
-# numpy computes the character-bag bound for a whole chunk at once and the
-# bit-parallel LCS runs only on survivors. Only true matches leave the task.
+# matrix products bound the common characters and 2-grams of a whole chunk at
+# once and the bit-parallel LCS runs only on survivors. Only true matches leave the task.
 
 GRID_CHUNK = 1500
+#: Places that the grid evaluator hashes 2-grams to.
+GRAM_SLOTS = 192
 
 
 def lcs_batch(pat_masks, pat_len, text_idx):
@@ -207,16 +209,22 @@ def _grid_fn(threshold: float, distinct_only: bool):
     t = float(threshold)
 
     def encode(keys, vocab):
+        """Lengths, symbol numbers (-1 as padding), and features whose inner products bound the common characters and
+        2-grams of two keys from above: one 0/1 feature for each (symbol, occurrence up to a limit), the occurrences
+        beyond the limit summed apart. Hashed 2-grams that collide only raise the bound."""
         lens = np.array([len(s) for s in keys], dtype=np.int64)
-        width = int(lens.max()) if len(keys) else 0
-        idx = np.full((len(keys), max(width, 1)), -1, dtype=np.int32)
-        bags = np.zeros((len(keys), len(vocab)), dtype=np.uint8 if width < 256 else np.int32)
+        width = max(int(lens.max()) if len(keys) else 0, 1)
+        idx = np.full((len(keys), width), -1, dtype=np.int32)
         for r, s in enumerate(keys):
-            for p, ch in enumerate(s):
-                v = vocab[ch]
-                idx[r, p] = v
-                bags[r, v] += 1
-        return lens, idx, bags
+            idx[r, :len(s)] = [vocab[ch] for ch in s]
+        grams = np.where((idx[:, :-1] >= 0) & (idx[:, 1:] >= 0), (idx[:, :-1] * 7919 + idx[:, 1:]) % GRAM_SLOTS, -1)
+        return lens, idx, counted(idx, len(vocab), 4), counted(grams, GRAM_SLOTS, 2)
+
+    def counted(symbols, size, limit):
+        rows = np.repeat(np.arange(len(symbols)), (symbols >= 0).sum(axis=1))
+        counts = np.bincount(rows * size + symbols[symbols >= 0], minlength=len(symbols) * size).reshape(len(symbols), size)
+        feats = np.concatenate([counts > k for k in range(limit)], axis=1).astype(np.float32)
+        return feats, np.maximum(counts - limit, 0).sum(axis=1).astype(np.float32)
 
     def masks_of(idx, lens, nvocab):
         m = np.zeros((idx.shape[0], nvocab), dtype=np.uint64)
@@ -239,16 +247,20 @@ def _grid_fn(threshold: float, distinct_only: bool):
                 if ch not in vocab:
                     vocab[ch] = len(vocab)
         nv = max(len(vocab), 1)
-        la, xa, ba = encode(ka, vocab)
-        lb, xb, bb = encode(kb, vocab)
+        la, xa, (ca, ea), (ga, ha) = encode(ka, vocab)
+        lb, xb, (cb, eb), (gb, hb) = encode(kb, vocab)
         ma = masks_of(xa, la, nv)
+        slope, icpt = gram_need_factor(t, 2)
         out_a, out_b, out_l = [], [], []
-        step = max(1, 8_000_000 // max(1, len(kb) * nv))
+        step = max(1, 2_000_000 // max(1, len(kb)))
         for s0 in range(0, len(ka), step):
             sl = slice(s0, s0 + step)
-            ov = np.minimum(ba[sl, None, :], bb[None, :, :]).sum(axis=2, dtype=np.int32)
             n = la[sl, None] + lb[None, :]
-            ok = (np.minimum(la[sl, None], lb[None, :]) * 200.0 >= t * n) & (ov * 200.0 >= t * n)
+            common = ca[sl] @ cb.T + np.minimum(ea[sl, None], eb[None, :])
+            ok = (np.minimum(la[sl, None], lb[None, :]) * 200.0 >= t * n) & (common * 200.0 >= t * n)
+            if slope > 0 and ok.any():
+                shared = ga[sl] @ gb.T + np.minimum(ha[sl, None], hb[None, :])
+                ok &= shared >= n * slope + icpt - 1e-6
             if distinct_only:
                 ok &= np.array(ka[sl], dtype=object)[:, None] < np.array(kb, dtype=object)[None, :]
             ii, jj = np.nonzero(ok)

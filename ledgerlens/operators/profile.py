@@ -245,6 +245,12 @@ def strong_pairs(corr: DataFrame, threshold: float = 0.7, very: float = 0.9) ->
             .withColumn("strength", F.when(F.abs("r") > very, "very strong").otherwise("strong")))
 
 
+def correlation_summary(corr: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Number of pairs, strong pairs, and the mean coefficient of all pairs."""
+    return corr.agg(F.count(F.lit(1)).alias("total_pairs"), F.count_if(F.abs("r") > threshold).alias("strong_correlations_count"),
+                    F.avg("r").alias("average_correlation"))
+
+
 def key_analysis(df: DataFrame, c: str, top: int = 10) -> DataFrame:
     """Key column readiness: rows, unique, null %, duplicate %, quality score, perfect-key flag."""
     one = df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct(col(c)).alias("unique_values"),

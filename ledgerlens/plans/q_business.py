@@ -11,6 +11,7 @@ from ..operators.business import pricing as PR
 from ..operators.business import products as PD
 from ..operators.business import roles as RO
 from ..operators.business import sales as SA
+from ..operators.frames import attach
 from ..sources.fixtures import fixture
 from ..sources.tables import load
 from .common import round_doubles, sig
@@ -471,24 +472,29 @@ def q_b36(spark, sf):
 
 
 @register("B37_retention", WS(f"""
-SELECT count(*) AS customers, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS returning,
-  {S('sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) * 100.0 / count(*)', 'retention_rate')},
-  {S('100 - sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) * 100.0 / count(*)', 'churn_rate')}
-FROM (SELECT customer_id, count(*) AS n FROM fx_sales WHERE customer_id IS NOT NULL GROUP BY 1)"""))
+SELECT customers, "returning", {S('r', 'retention_rate')}, {S('100 - r', 'churn_rate')},
+  CASE WHEN r >= 80 THEN 'Excellent' WHEN r >= 60 THEN 'Good' ELSE 'Needs Improvement' END AS retention_band,
+  CASE WHEN 100 - r <= 20 THEN 'Good' WHEN 100 - r >= 40 THEN 'Concerning' ELSE 'Moderate' END AS churn_band
+FROM (SELECT count(*) AS customers, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS "returning",
+  sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) * 100.0 / count(*) AS r
+  FROM (SELECT customer_id, count(*) AS n FROM fx_sales WHERE customer_id IS NOT NULL GROUP BY 1))"""))
 def q_b37(spark, sf):
     return round_doubles(CU.retention(sales(spark, sf), "customer_id"))
 
 
 @register("B38_cac_ltv", WS(f"""
-SELECT count(*) AS customers, {S('(SELECT sum(cost) FROM fx_sales)', 'marketing_spend')},
-  {S('(SELECT sum(cost) FROM fx_sales) / count(*)', 'cac')}, {S('avg(value) * avg(transactions) / 12', 'ltv')}
-FROM cv""", ctes=(("cv", _CV),)))
+SELECT customers, {S('spend', 'marketing_spend')}, {S('cac')}, {S('ltv')},
+  CASE WHEN cac <= 100 THEN 'Efficient' WHEN cac >= 500 THEN 'Expensive' ELSE 'Moderate' END AS cac_band,
+  CASE WHEN ltv >= 1000 THEN 'High Value' WHEN ltv >= 500 THEN 'Medium Value' ELSE 'Low Value' END AS ltv_band
+FROM (SELECT count(*) AS customers, (SELECT sum(cost) FROM fx_sales) AS spend, (SELECT sum(cost) FROM fx_sales) / count(*) AS cac,
+  avg(value) * avg(transactions) / 12 AS ltv FROM cv)""", ctes=(("cv", _CV),)))
 def q_b38(spark, sf):
     return round_doubles(CU.acquisition(sales(spark, sf), "customer_id", "amount", "cost"))
 
 
 @register("B39_fulfilment", f"""
-SELECT avg_cycle_days, on_time_percentage, orders, CASE WHEN on_time_percentage >= 95 THEN 'Excellent' WHEN on_time_percentage >= 85
+SELECT avg_cycle_days, on_time_percentage, orders, CASE WHEN avg_cycle_days <= 2 THEN 'Excellent' WHEN avg_cycle_days <= 5 THEN 'Good'
+  ELSE 'Needs Improvement' END AS cycle_band, CASE WHEN on_time_percentage >= 95 THEN 'Excellent' WHEN on_time_percentage >= 85
   THEN 'Good' ELSE 'Needs Improvement' END AS interpretation FROM (
 SELECT {S("avg(datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)))", 'avg_cycle_days')},
   {S("sum(CASE WHEN regexp_matches(st, '(?i)(on.time|delivered|success)') THEN 1 ELSE 0 END) * 100.0 / count(st)", 'on_time_percentage')},
@@ -529,16 +535,27 @@ def q_b41(spark, sf):
 
 
 @register("B42_dso_debt_equity", WF(f"""
-SELECT {S('avg(current_assets) / (sum(revenue) / 365)', 'dso')}, {S('sum(current_liabilities) / sum(equity)', 'debt_to_equity')}
-FROM fx_finance"""))
+SELECT {S('d', 'dso')}, CASE WHEN d <= 30 THEN 'Excellent' WHEN d <= 45 THEN 'Good' ELSE 'Concerning' END AS dso_band,
+  {S('e', 'debt_to_equity')}, CASE WHEN e <= 0.5 THEN 'Conservative' WHEN e <= 1 THEN 'Moderate' ELSE 'Aggressive' END AS debt_band
+FROM (SELECT avg(current_assets) / (sum(revenue) / 365) AS d, sum(current_liabilities) / sum(equity) AS e FROM fx_finance)"""))
 def q_b42(spark, sf):
     return round_doubles(FI.banking(fin(spark, sf), "current_assets", "revenue", "current_liabilities", "equity"))
 
 
+@register("B9_sales_growth_kpi", WS(f"""
+SELECT {S('g', 'sales_growth_percent')}, CASE WHEN g >= 20 THEN 'Excellent' WHEN g >= 10 THEN 'Good' WHEN g < 0 THEN 'Concerning' ELSE 'Stable' END
+  AS interpretation FROM (SELECT (r - o) / o * 100 AS g FROM (
+  SELECT sum(amount) FILTER (pos < h) AS o, sum(amount) FILTER (pos >= n - h) AS r FROM (
+    SELECT amount, row_number() OVER (ORDER BY order_date, order_id) - 1 AS pos, count(*) OVER () AS n, floor(count(*) OVER () / 2) AS h
+    FROM fx_sales WHERE order_date IS NOT NULL AND amount IS NOT NULL)))"""))
+def q_b9k(spark, sf):
+    return round_doubles(FI.sales_growth_kpi(sales(spark, sf), "amount", "order_date", "order_id"))
+
+
 @register("B43_trend_slope", WS(f"""
 SELECT {S('regr_slope(y, x)', 'slope_per_day')}, {S('regr_slope(y, x) / avg(y) * 100', 'slope_pct_of_mean')}, count(*) AS n,
-  CASE WHEN count(*) >= 30 THEN 'High' WHEN count(*) >= 10 THEN 'Medium' ELSE 'Low' END AS confidence,
-  CASE WHEN regr_slope(y, x) > 0 THEN 'increasing' WHEN regr_slope(y, x) < 0 THEN 'decreasing' ELSE 'flat' END AS direction
+  CASE WHEN count(*) >= 30 THEN 'Good' WHEN count(*) >= 10 THEN 'Moderate' ELSE 'Basic' END AS confidence,
+  CASE WHEN regr_slope(y, x) > 0 THEN 'Growing' WHEN regr_slope(y, x) < 0 THEN 'Declining' ELSE 'Stable' END AS direction
 FROM (SELECT CAST(datediff('day', (SELECT min(CAST(order_date AS DATE)) FROM fx_sales WHERE amount IS NOT NULL),
   CAST(order_date AS DATE)) AS DOUBLE) AS x, amount AS y FROM fx_sales WHERE amount IS NOT NULL AND order_date IS NOT NULL)"""))
 def q_b43(spark, sf):
@@ -546,10 +563,13 @@ def q_b43(spark, sf):
 
 
 @register("B44_anomalies", WS(f"""
-SELECT {S('max(m)', 'mean')}, {S('max(s)', 'std')}, CAST(sum(CASE WHEN (amount - m) / s > 2 THEN 1 ELSE 0 END) AS BIGINT) AS above_2sigma,
-  CAST(sum(CASE WHEN (amount - m) / s < -2 THEN 1 ELSE 0 END) AS BIGINT) AS below_2sigma,
-  CAST(sum(CASE WHEN abs((amount - m) / s) > 3 THEN 1 ELSE 0 END) AS BIGINT) AS beyond_3sigma, count(*) AS n
-FROM fx_sales, (SELECT avg(amount) AS m, stddev_samp(amount) AS s FROM fx_sales) WHERE amount IS NOT NULL"""))
+SELECT {S('m', 'mean')}, {S('s', 'std')}, above_2sigma, below_2sigma, beyond_3sigma, n, {S('(above_2sigma + below_2sigma) * 100.0 / n', 'anomaly_rate')},
+  {S('m + 2 * s', 'threshold_upper')}, {S('m - 2 * s', 'threshold_lower')},
+  CASE WHEN (above_2sigma + below_2sigma) * 100.0 / n > 10 THEN 'High Variance' WHEN (above_2sigma + below_2sigma) * 100.0 / n > 5
+    THEN 'Normal Variance' ELSE 'Low Variance' END AS interpretation
+FROM (SELECT any_value(m) AS m, any_value(s) AS s, count(*) FILTER (amount > m + 2 * s) AS above_2sigma, count(*) FILTER (amount < m - 2 * s) AS below_2sigma,
+  count(*) FILTER (abs(amount - m) > 3 * s) AS beyond_3sigma, count(*) AS n
+  FROM fx_sales, (SELECT avg(amount) AS m, stddev_samp(amount) AS s FROM fx_sales) WHERE amount IS NOT NULL)"""))
 def q_b44(spark, sf):
     return round_doubles(SA.anomalies(sales(spark, sf), "amount"))
 
@@ -773,15 +793,50 @@ def q_b54(spark, sf):
 
 
 @register("B56_kpi_scorecard", WS(f"""
-SELECT kpi, {S('value')}, unit FROM (SELECT sum(amount) AS total_revenue, CAST(count(amount) AS DOUBLE) AS total_transactions,
-  avg(amount) AS average_revenue_per_transaction FROM fx_sales)
-UNPIVOT (value FOR kpi IN (total_revenue, total_transactions, average_revenue_per_transaction))
-JOIN (VALUES ('total_revenue', '$'), ('total_transactions', 'count'), ('average_revenue_per_transaction', '$')) AS u(k, unit)
-ON u.k = kpi"""))
+SELECT kpi, {S('value')}, unit, interpretation, CASE WHEN regexp_matches(lower(interpretation), 'excellent|good|strong') THEN 'green'
+  WHEN regexp_matches(lower(interpretation), 'concerning|poor|critical') THEN 'red' ELSE 'orange' END AS status
+FROM (SELECT 'total_revenue' AS kpi, (SELECT sum(amount) FROM fx_sales) AS value, '$' AS unit, 'Unknown' AS interpretation
+  UNION ALL SELECT 'retention_rate', r, '%', CASE WHEN r >= 80 THEN 'Excellent' WHEN r >= 60 THEN 'Good' ELSE 'Needs Improvement' END FROM x
+  UNION ALL SELECT 'churn_rate', 100 - r, '%', CASE WHEN 100 - r <= 20 THEN 'Good' WHEN 100 - r >= 40 THEN 'Concerning' ELSE 'Moderate' END FROM x)""",
+    ctes=(("x", "SELECT sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) * 100.0 / count(*) AS r FROM (SELECT count(*) AS n FROM fx_sales "
+                "WHERE customer_id IS NOT NULL GROUP BY customer_id)"),)))
 def q_b56(spark, sf):
-    k = FI.financial_kpis(sales(spark, sf), "amount")
-    return round_doubles(AL.kpi_scorecard(k, {"total_revenue": "$", "total_transactions": "count",
-                                              "average_revenue_per_transaction": "$"}))
+    s = sales(spark, sf)
+    k = attach(CU.retention(s, "customer_id"), FI.financial_kpis(s, "amount").select("total_revenue"))
+    return round_doubles(AL.kpi_scorecard(k, {"total_revenue": "$", "retention_rate": "%", "churn_rate": "%"},
+                                          {"retention_rate": "retention_band", "churn_rate": "churn_band"}))
+
+
+_PROFILES = ("p", " UNION ALL ".join(
+    f"SELECT '{n}' AS d, count(*)::DOUBLE AS records, sum(amount) AS revenue, avg(amount) AS average_transaction, "
+    f"count(DISTINCT customer_id)::DOUBLE AS customers, count(DISTINCT product)::DOUBLE AS products FROM fx_sales WHERE {y}"
+    for n, y in (("early", _HALF_A), ("late", _HALF_B))))
+_DIFFS = ("df", " UNION ALL ".join(
+    f"SELECT '{c}' AS measure, a.{c} AS dataset_a, b.{c} AS dataset_b, b.{c} - a.{c} AS difference, "
+    f"CASE WHEN a.{c} > 0 THEN (b.{c} - a.{c}) / a.{c} * 100 ELSE 0.0 END AS growth_rate "
+    f"FROM (FROM p WHERE d = 'early') a, (FROM p WHERE d = 'late') b"
+    for c in ("records", "revenue", "average_transaction", "customers", "products")))
+
+
+def _differences(spark, sf):
+    a, b = _halves(spark, sf)
+    return AL.dataset_differences(AL.compare_datasets(a, b, "amount", "customer_id", "product", "early", "late"), "early", "late")
+
+
+@register("B36_differences", WS(f"SELECT measure, {S('dataset_a')}, {S('dataset_b')}, {S('difference')}, {S('growth_rate')} FROM df",
+                                ctes=(_PROFILES, _DIFFS)))
+def q_b36d(spark, sf):
+    return round_doubles(_differences(spark, sf))
+
+
+@register("B36_sentences", WS("""
+SELECT measure, CASE measure WHEN 'records' THEN printf(CASE WHEN difference > 0 THEN 'Dataset B has %.1f%% more records than Dataset A'
+    ELSE 'Dataset B has %.1f%% fewer records than Dataset A' END, abs(growth_rate))
+  ELSE printf(CASE WHEN difference > 0 THEN 'Revenue increased by %.1f%% in Dataset B' ELSE 'Revenue decreased by %.1f%% in Dataset B' END,
+    abs(growth_rate)) END AS sentence
+FROM df WHERE measure IN ('records', 'revenue') AND difference <> 0""", ctes=(_PROFILES, _DIFFS)))
+def q_b36s(spark, sf):
+    return AL.comparison_sentences(_differences(spark, sf))
 
 
 @register("B57_two_dataset_monthly", WS(f"""

@@ -210,6 +210,13 @@ def q_a14(spark, sf):
     return round_doubles(P.strong_pairs(c))
 
 
+@register("A14_correlation_summary", "SELECT count(*) AS total_pairs, count(*) FILTER (abs(r) > 0.7) AS strong_correlations_count, "
+          + S("avg(r)", "average_correlation") + " FROM (" + " UNION ALL ".join(
+    f"SELECT corr({a}, {b}) AS r FROM lineitem" for i, a in enumerate(LI_NUM) for b in LI_NUM[i + 1:]) + ")")
+def q_a14s(spark, sf):
+    return round_doubles(P.correlation_summary(P.correlations(load(spark, sf, "lineitem"), LI_NUM)))
+
+
 def _quality_sql(c: str) -> str:
     return f"""
 SELECT '{c}' AS "column", {S('s', 'matching_quality')}, CASE WHEN s >= 80 THEN 'Excellent' WHEN s >= 60 THEN 'Good' ELSE 'Needs Attention' END AS band,
