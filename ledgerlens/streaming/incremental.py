@@ -9,6 +9,8 @@ DataFrame; Spark re-reads it per batch (cache it when it fits).
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,9 +23,10 @@ def match_stream(stream: DataFrame, b: DataFrame, key_a: str, key_b: str, out_pa
                  trigger_available_now: bool = True, query_name: str | None = None) -> StreamingQuery:
     """Start a streaming query that matches every micro-batch of ``stream`` against ``b`` and appends the rows
     (partitioned by category) under ``out_path/batch_id=<id>``; rewriting a batch id overwrites only that batch,
-    so a replay after failure does not duplicate rows."""
+    so a replay after failure does not duplicate rows. Without a name the stream is known by its output path, so a restart goes on
+    where it stopped (on a cluster, where the checkpoint folder is kept)."""
     spark = stream.sparkSession
-    base = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{query_name or 'match'}"
+    base = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{query_name or md5(out_path.encode()).hexdigest()}"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         res = match(batch, b, key_a, key_b, extract=extract, threshold=threshold, b_order=b_order)
