@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import discard, written
 
+#: Edges that a task of a propagation round takes, about.
+ROWS_PER_TASK = 100_000
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
@@ -72,14 +74,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -
     """
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     steps = written(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("p")))
+    # a round works on so many rows at most: as many tasks as they need, not as many as shuffles are set to
+    tasks = max(8, -(-steps.count() // ROWS_PER_TASK))
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
-    start = written(seeds.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass")))
+    start = written(seeds.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass")).coalesce(tasks))
     mass = start
     for _ in range(rounds):
         moved = steps.join(mass, (steps["kind"] == mass["kind"]) & (steps["src"] == mass["host"])).select(
-            steps["kind"], F.col("dst").alias("host"), (F.col("p") * F.col("mass") * damping).alias("mass"))
+            steps["kind"], F.col("dst").alias("host"), (F.col("p") * F.col("mass") * damping).alias("mass")).coalesce(tasks)
         back = start.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-        new = written(moved.union(back).groupBy("kind", "host").agg(F.sum("mass").alias("mass")))
+        new = written(moved.union(back).groupBy("kind", "host").agg(F.sum("mass").alias("mass")).coalesce(tasks))
         if mass is not start:
             discard(mass)
         mass = new
