@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import sliced, written
 from ledgerlens.llm.tokens import rank_encoder, token_sizes
 
 ESCAPE = "\\"
@@ -87,7 +87,7 @@ def format_turns(df: DataFrame, tokenizer: str, template: Template = Template(),
     def run(batches):
         enc = rank_encoder(tokenizer)
         reserved = template.ids(first_reserved(tokenizer))
-        for b in batches:
+        for b in sliced(batches):
             out = [[], [], []]
             for role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 ids = [reserved[template.turn], *enc.encode_ordinary(template.escape(role)), reserved[template.sep]]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,14 +90,22 @@ def frequent(df: DataFrame, count_col: str, most: int) -> int:
     return least
 
 
+def sliced(batches, most: int = 8 << 20):
+    """Arrow batches in slices of about `most` bytes: what a task makes of a slice at once stays small."""
+    for b in batches:
+        step = max(1, int(b.num_rows * most / max(1, b.nbytes)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def filtered(df: DataFrame, column: str, decide) -> DataFrame:
     """The rows of df, all columns as they are, for whose text `decide(text or "")` is true; no join, no shuffle."""
-    import pyarrow as pa
-
     at = df.columns.index(column)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             keep = pa.array([bool(decide(t or "")) for t in b.column(at).to_pylist()], pa.bool_())
             yield b.filter(keep)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import filtered, written
+from ledgerlens.llm.common import filtered, sliced, written
 
 #: Shingles of items that are broadcast at once, about.
 BLOCK = 500_000
@@ -157,7 +157,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     out = None
     for shared, part in blocks(bench, "item_text", width, threshold, block):
         def run(batches, shared=shared):
-            for b in batches:
+            for b in sliced(batches):
                 at, found = [], []
                 for k, text in enumerate(b.column(1).to_pylist()):
                     for x in search(text, shared.value, threshold):

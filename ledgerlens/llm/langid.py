@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import discard, filtered, frequent, written
+from ledgerlens.llm.common import discard, filtered, frequent, sliced, written
 
 MOST_WORDS = 100_000
 MOST_GRAMS = 200_000
@@ -65,7 +65,7 @@ def _counted(rows: DataFrame, pairs, unit: str) -> DataFrame:
             held.clear()
             return batch
 
-        for b in batches:
+        for b in sliced(batches):
             for _ in pairs(b, held):
                 if sum(map(len, held.values())) > FLUSH:
                     yield emit()
@@ -186,7 +186,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             got = [shared.value.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()),
                                               pa.array([s for _, s in got], pa.float64())], names=["id", "lang_pred", "score"])

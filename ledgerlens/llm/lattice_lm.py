@@ -34,7 +34,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import discard, frequent, written
+from ledgerlens.llm.common import discard, frequent, sliced, written
 
 #: Most words broadcast with their scores.
 HOT = 100_000
@@ -227,7 +227,7 @@ def count_words(rows: DataFrame) -> DataFrame:
             trained.clear()
             return batch
 
-        for b in batches:
+        for b in sliced(batches):
             for text, train in zip(b.column(0).cast(pa.large_binary()).to_pylist(), b.column(1).to_pylist()):
                 w = words_of(text)
                 seen.update(w)
@@ -301,7 +301,7 @@ def score_texts(df: DataFrame, train: Column, model_file: str, id_col: str = "do
 
     def score(batches):
         place, base, model, is_known = shared.value
-        for b in batches:
+        for b in sliced(batches):
             out = {k: [] for k in ("n_tokens", "n_known", "base", "score")}
             rare_words, rare_counts, rare_ends = [], [], [0]
             for text in b.column(1).cast(pa.large_binary()).to_pylist():

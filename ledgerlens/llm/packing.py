@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import sliced, written
 from ledgerlens.llm.tokens import encoder
 
 #: Items (pieces or underfull bins) a task packs at once, on average.
@@ -47,7 +47,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_
 
     def run(batches):
         encode = encoder(tokenizer)
-        for b in batches:
+        for b in sliced(batches):
             at, numbers, starts, lengths, sums = [], [], [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 ids = np.append(encode(text or ""), end_id).astype("<u4")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import filtered
+from ledgerlens.llm.common import filtered, sliced
 
 BITS = 18
 #: Bytes of a word's beginning that count as its stem.
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             x = [features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.int32()))], names=["grade", "x"])
 
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             tails = [shared.value.tails(features(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array(tails, pa.list_(pa.float64()))],

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ledgerlens.llm.common import components, written
+from ledgerlens.llm.common import components, sliced, written
 
 SEED = 42
 #: Fingerprints of one key compared in one piece.
@@ -61,7 +61,7 @@ def fingerprint(text: bytes, width: int) -> int:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
     """(id, fp): the 64-bit fingerprint of each row's whole text as a signed long."""
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).cast(pa.large_binary()).to_pylist()
             fps = np.fromiter((fingerprint(t or b"", shingle_words) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])

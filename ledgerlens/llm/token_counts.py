@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import sliced
 from ledgerlens.llm.tokens import rank_encoder, token_sizes
 
 RULES = ("start", "end", "middle", "share")
@@ -102,7 +103,7 @@ def section_counts(df: DataFrame, sections: Column | Callable, tokenizer: str, r
     names = ["id", "section", "start", "end", "n_tokens", "n_crossing"]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             lists = b.column(2)
             spans, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
             given_low, given_high = spans.field("start").to_numpy(), spans.field("end").to_numpy()
