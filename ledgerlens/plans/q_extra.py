@@ -10,7 +10,7 @@ from ..sources.fixtures import fixture
 from ..sources.tables import load
 from .common import round_doubles, sig
 from .q_profile import NULL_COLS, W
-from .q_quality import _CONV, _OUTL, _VALID
+from .q_quality import _CONV, _DATE_SQL, _OUTL, _REPORT_CTES, _TYPES, _VALID
 from .registry import register
 
 
@@ -18,15 +18,35 @@ def S(x, alias=None):
     return f"{sig(x)} AS {alias or x}"
 
 
-@register("A5_A6_data_types", None)
+def _smallest(c: str, table: str) -> str:
+    return f"(SELECT list(v ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {table} WHERE {c} IS NOT NULL ORDER BY v LIMIT 3))"
+
+
+def _types_sql(k: int, c: str, kind: str) -> str:
+    """A5/A6 of one column of fx_nulls."""
+    v = f"CAST({c} AS VARCHAR)"
+    text = f"""CASE WHEN bool_and({c} IS NULL OR TRY_CAST({v} AS DOUBLE) IS NOT NULL) THEN 'numeric'
+      WHEN bool_and({c} IS NULL OR {_DATE_SQL.replace("(v,", f"({v},")} IS NOT NULL) THEN 'datetime'
+      WHEN count(DISTINCT {c}) * 1.0 / count(*) < 0.1 AND count(DISTINCT {c}) < 50 THEN 'categorical' ELSE 'text' END"""
+    return f"""SELECT {k} AS position, '{c}' AS "column", '{kind}' AS current_type, count(DISTINCT {c}) AS unique_values,
+  CAST(count(*) - count({c}) AS BIGINT) AS null_values, CASE WHEN (count(*) - count({c})) * 1.0 / count(*) > 0.5
+    THEN 'High null percentage - consider data cleaning' ELSE {text if kind == 'string' else "'numeric'"} END AS recommended_type,
+  {_smallest(c, 'fx_nulls')} AS sample_values FROM fx_nulls"""
+
+
+@register("A5_A6_data_types", W(" UNION ALL ".join(_types_sql(k, c, _TYPES.get(c, "string")) for k, c in enumerate(NULL_COLS)), "fx_nulls"))
 def q_a5(spark, sf):
-    """Types, counts, recommended type and sample values of fx_nulls."""
     return P.data_types(fixture(spark, sf, "fx_nulls").select(*NULL_COLS))
 
 
-@register("A16_column_info", None)
+_ORDERS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+           ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+
+
+@register("A16_column_info", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{t}' AS current_type, CAST(count(*) - count({c}) AS BIGINT) AS null_values,
+  count(DISTINCT {c}) AS unique_values, {_smallest(c, 'orders')} AS sample_values FROM orders""" for c, t in _ORDERS))
 def q_a16(spark, sf):
-    """Quick column info (type, nulls, unique, samples) of orders."""
     return P.data_types(load(spark, sf, "orders")).select("column", "current_type", "null_values", "unique_values",
                                                           "sample_values")
 
@@ -73,17 +93,38 @@ def q_b6(spark, sf):
     return SA.date_ranges(fixture(spark, sf, "fx_sales"), ["order_date"])
 
 
-@register("B6_key_insights", None)
+@register("B6_key_insights", W(" UNION ALL ".join(
+    [f"SELECT {k} AS position, printf('Total {c}: %.2f | Average: %.2f', sum({c}), avg({c})) AS insight FROM fx_sales" for k, c in enumerate(("amount", "cost"))]
+    + [f"SELECT {k}, (SELECT printf('Top {c}: %s (%d records)', v, n) FROM (SELECT {c} AS v, count(*) AS n FROM fx_sales WHERE {c} IS NOT NULL "
+       f"GROUP BY 1 ORDER BY n DESC, v LIMIT 1))" for k, c in ((2, "category"), (3, "product"))]
+    + ["SELECT 4, printf('Average rating: %.2f', avg(rating)) FROM fx_sales", "SELECT 5, 'Data spans 1 time dimension(s)'"]), "fx_sales"))
 def q_b6i(spark, sf):
-    """Insight lines (formatted text; row-count check)."""
     return SA.key_insights(fixture(spark, sf, "fx_sales"), ["amount", "cost"], ["category", "product"], ["rating"], 1)
 
 
-@register("Q14_quality_comparison", None)
+_Q14_TEXTS = [
+    ("least(ma, mb) < 80", "High", "Missing Data",
+     "'Both datasets have significant missing data. Consider data collection improvements or imputation strategies.'"),
+    ("least(da, db) < 90", "Medium", "Duplicates", "'Implement data deduplication processes before analysis.'"),
+    ("least(ta, tb) < 85", "Medium", "Data Types", "'Standardize data entry formats and implement type validation.'"),
+    ("oa - ob > 20", "Medium", "Quality Gap",
+     "printf('nulls has significantly better quality (%.1f) than keys (%.1f). Focus improvement efforts on keys.', oa, ob)"),
+    ("ob - oa > 20", "Medium", "Quality Gap",
+     "printf('keys has significantly better quality (%.1f) than nulls (%.1f). Focus improvement efforts on nulls.', ob, oa)"),
+]
+
+
+@register("Q14_quality_comparison", W(" UNION ALL ".join(
+    f"""SELECT {', '.join(f"{sig(f'{v}{t}')} AS {c}_{t}" for t in 'ab' for c, v in (('missing_data_score', 'm'), ('duplicate_score', 'd'),
+      ('data_type_score', 't'), ('overall_quality_score', 'o')))}, {n} AS rule_no, '{p}' AS priority, '{g}' AS category, {m} AS message
+    FROM c WHERE {cond}""" for n, (cond, p, g, m) in enumerate(_Q14_TEXTS, 1)), "fx_nulls", ctes=_REPORT_CTES + (
+        ("a", "SELECT round(ms, 1) AS ma, round(ds, 1) AS da, round(tsc, 1) AS ta, round((ms + ds + tsc) / 3, 1) AS oa FROM rep"),
+        ("k", "SELECT 100.0 - 10.0 * (SELECT count(*) FROM outl WHERE \"column\" IN ('grp', 'src_order') AND oc > 0) AS t"),
+        ("c", "SELECT a.*, 100.0::DOUBLE AS mb, 100.0::DOUBLE AS db, t::DOUBLE AS tb, round((200.0 + t) / 3, 1)::DOUBLE AS ob FROM a, k"))))
 def q_q14(spark, sf):
-    """Q14: quality scores of fx_nulls and fx_sales side by side with the improvement plan rows."""
-    return round_doubles(Q.compare_quality(fixture(spark, sf, "fx_nulls").select(*NULL_COLS), fixture(spark, sf, "fx_sales"),
-                                           "nulls", "sales"))
+    """Q14: fx_nulls against its two key columns alone, which have no quality problem."""
+    df = fixture(spark, sf, "fx_nulls").select(*NULL_COLS)
+    return round_doubles(Q.compare_quality(df, df.select("grp", "src_order"), "nulls", "keys"))
 
 
 @register("Q15_issue_counts", W("""
