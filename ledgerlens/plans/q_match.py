@@ -112,8 +112,11 @@ def _lcs_fill(sql: str) -> str:
     return sql.replace("LCS0", lcs_sql("v0", "w0")).replace("LCS1", lcs_sql("v1", "w1"))
 
 
-@register("J6_match_multi_name_brand", _lcs_fill(MULTI_SQL).replace("SIGSCORE", sig("similarity_score"))
-          .replace("SIGSN", sig("s_name")).replace("SIGSB", sig("s_brand")))
+J6_SQL = (_lcs_fill(MULTI_SQL).replace("SIGSCORE", sig("similarity_score")).replace("SIGSN", sig("s_name"))
+          .replace("SIGSB", sig("s_brand")))
+
+
+@register("J6_match_multi_name_brand", J6_SQL)
 def q_match_multi(spark, sf):
     """Two-field (name, brand) exact, else weighted fuzzy best match with breakdown."""
     a = fixture(spark, sf, "fx_match_a")

@@ -10,7 +10,7 @@ from ..operators import summaries as M
 from ..operators.match import match_batch, match_multi
 from ..sources.fixtures import fixture
 from .common import round_doubles, sig, sql_norm
-from .q_match import J7_SQL, match_items, match_result_ctes
+from .q_match import J6_SQL, J7_SQL, match_items, match_result_ctes
 from .q_profile import W
 from .registry import register
 from .sqlparts import build
@@ -104,9 +104,13 @@ def q_m5(spark, sf):
     return round_doubles(M.batch_summary(batch(spark, sf)))
 
 
-@register("M6_field_performance", None)
+@register("M6_field_performance", f"""
+WITH e AS (SELECT unnest(['name → name', 'brand → brand']) AS field, unnest([s_name, s_brand]) AS score FROM ({J6_SQL}) WHERE s_name IS NOT NULL),
+g AS (SELECT field, avg(score) AS av, min(score) AS mi, max(score) AS ma, count(*) AS n FROM e GROUP BY 1)
+SELECT field, {S('av', 'avg_score')}, {S('mi', 'min_score')}, {S('ma', 'max_score')}, n AS count, av = (SELECT max(av) FROM g) AS is_best,
+  av = (SELECT min(av) FROM g) AS is_worst, CASE WHEN av >= 80 THEN 'Excellent' WHEN av >= 60 THEN 'Good' ELSE 'Needs Improvement' END AS band
+FROM g""")
 def q_m6(spark, sf):
-    """M6: per-field score statistics from the J6 breakdown (J6 itself is oracle-checked)."""
     a, b = fixture(spark, sf, "fx_match_a"), fixture(spark, sf, "fx_match_b")
     r = match_multi(a, b, ["name", "brand"], ["name", "brand"], threshold=80, b_order="id")
     return round_doubles(M.field_performance(r))
