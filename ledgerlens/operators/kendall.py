@@ -89,12 +89,12 @@ def _cuts(quantiles: list[float]) -> list[float]:
     return sorted({*quantiles, *(float(np.nextafter(q, -np.inf)) for q in hot)})
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, rows_per_block: int = 50_000) -> DataFrame:
+def kendall_tau_b(df: DataFrame, x: str, y: str, blocks: int | None = None, rows_per_block: int = 50_000) -> DataFrame:
     """Tau-b of two numeric columns over pairwise-complete rows: one row (n, concordant, discordant, tau_b)."""
     pts = df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y")).filter(
         F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     w = ranks._checkpoint(pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
-    blocks = max(32, -(-w.count() // rows_per_block))
+    blocks = blocks or max(32, -(-w.count() // rows_per_block))
     long = pts.select(F.explode(F.array(F.struct(F.lit("x").alias("column"), F.col("x").alias("value")),
                                         F.struct(F.lit("y").alias("column"), F.col("y").alias("value")))).alias("kv")
                       ).select("kv.*")
