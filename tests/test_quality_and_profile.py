@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.dates import parse_date
 from ledgerlens.operators import profile as P
 from ledgerlens.operators import quality as Q
 
@@ -71,6 +72,6 @@ def test_date_shape_precheck_is_lossless(spark):
     vals += ["$899,000", "yes", "1995-13-45", "2024/02/30", "u5@mail.com", " ", "12-31-1999"]
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     unguarded = F.coalesce(*[F.try_to_timestamp(F.col("v"), F.lit(f)) for f, _ in Q.DATE_FORMATS])
-    rows = df.select("v", unguarded.isNotNull().alias("raw"), Q._date_parse(F.col("v")).isNotNull().alias("guarded")).collect()
+    rows = df.select("v", unguarded.isNotNull().alias("raw"), parse_date(F.col("v")).isNotNull().alias("guarded")).collect()
     assert all(r.raw == r.guarded for r in rows)
     assert sum(r.raw for r in rows) >= 10
