@@ -204,5 +204,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links(distinct.select("fp"), max_bits, blocks, n_pivots))
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     of = written(of)
-    named = written(of.join(of.groupBy("root").agg(F.min("least_id").alias("component")), "root").select("fp", "component"))
+    # written first, so that the adaptive join can split a component with very many fingerprints
+    least = written(of.groupBy("root").agg(F.min("least_id").alias("component")))
+    named = written(of.join(least, "root").select("fp", "component"))
     return docs.join(named, "fp").select("id", "fp", "component")
