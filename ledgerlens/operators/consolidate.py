@@ -29,33 +29,36 @@ def common_columns(tables: dict[str, DataFrame]) -> list[str]:
 
 
 def schema_analysis(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per (column): tables holding it, common flag, types per table, type clash flag."""
-    common = set(common_columns(tables))
-    rows = []
-    seen = []
-    for df in tables.values():
-        for c in df.columns:
-            if c not in seen:
-                seen.append(c)
-    for i, c in enumerate(seen):
-        holders = [n for n, df in tables.items() if c in df.columns]
-        types = [tables[n].schema[c].dataType.simpleString() for n in holders]
-        rows.append((i, c, len(holders), c in common, ";".join(holders), ";".join(types), len(set(types)) > 1))
-    schema = ("position int, column string, tables int, is_common boolean, present_in string, types string, "
-              "type_mismatch boolean")
-    return _spark(tables).createDataFrame(rows, schema)
+    """One row per column: tables holding it, common flag, types per table, type clash flag, rows of those tables and
+    the values they hold (one counting pass over each table)."""
+    seen = list(dict.fromkeys(c for df in tables.values() for c in df.columns))
+    parts = []
+    for k, (name, df) in enumerate(tables.items()):
+        one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        cells = F.array(*[F.struct(F.lit(seen.index(c)).alias("position"), F.lit(c).alias("column"), F.lit(k).alias("k"), F.lit(name).alias("name"),
+                                   F.lit(df.schema[c].dataType.simpleString()).alias("type"), F.col("_n").alias("n"), F.col(f"c{i}").alias("v"))
+                          for i, c in enumerate(df.columns)])
+        parts.append(one.select(F.explode(cells).alias("x")).select("x.*"))
+    per = reduce(lambda a, b: a.unionByName(b), parts).groupBy("position", "column").agg(
+        F.array_sort(F.collect_list(F.struct("k", "name", "type"))).alias("held"), F.sum("n").alias("rows"), F.sum("v").alias("values"))
+    return per.select(
+        "position", "column", F.size("held").alias("tables"), (F.size("held") == len(tables)).alias("is_common"),
+        F.array_join("held.name", ";").alias("present_in"), F.array_join("held.type", ";").alias("types"),
+        (F.size(F.array_distinct("held.type")) > 1).alias("type_mismatch"), "rows", "values")
 
 
 def schema_advice(tables: dict[str, DataFrame]) -> DataFrame:
     """Union vs key-merge advice from the share of common columns (< 50% -> union)."""
     sa = schema_analysis(tables)
     one = sa.agg(F.sum(F.when(F.col("is_common"), 1).otherwise(0)).alias("common_columns"),
-                 F.count(F.lit(1)).alias("all_columns"), F.sum(F.when(F.col("type_mismatch"), 1).otherwise(0)).alias("issues"))
+                 F.count(F.lit(1)).alias("all_columns"), F.sum(F.when(F.col("type_mismatch"), 1).otherwise(0)).alias("issues"),
+                 F.try_divide(F.sum("values") * 100.0, F.sum("rows")).alias("filled"))
     advice = (F.when(F.col("common_columns") == 0, "No common columns: use union with source tracking.")
               .when(F.col("common_columns") < F.col("all_columns") * 0.5, "Few common columns: union recommended over key merge.")
               .otherwise("Good column alignment: key-based merge is viable."))
     return one.select(F.col("common_columns").cast("long"), F.col("all_columns").cast("long"),
-                      F.col("issues").cast("long").alias("compatibility_issues"), advice.alias("recommendation"))
+                      F.col("issues").cast("long").alias("compatibility_issues"), F.col("filled").alias("filled_percentage"),
+                      advice.alias("recommendation"))
 
 
 def union_tables(tables: dict[str, DataFrame], include_source: bool = True, missing: str = "fill",

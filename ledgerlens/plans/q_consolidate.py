@@ -30,17 +30,28 @@ def nation_tables(spark, sf):
 WC = ("fx_cons_customer", "fx_cons_supplier")
 
 
-@register("C1_schema_analysis", None)
+_C1 = (("a", "SELECT count(*) AS n, count(key) AS key, count(name) AS name, count(balance) AS balance, count(segment) AS segment FROM fx_cons_customer"),
+       ("b", "SELECT count(*) AS n, count(key) AS key, count(name) AS name, count(balance) AS balance FROM fx_cons_supplier"),
+       ("c", " UNION ALL ".join(
+           f"SELECT {k} AS position, '{c}' AS \"column\", 2 AS tables, true AS is_common, 'customers;suppliers' AS present_in, '{t};{t}' AS types, "
+           f"false AS type_mismatch, CAST(a.n + b.n AS BIGINT) AS rows, CAST(a.{c} + b.{c} AS BIGINT) AS \"values\" FROM a, b"
+           for k, (c, t) in enumerate((("key", "bigint"), ("name", "string"), ("balance", "double"))))
+        + " UNION ALL SELECT 3, 'segment', 1, false, 'customers', 'string', false, CAST(n AS BIGINT), CAST(segment AS BIGINT) FROM a"))
+
+
+@register("C1_schema_analysis", W("SELECT * FROM c", *WC, ctes=_C1))
 def q_c1(spark, sf):
-    """Per column presence, common flag and types across the two tables (schema metadata)."""
+    """Per column presence, common flag, types and filled values across the two tables."""
     return C.schema_analysis(cons_tables(spark, sf))
 
 
-@register("C1_schema_advice", "SELECT CAST(3 AS BIGINT) AS common_columns, CAST(4 AS BIGINT) AS all_columns, "
-                              "CAST(0 AS BIGINT) AS compatibility_issues, "
-                              "'Good column alignment: key-based merge is viable.' AS recommendation")
+@register("C1_schema_advice", W(f"""
+SELECT count(*) FILTER (is_common) AS common_columns, count(*) AS all_columns, count(*) FILTER (type_mismatch) AS compatibility_issues,
+  {S('sum("values") * 100.0 / sum(rows)', 'filled_percentage')}, CASE WHEN count(*) FILTER (is_common) = 0 THEN 'No common columns: use union with source tracking.'
+    WHEN count(*) FILTER (is_common) < count(*) * 0.5 THEN 'Few common columns: union recommended over key merge.'
+    ELSE 'Good column alignment: key-based merge is viable.' END AS recommendation FROM c""", *WC, ctes=_C1))
 def q_c1a(spark, sf):
-    return C.schema_advice(cons_tables(spark, sf))
+    return round_doubles(C.schema_advice(cons_tables(spark, sf)))
 
 
 @register("C2_union_fill_with_source", W(f"""
