@@ -9,7 +9,7 @@ from ..operators.business import sales as SA
 from ..sources.fixtures import fixture
 from ..sources.tables import load
 from .common import round_doubles, sig
-from .q_profile import NULL_COLS, W
+from .q_profile import LI_NUM, NULL_COLS, W
 from .q_quality import _CONV, _DATE_SQL, _OUTL, _REPORT_CTES, _TYPES, _VALID
 from .registry import register
 
@@ -51,7 +51,7 @@ def q_a16(spark, sf):
                                                           "sample_values")
 
 
-_LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LI = LI_NUM
 
 
 @register("A23_box_stats", " UNION ALL ".join(f"""

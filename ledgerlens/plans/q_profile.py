@@ -127,9 +127,9 @@ FROM {grid} LEFT JOIN c ON c."column" = g."column" AND c.bin = g.bin{gj}""", cte
     ))
 
 
-@register("A9_histogram_lineitem", _hist_sql("lineitem", ["l_quantity", "l_extendedprice"], 20))
+@register("A9_histogram_lineitem", _hist_sql("lineitem", LI_NUM, 20))
 def q_a9(spark, sf):
-    return round_doubles(P.histogram(load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], bins=20))
+    return round_doubles(P.histogram(load(spark, sf, "lineitem"), LI_NUM, bins=20))
 
 
 @register("A10_comparative_histogram", W(_hist_sql("s", ["price", "tax"], 30, "dataset").replace("WITH ", ", ", 1),
@@ -182,7 +182,7 @@ def q_a12(spark, sf):
     return round_doubles(P.normality(d))
 
 
-CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+CORR_COLS = LI_NUM
 _PAIRS = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
 
 
