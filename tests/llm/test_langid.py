@@ -51,3 +51,22 @@ def test_odd_rows(spark):
     none = langid.fit(empty_documents(spark), F.lit(True))
     assert none.predict("text") == ("und", 0.0)
     assert langid.predict(empty_documents(spark), model).count() == 0
+
+
+@pytest.mark.parametrize("bounds", [(50, 60), (0, 0)])
+def test_bounds_change_no_result(spark, bounds):
+    """Words and n-grams beyond the bounds are joined, not dropped."""
+    docs = table(spark, SF01, "documents").where("doc_id % 4 = 0 AND length(text) < 2000")
+    train = F.col("doc_id") % 8 != 0
+    whole, cut = langid.fit(docs, train, most_words=10**9, most_grams=10**9), langid.fit(docs, train, "text", "lang", *bounds)
+    assert whole.complete and not cut.complete
+    expected = {r["id"]: r for r in langid.predict(docs, whole).collect()}
+    got = langid.predict(docs, cut).collect()
+    assert len(got) == len(expected) > 100
+    for r in got:
+        assert r["lang_pred"] == expected[r["id"]]["lang_pred"] and r["score"] == pytest.approx(expected[r["id"]]["score"], abs=1e-4)
+    # the hard case: single words, some of them unknown
+    words = documents(spark, [w for r in docs.limit(30).collect() for w in r["text"].split()[:20]] + ["qqxx", "9", "", "ünbekanntheit"], None)
+    of = {(r["id"], r["lang_pred"]): r["score"] for r in langid.predict(words, whole).collect()}
+    assert {(r["id"], r["lang_pred"]): r["score"] for r in langid.predict(words, cut).collect()} == pytest.approx(of, abs=1e-4)
+    assert langid.select(words, cut, 0.5).count() == langid.select(words, whole, 0.5).count()
