@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import sliced, written
-from ledgerlens.llm.tokens import rank_encoder, token_sizes
+from ledgerlens.llm.tokens import ordinary_ids, rank_encoder, token_sizes
 
 ESCAPE = "\\"
 
@@ -85,14 +85,13 @@ def format_turns(df: DataFrame, tokenizer: str, template: Template = Template(),
     names = ["conv_id", "turn", "ids", "loss_start", "loss_end"]
 
     def run(batches):
-        enc = rank_encoder(tokenizer)
         reserved = template.ids(first_reserved(tokenizer))
         for b in sliced(batches):
             out = [[], [], []]
             for role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                ids = [reserved[template.turn], *enc.encode_ordinary(template.escape(role)), reserved[template.sep]]
+                ids = [reserved[template.turn], *ordinary_ids(tokenizer, template.escape(role)), reserved[template.sep]]
                 low = len(ids)
-                ids += enc.encode_ordinary(template.escape(text))
+                ids += ordinary_ids(tokenizer, template.escape(text))
                 out[1].append(low if role in template.trained else 0)
                 out[2].append(len(ids) if role in template.trained else 0)
                 out[0].append([*ids, reserved[template.end]])

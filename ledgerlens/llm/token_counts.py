@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import sliced
-from ledgerlens.llm.tokens import rank_encoder, token_sizes
+from ledgerlens.llm.tokens import ordinary_ids, token_sizes
 
 RULES = ("start", "end", "middle", "share")
 
@@ -38,7 +38,7 @@ RULES = ("start", "end", "middle", "share")
 def token_spans(text: str, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     """First character and end (exclusive) of each token of the whole text."""
     raw = text.encode()
-    ids = np.array(rank_encoder(tokenizer).encode_ordinary(text), np.int64)
+    ids = np.array(ordinary_ids(tokenizer, text), np.int64)
     ends = np.cumsum(token_sizes(tokenizer)[ids])
     starts = ends - token_sizes(tokenizer)[ids]
     if len(raw) == len(text):

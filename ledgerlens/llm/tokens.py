@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -10,6 +11,10 @@ import tiktoken
 import tokenizers
 
 END_OF_TEXT = "<|endoftext|>"
+#: White-space runs from this length on are not left to the pattern engine. The class is White_Space, as the engine's.
+LONG_SPACE = 10_000
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_SPACE = re.compile(rf"(?<!{_SPACE}){_SPACE}{{{LONG_SPACE},}}")
 _ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 _SIZES: dict[str, np.ndarray] = {}
 
@@ -56,6 +61,20 @@ def rank_encoder(path: str) -> tiktoken.Encoding:
     return _ENCODERS[key]
 
 
+def ordinary_ids(path: str, text: str) -> list[int]:
+    """Ids of ordinary text. Long white-space runs, of which a million characters overflow the pattern engine's stack, are
+    cut out as the pattern cuts them: all but the last character, or all at the text's end, are one piece."""
+    enc, ids, at = rank_encoder(path), [], 0
+    half = LONG_SPACE // 2  # a long run covers a whole one of these windows; isspace takes no less than _SPACE
+    if any(text[k: k + half].isspace() for k in range(0, len(text) - half + 1, half)):
+        for run in _LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += enc.encode_ordinary(text[at: run.start()])
+            ids += enc._encode_single_piece(text[run.start(): end])
+            at = end
+    return ids + enc.encode_ordinary(text[at:])
+
+
 def token_sizes(path: str) -> np.ndarray:
     """Bytes of each ordinary token."""
     if path not in _SIZES:

@@ -70,3 +70,10 @@ def test_mask_is_a_prefix_sum():
 
 def test_empty(spark):
     assert chat.digests(chat.format_turns(frame(spark, []), RANKS, T), RANKS, T).count() == 0
+
+
+def test_turn_with_a_million_blanks(spark):
+    text = "a" + " " * 1_000_000 + "b"
+    talk = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn int, role string, text string")
+    row = chat.digests(chat.format_turns(talk, RANKS), RANKS).first()
+    assert row["loss_chars"] == len(text) and row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerlens.llm import token_counts as tc
+from ledgerlens.llm import tokens
 from tests.llm.helpers import ODD_TEXTS, documents, empty_documents, odd_documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,3 +76,18 @@ def test_odd_rows(spark):
     df = odd_documents(spark)
     assert tc.section_counts(df, tc.sentence_spans, RANKS).where("n_tokens > 0").count() > 0
     assert tc.section_counts(empty_documents(spark), tc.sentence_spans, RANKS).count() == 0
+
+
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 1_000_000, " \n" * 10_000, "\u2003" * 12_000, "\x1c" * 12_000])
+@pytest.mark.parametrize("frame", ["a{}b. c", "{}", "a{}", "{}5", "x {}!{}"])
+def test_long_white_space(run, frame):
+    """The pattern engine panics on a million blanks; the ids are those of tokenizers."""
+    text = frame.format(run, run)
+    assert tokens.ordinary_ids(RANKS, text) == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
+def test_document_with_a_million_blanks(spark):
+    text = "a" + " " * 1_000_000 + "b. c"
+    rows = tc.section_counts(documents(spark, [text]), tc.sentence_spans, RANKS, "end").orderBy("section").collect()
+    assert [(r["start"], r["end"]) for r in rows] == [(0, 1_000_004), (1_000_004, 1_000_005)]
+    assert sum(r["n_tokens"] for r in rows) == len(Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids)
