@@ -110,6 +110,20 @@ def q_c4(spark, sf):
     return C.catalogue(t)
 
 
+@register("C4_catalogue_all_columns", W("""
+SELECT sheet, CAST(position AS INTEGER) AS position, "column", data_type, non_null_count, null_count, unique_values,
+  sample_value FROM (""" + " UNION ALL ".join(
+    f"SELECT '{t}' AS sheet, {i} AS position, '{c}' AS \"column\", '{dt}' AS data_type, count({c}) AS non_null_count, "
+    f"count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_values, "
+    f"coalesce(min(CAST({c} AS VARCHAR)), 'N/A') AS sample_value FROM {fx}"
+    for t, fx, cols in (
+        ("customers", "fx_cons_customer", [("key", "bigint"), ("name", "string"), ("balance", "double"), ("segment", "string")]),
+        ("suppliers", "fx_cons_supplier", [("key", "bigint"), ("name", "string"), ("balance", "double")]))
+    for i, (c, dt) in enumerate(cols)) + ")", *WC))
+def q_c4_all(spark, sf):
+    return C.catalogue(cons_tables(spark, sf))
+
+
 @register("C5_consolidation_report", W("""
 SELECT 2 AS total_sheets, CAST((SELECT count(*) FROM fx_cons_customer) + (SELECT count(*) FROM fx_cons_supplier) AS BIGINT)
   AS total_input_rows, (SELECT count(*) FROM (SELECT key, name, balance FROM fx_cons_customer UNION

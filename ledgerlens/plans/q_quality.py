@@ -94,6 +94,21 @@ def q_q4g(spark, sf):
     return Q.duplicate_groups(load(spark, sf, "customer").select("c_nationkey", "c_mktsegment"), 10)
 
 
+@register("Q4_duplicates_customer_all_columns", f"""
+SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows,
+  {S('round(sum(c - 1) * 100.0 / sum(c), 2)', 'duplicate_percentage')}, count(*) AS unique_rows
+FROM (SELECT *, count(*) AS c FROM customer GROUP BY ALL)""")
+def q_q4_all(spark, sf):
+    return round_doubles(Q.duplicates(load(spark, sf, "customer")))
+
+
+@register("Q4_duplicate_groups_all_columns_top10", """
+SELECT *, count(*) AS copies FROM customer GROUP BY ALL HAVING count(*) > 1
+ORDER BY copies DESC, c_custkey NULLS FIRST LIMIT 10""")
+def q_q4g_all(spark, sf):
+    return Q.duplicate_groups(load(spark, sf, "customer"), 10)
+
+
 @register("Q5_text_column_duplicates", W(" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST(count(*) - count(DISTINCT {c}) - max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) "
     f"AS BIGINT) AS duplicate_count, count(DISTINCT {c}) AS unique_values, "

@@ -44,3 +44,12 @@ def test_filter_and_projection_reach_the_scan(spark):
     plan = li._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_catalogue_and_duplicates_over_all_columns(spark):
+    from ledgerlens.plans import q_consolidate, q_quality
+
+    sheets = {(r["sheet"], r["column"]) for r in q_consolidate.q_c4_all(spark, SF).collect()}
+    assert {("customers", "balance"), ("suppliers", "balance")} <= sheets and len(sheets) == 7
+    # customers who share nation and segment are no duplicate rows
+    assert q_quality.q_q4_all(spark, SF).first()["duplicate_rows"] == 0 and q_quality.q_q4g_all(spark, SF).count() == 0
