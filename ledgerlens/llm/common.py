@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import ensure_checkpoint_dir
@@ -110,3 +111,36 @@ def filtered(df: DataFrame, column: str, decide) -> DataFrame:
             yield b.filter(keep)
 
     return df.mapInArrow(run, df.schema)
+
+
+def running_sums(df: DataFrame, key: str, order: list, value: str, start: str) -> DataFrame:
+    """df with `start`: the sum of `value` over the earlier rows, by `order`, of the same key (key and value: longs, no nulls).
+
+    Rows are dealt in ranges of (key, order), so the rows of a key spread over tasks. Each task adds up as it reads; a small
+    table of the sums by key and task gives what came before. The result is written. Rows equal in order come in any order.
+    """
+    df = df.withColumns({key: F.col(key).cast("long"), value: F.col(value).cast("long")})
+    keyed = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    names, k_at, v_at = [*df.columns, "_at"], df.columns.index(key), df.columns.index(value)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches):
+        last, carry = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, v = b.column(k_at).to_numpy(), b.column(v_at).to_numpy()
+            total = np.cumsum(v)
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            before = np.repeat(total[first] - v[first], np.diff(np.append(first, len(k))))
+            at = total - v - before
+            if k[0] == last:
+                at[: first[1] if len(first) > 1 else len(k)] += carry
+            last, carry = k[-1], at[-1] + v[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], names=names)
+
+    out = written(keyed.mapInArrow(run, f"{kind}, _at long").withColumn("_part", F.spark_partition_id()))
+    sums = out.groupBy(key, "_part").agg(F.sum(value).alias("_sum"))
+    before = sums.select(key, "_part", F.coalesce(F.sum("_sum").over(
+        Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return out.join(before, [key, "_part"]).select(*df.columns, (F.col("_at") + F.col("_before")).alias(start))

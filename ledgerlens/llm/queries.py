@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import (chat, decontam, langid, lattice_lm, linkgraph, mtree, packing, quality, simhash,
-                            token_counts)
-from ledgerlens.llm.common import crc32_mod, table
+from ledgerlens.llm import (chat, decontam, langid, lattice_lm, linkgraph, mixing, mtree, packing, prefixtrie, quality, simhash,
+                            spelling, token_counts)
+from ledgerlens.llm.common import crc32_mod, table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -132,6 +132,83 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), (crc32_mod(F.col("id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations, which share up to three first turns within blocks of 20 ids."""
+    paths = written(prefixtrie.conversation_paths(table(spark, sf_dir, "conversations")))
+    return prefixtrie.prefix_trie(prefixtrie.with_shared_start(paths, 20, 3))
+
+
+#: crc32 of the text {0}, a byte at a time: eight steps of shift and xor behind each byte.
+CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+  range(octet_length(encode({0}))), lambda i: [('0x' || hex(encode({0}))[2 * i + 1 : 2 * i + 2])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+OP11_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+cut AS (SELECT *, {CRC32_SQL.format("conv_id::VARCHAR")} % 4 AS h FROM turns),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(d.own, [])[1 : c.h], c.own[c.h + 1 :]) AS path
+  FROM cut c LEFT JOIN turns d ON d.conv_id = c.conv_id - c.conv_id % 20),
+prefix AS (SELECT conv_id, unnest(range(len(path) + 1)) AS depth, path FROM built),
+node AS (
+  SELECT path[1 : depth] AS key, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256
+  FROM prefix GROUP BY ALL),
+child AS (SELECT key[1 : depth - 1] AS key, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+full_node AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children,
+    (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(key[depth].t, '[^\x20\x09-\x0D]+')) END AS own_saved
+  FROM node LEFT JOIN child USING (key)),
+above AS (SELECT key[1 : d] AS key, own_saved, n_children FROM (SELECT *, unnest(range(depth + 1)) AS d FROM full_node)),
+subtree AS (SELECT key, sum(own_saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM full_node n JOIN subtree USING (key) LEFT JOIN full_node p ON n.depth > 0 AND p.key = n.key[1 : n.depth - 1]
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE doc AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+run AS (SELECT id, unnest(regexp_extract_all(text, '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM doc),
+each AS (SELECT id || ':' || w AS salted, w, count(*) AS n FROM run GROUP BY id, w),
+hashed AS (SELECT w, n, {CRC32_SQL.format("salted")} AS h FROM each),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM hashed),
+voc AS (SELECT word, sum(n)::BIGINT AS n FROM cut GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+hole AS (SELECT word, unnest(range(length(word))) AS i FROM voc),
+less AS (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM hole),
+pair AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN voc b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM less a JOIN voc b ON a.rest = b.word),
+near AS (SELECT p.word, count(*) AS n_near, min(struct_pack(m := -v.n, o := p.other)) AS best FROM pair p JOIN voc v ON v.word = p.other GROUP BY p.word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.o END AS form,
+    CASE WHEN -best.m >= 2 * n THEN (-best.m)::BIGINT END AS form_n
+  FROM voc LEFT JOIN near USING (word)),
+chain AS (
+  SELECT word, coalesce(form, word) AS root, 1 AS step FROM formed
+  UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+ended AS (SELECT word, max_by(root, step) AS root FROM chain GROUP BY word)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN ended USING (word)
+"""
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, sources, mix = mixing.mix(table(spark, sf_dir, "documents"))
+    taken = mix.groupBy("row").agg(F.sum("words").alias("taken"))
+    named = sized.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
+    return named.join(taken, "row", "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                                                   F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
@@ -143,5 +220,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_exact_topk_search": (op8_exact_topk_search, OP8_SQL),
     "op9_benchmark_decontamination": (op9_benchmark_decontamination, OP9_SQL),
     "op10_language_id": (op10_language_id, None),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
+    "op12_spelling_variants": (op12_spelling_variants, OP12_SQL),
+    "op13_mixing": (op13_mixing, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
