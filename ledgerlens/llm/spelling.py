@@ -12,7 +12,7 @@ only the last place of the run counts, so each pair comes once. Accepted pairs a
 the edit: each prefix that leads to q, with each composed path at q, gives two words.
 
 Prefixes and rests are carried as 64-bit polynomial fingerprints, from which those of both words follow. Fingerprints can only
-bring pairs too many; every pair is verified on its words (Levenshtein distance 1). A pair's rows at one (q, rest) number at
+bring pairs too many; every pair is verified on its words, before and behind the edit. A pair's rows at one (q, rest) number at
 most the alphabet and one, the prefix table and the pairs are joined by state and by word, so no group grows with the input
 except the first states' prefixes, which the adaptive skew join splits.
 
@@ -30,7 +30,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import discard, sliced, written
@@ -112,10 +112,10 @@ def walks(words: DataFrame) -> DataFrame:
             follows = np.append(symbol[1:], NOTHING)
             last = (symbol != NOTHING) & (symbol != follows)
             yield pa.RecordBatch.from_arrays(
-                [signed(prefix), pa.array(place), pa.array(symbol.astype(np.int32)), pa.array(last), signed(rest), signed(after)],
+                [signed(prefix), pa.array(place.astype(np.int32)), pa.array(symbol.astype(np.int32)), pa.array(last), signed(rest), signed(after)],
                 names=["prefix", "place", "symbol", "last", "rest", "after"])
 
-    return words.select("word").mapInArrow(run, "prefix long, place long, symbol int, last boolean, rest long, after long")
+    return words.select("word").mapInArrow(run, "prefix long, place int, symbol int, last boolean, rest long, after long")
 
 
 def composed(words: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +155,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
             out = []
             for symbol in (batch.column(k).to_numpy().astype(np.int64) for k in (3, 4)):
                 out.append(signed(np.where(symbol == NOTHING, prefix + up[place] * rest, prefix + up[place] * symbols(symbol) + up[place + 1] * rest)))
-            yield pa.RecordBatch.from_arrays(out, names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([*out, batch.column(1), pa.array(batch.column(3).to_numpy() == NOTHING)], names=["u", "v", "place", "inserted"])
 
     def named(batches):
         for b in sliced(batches, 1 << 20):
@@ -170,8 +170,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([w, signed(total[first + n] - total[first])], names=["word", "name"])
 
     names = written(words.select("word").mapInArrow(named, "word string, name long"))
-    pairs = paths.mapInArrow(ends, "u long, v long").join(names.select(F.col("name").alias("u"), F.col("word").alias("one")), "u").join(
-        names.select(F.col("name").alias("v"), F.col("word").alias("two")), "v").where(F.levenshtein("one", "two", 1) == 1)
+    # the edit's place is known, so the words are compared around it (Spark's levenshtein takes quadratic time)
+    alike = F.expr("left(one, place) = left(two, place) and substr(one, if(inserted, place + 1, place + 2)) = substr(two, place + 2) "
+                   "and char_length(two) = char_length(one) + int(inserted) and one <> two")
+    pairs = paths.mapInArrow(ends, "u long, v long, place int, inserted boolean").join(
+        names.select(F.col("name").alias("u"), F.col("word").alias("one")), "u").join(
+        names.select(F.col("name").alias("v"), F.col("word").alias("two")), "v").where(alike)
     return pairs.select(F.explode(F.array(F.struct(F.col("one").alias("word"), F.col("two").alias("other")),
                                           F.struct(F.col("two").alias("word"), F.col("one").alias("other")))).alias("p")).select("p.*")
 
