@@ -7,12 +7,15 @@ Pages that no rule fits are judged by their host. Host edges are the links of th
 or scheme-relative href and src), weighted by linking pages, and, as hosts under one name are run together, an edge of
 weight 1 both ways between a host and its parent name. Personalised PageRank spreads trust along the edges from hosts
 with pages that an allow rule fits; distrust spreads against the edges (who links to blocked hosts is suspect) from
-hosts with pages blocked by a rule for the whole host (path /). A host is blocked if its distrust is at least `least`
+hosts with pages that a block rule fits. Either starts with a mass by the number of those pages. Distrust that a host
+itself starts with by a rule for some of its paths doesn't count against its other pages: the rule has said which are meant;
+only what reaches it from others does. A host is blocked if its distrust is at least `least`
 of trust and distrust together. Hosts that neither reaches, and pages without host, are allowed.
 
 Scale: links are reduced to (host, host, pages) before anything else; a round is one join of the masses, unique per
-host, with the edges and one pre-aggregated sum. A hub's edges are split by the adaptive skew join. Rounds are a
-parameter: what is left after n rounds is damping^n of the mass.
+host, with the edges and one pre-aggregated sum. A hub's edges are split by the adaptive skew join. Rounds go on until no
+new host is reached, however long the chain, and AT_ONCE further rounds change the masses by `tolerance` of a seed mass of 1
+at most (about 50 rounds, as what is left after n rounds is damping^n).
 
 Defined cases: a null url, or one without ://, has empty host and path. Null HTML has no links. Repeated rows each give
 rows. Empty tables give no rows; without seeds every other host is allowed. Only the three named columns are read.
@@ -29,6 +32,8 @@ from ledgerlens.llm.common import discard, written
 
 #: Edges that a task of a propagation round takes, about.
 ROWS_PER_TASK = 100_000
+#: Propagation rounds between two written tables.
+AT_ONCE = 4
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
@@ -60,14 +65,15 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     chain = hosts.select(F.explode(F.expr(
         r"transform(sequence(1, greatest(1, size(split(host, '\\.')) - 2)), k -> struct("
-        r"array_join(slice(split(host, '\\.'), k, 1000), '.') as c, array_join(slice(split(host, '\\.'), k + 1, 1000), '.') as p))"
+        r"array_join(slice(split(host, '\\.'), k, size(split(host, '\\.'))), '.') as c, "
+        r"array_join(slice(split(host, '\\.'), k + 1, size(split(host, '\\.'))), '.') as p))"
     )).alias("x"), F.size(labels).alias("n")).where("n > 2").select("x.c", "x.p").distinct()
     family = chain.select(F.col("c").alias("src"), F.col("p").alias("dst")).union(chain.select("p", "c")).withColumn("w", F.lit(1.0))
     return links.union(family).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Masses (host, kind, mass) after personalised PageRank; edges (kind, src, dst, w), seeds (kind, host, mass).
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """Masses (host, kind, mass) of personalised PageRank; edges (kind, src, dst, w), seeds (kind, host, mass).
 
     The masses of each kind's seeds are scaled to 1. Each kind runs over its own edges, both in one table. Mass at a
     host without edges is lost.
@@ -78,21 +84,32 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -
     tasks = max(8, -(-steps.count() // ROWS_PER_TASK))
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
     start = written(seeds.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass")).coalesce(tasks))
-    mass = start
-    for _ in range(rounds):
-        moved = steps.join(mass, (steps["kind"] == mass["kind"]) & (steps["src"] == mass["host"])).select(
-            steps["kind"], F.col("dst").alias("host"), (F.col("p") * F.col("mass") * damping).alias("mass")).coalesce(tasks)
-        back = start.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-        new = written(moved.union(back).groupBy("kind", "host").agg(F.sum("mass").alias("mass")).coalesce(tasks))
+    mass, reached = start, start.count()
+    while reached:
+        new = mass
+        for _ in range(AT_ONCE):
+            moved = steps.join(new.withColumnRenamed("host", "src"), ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (F.col("p") * F.col("mass") * damping).alias("mass")).coalesce(tasks)
+            back = start.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
+            new = moved.union(back).groupBy("kind", "host").agg(F.sum("mass").alias("mass")).coalesce(tasks)
+        new = written(new)
+        both = new.union(mass.select("kind", "host", -F.col("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("d"))
+        change = both.agg(F.sum(F.abs("d"))).first()[0]
+        now = new.count()
         if mass is not start:
             discard(mass)
         mass = new
+        if now == reached and change <= tolerance:
+            break
+        reached = now
+    if mass is not start:
+        discard(start)
     discard(steps)
     return mass
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url_col: str = "url",
-          html_col: str = "html", rounds: int = 20, damping: float = 0.85, least: float = 0.5) -> DataFrame:
+          html_col: str = "html", damping: float = 0.85, least: float = 0.5, tolerance: float = 1e-3) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of each page."""
     url = F.col(url_col).cast("string")
     judged = pages.select(F.col(page_id).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -101,19 +118,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "p
     whole = [n + p for n, p, v in rules if v == "block" and p == "/"]
     hosts = written(judged.where("host <> ''").groupBy("host").agg(
         F.count_if(F.col("by_rule") == "allow").cast("double").alias("trust"),
-        F.count_if(F.col("rule").isin(whole) if whole else F.lit(False)).cast("double").alias("distrust")))
+        F.count_if(F.col("by_rule") == "block").cast("double").alias("distrust"),
+        F.count_if((F.col("by_rule") == "block") & ~F.col("rule").isin(whole)).cast("double").alias("by_path")))
     linked = host_edges(pages.select(host_of(url).alias("host"), F.col(html_col).cast("string").alias("html")), hosts)
     linked = written(linked)
     edges = linked.select(F.lit("trust").alias("kind"), "src", "dst", "w").union(
         linked.select(F.lit("distrust"), F.col("dst"), F.col("src"), "w"))
     seeds = hosts.select(F.lit("trust").alias("kind"), "host", F.col("trust").alias("mass")).union(
         hosts.select(F.lit("distrust"), "host", "distrust")).where("mass > 0")
-    mass = propagate(edges, seeds, rounds, damping)
-    of = written(mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"),
-                                          F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust")))
-    discard(linked)
+    mass = propagate(edges, seeds, damping, tolerance)
+    of = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"),
+                                  F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust"))
+    all_blocked = hosts.agg(F.sum("distrust")).first()[0] or 1.0
+    own = hosts.where("by_path > 0").select("host", (F.col("by_path") / all_blocked * (1 - damping)).alias("own"))
+    of = written(of.join(own, "host", "left"))
+    discard(linked, hosts, mass)
     zero = F.lit(0.0)
     trust, distrust = F.coalesce("trust", zero), F.coalesce("distrust", zero)
-    by_host = F.when((distrust > 0) & (distrust >= least * (trust + distrust)), "block").otherwise("allow")
+    received = distrust - F.coalesce("own", zero)
+    by_host = F.when((received > 1e-12) & (received >= least * (trust + received)), "block").otherwise("allow")
     return judged.join(of, "host", "left").select(
         "id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
