@@ -5,12 +5,13 @@ fingerprints get a table of Hamming distances to many fixed reference fingerprin
 inequality two fingerprints within k bits differ by at most k in every coordinate, so a pair whose largest
 coordinate difference is over k is discarded, and survivors are verified bit by bit.
 
-Coordinates of random fingerprints crowd around 32, so they can discard pairs but not deal them out to tasks. Pairs
-are therefore met by pigeonhole: of `blocks` bit ranges at least blocks - k are equal, and each choice of that many
+The table is made once, as columns beside each distinct fingerprint, and travels with it. Coordinates of random fingerprints
+crowd around 32, so they can discard pairs but not deal them out to tasks. Pairs are therefore met by pigeonhole: of `blocks` bit ranges at least blocks - k are equal, and each choice of that many
 ranges is one equi-key. That is lossless for every k < blocks.
 
 Hot keys: exact copies collapse to one fingerprint before any pair is made. A key with more fingerprints than
-CHUNK is dealt out as a grid of chunk pairs, and each cell returns a spanning forest of its links, not all pairs.
+CHUNK is dealt out as a grid of chunk pairs; in a cell the fingerprints lie in order of their first coordinate, so only those
+in its range are paired, and the cell returns a spanning forest of its links, not all pairs.
 
 Defined cases: a null, empty or white-space text has fingerprint zero, linked like any other. Repeated rows each give
 a row. A null id takes part but is never a component's id unless all ids of it are null (then null). An empty table
@@ -75,9 +76,18 @@ def pivots(count: int) -> np.ndarray:
     return np.array([xxh64_intdigest(str(i).encode(), SEED) for i in range(count)], np.uint64)
 
 
-def coordinates(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Hamming distances, a row for each reference (uint8)."""
-    return np.bitwise_count(fps[None, :] ^ references[:, None])
+def with_coordinates(distinct: DataFrame, references: np.ndarray) -> DataFrame:
+    """distinct with its pivot table: the Hamming distances of fp to the references, eight to a long, in columns c0, c1, ..."""
+    def packed(some):
+        apart = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p)))).cast("long") for p in some]
+        return sum((F.shiftleft(d, 8 * k) for k, d in enumerate(apart)), F.lit(0).cast("long"))
+
+    return distinct.withColumns({f"c{at // 8}": packed(references.view(np.int64)[at: at + 8]) for at in range(0, len(references), 8)})
+
+
+def coordinates(columns: list[np.ndarray]) -> np.ndarray:
+    """The table of the packed columns, a row for each reference (uint8)."""
+    return np.ascontiguousarray(np.stack(columns, axis=1).astype("<i8").view(np.uint8).T)
 
 
 def _near(fa, ca, fb, cb, i, j, bits):
@@ -112,15 +122,20 @@ def _forest(size: int, i: np.ndarray, j: np.ndarray):
     return np.array(out_i, np.int64), np.array(out_j, np.int64)
 
 
-def _group_links(fps, sides, references, bits):
+def _group_links(fps, sides, table, bits):
     """Links among the fingerprints of one large key; where both sides occur, between the sides only."""
     a = np.flatnonzero(sides <= 1)
     b = np.flatnonzero(sides == 2) if (sides == 2).any() else a
-    table = coordinates(fps, references)
+    ordered = b[np.argsort(table[0][b], kind="stable")]
+    first = table[0][ordered].astype(np.int16)
     got_i, got_j = [], []
     for at in range(0, len(a), 256):
-        i, j = np.meshgrid(a[at: at + 256], b, indexing="ij")
-        i, j = i.ravel(), j.ravel()
+        some = a[at: at + 256]
+        here = table[0][some].astype(np.int16)
+        low, high = np.searchsorted(first, here - bits, "left"), np.searchsorted(first, here + bits, "right")
+        count = high - low
+        i = np.repeat(some, count)
+        j = ordered[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count)]
         if b is a:
             keep = i < j
             i, j = i[keep], j[keep]
@@ -131,17 +146,16 @@ def _group_links(fps, sides, references, bits):
     return fps[i], fps[j]
 
 
-def _links(keys, fps, sides, references, bits):
+def _links(keys, fps, sides, table, bits):
     """Links of the rows of whole keys, sorted by key."""
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     sizes = np.diff(edges)
     out = []
     for s, n in zip(edges[:-1][sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
-        out.append(_group_links(fps[s: s + n], sides[s: s + n], references, bits))
+        out.append(_group_links(fps[s: s + n], sides[s: s + n], table[:, s: s + n], bits))
     small = np.repeat((sizes <= FEW) & (sizes > 1), sizes)
-    fps, keys, sides = fps[small], keys[small], sides[small]
+    fps, keys, sides, table = fps[small], keys[small], sides[small], table[:, small]
     if len(fps):
-        table = coordinates(fps, references)
         at = np.arange(len(fps))
         for step in range(1, FEW):
             at = at[at + step < len(fps)]
@@ -165,33 +179,38 @@ def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 6, n_pivots: int
     ranges = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(blocks)]
     masks = [sum(c) for c in combinations(ranges, blocks - max_bits)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keyed = distinct.select("fp", F.explode(F.array(*[
+    references = pivots(n_pivots)
+    tables = [f"c{k}" for k in range(-(-n_pivots // 8))]
+    keyed = with_coordinates(distinct.select("fp"), references).select("fp", *tables, F.explode(F.array(*[
         F.struct(F.lit(n).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for n, m in enumerate(masks)
-    ])).alias("k")).select(F.xxhash64("k.choice", "k.bits").alias("key"), "fp")
+    ])).alias("k")).select(F.xxhash64("k.choice", "k.bits").alias("key"), "fp", *tables)
     # keys that collide in the 64-bit hash only add pairs to verify
     groups = written(keyed.groupBy("key").count().where("count > 1")
                      .select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts")))
     met = keyed.join(groups, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
-    cells = met.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = met.select("key", "fp", *tables, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cells = cells.select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp",
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"))
-    references = pivots(n_pivots)
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"), *tables)
 
     def run(batches):
-        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32)]
+        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32), *[np.empty(0, np.int64)] * len(tables)]
+
+        def found(some):
+            x, y = _links(*some[:3], coordinates(some[3:]), max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+
         for b in batches:
-            new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()]
+            new = [c.to_numpy() for c in b.columns]
+            new[1] = new[1].view(np.uint64)
             held = [np.concatenate(x) for x in zip(held, new)]
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last cell may go on in the next batch
-            x, y = _links(held[0][:cut], held[1][:cut], held[2][:cut], references, max_bits)
+            yield found([h[:cut] for h in held])
             held = [h[cut:] for h in held]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
         if len(held[0]):
-            x, y = _links(*held, references, max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+            yield found(held)
 
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 

@@ -76,8 +76,17 @@ def test_coordinates_never_discard_a_link():
         for bit in rng.choice(64, 4, replace=False).tolist():
             b[k] ^= np.uint64(1 << bit)
     p = simhash.pivots(32)
+    ca, cb = (np.bitwise_count(x[None, :] ^ p[:, None]) for x in (a, b))
     i = np.arange(500)
-    assert len(simhash._near(a, simhash.coordinates(a, p), b, simhash.coordinates(b, p), i, i, 4)[0]) == 500
+    assert len(simhash._near(a, ca, b, cb, i, i, 4)[0]) == 500
+
+
+def test_coordinates_are_distances_to_the_pivots(spark):
+    fps = np.random.default_rng(4).integers(-2 ** 63, 2 ** 63, 50)
+    p = simhash.pivots(16)
+    rows = simhash.with_coordinates(spark.createDataFrame([(int(x),) for x in fps], "fp long"), p).toPandas()
+    got = simhash.coordinates([rows["c0"].to_numpy(), rows["c1"].to_numpy()])
+    assert (got == np.bitwise_count(rows["fp"].to_numpy().view(np.uint64)[None, :] ^ p[:, None])).all()
 
 
 def test_odd_rows(spark):
