@@ -11,6 +11,11 @@ go through an equi-join with the written table of words, and the n-grams of the
 as they aren't held, through one with the table of n-grams. The bounds therefore change no result. None of the joined
 units is frequent in training; a word frequent only in the scored texts is left to the adaptive skew join.
 
+The posterior only compares the learned languages: text in none of them, or of random letters, gets a sure label too. So
+select() also asks how well a text fits its language at all. A language's common words are those that make up COMMON of its
+training words; together they have a usual share of its running text. A text fits unless its own share is significantly
+(by DEVIATIONS of a binomial) below FIT times the usual one. Too few words to tell (about a dozen) always fit.
+
 Words are runs of letters, lower-cased. Defined cases: `und` with score 0 for a null text, a text without a letter, or
 where no language was learned. Rows without language don't train. Ties go to the language first in order. Ids may repeat
 or be null. An empty table gives no rows. Only the named columns are read, so other columns can't clash.
@@ -20,7 +25,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 from itertools import chain, repeat
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +44,11 @@ SMOOTH = 0.1
 FLUSH = 200_000
 #: Results of unknown words that a worker keeps, for speed only.
 KEPT = 50_000
+#: Least frequency of a common word (so a language has 1 / COMMON at most); share of the usual share that a text needs;
+#: standard deviations that a share must be below that.
+COMMON = 1 / 2000
+FIT = 0.5
+DEVIATIONS = 2.0
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -107,8 +119,9 @@ class Model:
     alone; predict() and select() of this module use all.
     """
 
-    def __init__(self, langs: list[str], prior: np.ndarray, words: tuple, grams: tuple):
+    def __init__(self, langs: list[str], prior: np.ndarray, words: tuple, grams: tuple, common: tuple):
         self.langs, self.prior = langs, prior
+        self.common, self.usual = common  # word: 0 or 1 by language; the share of common words in each language's text
         self.place, self.word_lp, self.rare_words = words
         self.gram_place, self.gram_lp, self.rare_grams = grams
         self.kept: dict[str, int] = {}  # unknown words met before, and their rows in self.rows
@@ -160,6 +173,31 @@ class Model:
         best = int(np.argmax(p))
         return self.langs[best], float(p[best] / p.sum())
 
+    def commons(self, words: list[str]) -> np.ndarray:
+        """How many of the words are common, by language."""
+        found = [row for w in words if (row := self.common.get(w)) is not None]
+        return np.sum(found, axis=0, dtype=np.int64) if found else np.zeros(len(self.langs), np.int64)
+
+    def fits(self, text: str | None, lang: str) -> bool:
+        words, k = words_of(text), self.langs.index(lang)
+        return bool(self.commons(words)[k] >= least_commons(len(words), self.usual[k]))
+
+
+def least_commons(n, usual):
+    """A text of n words fits with at least this many common ones; for numbers and columns."""
+    root = np.sqrt if isinstance(n, (int, float)) else F.sqrt
+    return n * (FIT * usual) - root(n * (FIT * usual * (1 - FIT * usual))) * DEVIATIONS
+
+
+def _common_words(counts: DataFrame, langs: list[str]) -> tuple[dict, list[float]]:
+    """The common words of all languages, 1 / COMMON at most for each, and the share of its words that they make up."""
+    by = [F.col("by")[i] for i in range(len(langs))]
+    totals = [x or 0 for x in counts.agg(F.array(*map(F.sum, by)).alias("t")).first()["t"]] if langs else []
+    often = [b >= F.lit(max(1.0, COMMON * n)) for b, n in zip(by, totals)]
+    rows = counts.where(reduce(or_, often)).select("word", F.array(*[o.cast("int") for o in often]).alias("c"), "by").collect() if langs else []
+    share = [sum(r["by"][i] for r in rows if r["c"][i]) / n if n else 0.0 for i, n in enumerate(totals)]
+    return {r["word"]: np.array(r["c"], np.int8) for r in rows}, share
+
 
 def _frequencies(counts: DataFrame, unit: str, most: int, langs: list[str]) -> tuple[dict, np.ndarray, DataFrame | None]:
     """Places of the most frequent units, their smoothed log frequencies, n-grams by order; and (unit, v) of the others."""
@@ -191,7 +229,8 @@ def fit(df: DataFrame, train: Column, text_col: str = "text", lang_col: str = "l
     prior = np.log(np.array([share[k] for k in langs], float)) if langs else np.empty(0)
     words = written(_counted(rows, _word_pairs, "word", langs))
     grams = written(_counted(words.select("word", "by"), _gram_pairs(langs), "gram", langs))
-    model = Model(langs, prior, _frequencies(words, "word", most_words, langs), _frequencies(grams, "gram", most_grams, langs))
+    model = Model(langs, prior, _frequencies(words, "word", most_words, langs), _frequencies(grams, "gram", most_grams, langs),
+                  _common_words(words, langs))
     for counts, rare in ((words, model.rare_words), (grams, model.rare_grams)):
         if rare is None:
             discard(counts)
@@ -241,18 +280,20 @@ def _spelled(words: DataFrame, model: Model) -> DataFrame:
 
 
 def _predict_joined(rows: DataFrame, model: Model) -> DataFrame:
-    """predict() with a model that doesn't hold all its units."""
+    """predict() with a model that doesn't hold all its units, and whether the text fits."""
     size = len(model.langs)
-    shared = rows.sparkSession.sparkContext.broadcast((model.place, model.word_lp))
+    shared = rows.sparkSession.sparkContext.broadcast((model.place, model.word_lp, model.common))
 
     def run(batches):
-        place, lp = shared.value
+        place, lp, common = shared.value
         for b in sliced(batches):
-            n, totals, words, times, ends = [], [], [], [], [0]
+            n, totals, words, times, ends, commons = [], [], [], [], [0], []
             for text in b.column(1).to_pylist():
                 found = words_of(text)
                 at = np.fromiter(map(place.get, found, repeat(-1)), np.int64, len(found))
                 rare = Counter([found[k] for k in np.flatnonzero(at < 0).tolist()])
+                rows = [row for w in found if (row := common.get(w)) is not None]
+                commons.append(np.sum(rows, axis=0, dtype=np.int64) if rows else np.zeros(size, np.int64))
                 n.append(len(found))
                 totals.append(lp[at[at >= 0]].sum(axis=0, dtype=np.float64))
                 words += rare.keys()
@@ -260,11 +301,11 @@ def _predict_joined(rows: DataFrame, model: Model) -> DataFrame:
                 ends.append(len(words))
             rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
                 [pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["word", "k"]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(totals, pa.list_(pa.float64())), rare],
-                                             names=["id", "words", "total", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(totals, pa.list_(pa.float64())), rare,
+                                              pa.array(commons, pa.list_(pa.int64()))], names=["id", "words", "total", "rare", "commons"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    docs = written(rows.mapInArrow(run, f"id {kind}, words long, total array<double>, rare array<struct<word: string, k: bigint>>")
+    docs = written(rows.mapInArrow(run, f"id {kind}, words long, total array<double>, rare array<struct<word: string, k: bigint>>, commons array<long>")
                    .withColumn("row", F.monotonically_increasing_id()))
     rare = docs.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
     found = rare.select("word").distinct()
@@ -275,19 +316,21 @@ def _predict_joined(rows: DataFrame, model: Model) -> DataFrame:
     total = _plus(F.col("total"), F.col("more"), size=size)
     factor = F.least(F.col("words"), F.lit(EVIDENCE)) / F.col("words")
     z = docs.drop("rare").join(more, "row", "left").withColumn("total", total).select(
-        "id", "words", F.when(F.col("words") > 0, F.array(*[
+        "id", "words", "commons", F.when(F.col("words") > 0, F.array(*[
             F.lit(float(p)) + F.col("total")[i] * factor for i, p in enumerate(model.prior)])).alias("z")).withColumn("top", F.array_max("z"))
+    best = F.array_position("z", F.col("top")).cast("int") - 1
+    usual = F.get(F.array(*map(F.lit, model.usual)), best)
     return z.select(
-        "id", F.coalesce(F.get(F.array(*map(F.lit, model.langs)), F.array_position("z", F.col("top")).cast("int") - 1),
-                         F.lit(UNDETERMINED)).alias("lang_pred"),
-        F.coalesce(1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))), F.lit(0.0)).alias("score"))
+        "id", F.coalesce(F.get(F.array(*map(F.lit, model.langs)), best), F.lit(UNDETERMINED)).alias("lang_pred"),
+        F.coalesce(1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))), F.lit(0.0)).alias("score"),
+        F.coalesce(F.get("commons", best) >= least_commons(F.col("words"), usual), F.lit(False)).alias("fits"))
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of each row's whole text."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if not model.complete:
-        return _predict_joined(rows, model)
+        return _predict_joined(rows, model).drop("fits")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -300,16 +343,17 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def select(df: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, whose language is one of the learned ones with probability `least` or more."""
+    """The rows of df, all columns, whose language is one of the learned ones with probability `least` or more, and fits."""
     if not model.complete:
         row = "_row_of_df"
         numbered = written(df.withColumn(row, F.monotonically_increasing_id()))
-        sure = predict(numbered, model, row, text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+        rows = numbered.select(F.col(row).alias("id"), F.col(text_col).cast("string").alias("text"))
+        sure = _predict_joined(rows, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least) & F.col("fits"))
         return numbered.join(sure.select(F.col("id").alias(row)), row, "left_semi").select(*df.columns)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def sure(text: str) -> bool:
         lang, p = shared.value.predict(text)
-        return lang != UNDETERMINED and p >= least
+        return lang != UNDETERMINED and p >= least and shared.value.fits(text, lang)
 
     return filtered(df, text_col, sure)

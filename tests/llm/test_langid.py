@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +72,44 @@ def test_bounds_change_no_result(spark, bounds):
     of = {(r["id"], r["lang_pred"]): r["score"] for r in langid.predict(words, whole).collect()}
     assert {(r["id"], r["lang_pred"]): r["score"] for r in langid.predict(words, cut).collect()} == pytest.approx(of, abs=1e-4)
     assert langid.select(words, cut, 0.5).count() == langid.select(words, whole, 0.5).count()
+
+
+FOREIGN = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän "
+          "on toimittava toisiaan kohtaan veljeyden hengessä. " * 3,
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. " * 3,
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. " * 3,
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. " * 3,
+}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"most_words": 300, "most_grams": 500}])
+def test_select_wants_a_fit(spark, bounds):
+    """Foreign text and random letters go, whatever their posterior; clean text stays, long or short."""
+    docs = table(spark, SF01, "documents")
+    model = langid.fit(docs, F.lit(True), **bounds)
+    assert model.complete == (not bounds)
+    rng = random.Random(1)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(50)]
+    odd = documents(spark, [*FOREIGN.values(), *junk, None, "", "12 34"])
+    assert langid.select(odd, model, 0.5).count() == 0
+    clean = docs.join(table(spark, SF01, "labels").where("quality = 1 and toxic = 0"), "doc_id", "left_semi")
+    assert langid.select(clean, model, 0.5).count() >= 0.995 * clean.count()
+    short = documents(spark, ["the end", "und nicht", "de la"])
+    assert langid.select(short, model, 0.0).count() == 3
+
+
+def test_share_of_common_words(spark):
+    """Against the definition on a small model."""
+    docs = table(spark, SF01, "documents").limit(200)
+    model = langid.fit(docs, F.lit(True))
+    rows = docs.where("lang is not null").collect()
+    for k, lang in enumerate(model.langs):
+        words = [w for r in rows if r["lang"] == lang for w in langid.words_of(r["text"])]
+        count = Counter(words)
+        common = {w for w, n in count.items() if n >= max(1, len(words) * langid.COMMON)}
+        assert {w for w, row in model.common.items() if row[k]} == common
+        assert model.usual[k] == pytest.approx(sum(w in common for w in words) / len(words))
+        text = " ".join(words[:40])
+        found, p = sum(w in common for w in words[:40]), langid.FIT * model.usual[k]
+        assert model.fits(text, lang) == (found >= 40 * p - langid.DEVIATIONS * math.sqrt(40 * p * (1 - p)))
