@@ -41,6 +41,29 @@ def lcs_len(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+def lcs_at_least(a: str, b: str, least: float, step: int = 256) -> int:
+    """lcs_len, or -1 as soon as it is clear that it stays below `least`: what is left of the shorter text can't make up for it."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(b) < least:
+        return -1
+    masks: dict[str, int] = {}
+    bit = 1
+    for ch in a:
+        masks[ch] = masks.get(ch, 0) | bit
+        bit <<= 1
+    v = full = bit - 1
+    for at in range(0, len(b), step):
+        for ch in b[at: at + step]:
+            m = masks.get(ch)
+            if m:
+                u = v & m
+                v = ((v + u) | (v - u)) & full
+        if len(a) - v.bit_count() + max(0, len(b) - at - step) < least:
+            return -1
+    return len(a) - v.bit_count()
+
+
 def lcs_len_dp(a: str, b: str) -> int:
     """Textbook O(|a||b|) LCS, used by tests as the brute-force reference."""
     prev = [0] * (len(b) + 1)

@@ -204,7 +204,7 @@ def _grid_fn(threshold: float, distinct_only: bool):
     import numpy as np
     import pandas as pd
 
-    from ..functions.similarity import lcs_len
+    from ..functions.similarity import lcs_at_least
 
     t = float(threshold)
 
@@ -277,7 +277,7 @@ def _grid_fn(threshold: float, distinct_only: bool):
             for i, j in zip(ii[~short].tolist(), jj[~short].tolist()):
                 out_a.append(np.array([i]))
                 out_b.append(np.array([j]))
-                out_l.append(np.array([lcs_len(ka[i], kb[j])]))
+                out_l.append(np.array([lcs_at_least(ka[i], kb[j], t * (la[i] + lb[j]) / 200.0 - 1e-9)]))
         if not out_a:
             return fn(pa.iloc[0:0], pb)
         ai, bj, lc = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_l)

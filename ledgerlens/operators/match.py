@@ -17,6 +17,7 @@ No fuzzy work is ever repeated for duplicate keys, and nothing is collected.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from ..functions.similarity import indel_ratio
@@ -25,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import col, norm_key
-from .candidates import scored_pairs
+from .candidates import _ids, scored_pairs
+from .ranks import _checkpoint
+from .segments import best_matches
 
 MATCHED, SUGGESTED, UNMATCHED = "matched", "suggested", "unmatched"
 
@@ -59,11 +62,17 @@ def build_side(b: DataFrame, key_b: str, extract=(), ignore_case: bool = True, b
         F.max_by(F.struct("_orig", *[F.col(f"`{c}`") for c in extract]), "_pos").alias("_payload"))
 
 
-def best_fuzzy(a_keys: DataFrame, b_keys: DataFrame, threshold: float, native: bool = False, method: str = "grid") -> DataFrame:
+def best_fuzzy(a_keys: DataFrame, b_keys: DataFrame, threshold: float, native: bool = False, method: str = "index") -> DataFrame:
     """For each A key, the best B key at or above ``threshold``; ties go to the first B key.
 
-    ``a_keys``: (_blk, _k) distinct; ``b_keys``: (_blk, _k, _pos). Output (_blk, _k, _bk, _score).
+    ``a_keys``: (_blk, _k) distinct; ``b_keys``: (_blk, _k, _pos). Output (_blk, _k, _bk, _score). ``method``: 'index' (inverted
+    index of segments, rising threshold), or 'grid' / 'prefix' of ``candidates``; all are exact.
     """
+    if method == "index" and not native and threshold > 0:
+        best = best_matches(a_keys.select(F.col("_blk").alias("blk"), F.col("_k").alias("ka")),
+                            b_keys.select(F.col("_blk").alias("blk"), F.col("_k").alias("kb"), F.col("_pos").alias("pos")), threshold)
+        return best.select(F.col("blk").alias("_blk"), F.col("ka").alias("_k"), F.col("kb").alias("_bk"), F.col("score").alias("_score"))
+    method = "grid" if method == "index" else method
     pairs = scored_pairs(a_keys.select(F.col("_blk").alias("blk"), F.col("_k").alias("ka")),
                          b_keys.select(F.col("_blk").alias("blk"), F.col("_k").alias("kb")), threshold, native=native, method=method)
     pos = b_keys.select(F.col("_blk").alias("blk"), F.col("_k").alias("kb"), F.col("_pos"))
@@ -76,7 +85,7 @@ def best_fuzzy(a_keys: DataFrame, b_keys: DataFrame, threshold: float, native: b
 
 def match(a: DataFrame, b: DataFrame, key_a: str, key_b: str, extract=(), threshold: float = 80,
           ignore_case: bool = True, b_order=None, null_keys: str = "match", native: bool = False,
-          prefix: str = "SheetB_", block_a: str | None = None, block_b: str | None = None, method: str = "grid") -> DataFrame:
+          prefix: str = "SheetB_", block_a: str | None = None, block_b: str | None = None, method: str = "index") -> DataFrame:
     """Every A row with its match type, score, matched B key, extracted B columns and category.
 
     ``b_order`` gives B's row order (first-seen position / last-row payload);
@@ -130,15 +139,73 @@ def default_weights(n: int) -> list[float]:
     return [x / s for x in w]
 
 
+#: A field is worth driving the candidate search alone if pairs need at least this score there.
+DRIVING = 50.0
+
+
+def _needs(weights: list[float], t: float) -> list[float]:
+    """The least score of each field in a pair whose weighted score reaches t: all other fields may have 100."""
+    return [(t - 100.0 * (1 - w)) / w if w > 0 else float("-inf") for w in weights]
+
+
+class _Tuples:
+    """Distinct tuples of both sides with an id for each tuple and for each distinct value of a field, all pairs as ids."""
+
+    def __init__(self, a: DataFrame, b: DataFrame, k: int, native: bool):
+        self.k, self.native = k, native
+        self.values = [(_ids(a.select(F.col(f"_v{j}").alias("ka")).distinct(), f"a{j}"), _ids(b.select(F.col(f"_v{j}").alias("kb")).distinct(), f"b{j}"))
+                       for j in range(k)]
+        self.b = self._numbered(b, 1, "_tb")
+        self.a = self._numbered(a, 0, "_ta")
+
+    def _numbered(self, df, side, name):
+        for j, pair in enumerate(self.values):
+            df = df.join(pair[side].withColumnRenamed("ka" if side == 0 else "kb", f"_v{j}"), f"_v{j}")
+        return _ids(df, name)
+
+    def best(self, a: DataFrame, weights: list[float], t: float) -> DataFrame:
+        """(_ta, _tb, _s0.., _score): for each tuple of `a` the best partner at or above t, ties to the least position.
+
+        A pair that reaches t has at least _needs() in every field, and t in some field. If one field's need is high, its value
+        pairs alone are found and lead to the tuples; else those of all fields at t are united. The other scores are computed
+        once for each pair of values that occurs, field by field, and pairs that can't reach t any more go at once.
+        """
+        needs = _needs(weights, t)
+        lead = max(range(self.k), key=lambda j: needs[j])
+        leads, level = ([lead], needs[lead]) if needs[lead] >= DRIVING else (list(range(self.k)), t)
+        found = []
+        for j in leads:
+            va, vb = self.values[j]
+            blk = F.lit("0").alias("blk")
+            sp = scored_pairs(va.join(a.select(f"a{j}").distinct(), f"a{j}").select(blk, "ka"), vb.select(blk, "kb"), max(level, 0.0), self.native)
+            sp = sp.join(va, "ka").join(vb, "kb").select(f"a{j}", f"b{j}")
+            found.append(a.select("_ta", f"a{j}").join(sp, f"a{j}").join(self.b.select("_tb", f"b{j}"), f"b{j}").select("_ta", "_tb"))
+        pairs = found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()
+        sums, left = F.lit(0.0), 1.0
+        for j in sorted(range(self.k), key=lambda j: (j not in leads, -weights[j])):
+            va, vb = self.values[j]
+            pairs = _checkpoint(pairs.join(a.select("_ta", f"a{j}"), "_ta").join(self.b.select("_tb", f"b{j}"), "_tb"))
+            scores = pairs.select(f"a{j}", f"b{j}").distinct().join(va, f"a{j}").join(vb, f"b{j}").select(
+                f"a{j}", f"b{j}", indel_ratio(F.col("ka"), F.col("kb"), self.native).alias(f"_s{j}"))
+            pairs = pairs.join(scores, [f"a{j}", f"b{j}"]).drop(f"a{j}", f"b{j}")
+            sums, left = sums + F.col(f"_s{j}") * F.lit(weights[j]), left - weights[j]
+            pairs = pairs.where(sums + F.lit(100.0 * left + 1e-9) >= F.lit(t))
+        total = reduce(lambda x, y: x + y, [F.col(f"_s{j}") * F.lit(weights[j]) for j in range(self.k)])
+        s = [f"_s{j}" for j in range(self.k)]
+        ranked = pairs.withColumn("_score", total).where(F.col("_score") >= F.lit(float(t))).join(self.b.select("_tb", "_pos"), "_tb")
+        return ranked.groupBy("_ta").agg(F.min_by(F.struct("_tb", *s, "_score"), F.struct((-F.col("_score")).alias("s"), F.col("_pos").alias("p"))).alias("m")
+                                         ).select("_ta", "m.*")
+
+
 def match_multi(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str], extract=(),
                 threshold: float = 80, weights: list[float] | None = None, ignore_case: bool = True,
-                b_order=None, native: bool = False, prefix: str = "SheetB_") -> DataFrame:
+                b_order=None, native: bool = False, prefix: str = "SheetB_", report_best: bool = False) -> DataFrame:
     """Multi-column exact match, else weighted fuzzy best match with a per-field breakdown.
 
-    Exact: all normalised keys equal; the *first* B row wins. Fuzzy: weighted
-    sum of per-field ratios, best first-row wins on ties; kept if >= threshold.
-    Weights sum to 1, so a pair reaching the threshold has some field at or
-    above it: the union of per-field candidate sets is lossless.
+    Exact: all normalised keys equal; the *first* B row wins. Fuzzy: weighted sum of per-field ratios, best first-row wins on
+    ties; kept if >= threshold. ``report_best``: unmatched rows report their best score below the threshold (D2), looked for at
+    three quarters, half and a quarter of the threshold and then, for what is left, without one: that last step compares every
+    tuple left with every B tuple.
     """
     if len(keys_a) != len(keys_b):
         raise ValueError("keys_a and keys_b must have the same length")
@@ -167,40 +234,30 @@ def match_multi(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str]
                                    for i in range(k)]).alias("_breakdown"))
     rest = a_tuples.join(b_tuples.select(*vcols), vcols, "left_anti")
 
-    # candidate tuple pairs: union over fields of per-field candidates
-    cand = []
-    for i in range(k):
-        va = rest.select(F.lit(0).alias("blk"), F.col(f"_v{i}").alias("ka")).distinct()
-        vb = b_tuples.select(F.lit(0).alias("blk"), F.col(f"_v{i}").alias("kb")).distinct()
-        sp = scored_pairs(va, vb, threshold, native)
-        left = rest.join(sp.select(F.col("ka").alias(f"_v{i}"), "kb").distinct(), f"_v{i}")
-        pair = left.join(b_tuples.select(*[F.col(v).alias(f"_w{j}") for j, v in enumerate(vcols)]),
-                         F.col("kb") == F.col(f"_w{i}")).drop("kb")
-        cand.append(pair)
-    pairs = reduce(lambda x, y: x.unionByName(y), cand).distinct()
-    per_field = [indel_ratio(F.col(f"_v{i}"), F.col(f"_w{i}"), native) for i in range(k)]
-    scored = pairs.select("*", *[pf.alias(f"_s{i}") for i, pf in enumerate(per_field)])
-    total = reduce(lambda x, y: x + y, [F.col(f"_s{i}") * F.lit(w[i]) for i in range(k)])
-    scored = scored.withColumn("_score", total).filter(F.col("_score") >= F.lit(float(threshold)))
-    bpos = b_tuples.select(*[F.col(v).alias(f"_w{j}") for j, v in enumerate(vcols)], "_pos")
-    ranked = scored.join(bpos, [f"_w{j}" for j in range(k)])
-    best = ranked.groupBy(*vcols).agg(
-        F.min_by(F.struct(*[F.col(f"_w{j}") for j in range(k)], *[F.col(f"_s{j}") for j in range(k)]),
-                 F.struct((-F.col("_score")).alias("s"), F.col("_pos").alias("p"))).alias("_m"),
-        F.max("_score").alias("_score"))
-    fuzzy = best.select(*vcols, *[F.col("_m").getField(f"_w{j}").alias(f"_w{j}") for j in range(k)], "_score",
-                        F.when(F.col("_score") >= 90, F.lit("Multi-Field High Confidence"))
-                        .otherwise(F.lit("Multi-Field Suggested")).alias("_type"),
-                        F.array(*[F.struct(F.lit(fields[j]).alias("field"),
-                                           F.col("_m").getField(f"_s{j}").alias("score")) for j in range(k)])
-                        .alias("_breakdown"))
+    t = float(threshold)
+    tuples = _Tuples(rest, b_tuples.select(*vcols, "_pos"), k, native)
+    best = [_checkpoint(tuples.best(tuples.a, w, t).withColumn("_low", F.lit(False)))]
+    if report_best:
+        left = tuples.a
+        for level in (t * 0.75, t * 0.5, t * 0.25, 0.0):
+            left = left.join(best[-1], "_ta", "left_anti")
+            best.append(_checkpoint(tuples.best(left, w, level).withColumn("_low", F.lit(True))))
+    best = reduce(DataFrame.unionByName, best)
+    named = best.join(tuples.a.select("_ta", *vcols), "_ta").join(
+        tuples.b.select("_tb", *[F.col(v).alias(f"_w{i}") for i, v in enumerate(vcols)]), "_tb")
+    low = F.col("_low")
+    fuzzy = named.select(*vcols, *[F.when(~low, F.col(f"_w{j}")).alias(f"_w{j}") for j in range(k)], "_score",
+                         F.when(low, F.lit(None)).when(F.col("_score") >= 90, F.lit("Multi-Field High Confidence"))
+                         .otherwise(F.lit("Multi-Field Suggested")).alias("_type"),
+                         F.when(~low, F.array(*[F.struct(F.lit(fields[j]).alias("field"), F.col(f"_s{j}").alias("score"))
+                                                for j in range(k)])).alias("_breakdown"))
     resolved = exact.unionByName(fuzzy)
     bpay = b_tuples.select(*[F.col(v).alias(f"_w{j}") for j, v in enumerate(vcols)], "_payload")
     resolved = resolved.join(bpay, [f"_w{j}" for j in range(k)], "left").drop(*[f"_w{j}" for j in range(k)])
     joined = a2.join(resolved, vcols, "left")
     names = _extract_names(a.columns, extract, prefix)
     category = (F.when(F.col("_type") == "Multi-Field Exact", F.lit(MATCHED))
-                .when(F.col("_score") >= 90, F.lit(MATCHED))
+                .when(F.col("_type").isNotNull() & (F.col("_score") >= 90), F.lit(MATCHED))
                 .when(F.col("_type").isNotNull(), F.lit(SUGGESTED)).otherwise(F.lit(UNMATCHED)))
     out = [col(c) for c in a.columns]
     out += [F.col("_payload").getField(c).alias(names[c]) for c in extract]
@@ -213,9 +270,38 @@ def match_multi(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str]
 
 # ---------------------------------------------------------------- batch
 
+def readable(readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The tables that can be read, and the error of each that can't. A table is readable if its schema and a first row are."""
+    tables, errors = {}, {}
+    for name, reader in readers.items():
+        try:
+            df = reader()
+            df.limit(1).collect()
+            tables[name] = df
+        except Exception as e:  # whatever a source raises becomes that table's result
+            errors[name] = str(e).strip().split("\n")[0][:200]
+    return tables, errors
+
+
+def match_batch_readers(ref: DataFrame, readers: dict[str, Callable[[], DataFrame]], key_ref: str, key_target: str,
+                        threshold: float = 80, target_order: str | None = None, target_col: str = "_target", **kw) -> DataFrame:
+    """J7 over tables that may fail to load: match_batch of those that can be read, with outcome 'success', and a row with
+    outcome 'error' and the message, its counts null, for every other. All rows are matched in one job."""
+    tables, errors = readable(readers)
+    spark = ref.sparkSession
+    order = [] if target_order is None else [col(target_order).alias("_order")]
+    parts = [df.select(F.lit(name).alias(target_col), col(key_target).cast("string").alias("_key"), *order) for name, df in tables.items()]
+    failed = spark.createDataFrame(list(errors.items()), f"`{target_col}` string, error string").withColumn("outcome", F.lit("error"))
+    if not parts:
+        return failed
+    done = match_batch(ref, reduce(DataFrame.unionByName, parts), key_ref, "_key", list(tables), target_col, threshold,
+                       target_order="_order" if order else None, **kw)
+    return done.withColumn("outcome", F.lit("success")).unionByName(failed, allowMissingColumns=True)
+
+
 def match_batch(ref: DataFrame, targets: DataFrame, key_ref: str, key_target: str, target_names: list[str],
                 target_col: str = "_target", threshold: float = 80, ignore_case: bool = True,
-                target_order=None, null_keys: str = "match", method: str = "grid") -> DataFrame:
+                target_order=None, null_keys: str = "match", method: str = "index") -> DataFrame:
     """One reference table against every target at once, summarised per target.
 
     Targets arrive as one DataFrame tagged by ``target_col``; the target name

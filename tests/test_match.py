@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.similarity import ratio
@@ -123,3 +124,53 @@ def test_match_independent_of_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1]
+
+
+def _multi_brute(a, b, weights, t):
+    """Best partner of each A tuple by definition: (score, B position) or the best score below t."""
+    out = {}
+    for ra in a:
+        best = max(((sum(w * ratio(x, y) for w, x, y in zip(weights, ra[1:], rb[1:])), -rb[0]) for rb in b), default=None)
+        out[ra[0]] = best
+    return out
+
+
+@pytest.mark.parametrize("weights, t, report_best", [([0.5, 0.5], 80, True), ([0.4, 0.3, 0.3], 75, False), ([0.8, 0.1, 0.1], 60, False)])
+def test_multi_column_equals_brute_force(spark, weights, t, report_best):
+    """One field leads, or several are united; unmatched rows report their best score on request."""
+    rnd = random.Random(len(weights) * 100 + t)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 7)))
+    n = len(weights)
+    a = [(i, *[word() for _ in range(n)]) for i in range(60)]
+    b = [(i, *[word() for _ in range(n)]) for i in range(60)]
+    names = [f"f{k}" for k in range(n)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} string" for c in names))
+    got = {r.id: r for r in match_multi(frame(a), frame(b), names, names, extract=["id"], threshold=t, weights=weights, b_order="id",
+                                        report_best=report_best).collect()}
+    for i, (score, pos) in _multi_brute(a, b, [w / sum(weights) for w in weights], t).items():
+        assert got[i].similarity_score == (pytest.approx(score) if score >= t or report_best else None)
+        if got[i].match_type == "Multi-Field Exact":
+            continue
+        if score >= t:
+            assert got[i].SheetB_id == -pos and got[i].match_type.startswith("Multi-Field")
+        else:
+            assert got[i].match_type == "No Multi-Field Match" and got[i].SheetB_id is None and got[i].category == "unmatched"
+
+
+def test_unreadable_targets_become_rows(spark, tmpdir_path):
+    from ledgerlens.operators.match import match_batch_readers
+    from ledgerlens.operators.summaries import batch_summary
+    with open(f"{tmpdir_path}/broken.parquet", "wb") as f:
+        f.write(b"no parquet")
+    ref = spark.createDataFrame([(1, "anvil"), (2, "hammer"), (3, "nail")], "id int, k string")
+    good = spark.createDataFrame([(1, "ANVIL"), (2, "hamer")], "id int, k string")
+    readers = {"a": lambda: good, "broken": lambda: spark.read.parquet(f"{tmpdir_path}/broken.parquet"),
+               "absent": lambda: spark.read.parquet(f"{tmpdir_path}/absent.parquet"), "b": lambda: good, "raises": lambda: 1 / 0}
+    out = match_batch_readers(ref, readers, "k", "k", target_order="id")
+    rows = {r["_target"]: r for r in batch_summary(out, list(readers)).collect()}
+    assert {n: r["outcome"] for n, r in rows.items()} == {"a": "success", "b": "success", "broken": "error", "absent": "error", "raises": "error"}
+    assert rows["raises"]["error"] == "division by zero" and rows["broken"]["match_rate"] is None and rows["broken"]["status"] is None
+    assert (rows["a"]["exact"], rows["a"]["rows"]) == (1, 3)
+    assert rows["a"]["success_rate"] == 40.0 and rows["a"]["is_best"] and rows["a"]["is_worst"] and not rows["b"]["is_best"]
+    nothing = match_batch_readers(ref, {"raises": lambda: 1 / 0}, "k", "k")
+    assert [r["outcome"] for r in nothing.collect()] == ["error"]
