@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,28 +74,94 @@ def missing_overview(df: DataFrame) -> DataFrame:
         .alias("columns_with_missing_data"))
 
 
+def _joined(x: list, y: list) -> list:
+    """Two neighbouring stretches of rows as one. A stretch: rows, leading run, trailing run, and of the runs that touch neither
+    end their number, their rows and the longest. In a stretch that is one run, leading and trailing run are all its rows."""
+    if x[1] == x[0]:
+        return [x[0] + y[0], x[0] + y[1], x[0] + y[0] if y[2] == y[0] else y[2], *y[3:]]
+    if y[2] == y[0]:
+        return [x[0] + y[0], x[1], x[2] + y[0], *x[3:]]
+    middle = x[2] + y[1]
+    return [x[0] + y[0], x[1], y[2], x[3] + y[3] + (middle > 0), x[4] + y[4] + middle, max(x[5], y[5], middle)]
+
+
+def _stretch(gone: np.ndarray) -> list:
+    ends = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    starts, stops = ends[::2], ends[1::2]
+    n, sizes = len(gone), stops - starts
+    first = int(sizes[0]) if len(sizes) and starts[0] == 0 else 0
+    last = int(sizes[-1]) if len(sizes) and stops[-1] == n else 0
+    inner = sizes[(starts > 0) & (stops < n)]
+    return [n, first, last, len(inner), int(inner.sum()), int(inner.max(initial=0))]
+
+
 def null_runs(df: DataFrame, cols: list[str] | None, order_by: list[str], partition_by: str | None = None) -> DataFrame:
     """Q3: runs of consecutive missing values per column (and group): longest, number of runs, mean length.
 
-    Rows get exact global positions under (group, order) from range
-    partitions; missing rows get a second numbering among themselves. Inside
-    one run both positions grow together, so (group, pos - null_pos) names
-    the run. Everything is range partitions plus grouped aggregates.
+    One exchange for any number of columns: rows are dealt in ranges of (group, order); a task walks its rows and gives, for each
+    group and column, its stretch: rows, leading run, trailing run and a summary of the runs between. Stretches of neighbouring
+    tasks are joined in order by a fold (a run that crosses a border is the trailing run of one and the leading run of the next),
+    over at most one stretch for each task. Rows that tie in (group, order) come in any order.
     """
     cols = cols or [c for c in numeric_columns(df) if c != partition_by and c not in order_by]
-    keys = ([partition_by] if partition_by else []) + list(order_by)
-    pos = ranks.row_positions(df.select(*[col(k) for k in keys], *[col(c) for c in cols]), keys)
-    out = []
-    for c in cols:
-        nulls = pos.filter(_missing(df, c)).select(*([partition_by] if partition_by else []), "_pos")
-        npos = ranks.row_positions(nulls.withColumnRenamed("_pos", "_p0"), ["_p0"])
-        runs = (npos.withColumn("_run", F.col("_p0") - F.col("_pos"))
-                .groupBy(*([partition_by] if partition_by else []), "_run").agg(F.count(F.lit(1)).alias("_len")))
-        g = [partition_by] if partition_by else []
-        out.append(runs.groupBy(*g).agg(F.max("_len").alias("max_consecutive_missing"),
-                                        F.count(F.lit(1)).alias("total_runs"),
-                                        F.avg("_len").alias("avg_run_length")).withColumn("column", F.lit(c)))
-    return reduce(lambda x, y: x.unionByName(y), out)
+    group = col(partition_by) if partition_by else F.lit(0)
+    keyed = df.select(group.alias("_g"), *[col(k).alias(f"_o{i}") for i, k in enumerate(order_by)],
+                      *[F.coalesce(_missing(df, c), F.lit(False)).alias(f"_m{i}") for i, c in enumerate(cols)])
+    order = ["_g", *[f"_o{i}" for i in range(len(order_by))]]
+    first_flag = len(order)
+    names = ["g", "seq", "c", "n", "head", "tail", "runs", "rows", "longest"]
+
+    def run(batches):
+        def made(rows):
+            values, numbers = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(values), *[pa.array(x, pa.int64()) for x in zip(*numbers)]], names=names)
+
+        key, held, seq, out = None, None, 0, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column(0)
+            x, y = g.slice(0, len(g) - 1), g.slice(1)
+            same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(~same.astype(bool)) + 1).tolist(), len(g)]
+            gone = [b.column(first_flag + i).to_numpy(zero_copy_only=False) for i in range(len(cols))]
+            for low, high in zip(edges, edges[1:]):
+                now = [_stretch(flags[low:high]) for flags in gone]
+                value = g.slice(low, 1)
+                if held is not None and value.equals(key):
+                    held = [_joined(s, t) for s, t in zip(held, now)]
+                    continue
+                if held is not None:
+                    out += [(key, [seq, i, *s]) for i, s in enumerate(held)]
+                    seq += 1
+                    if len(out) > 4096:
+                        yield made(out)
+                        out = []
+                key, held = value, now
+        if held is not None:
+            yield made(out + [(key, [seq, i, *s]) for i, s in enumerate(held)])
+
+    kind = keyed.schema["_g"].dataType.simpleString()
+    parts = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        run, f"g {kind}, seq long, c long, n long, head long, tail long, runs long, rows long, longest long")
+    s = F.struct(F.spark_partition_id().alias("part"), "seq", "n", "head", "tail", "runs", "rows", "longest")
+    state = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("open", "runs", "rows", "longest")])
+
+    def step(acc, x):
+        closed = acc["open"] + x["head"]
+        all_gone = x["head"] == x["n"]
+        return F.struct(F.when(all_gone, closed).otherwise(x["tail"]).alias("open"),
+                        F.when(all_gone, acc["runs"]).otherwise(acc["runs"] + x["runs"] + (closed > 0).cast("long")).alias("runs"),
+                        F.when(all_gone, acc["rows"]).otherwise(acc["rows"] + x["rows"] + closed).alias("rows"),
+                        F.when(all_gone, acc["longest"]).otherwise(F.greatest(acc["longest"], x["longest"], closed)).alias("longest"))
+
+    folded = parts.select("g", "c", s.alias("s")).groupBy("g", "c").agg(F.array_sort(F.collect_list("s")).alias("s")).select(
+        "g", "c", F.aggregate("s", state, step).alias("a"))
+    total, rows = F.col("a.runs") + (F.col("a.open") > 0).cast("long"), F.col("a.rows") + F.col("a.open")
+    out = folded.select(*([F.col("g").alias(partition_by)] if partition_by else []), F.greatest("a.longest", "a.open").alias("max_consecutive_missing"),
+                        total.alias("total_runs"), F.try_divide(rows, total).alias("avg_run_length"),
+                        F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("c").cast("int") + 1).alias("column"), rows.alias("_rows"))
+    return out.where("_rows > 0").drop("_rows")
 
 
 def duplicates(df: DataFrame) -> DataFrame:

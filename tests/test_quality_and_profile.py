@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import parse_date
@@ -75,3 +76,52 @@ def test_date_shape_precheck_is_lossless(spark):
     rows = df.select("v", unguarded.isNotNull().alias("raw"), parse_date(F.col("v")).isNotNull().alias("guarded")).collect()
     assert all(r.raw == r.guarded for r in rows)
     assert sum(r.raw for r in rows) >= 10
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_null_runs_across_tasks(spark, partitions):
+    """Runs that cross the borders of tasks, all columns at once, against a plain walk; groups by text with null."""
+    import random
+    rnd = random.Random(partitions)
+    rows, o = [], 0
+    for g in ["a", "b", None, "c", "long"]:
+        for _ in range(400 if g == "long" else 60):
+            rows.append((g, o, None if rnd.random() < 0.5 else 1.0, None if g == "a" or rnd.random() < 0.9 else 2.0, 3.0))
+            o += 1
+    df = spark.createDataFrame(rows, "g string, o long, x double, y double, z double").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {(r["g"], r["column"]): (r["max_consecutive_missing"], r["total_runs"], r["avg_run_length"])
+               for r in Q.null_runs(df, ["x", "y", "z"], ["o"], "g").collect()}
+        whole = {r["column"]: (r["max_consecutive_missing"], r["total_runs"]) for r in Q.null_runs(df, ["x", "y"], ["o"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+    def runs(values):
+        sizes, n = [], 0
+        for v in [*values, 0]:
+            if v is None:
+                n += 1
+            elif n:
+                sizes.append(n)
+                n = 0
+        return sizes
+
+    want = {}
+    for g in ["a", "b", None, "c", "long"]:
+        for k, c in enumerate("xyz", 2):
+            if sizes := runs([r[k] for r in rows if r[0] == g]):
+                want[g, c] = (max(sizes), len(sizes), sum(sizes) / len(sizes))
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v)
+    assert whole == {c: (max(s), len(s)) for c, s in (("x", runs([r[2] for r in rows])), ("y", runs([r[3] for r in rows])))}
+
+
+def test_null_runs_take_one_exchange(spark):
+    df = spark.range(100).selectExpr("id % 3 AS g", "id AS o", "if(id % 2 = 0, null, 1.0D) AS x", "if(id % 5 = 0, null, 1.0D) AS y")
+    plan = Q.null_runs(df, ["x", "y"], ["o"], "g")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and plan.count("Exchange") <= 2
