@@ -168,19 +168,22 @@ def risk_factors(df: DataFrame, category: str, amount: str) -> DataFrame:
 
 
 def value_concentration(df: DataFrame, amount: str) -> DataFrame:
-    """Share of revenue held by rows at or above the 80th percentile; >=80 High, >=60 Medium."""
+    """Share of revenue held by rows at or above the 80th percentile (0 unless the total is positive); >= 80 High, >= 60
+    Moderate."""
     long = to_long(df, [amount])
     q = ranks.quantile_wide(long, {"_q80": 0.8}).drop("column")
     x = attach(long.select(F.col("value").alias("a")), q)
     high = F.col("a") >= F.col("_q80")
-    s = x.agg(F.try_divide(F.sum(F.when(high, F.col("a")).otherwise(0.0)) * 100, F.sum("a")).alias("top_share"),
+    share = F.sum(F.when(high, F.col("a")).otherwise(0.0)) * 100 / F.sum("a")
+    s = x.agg(F.when(F.sum("a") > 0, share).otherwise(0.0).alias("top_share"),
               F.try_divide(F.sum(F.when(high, 1).otherwise(0)) * 100.0, F.count(F.lit(1))).alias("top_rows_pct"))
-    return s.withColumn("concentration", F.when(F.col("top_share") >= 80, "High").when(F.col("top_share") >= 60, "Medium")
-                        .otherwise("Low"))
+    return s.withColumn("concentration", F.when(F.col("top_share") >= 80, "High").when(F.col("top_share") >= 60, "Moderate")
+                        .otherwise("Well distributed"))
 
 
 def growth_indicator(df: DataFrame, amount: str, date: str) -> DataFrame:
-    """Last month against the previous month (sum), +-5% bands."""
+    """Last month against the previous month (sum): above 5% Increasing, above -5% Stable, else Decreasing; below two months
+    Insufficient data."""
     m = df.filter(col(date).isNotNull()).groupBy(month(date).alias("month")).agg(F.sum(col(amount)).alias("s"))
     last = m.agg(F.max("month").alias("_last"))
     x = attach(m, last)
@@ -189,7 +192,8 @@ def growth_indicator(df: DataFrame, amount: str, date: str) -> DataFrame:
     y = attach(cur, prev)
     g = F.try_divide((F.col("last_month") - F.col("previous_month")) * 100, F.col("previous_month"))
     return y.select("last_month", "previous_month", g.alias("growth_pct"),
-                    F.when(g > 5, "growing").when(g < -5, "declining").otherwise("stable").alias("indicator"))
+                    F.when(F.col("previous_month").isNull(), "Insufficient data").when(g > 5, "Increasing").when(g > -5, "Stable")
+                    .otherwise("Decreasing").alias("indicator"))
 
 
 def risk_score(alerts: DataFrame) -> DataFrame:
@@ -288,37 +292,45 @@ def kpi_scorecard(kpis: DataFrame, units: dict[str, str], bands: dict[str, str]
                                                              .when(word.rlike("concerning|poor|critical"), "red").otherwise("orange"))
 
 
-def compare_datasets(a: DataFrame, b: DataFrame, amount: str, customer: str, product: str,
-                     name_a: str = "A", name_b: str = "B") -> DataFrame:
-    """Rows, columns, revenue (sum, mean), customers, products per dataset."""
-    def prof(df, name):
-        return df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("records"),
+def compare_datasets(a: DataFrame, b: DataFrame, amount: str, customer: str, product: str, name_a: str = "A", name_b: str = "B",
+                     amounts: tuple[list[str], list[str]] = ([], []), categories: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
+    """Rows, columns, amount and category columns (as named for each side), revenue (sum, mean), customers and products per
+    dataset."""
+    def prof(df, name, side):
+        return df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("records"), F.lit(len(df.columns)).cast("long").alias("columns"),
+                      F.lit(len(amounts[side])).cast("long").alias("amount_columns"), F.lit(len(categories[side])).cast("long").alias("category_columns"),
                       F.sum(col(amount)).alias("revenue"), F.avg(col(amount)).alias("average_transaction"),
                       F.count_distinct(col(customer)).alias("customers"), F.count_distinct(col(product)).alias("products"))
-    return prof(a, name_a).unionByName(prof(b, name_b))
+    return prof(a, name_a, 0).unionByName(prof(b, name_b, 1))
+
+
+MEASURES = ["records", "columns", "amount_columns", "category_columns", "revenue", "average_transaction", "customers", "products"]
 
 
 def dataset_differences(profiles: DataFrame, name_a: str = "A", name_b: str = "B") -> DataFrame:
     """A row per measure of compare_datasets: both values, B - A, and growth % (0 unless A's value is positive)."""
-    names = ["records", "revenue", "average_transaction", "customers", "products"]
-    side = lambda n, t: profiles.filter(F.col("dataset") == n).select(*[F.col(c).cast("double").alias(f"{c}_{t}") for c in names])
+    side = lambda n, t: profiles.filter(F.col("dataset") == n).select(*[F.col(c).cast("double").alias(f"{c}_{t}") for c in MEASURES])
     x = attach(side(name_a, "a"), side(name_b, "b"))
     rows = x.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(f"{c}_a").alias("dataset_a"), F.col(f"{c}_b").alias("dataset_b"))
-                                        for c in names])).alias("r")).select("r.*")
+                                        for c in MEASURES])).alias("r")).select("r.*")
     diff = F.col("dataset_b") - F.col("dataset_a")
     return rows.withColumn("difference", diff).withColumn(
         "growth_rate", F.when(F.col("dataset_a") > 0, diff / F.col("dataset_a") * 100).otherwise(0.0))
 
 
 def comparison_sentences(differences: DataFrame) -> DataFrame:
-    """Summary sentences on records and revenue."""
+    """Summary sentences on records, revenue and, where B has more, business dimensions (amount and category columns)."""
     g, m = F.abs("growth_rate"), F.col("measure")
     up, down = F.col("difference") > 0, F.col("difference") < 0
     text = (F.when((m == "records") & up, F.format_string("Dataset B has %.1f%% more records than Dataset A", g))
             .when((m == "records") & down, F.format_string("Dataset B has %.1f%% fewer records than Dataset A", g))
             .when((m == "revenue") & up, F.format_string("Revenue increased by %.1f%% in Dataset B", g))
-            .when((m == "revenue") & down, F.format_string("Revenue decreased by %.1f%% in Dataset B", g)))
-    return differences.select("measure", text.alias("sentence")).filter(F.col("sentence").isNotNull())
+            .when((m == "revenue") & down, F.format_string("Revenue decreased by %.1f%% in Dataset B", g))
+            .when((m == "dimensions") & up, F.format_string("Dataset B has more business dimensions (%.0f vs %.0f)", F.col("dataset_b"), F.col("dataset_a"))))
+    dims = differences.filter(m.isin("amount_columns", "category_columns")).agg(
+        F.lit("dimensions").alias("measure"), F.sum("dataset_a").alias("dataset_a"), F.sum("dataset_b").alias("dataset_b"),
+        F.sum("difference").alias("difference"), F.lit(0.0).alias("growth_rate"))
+    return differences.unionByName(dims).select("measure", text.alias("sentence")).filter(F.col("sentence").isNotNull())
 
 
 def two_dataset_monthly(a: DataFrame, b: DataFrame, amount: str, date: str) -> DataFrame:

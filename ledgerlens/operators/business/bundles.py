@@ -19,7 +19,7 @@ def profitability_bundle(df: DataFrame, amount: str, cost: str, discount: str, c
 
 
 def kpi_bundle(df: DataFrame, amount: str, date: str, tie: str, customer: str) -> dict[str, DataFrame]:
-    return {"sales_growth": finance.sales_growth(df, amount, date, tie), "retention": customers.retention(df, customer),
+    return {"sales_growth": finance.sales_growth(df, amount, date, tie), "retention": customers.retention(df, customer, date),
             "trend": sales.trend_slope(df, amount, date), "anomalies": sales.anomalies(df, amount)}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ...functions.normalize import col
 from ...functions.rules import band
 from .. import ranks
-from ..frames import attach
+from ..frames import attach, top_k
 from ..profile import to_long
 from .sales import month
 
@@ -36,6 +36,12 @@ def frequency_segments(df: DataFrame, customer: str) -> DataFrame:
                  F.avg("n").alias("average_transactions_per_customer"))
 
 
+def top_customers_by_rows(df: DataFrame, customer: str, k: int = 10) -> DataFrame:
+    """The k customers with most rows, ties by customer."""
+    f = df.filter(col(customer).isNotNull()).groupBy(col(customer).alias("customer")).agg(F.count(F.lit(1)).alias("transactions"))
+    return top_k(f, [], [F.desc("transactions"), F.asc("customer")], k)
+
+
 def behaviour_by_category(df: DataFrame, category: str, amount: str, k: int = 10) -> DataFrame:
     """Mean spend (2 dp) of every category; transactions of the k most frequent ones only (else null)."""
     g = df.filter(col(category).isNotNull()).groupBy(col(category).alias("category")).agg(
@@ -121,9 +127,10 @@ def customer_value_summary(df: DataFrame, customer: str, amount: str) -> DataFra
     return attach(tx, clv)
 
 
-def retention(df: DataFrame, customer: str) -> DataFrame:
-    """Retention % = customers with more than one row / customers (band 80 / 60); churn = 100 - retention (band 20 / 40)."""
-    f = df.filter(col(customer).isNotNull()).groupBy(col(customer)).agg(F.count(F.lit(1)).alias("n"))
+def retention(df: DataFrame, customer: str, date: str) -> DataFrame:
+    """Retention % = customers with more than one row / customers (band 80 / 60); churn = 100 - retention (band 20 / 40).
+    Rows count that have both a customer and a date."""
+    f = df.filter(col(customer).isNotNull() & col(date).isNotNull()).groupBy(col(customer)).agg(F.count(F.lit(1)).alias("n"))
     r = f.agg(F.count(F.lit(1)).alias("customers"), F.coalesce(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)), F.lit(0)).alias("returning"))
     rate = F.coalesce(F.try_divide(F.col("returning") * 100.0, F.col("customers")), F.lit(0.0))
     churn = 100 - rate

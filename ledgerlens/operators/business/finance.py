@@ -22,37 +22,37 @@ def _div(a, b):
 
 def liquidity(df: DataFrame, current_assets: str, current_liabilities: str, inventory: str | None = None,
               cash: str | None = None) -> DataFrame:
-    """Current (>= 1.5 good), quick (>= 1.0), cash (>= 0.2) ratios of column sums, 2 dp."""
+    """Current (>= 1.5 good), quick (>= 1.0), cash (>= 0.2) ratios of column sums, 2 dp; bands read the unrounded ratio."""
     s = df.agg(F.sum(col(current_assets)).alias("ca"), F.sum(col(current_liabilities)).alias("cl"),
                (F.sum(col(inventory)) if inventory else F.lit(None).cast("double")).alias("inv"),
                (F.sum(col(cash)) if cash else F.lit(None).cast("double")).alias("cash"))
-    cur = F.round(_div(F.col("ca"), F.col("cl")), 2)
-    quick = F.round(_div(F.col("ca") - F.col("inv"), F.col("cl")), 2)
-    cr = F.round(_div(F.col("cash"), F.col("cl")), 2)
-    return s.select(cur.alias("current_ratio"),
+    cur = _div(F.col("ca"), F.col("cl"))
+    quick = _div(F.col("ca") - F.col("inv"), F.col("cl"))
+    cr = _div(F.col("cash"), F.col("cl"))
+    return s.select(F.round(cur, 2).alias("current_ratio"),
                     F.when(cur >= 1.5, "Good").otherwise("Needs Attention").alias("current_ratio_status"),
-                    quick.alias("quick_ratio"), F.when(quick >= 1.0, "Good").otherwise("Needs Attention").alias("quick_ratio_status"),
-                    cr.alias("cash_ratio"), F.when(cr >= 0.2, "Good").otherwise("Low").alias("cash_ratio_status"))
+                    F.round(quick, 2).alias("quick_ratio"), F.when(quick >= 1.0, "Good").otherwise("Needs Attention").alias("quick_ratio_status"),
+                    F.round(cr, 2).alias("cash_ratio"), F.when(cr >= 0.2, "Good").otherwise("Low").alias("cash_ratio_status"))
 
 
 def profitability(df: DataFrame, revenue: str, net_income: str, cogs: str | None = None, equity: str | None = None,
                   total_assets: str | None = None) -> DataFrame:
-    """Net margin (20/10), gross margin (40/25), ROE (15/10), ROA (5/2) in %, 2 dp."""
+    """Net margin (20/10), gross margin (40/25), ROE (15/10), ROA (5/2) in %, 2 dp; bands read the unrounded ratio."""
     s = df.agg(F.sum(col(revenue)).alias("rev"), F.sum(col(net_income)).alias("ni"),
                (F.sum(col(cogs)) if cogs else F.lit(None).cast("double")).alias("cogs"),
                (F.sum(col(equity)) if equity else F.lit(None).cast("double")).alias("eq"),
                (F.sum(col(total_assets)) if total_assets else F.lit(None).cast("double")).alias("ta"))
-    nm = F.round(_div(F.col("ni"), F.col("rev")) * 100, 2)
-    gm = F.round(_div(F.col("rev") - F.col("cogs"), F.col("rev")) * 100, 2)
-    roe = F.round(_div(F.col("ni"), F.col("eq")) * 100, 2)
-    roa = F.round(_div(F.col("ni"), F.col("ta")) * 100, 2)
+    nm = _div(F.col("ni"), F.col("rev")) * 100
+    gm = _div(F.col("rev") - F.col("cogs"), F.col("rev")) * 100
+    roe = _div(F.col("ni"), F.col("eq")) * 100
+    roa = _div(F.col("ni"), F.col("ta")) * 100
 
     def b3(x, hi, mid, labels):
         return F.when(x >= hi, labels[0]).when(x >= mid, labels[1]).otherwise(labels[2])
-    return s.select(nm.alias("net_profit_margin"), b3(nm, 20, 10, ("Excellent", "Good", "Needs Improvement")).alias("net_margin_status"),
-                    gm.alias("gross_profit_margin"), b3(gm, 40, 25, ("Excellent", "Good", "Low")).alias("gross_margin_status"),
-                    roe.alias("roe"), b3(roe, 15, 10, ("Excellent", "Good", "Needs Improvement")).alias("roe_status"),
-                    roa.alias("roa"), b3(roa, 5, 2, ("Excellent", "Good", "Low")).alias("roa_status"))
+    return s.select(F.round(nm, 2).alias("net_profit_margin"), b3(nm, 20, 10, ("Excellent", "Good", "Needs Improvement")).alias("net_margin_status"),
+                    F.round(gm, 2).alias("gross_profit_margin"), b3(gm, 40, 25, ("Excellent", "Good", "Low")).alias("gross_margin_status"),
+                    F.round(roe, 2).alias("roe"), b3(roe, 15, 10, ("Excellent", "Good", "Needs Improvement")).alias("roe_status"),
+                    F.round(roa, 2).alias("roa"), b3(roa, 5, 2, ("Excellent", "Good", "Low")).alias("roa_status"))
 
 
 def sales_growth(df: DataFrame, amount: str, date: str, tie: str) -> DataFrame:
@@ -66,8 +66,8 @@ def sales_growth(df: DataFrame, amount: str, date: str, tie: str) -> DataFrame:
     x = attach(pos, n).withColumn("_h", F.floor(F.col("_n") / 2))
     s = x.agg(F.sum(F.when(F.col("_pos") < F.col("_h"), F.col("_a"))).alias("older_revenue"),
               F.sum(F.when(F.col("_pos") >= F.col("_n") - F.col("_h"), F.col("_a"))).alias("recent_revenue"))
-    g = F.round(F.try_divide(F.col("recent_revenue") - F.col("older_revenue"), F.col("older_revenue")) * 100, 2)
-    return s.select("older_revenue", "recent_revenue", F.when(F.col("older_revenue") != 0, g).alias("sales_growth"),
+    g = F.try_divide(F.col("recent_revenue") - F.col("older_revenue"), F.col("older_revenue")) * 100
+    return s.select("older_revenue", "recent_revenue", F.when(F.col("older_revenue") != 0, F.round(g, 2)).alias("sales_growth"),
                     F.when(F.col("older_revenue") == 0, None).when(g >= 20, "Excellent").when(g >= 10, "Good")
                     .when(g < 0, "Declining").otherwise("Stable").alias("growth_status"))
 
@@ -76,8 +76,8 @@ def ltv_estimate(df: DataFrame, amount: str, customer: str) -> DataFrame:
     """Mean amount * rows per distinct customer * 12; bands 1000 / 500."""
     s = df.agg(F.avg(col(amount)).alias("_m"), F.count(F.lit(1)).alias("_n"), F.count_distinct(col(customer)).alias("_c"))
     freq = F.when(F.col("_c") > 0, F.col("_n") / F.col("_c")).otherwise(1.0)
-    ltv = F.round(F.col("_m") * freq * 12, 2)
-    return s.select(ltv.alias("estimated_customer_ltv"),
+    ltv = F.col("_m") * freq * 12
+    return s.select(F.round(ltv, 2).alias("estimated_customer_ltv"),
                     F.when(ltv >= 1000, "High Value").when(ltv >= 500, "Medium Value").otherwise("Low Value").alias("ltv_band"))
 
 
@@ -89,12 +89,12 @@ def ratio_insights(liq: DataFrame, prof: DataFrame) -> DataFrame:
             "ROE of %s%% indicates %s profitability", F.col("roe"),
             F.when(F.col("roe") >= 15, "strong").when(F.col("roe") >= 10, "moderate").otherwise("weak"))),
         Rule(F.col("net_profit_margin").isNotNull(), "Info", "margin", F.format_string(
-            "Net margin of %s%% shows %s performance", F.col("net_profit_margin"),
+            "Net margin of %s%% shows %s efficiency", F.col("net_profit_margin"),
             F.when(F.col("net_profit_margin") >= 20, "excellent").when(F.col("net_profit_margin") >= 10, "good")
-            .otherwise("weak"))),
+            .otherwise("concerning"))),
         Rule(F.col("current_ratio").isNotNull(), "Info", "liquidity", F.format_string(
             "Current ratio of %s indicates %s liquidity", F.col("current_ratio"),
-            F.when(F.col("current_ratio") >= 2, "strong").when(F.col("current_ratio") >= 1, "adequate").otherwise("weak"))),
+            F.when(F.col("current_ratio") >= 2, "strong").when(F.col("current_ratio") >= 1.5, "adequate").otherwise("tight"))),
     ]
     return rules(m, items)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.normalize import col
-from ..frames import attach
+from ..frames import attach, top_k
 from .sales import month
 
 
@@ -20,6 +20,22 @@ def product_overview(df: DataFrame, product: str) -> DataFrame:
     return attach(s, rows).withColumn("product_diversity_index", F.try_divide("total_products", "_rows")).drop("_rows")
 
 
+def product_distribution(df: DataFrame, product: str, k: int = 10) -> DataFrame:
+    """Rows of the k most frequent products, ties by product."""
+    vc = df.filter(col(product).isNotNull()).groupBy(col(product).alias("product")).agg(F.count(F.lit(1)).alias("count"))
+    return top_k(vc, [], [F.desc("count"), F.asc("product")], k)
+
+
+def product_months(df: DataFrame, product: str, amount: str, date: str) -> DataFrame:
+    """The month x product grid of sales, 0 where a product has none in a month that others have."""
+    base = df.filter(col(date).isNotNull() & col(product).isNotNull() & col(amount).isNotNull())
+    cells = base.groupBy(month(date).alias("month"), col(product).alias("product")).agg(F.sum(col(amount)).alias("sales"))
+    # the grid is the result: every product gets every month that occurs
+    months = cells.agg(F.array_sort(F.collect_set("month")).alias("months"))
+    grid = attach(cells.select("product").distinct(), months).select("product", F.explode("months").alias("month"))
+    return grid.join(cells, ["product", "month"], "left").select("product", "month", F.coalesce("sales", F.lit(0.0)).alias("sales"))
+
+
 def product_performance(df: DataFrame, product: str, amount: str) -> DataFrame:
     """Per product sum, mean, count (2 dp) and flags for top revenue, top volume, highest mean price."""
     g = df.filter(col(product).isNotNull()).groupBy(col(product).alias("product")).agg(

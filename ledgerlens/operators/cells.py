@@ -148,7 +148,7 @@ def direct_dependents(parsed: DataFrame) -> DataFrame:
 
 
 def dependents(parsed: DataFrame) -> DataFrame:
-    """per referenced cell: direct dependents, distinct transitive dependents (cascade), impact band (10 / 5),
+    """per referenced cell: direct dependents, distinct transitive dependents (cascade), impact band (above 10 / above 5),
     highly connected flag (>= 5 direct dependents). Expands until no pair is new."""
     e = _checkpoint(edges(parsed).select("book", F.col("dst").alias("cell"), F.col("src").alias("dep")))
     step = e.select("book", F.col("cell").alias("dep"), F.col("dep").alias("dep2"))
@@ -163,7 +163,7 @@ def dependents(parsed: DataFrame) -> DataFrame:
         frontier = nxt
     casc = reach.filter(F.col("cell") != F.col("dep")).groupBy("book", "cell").agg(F.count(F.lit(1)).alias("cascade_size"))
     out = direct_dependents(parsed).join(casc, ["book", "cell"], "left").na.fill(0, ["cascade_size"])
-    return out.withColumn("impact", F.when(F.col("cascade_size") >= 10, "high").when(F.col("cascade_size") >= 5, "medium")
+    return out.withColumn("impact", F.when(F.col("cascade_size") > 10, "high").when(F.col("cascade_size") > 5, "medium")
                           .otherwise("low")).select("book", "cell", "direct_dependents", "cascade_size", "impact", "highly_connected")
 
 
@@ -189,6 +189,33 @@ def formula_statistics(parsed: DataFrame) -> DataFrame:
                     F.round(F.try_divide("unique_functions_used", "total_function_calls") * 100, 1).alias("function_diversity_score"))
 
 
+def impact_summary(deps: DataFrame) -> DataFrame:
+    """over the highly connected cells, how many have a high impact, and the mean and largest cascade (0 if there are none)."""
+    return deps.filter("highly_connected").agg(
+        F.count_if(F.col("impact") == "high").alias("total_high_impact_cells"),
+        F.coalesce(F.avg("cascade_size"), F.lit(0.0)).alias("average_cascade_size"),
+        F.coalesce(F.max("cascade_size"), F.lit(0)).alias("max_cascade_size"))
+
+
+def dependency_metrics(cells: DataFrame, parsed: DataFrame, levels: DataFrame) -> DataFrame:
+    """formula cells without precedents, highly connected formula cells, the deepest level (a formula without precedents
+    has level 1 here), mean number of precedents (1 dp); validation score, error rate (references to cells without formula
+    in % of formulas), external rate, circular risk. Formulas that Excel itself reports as broken don't occur in cell tables."""
+    n = parsed.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.size("references") == 0).alias("independent_cells"),
+                   F.round(F.coalesce(F.avg(F.size("references")), F.lit(0.0)), 1).alias("average_precedents"))
+    formulas = parsed.select("book", F.concat("sheet", F.lit("!"), "cell").alias("cell"))
+    hubs = direct_dependents(parsed).filter("highly_connected").join(formulas, ["book", "cell"], "left_semi").agg(
+        F.count(F.lit(1)).alias("highly_connected_cells"))
+    deepest = levels.agg(F.coalesce(F.max("level"), F.lit(0)).alias("max_dependency_level"))
+    v = validation_summary(validation(cells, parsed))
+    x = attach(attach(attach(n, hubs), deepest), v)
+    rate = lambda k: F.coalesce(F.round(F.try_divide(k * 100.0, F.col("_n")), 1), F.lit(0.0))
+    return x.select("independent_cells", "highly_connected_cells", "max_dependency_level", "average_precedents", "validation_score",
+                    rate(F.col("missing_references_count") + F.col("non_formula_references_count")).alias("error_rate"),
+                    rate(F.col("external_dependencies_count")).alias("external_dependency_rate"),
+                    F.when(F.col("circular_references_count") > 0, "HIGH").otherwise("LOW").alias("circular_reference_risk"))
+
+
 def top_functions(parsed: DataFrame, k: int = 10) -> DataFrame:
     """the k most used functions (calls counted once per formula), ties by name."""
     c = parsed.select(F.explode("functions").alias("function")).groupBy("function").agg(F.count(F.lit(1)).alias("calls"))

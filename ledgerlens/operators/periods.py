@@ -66,17 +66,18 @@ def _period_no(df: DataFrame, period: str, order: str | None) -> DataFrame:
     return p.withColumn("period_no", F.row_number().over(Window.orderBy("_o", "period"))).drop("_o")
 
 
-def structure(df: DataFrame, period: str, present: dict[str, list[str]] | None = None) -> DataFrame:
-    """Rows per period and column compatibility (common / all columns) of the period tables."""
-    counts = df.groupBy(col(period).alias("period")).agg(F.count(F.lit(1)).alias("rows"))
-    cols = [c for c in df.columns if c != period]
-    if present:
-        allc = sorted({c for v in present.values() for c in v})
-        common = [c for c in allc if all(c in v for v in present.values())]
-        score = len(common) / len(allc) * 100 if allc else 0.0
-    else:
-        common, score = cols, 100.0
-    return counts.withColumn("common_columns", F.lit(len(common))).withColumn("compatibility_score", F.lit(score))
+def structure(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per period table its rows, its columns that some other table lacks, the number of columns common to all, and the
+    compatibility score: common columns in % of all columns."""
+    names = {p: set(df.columns) for p, df in tables.items()}
+    every = set().union(*names.values())
+    common = set.intersection(*names.values()) if names else set()
+    score = len(common) / len(every) * 100 if every else 0.0
+    rows = [df.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(p).alias("period"), "rows", F.lit(len(common)).alias("common_columns"),
+        F.concat_ws(", ", *map(F.lit, sorted(names[p] - common))).alias("unique_columns"), F.lit(score).alias("compatibility_score"))
+        for p, df in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def trends(df: DataFrame, period: str, numeric: list[str] | None = None, text: list[str] | None = None) -> DataFrame:

@@ -284,7 +284,7 @@ def matching_quality(df: DataFrame, c: str) -> DataFrame:
 
 
 def dataset_diff(a: DataFrame, b: DataFrame, name_a: str = "A", name_b: str = "B") -> DataFrame:
-    """row/column difference, size ratio and missing-% difference of two tables."""
+    """B against A: row and column difference (B - A), ratio of their cells (B / A; 0 without cells in A), missing-% difference."""
     sa = attach(shape(a), missing_summary(a).drop("total_cells"))
     sb = attach(shape(b), missing_summary(b).drop("total_cells"))
     x = sa.select(*[F.col(c).alias(f"a_{c}") for c in sa.columns])
@@ -293,10 +293,11 @@ def dataset_diff(a: DataFrame, b: DataFrame, name_a: str = "A", name_b: str = "B
     return j.select(
         F.lit(name_a).alias("dataset_a"), F.lit(name_b).alias("dataset_b"),
         F.col("a_total_rows").alias("rows_a"), F.col("b_total_rows").alias("rows_b"),
-        (F.col("a_total_rows") - F.col("b_total_rows")).alias("row_difference"),
-        (F.col("a_total_columns") - F.col("b_total_columns")).alias("column_difference"),
-        F.when(F.col("b_total_rows") > 0, F.col("a_total_rows") / F.col("b_total_rows")).alias("size_ratio"),
-        (F.col("a_overall_missing_percentage") - F.col("b_overall_missing_percentage")).alias("missing_difference"))
+        (F.col("b_total_rows") - F.col("a_total_rows")).alias("row_difference"),
+        (F.col("b_total_columns") - F.col("a_total_columns")).alias("column_difference"),
+        F.coalesce(F.try_divide(F.col("b_total_rows") * F.col("b_total_columns"), F.col("a_total_rows") * F.col("a_total_columns")), F.lit(0.0))
+        .alias("size_ratio"),
+        (F.col("b_overall_missing_percentage") - F.col("a_overall_missing_percentage")).alias("missing_difference"))
 
 
 def bar_feed(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
@@ -414,24 +415,48 @@ def outlier_points(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             .select("column", "value"))
 
 
-def overview_alignment(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Type-class counts per table, column overlap %, row gap % and advice (< 50% overlap, > 10% row gap)."""
+#: Fixed output texts of the overview's recommendations.
+TYPE_ALIGNMENT = "Data Type Alignment: Consider standardizing data types for common columns to enable better analysis and merging."
+DATA_QUALITY = "Data Quality: Address missing data patterns, especially in the dataset with higher missing percentages."
+SCHEMA_REVIEW = "Schema Review: Low column overlap suggests these datasets may serve different purposes or need schema alignment."
+SIZE_DISPARITY = ("Size Disparity: Significant size difference between datasets - consider if this is expected or requires "
+                  "investigation.")
+WELL_ALIGNED = "Well Aligned: The datasets appear to be well-structured and comparable for analysis."
+
+
+def overview_alignment(a: DataFrame, b: DataFrame, name_a: str = "A", name_b: str = "B") -> DataFrame:
+    """Type-class counts per table, column overlap %, row gap (B - A) in % of A's rows, missing-% gap (B - A), columns
+    whose types differ, and as arrays the insights (size, missing data above 5 points, overlap) and the recommendations
+    (types differ, missing gap above 10 points, overlap below 50%, row gap above 10% of A, else well aligned)."""
     def classes(df):
         fs = df.schema.fields
         return (sum(isinstance(f.dataType, NUMERIC) for f in fs), sum(isinstance(f.dataType, T.StringType) for f in fs),
                 sum(isinstance(f.dataType, _date_types()) for f in fs))
     na, ta, da = classes(a)
     nb, tb, db = classes(b)
-    common = len(set(a.columns) & set(b.columns))
-    union = len(set(a.columns) | set(b.columns))
+    shared = set(a.columns) & set(b.columns)
+    common, union = len(shared), len(set(a.columns) | set(b.columns))
     overlap = common * 100.0 / union if union else 0.0
-    x = attach(a.agg(F.count(F.lit(1)).alias("rows_a")), b.agg(F.count(F.lit(1)).alias("rows_b")))
-    gap = F.try_divide(F.abs(F.col("rows_a") - F.col("rows_b")) * 100.0, F.greatest("rows_a", "rows_b"))
-    advice = F.concat_ws("; ", F.when(F.lit(overlap) < 50, F.lit("Low column overlap: check that the tables describe the same entity")),
-                         F.when(gap > 10, F.lit("Row counts differ by more than 10%: check filters and completeness")))
+    mismatches = sorted(c for c in shared if a.schema[c].dataType != b.schema[c].dataType)
+    side = lambda df, t: attach(df.agg(F.count(F.lit(1)).alias(f"rows_{t}")),
+                                missing_summary(df).select(F.col("overall_missing_percentage").alias(f"missing_{t}")))
+    x = attach(side(a, "a"), side(b, "b"))
+    rows, gone = F.col("rows_b") - F.col("rows_a"), F.col("missing_b") - F.col("missing_a")
+    insights = F.array(
+        F.when(rows > 0, F.format_string(f"{name_b} has %s more rows than {name_a}", F.format_number(rows, 0)))
+        .when(rows < 0, F.format_string(f"{name_a} has %s more rows than {name_b}", F.format_number(-rows, 0)))
+        .otherwise(F.format_string("Both datasets have the same number of rows (%s)", F.format_number("rows_a", 0))),
+        F.when(gone > 5, F.format_string(f"{name_b} has significantly more missing data (%+.1f%%)", gone))
+        .when(gone < -5, F.format_string(f"{name_a} has significantly more missing data (%.1f%%)", -gone)),
+        F.lit(f"Column overlap: {overlap:.1f}% ({common} of {union} total unique columns)"))
+    advice = F.filter(F.array(F.when(F.lit(bool(mismatches)), TYPE_ALIGNMENT), F.when(F.abs(gone) > 10, DATA_QUALITY),
+                              F.when(F.lit(overlap < 50), SCHEMA_REVIEW), F.when(F.abs(rows) > F.col("rows_a") * 0.1, SIZE_DISPARITY)), F.isnotnull)
     return x.select("rows_a", "rows_b", F.lit(na).alias("numeric_a"), F.lit(ta).alias("text_a"), F.lit(da).alias("date_a"),
                     F.lit(nb).alias("numeric_b"), F.lit(tb).alias("text_b"), F.lit(db).alias("date_b"),
-                    F.lit(overlap).alias("column_overlap"), gap.alias("row_gap"), advice.alias("advice"))
+                    F.lit(overlap).alias("column_overlap"), F.try_divide(rows * 100.0, F.col("rows_a")).alias("row_gap"),
+                    gone.alias("missing_gap"), F.concat_ws(", ", *map(F.lit, mismatches)).alias("type_mismatches"),
+                    F.concat_ws("; ", insights).alias("insights"),
+                    F.concat_ws("; ", F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit(WELL_ALIGNED)))).alias("recommendations"))
 
 
 def analyze_table(df: DataFrame, name: str = "table") -> dict[str, DataFrame]:

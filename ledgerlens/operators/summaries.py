@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.normalize import col, norm_key
 from ..functions.rules import Rule, rules
 from .frames import attach
 
 
-def _counts(result: DataFrame) -> DataFrame:
+def _counts(result: DataFrame, *more) -> DataFrame:
     c = F.col("category")
     return result.agg(
+        *more,
         F.count(F.lit(1)).alias("total"),
         F.sum(F.when(c == "matched", 1).otherwise(0)).alias("matched"),
         F.sum(F.when(c == "suggested", 1).otherwise(0)).alias("suggested"),
@@ -32,7 +34,7 @@ def quality_score(result: DataFrame) -> DataFrame:
 
 
 def executive_summary(result: DataFrame) -> DataFrame:
-    """M1: totals, exact / fuzzy / high-confidence / suggested / unmatched counts, match rate, quality score, bands."""
+    """M1: totals, exact / fuzzy / high-confidence / suggested / unmatched counts, match rate, quality score, and a status of each."""
     q = quality_score(result)
     t = F.col("total")
     rate = F.when(t > 0, F.col("matched") * 100.0 / t).otherwise(0.0)
@@ -41,10 +43,14 @@ def executive_summary(result: DataFrame) -> DataFrame:
         F.col("fuzzy").cast("long").alias("fuzzy_matches"), F.col("matched").cast("long").alias("high_confidence_matches"),
         F.col("suggested").cast("long").alias("suggested_reviews"), F.col("unmatched").cast("long").alias("unmatched_records"),
         rate.alias("match_rate"), "quality_score",
+        F.when(t > 0, "Complete").otherwise("No Data").alias("total_status"),
+        F.when(F.col("fuzzy") > 0, "Good").otherwise("None").alias("fuzzy_status"),
+        F.when(F.col("suggested") > 0, "Review Required").otherwise("None").alias("suggested_status"),
+        F.when(F.col("matched") > t * 0.9, "Excellent").when(F.col("matched") > t * 0.7, "Good").otherwise("Poor").alias("rate_status"),
         F.when(F.col("exact") > t * 0.7, "High").when(F.col("exact") > t * 0.3, "Medium").otherwise("Low").alias("exact_status"),
-        F.when(F.col("matched") > t * 0.8, "Excellent").when(F.col("matched") > t * 0.5, "Good").otherwise("Needs Improvement")
+        F.when(F.col("matched") > t * 0.8, "Excellent").when(F.col("matched") > t * 0.5, "Good").otherwise("Needs Review")
         .alias("match_status"),
-        F.when(F.col("unmatched") > t * 0.2, "Action Required").when(F.col("unmatched") > 0, "Some Issues").otherwise("None")
+        F.when(F.col("unmatched") > t * 0.2, "Action Required").when(F.col("unmatched") > 0, "Some Issues").otherwise("Perfect")
         .alias("unmatched_status"),
         F.when(F.col("quality_score") > 80, "High").when(F.col("quality_score") > 60, "Medium").otherwise("Low")
         .alias("quality_status"))
@@ -52,9 +58,7 @@ def executive_summary(result: DataFrame) -> DataFrame:
 
 def quality_table(result: DataFrame, key: str) -> DataFrame:
     """M3: rates against targets; completeness is computed (share of rows with a key), not the fixed 95%."""
-    k = _counts(result)
-    comp = result.agg(F.try_divide(F.count(col(key)) * 100.0, F.count(F.lit(1))).alias("completeness"))
-    x = attach(k, comp)
+    x = _counts(result, F.try_divide(F.count(col(key)) * 100.0, F.count(F.lit(1))).alias("completeness"))
     t = F.col("total")
     rows = [
         ("Overall Match Rate", F.try_divide(F.col("matched") * 100.0, t), "> 85%", F.try_divide(F.col("matched") * 100.0, t) > 85),
@@ -97,19 +101,25 @@ def recommendations(result: DataFrame) -> DataFrame:
     return rules(k, items).withColumn("action", F.element_at(F.array(*[F.lit(x) for x in ACTIONS]), F.col("rule_no")))
 
 
-def batch_summary(batch: DataFrame, target_col: str = "_target") -> DataFrame:
-    """M5: per target status band (match rate >= 80 good, >= 50 fair), best / worst target flags, overall success rate."""
-    m = batch.agg(F.max("match_rate").alias("_best"), F.min("match_rate").alias("_worst"),
-                  F.avg(F.when(F.col("match_rate") >= 50, 1.0).otherwise(0.0)).alias("_succ"))
-    return (attach(batch, m)
-            .withColumn("status", F.when(F.col("match_rate") >= 80, "Good").when(F.col("match_rate") >= 50, "Fair").otherwise("Poor"))
-            .withColumn("is_best", F.col("match_rate") == F.col("_best"))
-            .withColumn("is_worst", F.col("match_rate") == F.col("_worst"))
-            .withColumn("success_rate", F.col("_succ") * 100).drop("_best", "_worst", "_succ"))
+def batch_summary(batch: DataFrame, targets: list[str], target_col: str = "_target") -> DataFrame:
+    """M5 of match_batch_readers: per target a status (match rate >= 80 High, >= 50 Medium, else Low; null where it failed), the
+    first best and the first worst target in the order of `targets` (rates at one decimal; only if two succeeded), and the
+    success rate: succeeded in % of all targets."""
+    b = batch.withColumn("_pos", F.array_position(F.array(*[F.lit(t) for t in targets]), col(target_col)))
+    rate, ok = F.round("match_rate", 1), F.col("outcome") == "success"
+    n = b.agg(F.count_if(ok).alias("_ok"), F.count(F.lit(1)).alias("_all"))
+    m = attach(b.filter(ok).agg(F.min_by("_pos", F.struct(-rate, F.col("_pos"))).alias("_best"),
+                                F.min_by("_pos", F.struct(rate, F.col("_pos"))).alias("_worst")), n)
+    two = ok & (F.col("_ok") > 1)
+    return (attach(b, m)
+            .withColumn("status", F.when(F.col("match_rate") >= 80, "High").when(F.col("match_rate") >= 50, "Medium").when(ok, "Low"))
+            .withColumn("is_best", two & (F.col("_pos") == F.col("_best"))).withColumn("is_worst", two & (F.col("_pos") == F.col("_worst")))
+            .withColumn("success_rate", F.col("_ok") * 100.0 / F.col("_all")).drop("_best", "_worst", "_ok", "_all", "_pos"))
 
 
 def field_performance(multi_result: DataFrame) -> DataFrame:
-    """M6: per field mapping avg / min / max / count of field scores; best / worst field; band 80 / 60."""
+    """M6: per field mapping avg / min / max / count of field scores; best / worst field; band 80 / 60; whether the worst needs
+    attention (average below 70)."""
     e = multi_result.select(F.explode("field_breakdown").alias("f")).select("f.field", "f.score")
     g = e.groupBy("field").agg(F.avg("score").alias("avg_score"), F.min("score").alias("min_score"),
                                F.max("score").alias("max_score"), F.count(F.lit(1)).alias("count"))
@@ -117,14 +127,16 @@ def field_performance(multi_result: DataFrame) -> DataFrame:
     return (attach(g, m).withColumn("is_best", F.col("avg_score") == F.col("_b"))
             .withColumn("is_worst", F.col("avg_score") == F.col("_w"))
             .withColumn("band", F.when(F.col("avg_score") >= 80, "Excellent").when(F.col("avg_score") >= 60, "Good")
-                        .otherwise("Needs Improvement")).drop("_b", "_w"))
+                        .otherwise("Needs Review"))
+            .withColumn("needs_attention", F.col("is_worst") & (F.col("avg_score") < 70)).drop("_b", "_w"))
 
 
 def type_distribution(result: DataFrame) -> DataFrame:
     """M7: rows per match type and their share."""
     g = result.groupBy("match_type").agg(F.count(F.lit(1)).alias("count"))
-    return attach(g, result.agg(F.count(F.lit(1)).alias("_t"))).withColumn(
-        "percentage", F.try_divide(F.col("count") * 100.0, F.col("_t"))).drop("_t")
+    # the window is over a row per match type
+    total = F.sum("count").over(Window.partitionBy(F.lit(1)))
+    return g.withColumn("percentage", F.try_divide(F.col("count") * 100.0, total))
 
 
 def suggested_scores(result: DataFrame) -> DataFrame:

@@ -68,9 +68,9 @@ def q_b1(spark, sf):
 
 
 @register("B7_liquidity_finance", WF(f"""
-SELECT {S('round(ca / cl, 2)', 'current_ratio')}, CASE WHEN round(ca / cl, 2) >= 1.5 THEN 'Good' ELSE 'Needs Attention' END AS current_ratio_status,
-  {S('round((ca - inv) / cl, 2)', 'quick_ratio')}, CASE WHEN round((ca - inv) / cl, 2) >= 1.0 THEN 'Good' ELSE 'Needs Attention' END AS quick_ratio_status,
-  {S('round(cash / cl, 2)', 'cash_ratio')}, CASE WHEN round(cash / cl, 2) >= 0.2 THEN 'Good' ELSE 'Low' END AS cash_ratio_status
+SELECT {S('round(ca / cl, 2)', 'current_ratio')}, CASE WHEN ca / cl >= 1.5 THEN 'Good' ELSE 'Needs Attention' END AS current_ratio_status,
+  {S('round((ca - inv) / cl, 2)', 'quick_ratio')}, CASE WHEN (ca - inv) / cl >= 1.0 THEN 'Good' ELSE 'Needs Attention' END AS quick_ratio_status,
+  {S('round(cash / cl, 2)', 'cash_ratio')}, CASE WHEN cash / cl >= 0.2 THEN 'Good' ELSE 'Low' END AS cash_ratio_status
 FROM (SELECT sum(current_assets) AS ca, sum(current_liabilities) AS cl, sum(inventory) AS inv, sum(cash) AS cash FROM fx_finance)"""))
 def q_b7(spark, sf):
     return round_doubles(FI.liquidity(fin(spark, sf), "current_assets", "current_liabilities", "inventory", "cash"))
@@ -81,12 +81,11 @@ def _b3(x, hi, mid, a, b, c):
 
 
 @register("B8_profitability_finance", WF(f"""
-SELECT {S('nm', 'net_profit_margin')}, {_b3('nm', 20, 10, 'Excellent', 'Good', 'Needs Improvement')} AS net_margin_status,
-  {S('gm', 'gross_profit_margin')}, {_b3('gm', 40, 25, 'Excellent', 'Good', 'Low')} AS gross_margin_status,
-  {S('roe', 'roe')}, {_b3('roe', 15, 10, 'Excellent', 'Good', 'Needs Improvement')} AS roe_status,
-  {S('roa', 'roa')}, {_b3('roa', 5, 2, 'Excellent', 'Good', 'Low')} AS roa_status
-FROM (SELECT round(ni / rev * 100, 2) AS nm, round((rev - cogs) / rev * 100, 2) AS gm, round(ni / eq * 100, 2) AS roe,
-  round(ni / ta * 100, 2) AS roa FROM (SELECT sum(revenue) AS rev, sum(net_income) AS ni, sum(cogs) AS cogs,
+SELECT {S('round(nm, 2)', 'net_profit_margin')}, {_b3('nm', 20, 10, 'Excellent', 'Good', 'Needs Improvement')} AS net_margin_status,
+  {S('round(gm, 2)', 'gross_profit_margin')}, {_b3('gm', 40, 25, 'Excellent', 'Good', 'Low')} AS gross_margin_status,
+  {S('round(roe, 2)', 'roe')}, {_b3('roe', 15, 10, 'Excellent', 'Good', 'Needs Improvement')} AS roe_status,
+  {S('round(roa, 2)', 'roa')}, {_b3('roa', 5, 2, 'Excellent', 'Good', 'Low')} AS roa_status
+FROM (SELECT ni / rev * 100 AS nm, (rev - cogs) / rev * 100 AS gm, ni / eq * 100 AS roe, ni / ta * 100 AS roa FROM (SELECT sum(revenue) AS rev, sum(net_income) AS ni, sum(cogs) AS cogs,
   sum(equity) AS eq, sum(total_assets) AS ta FROM fx_finance))"""))
 def q_b8(spark, sf):
     return round_doubles(FI.profitability(fin(spark, sf), "revenue", "net_income", "cogs", "equity", "total_assets"))
@@ -94,8 +93,8 @@ def q_b8(spark, sf):
 
 @register("B9_sales_growth_halves", WS(f"""
 SELECT {S('o', 'older_revenue')}, {S('r', 'recent_revenue')}, {S('round((r - o) / o * 100, 2)', 'sales_growth')},
-  CASE WHEN round((r - o) / o * 100, 2) >= 20 THEN 'Excellent' WHEN round((r - o) / o * 100, 2) >= 10 THEN 'Good'
-    WHEN round((r - o) / o * 100, 2) < 0 THEN 'Declining' ELSE 'Stable' END AS growth_status
+  CASE WHEN (r - o) / o * 100 >= 20 THEN 'Excellent' WHEN (r - o) / o * 100 >= 10 THEN 'Good'
+    WHEN (r - o) / o * 100 < 0 THEN 'Declining' ELSE 'Stable' END AS growth_status
 FROM (SELECT sum(CASE WHEN pos < h THEN amount END) AS o, sum(CASE WHEN pos >= n - h THEN amount END) AS r FROM (
   SELECT amount, row_number() OVER (ORDER BY order_date, order_id) - 1 AS pos, count(*) OVER () AS n,
     floor(count(*) OVER () / 2) AS h FROM fx_sales))"""))
@@ -105,7 +104,7 @@ def q_b9(spark, sf):
 
 @register("B10_ltv_estimate", WS(f"""
 SELECT {S('round(m * (n * 1.0 / c) * 12, 2)', 'estimated_customer_ltv')},
-  CASE WHEN round(m * (n * 1.0 / c) * 12, 2) >= 1000 THEN 'High Value' WHEN round(m * (n * 1.0 / c) * 12, 2) >= 500
+  CASE WHEN m * (n * 1.0 / c) * 12 >= 1000 THEN 'High Value' WHEN m * (n * 1.0 / c) * 12 >= 500
     THEN 'Medium Value' ELSE 'Low Value' END AS ltv_band
 FROM (SELECT avg(amount) AS m, count(*) AS n, count(DISTINCT customer_id) AS c FROM fx_sales)"""))
 def q_b10(spark, sf):
@@ -115,10 +114,10 @@ def q_b10(spark, sf):
 @register("B11_ratio_insights", WF("""
 SELECT 1 AS rule_no, 'Info' AS priority, 'roe' AS category, printf('ROE of %s%% indicates %s profitability', CAST(r AS VARCHAR),
   CASE WHEN r >= 15 THEN 'strong' WHEN r >= 10 THEN 'moderate' ELSE 'weak' END) AS message FROM x
-UNION ALL SELECT 2, 'Info', 'margin', printf('Net margin of %s%% shows %s performance', CAST(m AS VARCHAR),
-  CASE WHEN m >= 20 THEN 'excellent' WHEN m >= 10 THEN 'good' ELSE 'weak' END) FROM x
+UNION ALL SELECT 2, 'Info', 'margin', printf('Net margin of %s%% shows %s efficiency', CAST(m AS VARCHAR),
+  CASE WHEN m >= 20 THEN 'excellent' WHEN m >= 10 THEN 'good' ELSE 'concerning' END) FROM x
 UNION ALL SELECT 3, 'Info', 'liquidity', printf('Current ratio of %s indicates %s liquidity', CAST(c AS VARCHAR),
-  CASE WHEN c >= 2 THEN 'strong' WHEN c >= 1 THEN 'adequate' ELSE 'weak' END) FROM x""", ctes=(
+  CASE WHEN c >= 2 THEN 'strong' WHEN c >= 1.5 THEN 'adequate' ELSE 'tight' END) FROM x""", ctes=(
     ("x", "SELECT round(sum(net_income) / sum(equity) * 100, 2) AS r, round(sum(net_income) / sum(revenue) * 100, 2) AS m, "
           "round(sum(current_assets) / sum(current_liabilities), 2) AS c FROM fx_finance"),)))
 def q_b11(spark, sf):
@@ -204,6 +203,13 @@ def q_b18f(spark, sf):
     return round_doubles(CU.frequency_segments(sales(spark, sf), "customer_id"))
 
 
+@register("B18_top_customers", WS("""
+SELECT customer_id AS customer, count(*) AS transactions, CAST(row_number() OVER (ORDER BY count(*) DESC, customer_id) AS INTEGER) AS rank
+FROM fx_sales WHERE customer_id IS NOT NULL GROUP BY 1 QUALIFY rank <= 10"""))
+def q_b18t(spark, sf):
+    return CU.top_customers_by_rows(sales(spark, sf), "customer_id")
+
+
 @register("B19_behaviour_by_category", WS(f"""
 SELECT category, CASE WHEN row_number() OVER (ORDER BY count(*) DESC, category) <= 10 THEN count(*) END AS transactions,
   {S('round(avg(amount), 2)', 'average_spend')} FROM fx_sales WHERE category IS NOT NULL GROUP BY 1"""))
@@ -295,6 +301,13 @@ def q_b25(spark, sf):
     return round_doubles(PD.product_overview(sales(spark, sf), "product"))
 
 
+@register("B25_product_distribution", W("""
+SELECT p_name AS product, count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, p_name) AS INTEGER) AS rank
+FROM part GROUP BY 1 QUALIFY rank <= 10"""))
+def q_b25d(spark, sf):
+    return PD.product_distribution(load(spark, sf, "part"), "p_name")
+
+
 @register("B26_product_performance", WS(f"""
 SELECT product, {S('revenue')}, {S('average_price')}, volume,
   product = (SELECT arg_min(product, (-revenue, product)) FROM g) AS top_revenue,
@@ -319,6 +332,15 @@ def q_b27(spark, sf):
     return round_doubles(PD.product_trends(sales(spark, sf), "product", "amount", "order_date"))
 
 
+@register("B27_product_months", WS(f"""
+SELECT p.product, m.month, {S('coalesce(s, 0.0)', 'sales')} FROM (SELECT DISTINCT product FROM c) p JOIN (SELECT DISTINCT month FROM c) m ON true
+LEFT JOIN c ON c.product = p.product AND c.month = m.month""", ctes=(
+    ("c", f"SELECT {MONTH} AS month, product, sum(amount) AS s FROM fx_sales WHERE order_date IS NOT NULL AND "
+          f"product IS NOT NULL AND amount IS NOT NULL GROUP BY 1, 2"),)))
+def q_b27m(spark, sf):
+    return round_doubles(PD.product_months(sales(spark, sf), "product", "amount", "order_date"))
+
+
 _MISS = ("100 - (" + " + ".join(f"count({c})" for c, _ in SALES_COLS) + f") * 100.0 / (count(*) * {len(SALES_COLS)})")
 
 
@@ -454,21 +476,31 @@ def q_b35c(spark, sf):
 
 
 _HALF_A, _HALF_B = "order_date < TIMESTAMP '1995-07-01'", "order_date >= TIMESTAMP '1995-07-01'"
+_AMOUNTS, _CATEGORIES = (["amount"], ["amount", "cost"]), (["category"], ["category", "product"])
+_EARLY, _LATE = "order_id, order_date, customer_id, category, product, amount", "*"
 
 
 def _halves(spark, sf):
-    """All orders, as two datasets by date."""
+    """All orders, as two datasets by date; the early one has fewer columns."""
     s = sales(spark, sf)
-    return s.filter(_HALF_A), s.filter(_HALF_B)
+    return s.filter(_HALF_A).select(*_EARLY.split(", ")), s.filter(_HALF_B)
+
+
+def _compared(spark, sf):
+    a, b = _halves(spark, sf)
+    return AL.compare_datasets(a, b, "amount", "customer_id", "product", "early", "late", _AMOUNTS, _CATEGORIES)
+
+
+_COLUMNS = "(SELECT len(json_keys(to_json(t))) FROM (SELECT {c} FROM fx_sales LIMIT 1) t)"
 
 
 @register("B36_compare_datasets", WS(" UNION ALL ".join(
-    f"SELECT '{n}' AS dataset, count(*) AS records, {S('sum(amount)', 'revenue')}, {S('avg(amount)', 'average_transaction')}, "
+    f"SELECT '{n}' AS dataset, count(*) AS records, {_COLUMNS.format(c=c)} AS columns, {k}::BIGINT AS amount_columns, {k}::BIGINT AS category_columns, "
+    f"{S('sum(amount)', 'revenue')}, {S('avg(amount)', 'average_transaction')}, "
     f"count(DISTINCT customer_id) AS customers, count(DISTINCT product) AS products FROM fx_sales WHERE {y}"
-    for n, y in (("early", _HALF_A), ("late", _HALF_B)))))
+    for n, y, c, k in (("early", _HALF_A, _EARLY, 1), ("late", _HALF_B, _LATE, 2)))))
 def q_b36(spark, sf):
-    a, b = _halves(spark, sf)
-    return round_doubles(AL.compare_datasets(a, b, "amount", "customer_id", "product", "early", "late"))
+    return round_doubles(_compared(spark, sf))
 
 
 @register("B37_retention", WS(f"""
@@ -477,9 +509,11 @@ SELECT customers, "returning", {S('r', 'retention_rate')}, {S('100 - r', 'churn_
   CASE WHEN 100 - r <= 20 THEN 'Good' WHEN 100 - r >= 40 THEN 'Concerning' ELSE 'Moderate' END AS churn_band
 FROM (SELECT count(*) AS customers, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS "returning",
   sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) * 100.0 / count(*) AS r
-  FROM (SELECT customer_id, count(*) AS n FROM fx_sales WHERE customer_id IS NOT NULL GROUP BY 1))"""))
+  FROM (SELECT customer_id, count(*) AS n FROM fx_sales WHERE customer_id IS NOT NULL AND (order_id % 3 <> 0) AND order_date IS NOT NULL GROUP BY 1))"""))
 def q_b37(spark, sf):
-    return round_doubles(CU.retention(sales(spark, sf), "customer_id"))
+    """Every third order lacks its date, so rows that count and rows that don't both occur."""
+    s = sales(spark, sf).withColumn("order_date", F.when(F.col("order_id") % 3 != 0, F.col("order_date")))
+    return round_doubles(CU.retention(s, "customer_id", "order_date"))
 
 
 @register("B38_cac_ltv", WS(f"""
@@ -715,19 +749,27 @@ def q_b50f(spark, sf):
 
 
 @register("B51_value_concentration", WS(f"""
-SELECT {S('sum(CASE WHEN amount >= q80 THEN amount ELSE 0.0 END) / sum(amount) * 100', 'top_share')},
-  {S('sum(CASE WHEN amount >= q80 THEN 1 ELSE 0 END) * 100.0 / count(*)', 'top_rows_pct')},
-  CASE WHEN sum(CASE WHEN amount >= q80 THEN amount ELSE 0.0 END) / sum(amount) * 100 >= 80 THEN 'High'
-    WHEN sum(CASE WHEN amount >= q80 THEN amount ELSE 0.0 END) / sum(amount) * 100 >= 60 THEN 'Medium' ELSE 'Low' END
-    AS concentration
-FROM fx_sales, (SELECT quantile_cont(amount, 0.8) AS q80 FROM fx_sales) WHERE amount IS NOT NULL"""))
+SELECT {S('share', 'top_share')}, {S('rows_pct', 'top_rows_pct')},
+  CASE WHEN share >= 80 THEN 'High' WHEN share >= 60 THEN 'Moderate' ELSE 'Well distributed' END AS concentration
+FROM (SELECT CASE WHEN sum(amount) > 0 THEN sum(CASE WHEN amount >= q80 THEN amount ELSE 0.0 END) / sum(amount) * 100 ELSE 0.0 END AS share,
+  sum(CASE WHEN amount >= q80 THEN 1 ELSE 0 END) * 100.0 / count(*) AS rows_pct
+  FROM fx_sales, (SELECT quantile_cont(amount, 0.8) AS q80 FROM fx_sales) WHERE amount IS NOT NULL)"""))
 def q_b51(spark, sf):
     return round_doubles(AL.value_concentration(sales(spark, sf), "amount"))
 
 
+@register("B51_value_concentration_losses", WF(f"""
+SELECT {S('0.0', 'top_share')}, {S('sum(CASE WHEN loss >= q80 THEN 1 ELSE 0 END) * 100.0 / count(*)', 'top_rows_pct')},
+  'Well distributed' AS concentration
+FROM (SELECT -abs(net_income) AS loss FROM fx_finance), (SELECT quantile_cont(-abs(net_income), 0.8) AS q80 FROM fx_finance)"""))
+def q_b51l(spark, sf):
+    """A total that isn't positive gives a share of 0."""
+    return round_doubles(AL.value_concentration(fin(spark, sf).select((-F.abs("net_income")).alias("loss")), "loss"))
+
+
 @register("B52_growth_indicator", WS(f"""
 SELECT {S('l', 'last_month')}, {S('p', 'previous_month')}, {S('(l - p) / p * 100', 'growth_pct')},
-  CASE WHEN (l - p) / p * 100 > 5 THEN 'growing' WHEN (l - p) / p * 100 < -5 THEN 'declining' ELSE 'stable' END AS indicator
+  CASE WHEN p IS NULL THEN 'Insufficient data' WHEN (l - p) / p * 100 > 5 THEN 'Increasing' WHEN (l - p) / p * 100 > -5 THEN 'Stable' ELSE 'Decreasing' END AS indicator
 FROM (SELECT (SELECT s FROM mo WHERE month = (SELECT max(month) FROM mo)) AS l,
   (SELECT arg_max(s, month) FROM mo WHERE month < (SELECT max(month) FROM mo)) AS p)""", ctes=(
     ("mo", f"SELECT {MONTH} AS month, sum(amount) AS s FROM fx_sales WHERE order_date IS NOT NULL GROUP BY 1"),)))
@@ -735,6 +777,20 @@ def q_b52(spark, sf):
     return round_doubles(AL.growth_indicator(sales(spark, sf), "amount", "order_date"))
 
 
+@register("B52_growth_indicator_few_months", f"""
+SELECT {S('l', 'last_month')}, {S('p', 'previous_month')}, {S('(l - p) / p * 100', 'growth_pct')},
+  CASE WHEN p IS NULL THEN 'Insufficient data' WHEN (l - p) / p * 100 > 5 THEN 'Increasing' WHEN (l - p) / p * 100 > -5 THEN 'Stable'
+    ELSE 'Decreasing' END AS indicator
+FROM (SELECT count(*) * 95.0 AS l, count(*) * 100.0 AS p FROM orders UNION ALL SELECT count(*) * 1.0, NULL FROM orders)""")
+def q_b52f(spark, sf):
+    """Exactly -5 % is a decrease; one month alone says nothing."""
+    o = load(spark, sf, "orders")
+    one = o.select(F.lit("1995-02-01").cast("date").alias("d"), F.lit(1.0).alias("a"))
+    two = o.select(F.explode(F.array(F.struct(F.lit("1995-02-01").cast("date").alias("d"), F.lit(95.0).alias("a")),
+                                     F.struct(F.lit("1995-01-01").cast("date").alias("d"), F.lit(100.0).alias("a")))).alias("x")).select("x.*")
+    return round_doubles(AL.growth_indicator(two, "a", "d").unionByName(AL.growth_indicator(one, "a", "d")))
+
+
 _RS = (("al", _ALERTS_SQL), ("rs", "SELECT count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning FROM al"),
        ("rk", "SELECT *, CAST(least(100, critical * 30 + warning * 15) AS BIGINT) AS risk_score FROM rs"))
 
@@ -774,8 +830,8 @@ def q_b53p(spark, sf):
 
 @register("B54_executive_summary", WSF(f"""
 SELECT records, {S('completeness')}, {S('total_value')}, {S('average_transaction')}, rk.*, {S('top_share')},
-  CASE WHEN top_share >= 80 THEN 'High' WHEN top_share >= 60 THEN 'Medium' ELSE 'Low' END AS concentration, {S('growth_pct')},
-  CASE WHEN growth_pct > 5 THEN 'growing' WHEN growth_pct < -5 THEN 'declining' ELSE 'stable' END AS indicator, sc.*,
+  CASE WHEN top_share >= 80 THEN 'High' WHEN top_share >= 60 THEN 'Moderate' ELSE 'Well distributed' END AS concentration, {S('growth_pct')},
+  CASE WHEN growth_pct > 5 THEN 'Increasing' WHEN growth_pct > -5 THEN 'Stable' ELSE 'Decreasing' END AS indicator, sc.*,
   CASE WHEN critical > 0 THEN 'HIGH' WHEN warning > 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, 5 AS dimensions,
   CASE WHEN completeness >= 95 THEN 'A' WHEN completeness >= 85 THEN 'B' ELSE 'C' END AS data_quality_grade,
   list_filter([CASE WHEN total_value > 1000000 THEN 'High-value dataset with significant financial impact' END,
@@ -802,25 +858,25 @@ FROM (SELECT 'total_revenue' AS kpi, (SELECT sum(amount) FROM fx_sales) AS value
                 "WHERE customer_id IS NOT NULL GROUP BY customer_id)"),)))
 def q_b56(spark, sf):
     s = sales(spark, sf)
-    k = attach(CU.retention(s, "customer_id"), FI.financial_kpis(s, "amount").select("total_revenue"))
+    k = attach(CU.retention(s, "customer_id", "order_date"), FI.financial_kpis(s, "amount").select("total_revenue"))
     return round_doubles(AL.kpi_scorecard(k, {"total_revenue": "$", "retention_rate": "%", "churn_rate": "%"},
                                           {"retention_rate": "retention_band", "churn_rate": "churn_band"}))
 
 
 _PROFILES = ("p", " UNION ALL ".join(
-    f"SELECT '{n}' AS d, count(*)::DOUBLE AS records, sum(amount) AS revenue, avg(amount) AS average_transaction, "
+    f"SELECT '{n}' AS d, count(*)::DOUBLE AS records, {_COLUMNS.format(c=c)}::DOUBLE AS columns, {k}.0::DOUBLE AS amount_columns, "
+    f"{k}.0::DOUBLE AS category_columns, sum(amount) AS revenue, avg(amount) AS average_transaction, "
     f"count(DISTINCT customer_id)::DOUBLE AS customers, count(DISTINCT product)::DOUBLE AS products FROM fx_sales WHERE {y}"
-    for n, y in (("early", _HALF_A), ("late", _HALF_B))))
+    for n, y, c, k in (("early", _HALF_A, _EARLY, 1), ("late", _HALF_B, _LATE, 2))))
 _DIFFS = ("df", " UNION ALL ".join(
     f"SELECT '{c}' AS measure, a.{c} AS dataset_a, b.{c} AS dataset_b, b.{c} - a.{c} AS difference, "
     f"CASE WHEN a.{c} > 0 THEN (b.{c} - a.{c}) / a.{c} * 100 ELSE 0.0 END AS growth_rate "
     f"FROM (FROM p WHERE d = 'early') a, (FROM p WHERE d = 'late') b"
-    for c in ("records", "revenue", "average_transaction", "customers", "products")))
+    for c in ("records", "columns", "amount_columns", "category_columns", "revenue", "average_transaction", "customers", "products")))
 
 
 def _differences(spark, sf):
-    a, b = _halves(spark, sf)
-    return AL.dataset_differences(AL.compare_datasets(a, b, "amount", "customer_id", "product", "early", "late"), "early", "late")
+    return AL.dataset_differences(_compared(spark, sf), "early", "late")
 
 
 @register("B36_differences", WS(f"SELECT measure, {S('dataset_a')}, {S('dataset_b')}, {S('difference')}, {S('growth_rate')} FROM df",
@@ -834,7 +890,9 @@ SELECT measure, CASE measure WHEN 'records' THEN printf(CASE WHEN difference > 0
     ELSE 'Dataset B has %.1f%% fewer records than Dataset A' END, abs(growth_rate))
   ELSE printf(CASE WHEN difference > 0 THEN 'Revenue increased by %.1f%% in Dataset B' ELSE 'Revenue decreased by %.1f%% in Dataset B' END,
     abs(growth_rate)) END AS sentence
-FROM df WHERE measure IN ('records', 'revenue') AND difference <> 0""", ctes=(_PROFILES, _DIFFS)))
+FROM df WHERE measure IN ('records', 'revenue') AND difference <> 0
+UNION ALL SELECT 'dimensions', printf('Dataset B has more business dimensions (%.0f vs %.0f)', sum(dataset_b), sum(dataset_a))
+FROM df WHERE measure IN ('amount_columns', 'category_columns') HAVING sum(difference) > 0""", ctes=(_PROFILES, _DIFFS)))
 def q_b36s(spark, sf):
     return AL.comparison_sentences(_differences(spark, sf))
 

@@ -110,7 +110,7 @@ def q_f7(spark, sf):
 
 @register("F7_cascade_sizes", _recursive(W("""
 SELECT d.book, d.cell, direct_dependents, coalesce(n, 0) AS cascade_size,
-  CASE WHEN coalesce(n, 0) >= 10 THEN 'high' WHEN coalesce(n, 0) >= 5 THEN 'medium' ELSE 'low' END AS impact,
+  CASE WHEN coalesce(n, 0) > 10 THEN 'high' WHEN coalesce(n, 0) > 5 THEN 'medium' ELSE 'low' END AS impact,
   direct_dependents >= 5 AS highly_connected
 FROM (SELECT book, dst AS cell, count(*) AS direct_dependents FROM e GROUP BY 1, 2) d
 LEFT JOIN (SELECT book, y AS cell, count(*) AS n FROM reach WHERE x <> y GROUP BY 1, 2) r ON r.book = d.book AND r.cell = d.cell""",
@@ -119,6 +119,40 @@ def q_f7c(spark, sf):
     return C.dependents(parsed(spark, sf))
 
 
+@register("F7_impact_summary", _recursive(W(f"""
+SELECT count(*) FILTER (n > 10) AS total_high_impact_cells, {S('coalesce(avg(n), 0.0)', 'average_cascade_size')},
+  coalesce(max(n), 0) AS max_cascade_size
+FROM (SELECT d.cell, coalesce(n, 0) AS n FROM (SELECT book, dst AS cell FROM e GROUP BY 1, 2 HAVING count(*) >= 3) d
+  LEFT JOIN (SELECT book, y AS cell, count(*) AS n FROM reach WHERE x <> y GROUP BY 1, 2) r ON r.book = d.book AND r.cell = d.cell)""",
+    *WCELLS, ctes=_REACH)))
+def q_f7i(spark, sf):
+    """The table's cells have at most four dependents, so three count as many here."""
+    deps = C.dependents(parsed(spark, sf))
+    return round_doubles(C.impact_summary(deps.withColumn("highly_connected", F.col("direct_dependents") >= 3)))
+
+
+@register("F9_dependency_metrics", _recursive(W(f"""
+SELECT count(*) FILTER (len(refs) = 0) AS independent_cells,
+  (SELECT count(*) FROM (SELECT dst FROM e JOIN fc ON fc.src = e.dst GROUP BY 1 HAVING count(*) >= 5)) AS highly_connected_cells,
+  (SELECT max(d)::INTEGER FROM lv JOIN fc ON fc.src = lv.cell) AS max_dependency_level,
+  {S('round(avg(len(refs)), 1)', 'average_precedents')},
+  {S('(SELECT round(greatest(0.0, 100 - ((SELECT count(*) FROM two) + (SELECT count(*) FROM lost)) * 100.0 / (SELECT count(*) FROM p)), 1))', 'validation_score')},
+  {S('round((SELECT count(*) FROM lost) * 100.0 / count(*), 1)', 'error_rate')}, {S('0.0', 'external_dependency_rate')},
+  CASE WHEN (SELECT count(*) FROM two) > 0 THEN 'HIGH' ELSE 'LOW' END AS circular_reference_risk
+FROM (SELECT qrefs AS refs FROM p)""", *WCELLS, ctes=_REACH + (
+    ("lost", "SELECT * FROM e ANTI JOIN fc ON fc.src = e.dst"),
+    ("two", "SELECT DISTINCT e.src FROM e JOIN e f ON f.src = e.dst AND f.dst = e.src"),
+    ("bad", "SELECT DISTINCT r.book, r.x FROM reach r JOIN (SELECT book, x FROM reach WHERE x = y) c ON c.book = r.book AND c.x = r.y"),
+    ("ok", "SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.book = e.book AND bad.x = e.src)"),
+    ("base", "SELECT DISTINCT book, dst AS cell, 0 AS d FROM e ANTI JOIN fc ON fc.book = e.book AND fc.src = e.dst "
+             "UNION ALL SELECT book, src, 1 FROM fc ANTI JOIN e ON e.book = fc.book AND e.src = fc.src"),
+    ("lv", "SELECT * FROM base UNION SELECT ok.book, ok.src, lv.d + 1 FROM lv JOIN ok ON ok.book = lv.book AND ok.dst = lv.cell")))))
+def q_f9d(spark, sf):
+    c = fixture(spark, sf, "fx_cells")
+    p = C.parse_formulas(c)
+    return round_doubles(C.dependency_metrics(c, p, C.dependency_levels(c, p)))
+
+
 @register("F8_formula_diff", W("""
 SELECT coalesce(a.sheet, b.sheet) AS sheet, coalesce(a.cell, b.cell) AS cell, a.formula AS formula_a, b.formula AS formula_b,
   CASE WHEN b.formula IS NULL THEN 'only_in_a' WHEN a.formula IS NULL THEN 'only_in_b' WHEN a.formula = b.formula THEN 'unchanged'

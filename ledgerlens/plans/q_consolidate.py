@@ -96,21 +96,6 @@ def q_c3r(spark, sf):
 
 
 @register("C4_catalogue", W("""
-SELECT sheet, CAST(position AS INTEGER) AS position, "column", data_type, non_null_count, null_count, unique_values,
-  sample_value FROM (""" + " UNION ALL ".join(
-    f"SELECT '{t}' AS sheet, {i} AS position, '{c}' AS \"column\", '{dt}' AS data_type, count({c}) AS non_null_count, "
-    f"count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_values, "
-    f"coalesce(min(CAST({c} AS VARCHAR)), 'N/A') AS sample_value FROM {fx}"
-    for t, fx, cols in (("customers", "fx_cons_customer", [("key", "bigint"), ("name", "string"), ("segment", "string")]),
-                        ("suppliers", "fx_cons_supplier", [("key", "bigint"), ("name", "string")]))
-    for i, (c, dt) in [(j, x) for j, x in enumerate(cols)]) + ")", *WC))
-def q_c4(spark, sf):
-    t = cons_tables(spark, sf)
-    t = {"customers": t["customers"].drop("balance"), "suppliers": t["suppliers"].drop("balance")}
-    return C.catalogue(t)
-
-
-@register("C4_catalogue_all_columns", W("""
 SELECT sheet, CAST(position AS INTEGER) AS position, "column", data_type, non_null_count, null_count, unique_values,
   sample_value FROM (""" + " UNION ALL ".join(
     f"SELECT '{t}' AS sheet, {i} AS position, '{c}' AS \"column\", '{dt}' AS data_type, count({c}) AS non_null_count, "
@@ -222,7 +207,22 @@ def q_t6(spark, sf):
     return T.historical_report(periods_df(spark, sf), "sheet", "Trend Analysis")
 
 
-@register("T2_structure", W("""
-SELECT sheet AS period, count(*) AS rows, 5 AS common_columns, 100.0 AS compatibility_score FROM fx_periods GROUP BY 1""", *WP))
+_SHEETS = {  # three sheets of all orders, with unequal columns
+    "until 1995": ("sheet <= 'Sales 1995'", "order_id, customer_id, amount, status, priority"),
+    "1996": ("sheet = 'Sales 1996'", "order_id, customer_id, amount, priority"),
+    "from 1997": ("sheet >= 'Sales 1997'", "order_id, customer_id, amount, status, sheet AS source_sheet"),
+}
+
+
+@register("T2_structure", W(f"""
+SELECT period, rows, len(common)::INTEGER AS common_columns,
+  array_to_string(list_sort(list_filter(names, lambda x: NOT list_contains(common, x))), ', ') AS unique_columns,
+  {sig('len(common) * 100.0 / len(list_distinct(every))')} AS compatibility_score
+FROM sheets, (SELECT flatten(list(names)) AS every,
+  list_filter(list_distinct(flatten(list(names))), lambda x: len(list_filter(flatten(list(names)), lambda y: y = x)) = count(*)) AS common FROM sheets)""",
+    *WP, ctes=(("sheets", " UNION ALL ".join(
+        f"SELECT '{n}' AS period, count(*) AS rows, any_value(json_keys(to_json(t))) AS names FROM (SELECT {c} FROM fx_periods WHERE {w}) t"
+        for n, (w, c) in _SHEETS.items())),)))
 def q_t2(spark, sf):
-    return T.structure(periods_df(spark, sf), "sheet")
+    p = periods_df(spark, sf)
+    return round_doubles(T.structure({n: p.filter(w).selectExpr(*c.split(", ")) for n, (w, c) in _SHEETS.items()}))

@@ -73,18 +73,49 @@ def q_a23o(spark, sf):
     return round_doubles(P.outlier_points(load(spark, sf, "lineitem"), _LI))
 
 
-@register("A19_overview_alignment", W(f"""
-SELECT (SELECT count(*) FROM fx_sample_a) AS rows_a, (SELECT count(*) FROM fx_sample_r) AS rows_b,
-  4 AS numeric_a, 0 AS text_a, 0 AS date_a, 4 AS numeric_b, 0 AS text_b, 0 AS date_b, {S('100.0', 'column_overlap')},
-  {S('abs((SELECT count(*) FROM fx_sample_a) - (SELECT count(*) FROM fx_sample_r)) * 100.0 / greatest((SELECT count(*) FROM fx_sample_a), (SELECT count(*) FROM fx_sample_r))', 'row_gap')},
-  CASE WHEN abs((SELECT count(*) FROM fx_sample_a) - (SELECT count(*) FROM fx_sample_r)) * 100.0 /
-    greatest((SELECT count(*) FROM fx_sample_a), (SELECT count(*) FROM fx_sample_r)) > 10
-    THEN 'Row counts differ by more than 10%: check filters and completeness' ELSE '' END AS advice""",
-    "fx_sample_a", "fx_sample_r"))
+def _overview_sql(other: str, cells_b: str, classes_b: str, overlap: float, share: str, mismatches: str) -> str:
+    """A19 of fx_sample_a against another table: its non-null cells, type counts and overlap are given."""
+    return W(f"""
+SELECT na AS rows_a, nb AS rows_b, 4 AS numeric_a, 0 AS text_a, 0 AS date_a, {classes_b}, {S(f'{overlap}', 'column_overlap')},
+  {S('(nb - na) * 100.0 / na', 'row_gap')}, {S('mb - ma', 'missing_gap')}, '{mismatches}' AS type_mismatches,
+  concat_ws('; ', CASE WHEN nb > na THEN format('B has {{:,}} more rows than A', nb - na) WHEN nb < na THEN format('A has {{:,}} more rows than B', na - nb)
+      ELSE format('Both datasets have the same number of rows ({{:,}})', na) END,
+    CASE WHEN mb - ma > 5 THEN printf('B has significantly more missing data (%+.1f%%)', mb - ma)
+      WHEN mb - ma < -5 THEN printf('A has significantly more missing data (%.1f%%)', ma - mb) END,
+    '{share}') AS insights,
+  coalesce(nullif(concat_ws('; ', CASE WHEN '{mismatches}' <> '' THEN '{P.TYPE_ALIGNMENT}' END, CASE WHEN abs(mb - ma) > 10 THEN '{P.DATA_QUALITY}' END,
+    CASE WHEN {overlap} < 50 THEN '{P.SCHEMA_REVIEW}' END, CASE WHEN abs(nb - na) > na * 0.1 THEN '{P.SIZE_DISPARITY}' END), ''),
+    '{P.WELL_ALIGNED}') AS recommendations
+FROM (SELECT count(*) AS na, 100.0 - (count(quantity) + count(price) + count(discount) + count(tax)) * 100.0 / (count(*) * 4) AS ma FROM fx_sample_a),
+  (SELECT count(*) AS nb, 100.0 - {cells_b} AS mb FROM {other})""", "fx_sample_a", other)
+
+
+@register("A19_overview_alignment", _overview_sql(
+    "fx_sample_r", "(count(quantity) + count(price) + count(discount) + count(tax)) * 100.0 / (count(*) * 4)",
+    "4 AS numeric_b, 0 AS text_b, 0 AS date_b", 100.0, "Column overlap: 100.0% (4 of 4 total unique columns)", ""))
 def q_a19(spark, sf):
     return round_doubles(P.overview_alignment(fixture(spark, sf, "fx_sample_a"), fixture(spark, sf, "fx_sample_r")))
 
 
+@register("A19_overview_alignment_unlike", _overview_sql(
+    "fx_sample_odd", "(count(quantity) + count(price) + count(flag) + count(shipdate) + count(linestatus) + count(supplier) + count(part)) "
+    "* 100.0 / (count(*) * 7)", "3 AS numeric_b, 3 AS text_b, 1 AS date_b", 2 / 9 * 100,
+    "Column overlap: 22.2% (2 of 9 total unique columns)", "quantity"))
+def q_a19u(spark, sf):
+    """Types that differ, many missing values, little overlap."""
+    return round_doubles(P.overview_alignment(fixture(spark, sf, "fx_sample_a"), fixture(spark, sf, "fx_sample_odd")))
+
+
+@register("A18_dataset_diff_unlike", W(f"""
+SELECT 'A' AS dataset_a, 'B' AS dataset_b, na AS rows_a, nb AS rows_b, nb - na AS row_difference, CAST(3 AS BIGINT) AS column_difference,
+  {S('(nb * 7) / (na * 4.0)', 'size_ratio')}, {S('mb - ma', 'missing_difference')}
+FROM (SELECT count(*) AS na, 100.0 - (count(quantity) + count(price) + count(discount) + count(tax)) * 100.0 / (count(*) * 4) AS ma FROM fx_sample_a),
+  (SELECT count(*) AS nb, 100.0 - (count(quantity) + count(price) + count(flag) + count(shipdate) + count(linestatus) + count(supplier)
+    + count(part)) * 100.0 / (count(*) * 7) AS mb FROM fx_sample_odd)""", "fx_sample_a", "fx_sample_odd"))
+def q_a18u(spark, sf):
+    return round_doubles(P.dataset_diff(fixture(spark, sf, "fx_sample_a"), fixture(spark, sf, "fx_sample_odd")))
+
+
 @register("B6_date_ranges", W("""
 SELECT 'order_date' AS "column", CAST(min(order_date) AS DATE) AS start_date, CAST(max(order_date) AS DATE) AS end_date,
   CAST(datediff('day', CAST(min(order_date) AS DATE), CAST(max(order_date) AS DATE)) AS INTEGER) AS duration_days,

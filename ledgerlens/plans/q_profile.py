@@ -257,9 +257,9 @@ def q_a17(spark, sf):
 
 
 @register("A18_dataset_diff_samples", W(f"""
-SELECT 'A' AS dataset_a, 'R' AS dataset_b, a.n AS rows_a, r.n AS rows_b, a.n - r.n AS row_difference,
-  CAST(0 AS BIGINT) AS column_difference, {S('a.n * 1.0 / r.n', 'size_ratio')},
-  {S('a.m - r.m', 'missing_difference')}
+SELECT 'A' AS dataset_a, 'R' AS dataset_b, a.n AS rows_a, r.n AS rows_b, r.n - a.n AS row_difference,
+  CAST(0 AS BIGINT) AS column_difference, {S('r.n * 4.0 / (a.n * 4)', 'size_ratio')},
+  {S('r.m - a.m', 'missing_difference')}
 FROM (SELECT count(*) AS n, (count(*) * 4 - count(quantity) - count(price) - count(discount) - count(tax)) * 100.0
   / (count(*) * 4) AS m FROM fx_sample_a) a,
  (SELECT count(*) AS n, (count(*) * 4 - count(quantity) - count(price) - count(discount) - count(tax)) * 100.0

@@ -79,7 +79,7 @@ def q_q3(spark, sf):
     return round_doubles(Q.null_runs(df, ["num"], ["src_order"]))
 
 
-@register("Q4_duplicates_customer_segments", f"""
+@register("Q4_duplicates_by_nation_and_segment", f"""
 SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows,
   {S('round(sum(c - 1) * 100.0 / sum(c), 2)', 'duplicate_percentage')}, count(*) AS unique_rows
 FROM (SELECT c_nationkey, c_mktsegment, count(*) AS c FROM customer GROUP BY ALL)""")
@@ -87,14 +87,14 @@ def q_q4(spark, sf):
     return round_doubles(Q.duplicates(load(spark, sf, "customer").select("c_nationkey", "c_mktsegment")))
 
 
-@register("Q4_duplicate_groups_top10", """
+@register("Q4_duplicate_groups_by_nation_and_segment_top10", """
 SELECT c_nationkey, c_mktsegment, count(*) AS copies FROM customer GROUP BY ALL HAVING count(*) > 1
 ORDER BY copies DESC, c_nationkey NULLS FIRST, c_mktsegment NULLS FIRST LIMIT 10""")
 def q_q4g(spark, sf):
     return Q.duplicate_groups(load(spark, sf, "customer").select("c_nationkey", "c_mktsegment"), 10)
 
 
-@register("Q4_duplicates_customer_all_columns", f"""
+@register("Q4_duplicates_customer", f"""
 SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows,
   {S('round(sum(c - 1) * 100.0 / sum(c), 2)', 'duplicate_percentage')}, count(*) AS unique_rows
 FROM (SELECT *, count(*) AS c FROM customer GROUP BY ALL)""")
@@ -102,7 +102,7 @@ def q_q4_all(spark, sf):
     return round_doubles(Q.duplicates(load(spark, sf, "customer")))
 
 
-@register("Q4_duplicate_groups_all_columns_top10", """
+@register("Q4_duplicate_groups_top10", """
 SELECT *, count(*) AS copies FROM customer GROUP BY ALL HAVING count(*) > 1
 ORDER BY copies DESC, c_custkey NULLS FIRST LIMIT 10""")
 def q_q4g_all(spark, sf):

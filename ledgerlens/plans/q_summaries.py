@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import clean_values, norm_key
 from ..operators import filters as P
 from ..operators import summaries as M
-from ..operators.match import match_batch, match_multi
+from ..operators.match import match_batch_readers, match_multi
 from ..sources.fixtures import fixture
 from .common import round_doubles, sig, sql_norm
 from .q_match import J6_SQL, J7_SQL, match_items, match_result_ctes
@@ -39,8 +39,11 @@ SELECT total AS total_records, CAST(exact AS BIGINT) AS exact_matches, CAST(fuzz
   CAST(matched AS BIGINT) AS high_confidence_matches, CAST(suggested AS BIGINT) AS suggested_reviews,
   CAST(unmatched AS BIGINT) AS unmatched_records, {S('matched * 100.0 / total', 'match_rate')}, {S(_Q, 'quality_score')},
   CASE WHEN exact > total * 0.7 THEN 'High' WHEN exact > total * 0.3 THEN 'Medium' ELSE 'Low' END AS exact_status,
-  CASE WHEN matched > total * 0.8 THEN 'Excellent' WHEN matched > total * 0.5 THEN 'Good' ELSE 'Needs Improvement' END AS match_status,
-  CASE WHEN unmatched > total * 0.2 THEN 'Action Required' WHEN unmatched > 0 THEN 'Some Issues' ELSE 'None' END AS unmatched_status,
+  CASE WHEN matched > total * 0.8 THEN 'Excellent' WHEN matched > total * 0.5 THEN 'Good' ELSE 'Needs Review' END AS match_status,
+  CASE WHEN unmatched > total * 0.2 THEN 'Action Required' WHEN unmatched > 0 THEN 'Some Issues' ELSE 'Perfect' END AS unmatched_status,
+  CASE WHEN total > 0 THEN 'Complete' ELSE 'No Data' END AS total_status, CASE WHEN fuzzy > 0 THEN 'Good' ELSE 'None' END AS fuzzy_status,
+  CASE WHEN suggested > 0 THEN 'Review Required' ELSE 'None' END AS suggested_status,
+  CASE WHEN matched > total * 0.9 THEN 'Excellent' WHEN matched > total * 0.7 THEN 'Good' ELSE 'Poor' END AS rate_status,
   CASE WHEN {_Q} > 80 THEN 'High' WHEN {_Q} > 60 THEN 'Medium' ELSE 'Low' END AS quality_status
 FROM {_K}"""))
 def q_m1(spark, sf):
@@ -89,26 +92,29 @@ def q_m4(spark, sf):
 
 
 def batch(spark, sf):
-    a = fixture(spark, sf, "fx_match_a")
+    """Three sheets of fx_batch and one that isn't there."""
     t = fixture(spark, sf, "fx_batch")
-    return match_batch(a, t, "item", "item", target_names=["T0", "T1", "T2"], target_col="target", threshold=80,
-                       target_order="id").withColumnRenamed("target", "_target")
+    readers = {n: (lambda n=n: t.filter(F.col("target") == n)) for n in ("T0", "T1", "T2")}
+    readers["T3"] = lambda: spark.read.parquet(f"{sf}/no such sheet.parquet")
+    return match_batch_readers(fixture(spark, sf, "fx_match_a"), readers, "item", "item", threshold=80, target_order="id")
 
 
 @register("M5_batch_summary", f"""
-SELECT b.*, CASE WHEN match_rate >= 80 THEN 'Good' WHEN match_rate >= 50 THEN 'Fair' ELSE 'Poor' END AS status,
-  match_rate = max(match_rate) OVER () AS is_best, match_rate = min(match_rate) OVER () AS is_worst,
-  {S('avg(CASE WHEN match_rate >= 50 THEN 1.0 ELSE 0.0 END) OVER () * 100', 'success_rate')}
-FROM (SELECT * REPLACE ({S('match_rate')}) FROM ({J7_SQL})) b""")
+SELECT b.*, 'success' AS outcome, CASE WHEN match_rate >= 80 THEN 'High' WHEN match_rate >= 50 THEN 'Medium' ELSE 'Low' END AS status,
+  _target = first_value(_target) OVER (ORDER BY round(match_rate, 1) DESC, _target) AS is_best,
+  _target = first_value(_target) OVER (ORDER BY round(match_rate, 1), _target) AS is_worst, {S('75.0', 'success_rate')}
+FROM (SELECT * REPLACE ({S('match_rate')}) FROM ({J7_SQL})) b
+UNION ALL SELECT 'T3', NULL, NULL, NULL, NULL, NULL, NULL, 'error', NULL, false, false, {S('75.0', 'success_rate')}""")
 def q_m5(spark, sf):
-    return round_doubles(M.batch_summary(batch(spark, sf)))
+    return round_doubles(M.batch_summary(batch(spark, sf), ["T0", "T1", "T2", "T3"]).drop("error"))
 
 
 @register("M6_field_performance", f"""
 WITH e AS (SELECT unnest(['name → name', 'brand → brand']) AS field, unnest([s_name, s_brand]) AS score FROM ({J6_SQL}) WHERE s_name IS NOT NULL),
 g AS (SELECT field, avg(score) AS av, min(score) AS mi, max(score) AS ma, count(*) AS n FROM e GROUP BY 1)
 SELECT field, {S('av', 'avg_score')}, {S('mi', 'min_score')}, {S('ma', 'max_score')}, n AS count, av = (SELECT max(av) FROM g) AS is_best,
-  av = (SELECT min(av) FROM g) AS is_worst, CASE WHEN av >= 80 THEN 'Excellent' WHEN av >= 60 THEN 'Good' ELSE 'Needs Improvement' END AS band
+  av = (SELECT min(av) FROM g) AS is_worst, CASE WHEN av >= 80 THEN 'Excellent' WHEN av >= 60 THEN 'Good' ELSE 'Needs Review' END AS band,
+  av = (SELECT min(av) FROM g) AND av < 70 AS needs_attention
 FROM g""")
 def q_m6(spark, sf):
     a, b = fixture(spark, sf, "fx_match_a"), fixture(spark, sf, "fx_match_b")

@@ -120,6 +120,11 @@ SELECT l_quantity AS quantity, l_extendedprice AS price, l_discount + 0.0 AS dis
 FROM lineitem WHERE l_returnflag = 'A'""",
     "fx_sample_r": """
 SELECT l_quantity AS quantity, l_extendedprice AS price, l_discount + 0.0 AS discount, l_tax AS tax
+FROM lineitem WHERE l_returnflag = 'R'""",
+    # the returned items with other columns and types, and half of the prices missing
+    "fx_sample_odd": """
+SELECT cast(l_quantity AS varchar(20)) AS quantity, CASE WHEN l_orderkey % 2 = 0 THEN l_extendedprice END AS price,
+  l_returnflag AS flag, l_shipdate AS shipdate, l_linestatus AS linestatus, l_suppkey AS supplier, l_partkey AS part
 FROM lineitem WHERE l_returnflag = 'R'""",
 }
 
