@@ -1,140 +1,65 @@
 """Exact Kendall tau-b without enumerating pairs.
 
-Discordant pairs (x_i < x_j and y_i > y_j) split into three disjoint sets once
-x and y are cut into P value blocks (equal values always share a block):
+Two points are discordant if the one further left lies higher. Give the distinct y values numbers 0, 1, 2, ...; two different
+numbers agree in their leading bits down to one bit, in which the larger has 1. So each discordant pair belongs to exactly one
+level (that bit) and one group (the leading bits above it), and there the point on the left has bit 1, the one on the right bit 0.
+In a group, in order of x, the count is thus a running sum: for every point with bit 0, the weight of the points with bit 1
+strictly left of it. All levels run at once: a point gives a row for each level, rows are summed by (level, group, x) before they
+are shuffled, dealt in ranges of it, and running totals are stitched over the tasks from a small table. No group, however many
+points it holds, is gathered in one place, and nothing but the result reaches the driver.
 
-1. x-block(i) < x-block(j) and y-block(i) > y-block(j): counted from the P x P
-   table of block counts (a small aggregate);
-2. same x-block: counted inside each x-block with a Fenwick tree over y;
-3. x-block(i) < x-block(j), same y-block, y_i > y_j: counted inside each
-   y-block with a Fenwick tree over x-blocks.
-
-Rows are first collapsed to distinct (x, y) with a weight, so repeated points
-cost nothing. Concordant pairs follow from the tie identity
-nc + nd = n0 - n_x - n_y + n_xy. Block boundaries are exact row quantiles.
+Points are first collapsed to distinct (x, y) with a weight, and the column with fewer distinct values is numbered: it takes
+log2 of that number of rows a point. Concordant pairs follow from the tie identity nc + nd = n0 - n_x - n_y + n_xy.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.normalize import col
 from . import ranks
+from .frames import attach
 
 
-def _fenwick_x_local(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Discordant weight inside one x-block: x_i < x_j, y_i > y_j."""
-    pdf = pdf.sort_values(["x", "y"])
-    ys = np.sort(pdf["y"].unique())
-    size = len(ys)
-    tree = np.zeros(size + 1, dtype=np.int64)
-    total = 0
-    out = 0
-    xs, yv, wv = pdf["x"].to_numpy(), np.searchsorted(ys, pdf["y"].to_numpy()) + 1, pdf["w"].to_numpy()
-    i = 0
-    n = len(pdf)
-    while i < n:
-        j = i
-        while j < n and xs[j] == xs[i]:
-            j += 1
-        for k in range(i, j):  # query before inserting the equal-x group
-            s, p = 0, yv[k]
-            while p > 0:
-                s += tree[p]
-                p -= p & -p
-            out += int(wv[k]) * (total - s)  # weight with y greater than y_k among smaller x
-        for k in range(i, j):
-            p = yv[k]
-            while p <= size:
-                tree[p] += wv[k]
-                p += p & -p
-            total += int(wv[k])
-        i = j
-    return pd.DataFrame({"nd": [out]})
-
-
-def _fenwick_y_local(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Discordant weight inside one y-block across x-blocks: bx_i < bx_j and y_i > y_j."""
-    pdf = pdf.sort_values(["y"], ascending=False)
-    size = int(pdf["bx"].max()) + 2
-    tree = np.zeros(size + 1, dtype=np.int64)
-    out = 0
-    yv, bv, wv = pdf["y"].to_numpy(), pdf["bx"].to_numpy() + 1, pdf["w"].to_numpy()
-    i, n = 0, len(pdf)
-    while i < n:
-        j = i
-        while j < n and yv[j] == yv[i]:
-            j += 1
-        for k in range(i, j):
-            s, p = 0, int(bv[k]) - 1  # strictly smaller x-block
-            while p > 0:
-                s += tree[p]
-                p -= p & -p
-            out += int(wv[k]) * s
-        for k in range(i, j):
-            p = int(bv[k])
-            while p <= size:
-                tree[p] += wv[k]
-                p += p & -p
-        i = j
-    return pd.DataFrame({"nd": [out]})
-
-
-def _cuts(quantiles: list[float]) -> list[float]:
-    """Block borders; a value that fills several quantiles gets a block of its own."""
-    hot = {q for q in quantiles if quantiles.count(q) > 1}
-    return sorted({*quantiles, *(float(np.nextafter(q, -np.inf)) for q in hot)})
+def _discordant(weighted: DataFrame, levels: int) -> DataFrame:
+    """One row (discordant): weight of the pairs with x left and y higher. weighted: (x, y number, w)."""
+    keys = ["level", "group"]
+    rows = weighted.select("x", "w", "y", F.explode(F.sequence(F.lit(0), F.lit(max(levels - 1, 0)))).alias("level"))
+    bit = F.expr("shiftright(y, level) & 1L")
+    summed = rows.select("level", F.expr("shiftright(y, level + 1)").alias("group"), "x", bit.alias("bit"), "w").groupBy(*keys, "x").agg(
+        F.sum(F.when(F.col("bit") == 0, F.col("w")).otherwise(0)).alias("low"), F.sum(F.when(F.col("bit") == 1, F.col("w")).otherwise(0)).alias("high"))
+    ranged = ranks._checkpoint(summed.repartitionByRange(*keys, "x").withColumn("_pid", F.spark_partition_id()))
+    totals = ranged.groupBy("_pid", *keys).agg(F.sum("high").alias("_t"))
+    before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(
+        Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_before > 0").drop("_t")
+    inside = F.coalesce(F.sum("high").over(Window.partitionBy("_pid", *keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = ranged.withColumn("_inside", inside).where("low > 0").groupBy("_pid", *keys).agg(
+        F.sum(F.col("low") * F.col("_inside")).alias("own"), F.sum("low").alias("low"))
+    # points on the left in earlier tasks count for all points with bit 0 of the task
+    return own.join(before, ["_pid", *keys], "left").agg(
+        F.coalesce(F.sum(F.col("own") + F.col("low") * F.coalesce("_before", F.lit(0))), F.lit(0)).alias("discordant"))
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, blocks: int | None = None, rows_per_block: int = 50_000) -> DataFrame:
+def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
     """Tau-b of two numeric columns over pairwise-complete rows: one row (n, concordant, discordant, tau_b)."""
     pts = df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y")).filter(
         F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     w = ranks._checkpoint(pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
-    blocks = blocks or max(32, -(-w.count() // rows_per_block))
-    long = pts.select(F.explode(F.array(F.struct(F.lit("x").alias("column"), F.col("x").alias("value")),
-                                        F.struct(F.lit("y").alias("column"), F.col("y").alias("value")))).alias("kv")
-                      ).select("kv.*")
-    probs = [k / blocks for k in range(1, blocks)]
-    bounds = {"x": [], "y": []}
-    for r in ranks.quantiles(long, probs).collect():  # 2 * (blocks - 1) numbers
-        bounds[r["column"]].append(r["q"])
-    bx_b, by_b = _cuts(bounds["x"]), _cuts(bounds["y"])
-    bx = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bx_b]), lambda b: b < F.col("x"))) if bx_b else F.lit(0)
-    by = F.size(F.filter(F.array(*[F.lit(float(b)) for b in by_b]), lambda b: b < F.col("y"))) if by_b else F.lit(0)
-    wb = w.withColumn("bx", bx.cast("int")).withColumn("by", by.cast("int"))
-    # 1. block table (at most blocks x blocks cells)
-    cells = wb.groupBy("bx", "by").agg(F.sum("w").alias("c")).collect()
-    grid = np.zeros((len(bx_b) + 1, len(by_b) + 1), dtype=np.int64)  # one cell for each block pair
-    for r in cells:
-        grid[r["bx"], r["by"]] = r["c"]
-    # S[a, c] = sum of grid[a' < a, c' > c]
-    above = np.cumsum(grid[:, ::-1], axis=1)[:, ::-1]  # above[a, c] = sum grid[a, c' >= c]
-    strictly_above = np.zeros_like(above)
-    strictly_above[:, :-1] = above[:, 1:]
-    before = np.cumsum(strictly_above, axis=0)
-    s_table = np.zeros_like(before)
-    s_table[1:, :] = before[:-1, :]
-    nd_table = int((grid * s_table).sum())
-    # 2. / 3. local counts per block
-    # a block of one value has no pair inside: a hot value needs no task of its own
-    many_x = wb.groupBy("bx").agg((F.min("x") < F.max("x")).alias("many")).filter("many").select("bx")
-    many_y = wb.groupBy("by").agg((F.min("y") < F.max("y")).alias("many")).filter("many").select("by")
-    nd_x = wb.select("bx", "x", "y", "w").join(many_x, "bx").groupBy("bx").applyInPandas(_fenwick_x_local, "nd long")
-    nd_y = wb.select("by", "bx", "y", "w").join(many_y, "by").groupBy("by").applyInPandas(_fenwick_y_local, "nd long")
-    local = nd_x.unionByName(nd_y).agg(F.coalesce(F.sum("nd"), F.lit(0)).alias("nd_local"))
-    ties = w.agg(F.sum("w").alias("n"), F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("n_xy"))
-    tx = w.groupBy("x").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n_x"))
-    ty = w.groupBy("y").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n_y"))
-    from .frames import attach
-    m = attach(attach(attach(local, ties), tx), ty)
-    n = F.col("n").cast("double")
-    n0 = n * (n - 1) / 2
-    nd = F.col("nd_local") + F.lit(nd_table)
-    nc = n0 - F.col("n_x") - F.col("n_y") + F.col("n_xy") - nd
-    tau = F.try_divide(nc - nd, F.sqrt((n0 - F.col("n_x")) * (n0 - F.col("n_y"))))
+    by = {c: w.groupBy(c).agg(F.sum("w").alias("t")).agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties")).first()
+          for c in "xy"}
+    # discordant pairs are the same with the columns exchanged
+    few, many = ("x", "y") if by["x"]["d"] < by["y"]["d"] else ("y", "x")
+    numbers = ranks.row_positions(w.select(few).distinct(), [few]).withColumnRenamed("_pos", "_n")
+    weighted = w.join(numbers, few).select(F.col(many).alias("x"), F.col("_n").cast("long").alias("y"), "w")
+    found = _discordant(weighted, (by[few]["d"] - 1).bit_length() if by[few]["d"] else 0)
+    ties = w.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("w") * (F.col("w") - 1) / 2), F.lit(0.0)).alias("n_xy"))
+    m = attach(found, ties)
+    n_x, n_y = (F.lit(float(by[c]["ties"] or 0)) for c in "xy")
+    n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    nd = F.col("discordant")
+    nc = n0 - n_x - n_y + F.col("n_xy") - nd
+    tau = F.try_divide(nc - nd, F.sqrt((n0 - n_x) * (n0 - n_y)))
     return m.select(F.col("n").cast("long").alias("n"), nc.cast("long").alias("concordant"), nd.cast("long").alias("discordant"),
                     tau.alias("tau_b"))

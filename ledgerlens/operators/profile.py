@@ -210,7 +210,8 @@ def correlations(df: DataFrame, cols: list[str] | None = None, method: str = "pe
     """Pairwise-complete correlation for every column pair (long: col_a, col_b, r).
 
     ``spearman`` correlates average ranks computed per column over its
-    pairwise-complete rows, via the distributed rank primitive.
+    pairwise-complete rows, via the distributed rank primitive; ``kendall`` is
+    the exact tau-b of each pair.
     """
     cols = cols or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
@@ -236,6 +237,10 @@ def correlations(df: DataFrame, cols: list[str] | None = None, method: str = "pe
             parts.append(wide.agg(F.corr("rx", "ry").alias("r")).select(F.lit(a).alias("col_a"),
                                                                         F.lit(b).alias("col_b"), "r"))
         return reduce(lambda x, y: x.unionByName(y), parts)
+    if method == "kendall":
+        from .kendall import kendall_tau_b
+        return reduce(lambda x, y: x.unionByName(y), [kendall_tau_b(df, a, b).select(
+            F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col("tau_b").alias("r")) for a, b in pairs])
     raise ValueError(method)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.normalize import col
-from ..functions.pvalues import p_value
+from ..functions.pvalues import MANN_WHITNEY_EXACT, p_value
 from . import ranks
 from .profile import numeric_columns
 
@@ -54,6 +54,10 @@ def pooled_ranks(long: DataFrame) -> DataFrame:
 
 def mann_whitney(long: DataFrame) -> DataFrame:
     """H3: U of sample 1, z with tie and continuity corrections (two-sided, U = max(U1, U2))."""
+    return _mann_whitney(long).drop("has_ties")
+
+
+def _mann_whitney(long: DataFrame) -> DataFrame:
     rk = pooled_ranks(long)
     c1 = long.filter(F.col("sample") == 1).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c1"))
     j = rk.join(c1, ["column", "value"], "left").na.fill(0, ["c1"])
@@ -66,7 +70,8 @@ def mann_whitney(long: DataFrame) -> DataFrame:
     s = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     u = F.greatest(u1, n1 * n2 - u1)
     z = F.try_divide(u - mu - 0.5, s)
-    return g.select("column", u1.alias("u_statistic"), z.alias("z"), n1.cast("long").alias("n1"), n2.cast("long").alias("n2"))
+    return g.select("column", u1.alias("u_statistic"), z.alias("z"), n1.cast("long").alias("n1"), n2.cast("long").alias("n2"),
+                    (F.col("_ties") > 0).alias("has_ties"))
 
 
 def ks_test(long: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -95,13 +100,15 @@ def compare_tests(a: DataFrame, b: DataFrame, cols: list[str] | None = None, alp
     KS alone; Mann-Whitney has a flag of its own)."""
     long = pooled_long(a, b, cols)
     t = t_test(long)
-    mw = mann_whitney(long).select("column", "u_statistic", "z")
+    mw = _mann_whitney(long).select("column", "u_statistic", "z", "has_ties")
     ks = ks_test(long).select("column", "ks_statistic", F.col("n1").alias("_k1"), F.col("n2").alias("_k2"))
     j = t.join(mw, "column").join(ks, "column")
     j = (j.withColumn("t_p_value", p_value(F.lit("t"), F.col("t_statistic"), F.col("dof"), F.lit(0.0)))
-         .withColumn("mw_p_value", p_value(F.lit("z"), F.col("z"), F.lit(0.0), F.lit(0.0)))
+         .withColumn("_exact", ~F.col("has_ties") & (F.least("_k1", "_k2") <= MANN_WHITNEY_EXACT))
+         .withColumn("mw_p_value", p_value(F.when(F.col("_exact"), "u").otherwise("z"), F.when(F.col("_exact"), F.col("u_statistic")).otherwise(F.col("z")),
+                                           F.col("_k1").cast("double"), F.col("_k2").cast("double")))
          .withColumn("ks_p_value", p_value(F.lit("ks"), F.col("ks_statistic"), F.col("_k1").cast("double"),
-                                           F.col("_k2").cast("double"))).drop("_k1", "_k2"))
+                                           F.col("_k2").cast("double"))).drop("_k1", "_k2", "_exact", "has_ties"))
     return (j.withColumn("means_differ", F.col("t_p_value") < alpha).withColumn("ranks_differ", F.col("mw_p_value") < alpha)
             .withColumn("distributions_differ", F.col("ks_p_value") < alpha))
 

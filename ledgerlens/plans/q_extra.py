@@ -179,3 +179,15 @@ def q_kendall(spark, sf):
     """Kendall tau-b of account balance against nation key (exact, no pair enumeration)."""
     from ..operators.kendall import kendall_tau_b
     return round_doubles(kendall_tau_b(load(spark, sf, "customer"), "c_acctbal", "c_nationkey"))
+
+
+_KENDALL_COLS = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+@register("A13_kendall_matrix_customer", " UNION ALL ".join(f"""
+SELECT '{a}' AS col_a, '{b}' AS col_b, {S('(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))))', 'r')}
+FROM (SELECT {a}::DOUBLE AS x, {b}::DOUBLE AS y FROM customer) p, (SELECT {a}::DOUBLE AS x, {b}::DOUBLE AS y FROM customer) q"""
+    for i, a in enumerate(_KENDALL_COLS) for b in _KENDALL_COLS[i + 1:]))
+def q_kendall_matrix(spark, sf):
+    """Kendall tau-b of every pair of numeric columns."""
+    return round_doubles(P.correlations(load(spark, sf, "customer"), _KENDALL_COLS, "kendall"))
