@@ -279,10 +279,10 @@ def _spelled(words: DataFrame, model: Model) -> DataFrame:
     return best.select("word", F.transform("x.v", lambda y: y / F.col("x.held")).alias("v"))
 
 
-def _predict_joined(rows: DataFrame, model: Model) -> DataFrame:
-    """predict() with a model that doesn't hold all its units, and whether the text fits."""
+def _predict_joined(rows: DataFrame, model: Model, fit: bool = False) -> DataFrame:
+    """predict() with a model that doesn't hold all its units, and, if asked for, whether the text fits."""
     size = len(model.langs)
-    shared = rows.sparkSession.sparkContext.broadcast((model.place, model.word_lp, model.common))
+    shared = rows.sparkSession.sparkContext.broadcast((model.place, model.word_lp, model.common if fit else None))
 
     def run(batches):
         place, lp, common = shared.value
@@ -292,7 +292,7 @@ def _predict_joined(rows: DataFrame, model: Model) -> DataFrame:
                 found = words_of(text)
                 at = np.fromiter(map(place.get, found, repeat(-1)), np.int64, len(found))
                 rare = Counter([found[k] for k in np.flatnonzero(at < 0).tolist()])
-                rows = [row for w in found if (row := common.get(w)) is not None]
+                rows = [row for w in found if (row := common.get(w)) is not None] if fit else []
                 commons.append(np.sum(rows, axis=0, dtype=np.int64) if rows else np.zeros(size, np.int64))
                 n.append(len(found))
                 totals.append(lp[at[at >= 0]].sum(axis=0, dtype=np.float64))
@@ -330,7 +330,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, lang_pred, score) of each row's whole text."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if not model.complete:
-        return _predict_joined(rows, model).drop("fits")
+        return _predict_joined(rows, model).select("id", "lang_pred", "score")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -348,7 +348,7 @@ def select(df: DataFrame, model: Model, least: float, text_col: str = "text") ->
         row = "_row_of_df"
         numbered = written(df.withColumn(row, F.monotonically_increasing_id()))
         rows = numbered.select(F.col(row).alias("id"), F.col(text_col).cast("string").alias("text"))
-        sure = _predict_joined(rows, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least) & F.col("fits"))
+        sure = _predict_joined(rows, model, True).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least) & F.col("fits"))
         return numbered.join(sure.select(F.col("id").alias(row)), row, "left_semi").select(*df.columns)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
