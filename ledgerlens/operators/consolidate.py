@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import col
 from .frames import attach
+from .ranks import _checkpoint
 
 SOURCE = "_source_sheet"
 
@@ -91,23 +92,33 @@ def union_tables(tables: dict[str, DataFrame], include_source: bool = True, miss
 
 
 def merge_on_key(tables: dict[str, DataFrame], key: str | None = None, include_source: bool = True) -> DataFrame:
-    """Full outer join chain on a key; clashing columns get ``_from_<table>``; ``_sources`` lists where the key
-    occurs (D3 fixed: presence, not every later table). Falls back to a union when no column is common (C6)."""
+    """Full outer merge of all tables on a key; clashing columns get ``_from_<table>``; ``_sources`` lists where the key
+    occurs (D3 fixed: presence, not every later table). Falls back to a union when no column is common (C6).
+
+    A full outer join can't be split where a key is hot. So one pre-aggregated pass finds which keys occur in which tables, each
+    table gets a row of nulls for every key that it lacks, and the merge is a chain of inner joins, whose hot keys (null among
+    them, which matches null) the adaptive skew join splits on either side.
+    """
     common = common_columns(tables)
     if not common:
         return union_tables(tables, include_source)
     key = key or common[0]
     names = list(tables)
-    acc = tables[names[0]].withColumn(f"_in_0", F.lit(True))
-    for i, name in enumerate(names[1:], 1):
-        right = tables[name]
-        ren = [F.col(c).alias(c if c == key or c not in acc.columns else f"{c}_from_{name}") for c in right.columns]
-        r = right.select(*ren).withColumn(f"_in_{i}", F.lit(True))
-        j = acc.alias("l").join(r.alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")), "full")
-        keep = [F.coalesce(F.col(f"l.{key}"), F.col(f"r.{key}")).alias(key)]
-        keep += [F.col(f"l.`{c}`") for c in acc.columns if c != key]
-        keep += [F.col(f"r.`{c}`") for c in r.columns if c != key]
-        acc = j.select(*keep)
+    found = reduce(DataFrame.unionByName, [df.select(col(key).alias("_k"), F.lit(i).alias("_t")).distinct() for i, df in enumerate(tables.values())])
+    keys = _checkpoint(found.groupBy("_k").agg(F.collect_set("_t").alias("_in")))
+    acc = None
+    for i, name in enumerate(names):
+        taken = acc.columns if acc is not None else []
+        right = tables[name].select(*[col(c).alias(c if c == key or c not in taken else f"{c}_from_{name}") for c in tables[name].columns])
+        lacking = keys.where(~F.array_contains("_in", i)).select(F.col("_k").alias(key))
+        right = right.withColumn(f"_in_{i}", F.lit(True)).unionByName(lacking, allowMissingColumns=True)
+        if acc is None:
+            acc = right
+            continue
+        right = right.withColumnRenamed(key, "_right_key")
+        acc = acc.join(right, col(key).eqNullSafe(F.col("_right_key"))).drop("_right_key")
+    first = [key, *[c for c in acc.columns if c != key]]
+    acc = acc.select(*[col(c) for c in first])
     flags = [F.when(F.col(f"_in_{i}"), F.lit(n)) for i, n in enumerate(names)]
     out = acc.withColumn("_sources", F.concat_ws(";", *flags)) if include_source else acc
     return out.drop(*[f"_in_{i}" for i in range(len(names))])

@@ -132,3 +132,24 @@ def test_keyword_lookup(spark):
     df = spark.createDataFrame([("x", 1.0, 2)], "sales_name string, net_sales double, sales_count int")
     assert roles.first_numeric_by_keywords(df, ["sales"]) == "net_sales"
     assert roles.first_numeric_by_keywords(df, ["absent"]) is None
+
+
+def test_merge_on_key_equals_a_chain_of_full_outer_joins(spark):
+    """Repeated, absent and null keys, three tables, clashing columns; no full outer join in the plan."""
+    rows = {"a": [(1, "a1"), (1, "a2"), (2, "a3"), (None, "a4"), (None, "a5"), (5, None)], "b": [(1, "b1"), (3, "b2"), (None, "b3")],
+            "c": [(1, "c1"), (1, "c2"), (3, "c3"), (7, "c4")]}
+    tables = {n: spark.createDataFrame(r, "k int, v string").withColumn(f"only_{n}", F.lit(n)) for n, r in rows.items()}
+    out = consolidate.merge_on_key(tables, "k")
+    want = [(k, (v, "a"), None, None) for k, v in rows["a"]]
+    for at, n in ((2, "b"), (3, "c")):
+        left, right, new = want, rows[n], []
+        for w in left:
+            hits = [v for k, v in right if k == w[0]]
+            new += [(*w[:at], (v, n), *w[at + 1:]) for v in hits] or [w]
+        new += [(k, *[(v, n) if i == at else None for i in (1, 2, 3)]) for k, v in right if k not in {w[0] for w in left}]
+        want = new
+    flat = lambda x: x or (None, None)
+    want = [(w[0], *flat(w[1]), *flat(w[2]), *flat(w[3]), ";".join(n for n, x in zip("abc", w[1:]) if x)) for w in want]
+    assert out.columns == ["k", "v", "only_a", "v_from_b", "only_b", "v_from_c", "only_c", "_sources"]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
+    assert "FullOuter" not in out._jdf.queryExecution().executedPlan().toString()
