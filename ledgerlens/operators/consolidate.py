@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import col
 from .frames import attach
+from .profile import unique_counts
 from .ranks import _checkpoint
 
 SOURCE = "_source_sheet"
@@ -130,15 +131,15 @@ def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         aggs = []
         for i, c in enumerate(df.columns):
-            aggs += [F.count(col(c)).alias(f"nn{i}"), F.count_distinct(col(c)).alias(f"u{i}"),
-                     F.min(col(c).cast("string")).alias(f"s{i}")]
+            aggs += [F.count(col(c)).alias(f"nn{i}"), F.min(col(c).cast("string")).alias(f"s{i}")]
         one = df.agg(F.count(F.lit(1)).alias("_n"), *aggs)
         rows = F.explode(F.array(*[F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
             F.col(f"nn{i}").alias("non_null_count"), (F.col("_n") - F.col(f"nn{i}")).alias("null_count"),
-            F.col(f"u{i}").alias("unique_values"), F.coalesce(F.col(f"s{i}"), F.lit("N/A")).alias("sample_value"))
+            F.coalesce(F.col(f"s{i}"), F.lit("N/A")).alias("sample_value"))
             for i, c in enumerate(df.columns)]))
-        parts.append(one.select(F.lit(name).alias("sheet"), rows.alias("r")).select("sheet", "r.*"))
+        x = one.select(F.lit(name).alias("sheet"), rows.alias("r")).select("sheet", "r.*")
+        parts.append(x.join(F.broadcast(unique_counts(df, df.columns)), "column"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

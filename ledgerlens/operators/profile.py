@@ -1,10 +1,10 @@
 """Column profile and descriptive statistics as tidy DataFrames.
 
-Wide tables are turned into a long ``(column, value)`` table once, so every
-per-column statistic is one grouped aggregate (one shuffle) whatever the
-number of columns. Moments use mergeable aggregates (partial aggregation on
-the map side); quantiles and modes come from the distributed value counts in
-``ranks`` - no per-column collect, no single-partition window.
+Two cores hold the distinct values of a table with their counts: ``numeric_core``
+(written in ranges, with places) and ``text_core`` (any column as text). Quantiles,
+modes, unique, zero and outlier counts, inferred types and samples are aggregates of
+a core; moments are one wide aggregate of the scan. No count-distinct per column,
+no per-column collect, no single-partition window.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.dates import parse_date
 from ..functions.normalize import col
 from . import ranks
+from .ranks import _checkpoint
 from .frames import attach, top_k
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -57,18 +58,60 @@ def shape(df: DataFrame) -> DataFrame:
         "total_rows", F.lit(n).cast("long").alias("total_columns"), (F.col("total_rows") * n).alias("total_cells"))
 
 
-def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def numeric_core(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(column, value, cnt, before, n): the distinct values of the numeric columns with their counts and places, written once
+    in ranges. Quantiles, modes, unique, zero and outlier counts are all read from it."""
+    return ranks.cumulative_counts(to_long(df, cols or numeric_columns(df)))
+
+
+def _text(df: DataFrame, c: str) -> F.Column:
+    """A column as text, equal for equal values only (-0.0 is 0.0)."""
+    dt = df.schema[c].dataType
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return (col(c) + F.lit(0.0).cast(dt)).cast("string")
+    if isinstance(dt, T.BinaryType):
+        return F.hex(col(c))
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+        return F.when(col(c).isNotNull(), F.to_json(F.struct(col(c).alias("v"))))
+    return col(c).cast("string")
+
+
+def text_core(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(column, value, cnt): the distinct non-null values of any columns as text, counted in one exchange of narrow rows."""
+    cols = df.columns if cols is None else cols
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, cnt long")
+    items = [F.struct(F.lit(c).alias("column"), _text(df, c).alias("value")) for c in cols]
+    long = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def unique_counts(df: DataFrame, cols: list[str], core: DataFrame | None = None) -> DataFrame:
+    """(column, unique_values): distinct non-null values of each column, 0 where there are none."""
+    found = (core if core is not None else text_core(df, cols)).groupBy("column").agg(F.count(F.lit(1)).alias("_u"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(F.broadcast(found), "column", "left").select("column", F.coalesce("_u", F.lit(0)).alias("unique_values"))
+
+
+def _moments(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Count, mean, deviation, variance, extremes, skewness and kurtosis per column: one wide aggregate of the scan."""
+    aggs, names = [], ["count", "mean", "std_dev", "variance", "min", "max", "skewness", "kurtosis"]
+    made = [F.count, F.avg, F.stddev_samp, F.var_samp, F.min, F.max, F.skewness, F.kurtosis]
+    values = df.select(*[F.when(~_missing(df, c), col(c).cast("double") + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(cols)])
+    for i in range(len(cols)):
+        aggs += [fn(f"v{i}").alias(f"{k}{i}") for k, fn in zip(names, made)]
+    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in names]) for i, c in enumerate(cols)]
+    return values.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def describe(df: DataFrame, cols: list[str] | None = None, core: DataFrame | None = None) -> DataFrame:
     """A2: count, mean, median, mode, std, var, min, max, range, q1, q3, iqr, skew, kurtosis, CV% per numeric column."""
     cols = cols or numeric_columns(df)
-    long = to_long(df, cols)
-    mom = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std_dev"),
-        F.var_samp("value").alias("variance"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"))
-    q = ranks.quantile_wide(long, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    mode = ranks.value_counts(long).groupBy("column").agg(
+    core = core if core is not None else numeric_core(df, cols)
+    per = core.groupBy("column").agg(
+        ranks.quantile(0.25).alias("q1"), ranks.quantile(0.5).alias("median"), ranks.quantile(0.75).alias("q3"),
         F.min_by("value", F.struct((-F.col("cnt")).alias("c"), F.col("value").alias("v"))).alias("mode"))
-    return (mom.join(q, "column").join(mode, "column")
+    return (_moments(df, cols).join(F.broadcast(per), "column")
             .withColumn("range", F.col("max") - F.col("min"))
             .withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("coefficient_of_variation",
@@ -109,22 +152,21 @@ def missing_summary(df: DataFrame) -> DataFrame:
         (F.col("_n") - F.coalesce("complete_rows", F.lit(0))).cast("long").alias("incomplete_rows"))
 
 
-def outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def outliers(df: DataFrame, cols: list[str] | None = None, core: DataFrame | None = None) -> DataFrame:
     """IQR bounds, outlier count and %, severity band, unique/zero/negative/positive counts."""
-    cols = cols or numeric_columns(df)
-    long = to_long(df, cols)
-    q = ranks.quantile_wide(long, {"q1": 0.25, "q3": 0.75}).select(
-        "column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
-        (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_bound"))
-    j = long.join(F.broadcast(q), "column")
-    out = j.groupBy("column", "lower_bound", "upper_bound").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.when((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")), 1)
-              .otherwise(0)).alias("outliers_count"),
-        F.count_distinct("value").alias("unique_values"),
-        F.sum(F.when(F.col("value") == 0, 1).otherwise(0)).alias("zeros_count"),
-        F.sum(F.when(F.col("value") < 0, 1).otherwise(0)).alias("negative_count"),
-        F.sum(F.when(F.col("value") > 0, 1).otherwise(0)).alias("positive_count"))
+    core = core if core is not None else numeric_core(df, cols)
+    spread = F.col("q3") - F.col("q1")
+    bounds = core.groupBy("column").agg(ranks.quantile(0.25).alias("q1"), ranks.quantile(0.75).alias("q3")).select(
+        "column", (F.col("q1") - 1.5 * spread).alias("lower_bound"), (F.col("q3") + 1.5 * spread).alias("upper_bound"))
+    v = F.col("value")
+
+    def rows(cond):
+        return F.sum(F.when(cond, F.col("cnt")).otherwise(0))
+
+    out = core.join(F.broadcast(bounds), "column").groupBy("column", "lower_bound", "upper_bound").agg(
+        F.max("n").alias("_n"), rows((v < F.col("lower_bound")) | (v > F.col("upper_bound"))).alias("outliers_count"),
+        F.count(F.lit(1)).alias("unique_values"), rows(v == 0).alias("zeros_count"), rows(v < 0).alias("negative_count"),
+        rows(v > 0).alias("positive_count"))
     pct = F.try_divide(F.col("outliers_count") * 100.0, F.col("_n"))
     return (out.withColumn("outliers_percentage", pct)
             .withColumn("severity", F.when(pct > 10, "High").when(pct > 5, "Medium").otherwise("Low")).drop("_n"))
@@ -158,11 +200,10 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, grou
                     ((edges + upper) / 2).alias("center"), F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def categorical(df: DataFrame, cols: list[str] | None = None, top: int = 10) -> DataFrame:
+def categorical(df: DataFrame, cols: list[str] | None = None, top: int = 10, core: DataFrame | None = None) -> DataFrame:
     """Unique, most/least frequent (+counts), avg/max/min length, blank strings; top values list."""
     cols = cols or string_columns(df)
-    long = to_long(df, cols, cast="string")
-    vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    vc = (core if core is not None else text_core(df, cols)).where(F.col("column").isin(cols))
     per = vc.groupBy("column").agg(
         F.count(F.lit(1)).alias("unique_values"),
         F.min_by(F.struct("value", "cnt"), F.struct((-F.col("cnt")).alias("c"), F.col("value").alias("v")))
@@ -359,53 +400,46 @@ def _date_types():
     return (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def data_types(df: DataFrame, samples: int = 3, date_formats=None) -> DataFrame:
+def data_types(df: DataFrame, samples: int = 3, date_formats=None, core: DataFrame | None = None) -> DataFrame:
     """Per column current type, unique and null counts, recommended type and the smallest ``samples`` values.
 
     A6 rule: > 50% null -> cleaning advice; numeric types -> numeric, date types -> datetime (D15: typed columns keep
     their type); text: all values numeric -> numeric, all parse as dates -> datetime; unique ratio < 0.1 and fewer than
     50 values -> categorical; else text.
     """
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, f in enumerate(df.schema.fields):
-        c = col(f.name)
-        aggs += [F.count_distinct(c).alias(f"u{i}"), F.sum(F.when(_missing(df, f.name), 1).otherwise(0)).alias(f"z{i}")]
-        if isinstance(f.dataType, T.StringType):
-            nn = c.isNotNull()
-            parsed = parse_date(c, date_formats)
-            aggs += [F.min(F.when(~nn | c.try_cast("double").isNotNull(), 1).otherwise(0)).alias(f"num{i}"),
-                     F.min(F.when(~nn | parsed.isNotNull(), 1).otherwise(0)).alias(f"dt{i}")]
-    one = df.agg(*aggs)
-    rows = []
-    for i, f in enumerate(df.schema.fields):
-        u, z, n = F.col(f"u{i}"), F.coalesce(F.col(f"z{i}"), F.lit(0)), F.col("_n")
-        cat = F.when((F.try_divide(u, n) < 0.1) & (u < 50), "categorical").otherwise("text")
-        if isinstance(f.dataType, NUMERIC):
-            typed = F.lit("numeric")
-        elif isinstance(f.dataType, _date_types()):
-            typed = F.lit("datetime")
-        elif isinstance(f.dataType, T.StringType):
-            typed = F.when(F.col(f"num{i}") == 1, "numeric").when(F.col(f"dt{i}") == 1, "datetime").otherwise(cat)
-        else:
-            typed = cat
-        rec = F.when(F.try_divide(z, n) > 0.5, "High null percentage - consider data cleaning").otherwise(typed)
-        rows.append(F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
-                             F.lit(f.dataType.simpleString()).alias("current_type"), u.alias("unique_values"),
-                             z.cast("long").alias("null_values"), rec.alias("recommended_type")))
-    types = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    long = to_long(df, df.columns, cast="string").distinct()
-    smallest = top_k(long, ["column"], [F.asc("value")], samples).groupBy("column").agg(
+    fields = df.schema.fields
+    core = core if core is not None else _checkpoint(text_core(df))
+    texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    is_text, v = F.col("column").isin(texts), F.col("value")
+    # dates and numbers in text are looked for once for each distinct value
+    found = core.groupBy("column").agg(
+        F.count(F.lit(1)).alias("_u"), F.min(F.when(is_text, v.try_cast("double").isNotNull())).alias("_num"),
+        F.min(F.when(is_text, parse_date(v, date_formats).isNotNull())).alias("_dt"))
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(_missing(df, f.name)).alias(f"z{i}") for i, f in enumerate(fields)])
+
+    def kind(f):
+        return ("numeric" if isinstance(f.dataType, NUMERIC) else "datetime" if isinstance(f.dataType, _date_types())
+                else "string" if isinstance(f.dataType, T.StringType) else "other")
+
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("current_type"),
+                     F.col(f"z{i}").alias("null_values"), F.lit(kind(f)).alias("_kind")) for i, f in enumerate(fields)]
+    x = one.select("_n", F.explode(F.array(*rows)).alias("r")).select("_n", "r.*").join(F.broadcast(found), "column", "left")
+    u, k = F.coalesce("_u", F.lit(0)), F.col("_kind")
+    cat = F.when((F.try_divide(u, F.col("_n")) < 0.1) & (u < 50), "categorical").otherwise("text")
+    typed = (F.when(k.isin("numeric", "datetime"), k).when((k == "string") & F.col("_num"), "numeric")
+             .when((k == "string") & F.col("_dt"), "datetime").otherwise(cat))
+    rec = F.when(F.try_divide(F.col("null_values"), F.col("_n")) > 0.5, "High null percentage - consider data cleaning").otherwise(typed)
+    types = x.select("column", "position", "current_type", u.alias("unique_values"), "null_values", rec.alias("recommended_type"))
+    smallest = top_k(core.select("column", "value"), ["column"], [F.asc("value")], samples).groupBy("column").agg(
         F.array_sort(F.collect_list("value")).alias("sample_values"))
     return types.join(smallest, "column", "left")
 
 
-def box_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def box_stats(df: DataFrame, cols: list[str] | None = None, core: DataFrame | None = None) -> DataFrame:
     """Five-number summary and IQR fences per numeric column (box-plot feed)."""
-    cols = cols or numeric_columns(df)
-    long = to_long(df, cols)
-    q = ranks.quantile_wide(long, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    mm = long.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"))
-    x = mm.join(q, "column")
+    core = core if core is not None else numeric_core(df, cols)
+    x = core.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"), ranks.quantile(0.25).alias("q1"),
+                                   ranks.quantile(0.5).alias("median"), ranks.quantile(0.75).alias("q3"))
     return (x.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
             .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
 
@@ -465,13 +499,16 @@ def overview_alignment(a: DataFrame, b: DataFrame, name_a: str = "A", name_b: st
 
 
 def analyze_table(df: DataFrame, name: str = "table") -> dict[str, DataFrame]:
-    """The whole column profile of one table as named lazy DataFrames."""
+    """The whole column profile of one table as named DataFrames (A1-A12). Two cores are written while it is built, one of
+    all columns as text and one of the numeric columns with places; the parts are read from them."""
     nums, strs = numeric_columns(df), string_columns(df)
-    out = {"shape": shape(df), "missing": missing(df), "missing_summary": missing_summary(df), "types": data_types(df)}
+    texts = _checkpoint(text_core(df))
+    out = {"shape": shape(df), "missing": missing(df), "missing_summary": missing_summary(df), "types": data_types(df, core=texts)}
     if nums:
-        d = describe(df, nums)
-        out.update({"descriptive": d, "outliers": outliers(df, nums), "histogram": histogram(df, nums),
-                    "normality": normality(d), "correlation": correlations(df, nums)})
+        core = numeric_core(df, nums)
+        d = describe(df, nums, core)
+        out.update({"descriptive": d, "outliers": outliers(df, nums, core), "box": box_stats(df, nums, core),
+                    "histogram": histogram(df, nums), "normality": normality(d), "correlation": correlations(df, nums)})
     if strs:
-        out["categorical"] = categorical(df, strs)
+        out["categorical"] = categorical(df, strs, core=texts)
     return out

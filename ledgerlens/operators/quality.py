@@ -13,7 +13,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ from ..functions.rules import Rule, rules
 from . import ranks
 from ..functions.dates import DATE_FORMATS, parse_date  # noqa: F401
 from .frames import attach
-from .profile import NUMERIC, _missing, numeric_columns, string_columns
+from .profile import NUMERIC, _missing, numeric_columns, string_columns, unique_counts
 
 # The reference's boolean words, its text-to-number strip set and key-name words.
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0", "y", "n", "t", "f"]
@@ -181,16 +181,13 @@ def duplicate_groups(df: DataFrame, k: int = 10) -> DataFrame:
     return g.orderBy(F.desc("copies"), *[F.asc_nulls_first(col(c)) for c in df.columns]).limit(k)
 
 
-def column_duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def column_duplicates(df: DataFrame, cols: list[str] | None = None, core: DataFrame | None = None) -> DataFrame:
     """Q5 (and Q6 per key column): duplicate count (nulls count as one value), unique non-null values, %."""
     cols = cols or string_columns(df)
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        aggs += [F.count_distinct(col(c)).alias(f"u{i}"), F.max(F.when(col(c).isNull(), 1).otherwise(0)).alias(f"z{i}")]
-    one = df.agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("unique_values"),
-                                        F.coalesce(F.col(f"z{i}"), F.lit(0)).alias("_z")) for i, c in enumerate(cols)]))
-    x = one.select("_n", rows.alias("r")).select("_n", "r.*")
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.max(F.when(col(c).isNull(), 1).otherwise(0)).alias(f"z{i}") for i, c in enumerate(cols)])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"z{i}"), F.lit(0)).alias("_z"))
+                               for i, c in enumerate(cols)]))
+    x = one.select("_n", rows.alias("r")).select("_n", "r.*").join(F.broadcast(unique_counts(df, cols, core)), "column")
     dup = F.col("_n") - F.col("unique_values") - F.col("_z")
     return x.select("column", dup.cast("long").alias("duplicate_count"), "unique_values",
                     F.round(F.try_divide(dup * 100.0, F.col("_n")), 2).alias("duplicate_percentage"))
@@ -198,14 +195,14 @@ def column_duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame
 
 def key_candidates(df: DataFrame, first: int = 3) -> DataFrame:
     """Q6: columns named like keys or with unique ratio > 0.7 (first ``first`` in schema order) and their duplicates."""
-    cols = df.columns
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_distinct(col(c)).alias(f"u{i}") for i, c in enumerate(cols)])
-    named = [any(w in c.lower() for w in KEY_NAME_WORDS) for c in cols]
-    cand = F.filter(F.array(*[F.when(F.lit(named[i]) | (F.try_divide(F.col(f"u{i}"), F.col("_n")) > 0.7), F.lit(c))
-                              for i, c in enumerate(cols)]), lambda x: x.isNotNull())
-    chosen = one.select(F.posexplode(F.slice(cand, 1, first)).alias("candidate_rank", "column"))
-    dups = column_duplicates(df, cols)
-    return chosen.join(dups, "column").withColumn("candidate_rank", F.col("candidate_rank") + 1)
+    dups = column_duplicates(df, df.columns)
+    places = df.sparkSession.createDataFrame([(i, c, any(w in c.lower() for w in KEY_NAME_WORDS)) for i, c in enumerate(df.columns)],
+                                             "_i int, column string, _named boolean")
+    x = attach(dups.join(F.broadcast(places), "column"), df.agg(F.count(F.lit(1)).alias("_n")))
+    chosen = x.where(F.col("_named") | (F.try_divide("unique_values", "_n") > 0.7)).orderBy("_i").limit(first)
+    # a row for each column of the schema at most
+    return chosen.select("column", F.row_number().over(Window.orderBy("_i")).alias("candidate_rank"), "duplicate_count",
+                         "unique_values", "duplicate_percentage")
 
 
 def conversions(df: DataFrame, cols: list[str] | None = None, date_formats=None) -> DataFrame:

@@ -76,11 +76,21 @@ def quantiles(long: DataFrame, probs: list[float], group: str = "column", cum: D
                          .alias("q"))
 
 
-def quantile_wide(long: DataFrame, probs: dict[str, float], group: str = "column") -> DataFrame:
-    """Quantiles as columns: one row per group, one column per name in ``probs``."""
-    q = quantiles(long, list(probs.values()), group)
-    aggs = [F.max(F.when(F.abs(F.col("p") - F.lit(float(v))) < 1e-12, F.col("q"))).alias(k) for k, v in probs.items()]
-    return q.groupBy(group).agg(*aggs)
+def quantile(p: float) -> F.Column:
+    """Aggregate over cumulative counts: the linear-interpolated quantile of a group."""
+    h = (F.col("n") - 1) * F.lit(float(p))
+
+    def at(place):
+        return F.min(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("cnt")), F.col("value")))
+
+    low, high = at(F.floor(h)), at(F.ceil(h))
+    return low + F.max(h - F.floor(h)) * (high - low)
+
+
+def quantile_wide(long: DataFrame, probs: dict[str, float], group: str = "column", cum: DataFrame | None = None) -> DataFrame:
+    """Quantiles as columns: one row per group, one column per name in ``probs``; one aggregate over the cumulative counts."""
+    cum = cum if cum is not None else cumulative_counts(long, group)
+    return cum.groupBy(group).agg(*[quantile(p).alias(k) for k, p in probs.items()])
 
 
 def average_ranks(long: DataFrame, group: str = "column") -> DataFrame:
