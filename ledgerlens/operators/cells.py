@@ -2,11 +2,11 @@
 
 Parsing is regular-expression extraction in Catalyst (no Python); the
 dependency graph is an edge DataFrame. Dependency levels are computed by
-frontier propagation (at most ``max_rounds``); each round's frontier and
+frontier propagation until no cell is new; each round's frontier and
 state are written with a reliable ``checkpoint`` so lineage stays one round
 deep and a lost executor recomputes at most one round; cells never levelled sit on or behind a
-cycle. The reachable (cascade) set is expanded the same way, deduplicated
-each round.
+cycle. Cascades are counted by ``reach``: runs of single dependents by
+doubling, the rest with 64 start cells to a word.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule, rules
+from . import reach
 from .frames import attach, top_k
 from .ranks import _checkpoint
 
@@ -148,21 +149,9 @@ def direct_dependents(parsed: DataFrame) -> DataFrame:
 
 
 def dependents(parsed: DataFrame) -> DataFrame:
-    """per referenced cell: direct dependents, distinct transitive dependents (cascade), impact band (above 10 / above 5),
-    highly connected flag (>= 5 direct dependents). Expands until no pair is new."""
-    e = _checkpoint(edges(parsed).select("book", F.col("dst").alias("cell"), F.col("src").alias("dep")))
-    step = e.select("book", F.col("cell").alias("dep"), F.col("dep").alias("dep2"))
-    reach = e.distinct()
-    frontier = reach
-    while True:
-        nxt = _checkpoint(frontier.join(step, ["book", "dep"]).select("book", "cell", F.col("dep2").alias("dep")).distinct()
-                          .join(reach, ["book", "cell", "dep"], "left_anti"))
-        if nxt.isEmpty():
-            break
-        reach = _checkpoint(reach.unionByName(nxt))
-        frontier = nxt
-    casc = reach.filter(F.col("cell") != F.col("dep")).groupBy("book", "cell").agg(F.count(F.lit(1)).alias("cascade_size"))
-    out = direct_dependents(parsed).join(casc, ["book", "cell"], "left").na.fill(0, ["cascade_size"])
+    """per referenced cell: direct dependents, distinct transitive dependents (cascade, the cell itself not counted), impact
+    band (above 10 / above 5), highly connected flag (>= 5 direct dependents). Counted by `reach`, whose state isn't the closure."""
+    out = direct_dependents(parsed).join(reach.cascade_sizes(edges(parsed)), ["book", "cell"], "left").na.fill(0, ["cascade_size"])
     return out.withColumn("impact", F.when(F.col("cascade_size") > 10, "high").when(F.col("cascade_size") > 5, "medium")
                           .otherwise("low")).select("book", "cell", "direct_dependents", "cascade_size", "impact", "highly_connected")
 
@@ -265,7 +254,7 @@ def diff_advice(diff: DataFrame, overlap: DataFrame) -> DataFrame:
 
 
 def analyze(cells: DataFrame) -> dict[str, DataFrame]:
-    """the full bundle as named DataFrames (nothing is computed until an action)."""
+    """the full bundle as named DataFrames (levels and cascades run their rounds while it is built)."""
     p = parse_formulas(cells)
     v = validation(cells, p)
     return {"formulas": p, "per_sheet": sheet_counts(p), "validation": v, "validation_summary": validation_summary(v),
