@@ -8,9 +8,10 @@ holds escapes already) one more backslash is put; unescaping takes one away.
 Loss mask: the token spans of the texts of the trained roles. A turn carries its place in the conversation and the
 mask is the prefix sum of +1 at each span's start and -1 at its end.
 
-Scale: turns are encoded where they lie. Places come from a distributed prefix sum: turns are range-partitioned by
-(conversation, turn), so that a conversation of any size spreads over many tasks, sums of (partition, conversation)
-give each partition's offset. Nothing collects a conversation. digests() alone, a check value that is sequential by its
+Scale: places come from a distributed prefix sum: turns are range-partitioned by (conversation, turn), so that a
+conversation of any size spreads over many tasks; each adds up as it encodes, and one broadcast row for each partition
+gives what came before in its first conversation, the only one that can have begun earlier. Encoded turns aren't
+shuffled for that. Nothing collects a conversation. digests() alone, a check value that is sequential by its
 definition, streams the turns of a conversation through one task, without holding more than a turn.
 
 Defined cases: a null text or role is empty. Turns go by turn (null first), then role, then text; repeated rows are
@@ -86,36 +87,38 @@ def format_turns(df: DataFrame, tokenizer: str, template: Template = Template(),
 
     def run(batches):
         reserved = template.ids(first_reserved(tokenizer))
+        now, at, begun = None, 0, False
         for b in sliced(batches):
-            out = [[], [], []]
-            for role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            out = [[], [], [], []]
+            for conv, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 ids = [reserved[template.turn], *ordinary_ids(tokenizer, template.escape(role)), reserved[template.sep]]
                 low = len(ids)
                 ids += ordinary_ids(tokenizer, template.escape(text))
                 out[1].append(low if role in template.trained else 0)
                 out[2].append(len(ids) if role in template.trained else 0)
                 out[0].append([*ids, reserved[template.end]])
+                if not begun or (conv != now and (conv == conv or now == now)):  # a new conversation; not-a-number equals itself
+                    now, at, begun = conv, 0, True
+                out[3].append(at)
+                at += len(ids) + 1
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.int64()),
-                 pa.array(out[2], pa.int64())], names=names)
+                [b.column(0), b.column(1), pa.array(out[0], pa.list_(pa.int32())), *[pa.array(x, pa.int64()) for x in out[1:]]],
+                names=[*names, "inside"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     order = ("conv_id", "turn", "role", "text")
-    # rows go on in order of the partition: no row changes place from here to the written table
-    turns = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, ids array<int>, loss_start long, loss_end long"
-    ).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
-    turns = written(turns)
-    sizes = turns.select("conv_id", "part", "row", F.size("ids").cast("long").alias("n"))
+    # rows go on in order of the partition: a task adds up places as it encodes, and no row changes place after that
+    turns = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, ids array<int>, loss_start long, loss_end long, inside long"
+    ).withColumn("part", F.spark_partition_id()))
     # of each conversation one row for each partition that it spreads over
-    sums = sizes.groupBy("conv_id", "part").agg(F.sum("n").alias("n"))
-    before = sums.select("conv_id", "part", F.coalesce(F.sum("n").over(
-        Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = sizes.select("conv_id", "part", "row", F.coalesce(F.sum("n").over(
-        Window.partitionBy("part", "conv_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inside"))
-    same = inside["conv_id"].eqNullSafe(before["conv_id"]) & (inside["part"] == before["part"])
-    starts = inside.join(before, same).select("row", (F.col("before") + F.col("inside")).alias("start"))
-    return turns.join(starts, "row").select(*names, "start")
+    sums = turns.groupBy("conv_id", "part").agg(F.sum(F.size("ids")).alias("n"))
+    before = sums.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.sum("n").over(
+        Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    # partitions are ranges, so only the first conversation of one can have begun before: a row for each partition at most
+    before = F.broadcast(before.where("_before is not null"))
+    same = turns["conv_id"].eqNullSafe(before["_conv"]) & (turns["part"] == before["_part"])
+    return turns.join(before, same, "left").select(*names, (F.col("inside") + F.coalesce("_before", F.lit(0))).alias("start"))
 
 
 def loss_mask(n: int, spans: list[tuple[int, int]]) -> np.ndarray:

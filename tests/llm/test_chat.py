@@ -64,6 +64,21 @@ def test_places_of_a_conversation_over_many_tasks(spark):
         assert mask.sum() == (len(r["ids"]) - mask.argmax() - 1 if mask.any() else 0)
 
 
+def test_places_need_no_shuffle_of_encoded_turns(spark):
+    """Three conversations over all partitions, and one of not-a-number; the written turns are joined by a broadcast only."""
+    rows = [(float(k % 3), k, "user", f"text {k} " * (k % 4)) for k in range(600)] + [(float("nan"), k, "user", "x") for k in range(5)]
+    df = spark.createDataFrame(rows, "conv_id double, turn long, role string, text string")
+    turns = chat.format_turns(df, RANKS, T)
+    plan = turns._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    at = {}
+    for r in sorted(turns.collect(), key=lambda r: r["turn"]):
+        key = str(r["conv_id"])
+        assert r["start"] == at.get(key, 0)
+        at[key] = r["start"] + len(r["ids"])
+    assert len(at) == 4
+
+
 def test_mask_is_a_prefix_sum():
     assert chat.loss_mask(6, [(1, 3), (4, 6), (2, 2)]).tolist() == [0, 1, 1, 0, 1, 1]
 
