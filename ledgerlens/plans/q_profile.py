@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import normal_scores as NS
 from ..operators import profile as P
 from ..sources.fixtures import FIXTURE_SQL, fixture
 from ..sources.tables import load
@@ -182,6 +183,32 @@ def q_a12(spark, sf):
     return round_doubles(P.normality(d))
 
 
+def _poly_sql(coefficients, x):
+    return " + ".join(f"{c!r} * pow({x}, {k})" for k, c in enumerate(coefficients))
+
+
+def _ratio_sql(parts, x):
+    return f"({_poly_sql(parts[0], x)}) / ({_poly_sql(parts[1], x)})"
+
+
+NORMAL_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("A12_shapiro_francia_lineitem", W(f"""
+SELECT "column", count, {S('w')}, {S('(ln(1 - w) - (-1.2725 + 1.0521 * (ln(ln(count)) - ln(count)))) / '
+                                     '(1.0308 - 0.26758 * (ln(ln(count)) + 2 / ln(count)))', 'z')}
+FROM (SELECT "column", count(*) AS count, pow(sum((value - mean) * m), 2) / (sum(m * m) * sum(pow(value - mean, 2))) AS w
+  FROM scores GROUP BY 1)""", ctes=(
+    ("l", long_sql("lineitem", NORMAL_COLS)),
+    ("placed", """SELECT "column", value, avg(value) OVER (PARTITION BY "column") AS mean, (row_number() OVER (PARTITION BY "column"
+      ORDER BY value) - 0.375::DOUBLE) / (count(*) OVER (PARTITION BY "column") + 0.25::DOUBLE) AS p FROM l"""),
+    ("tails", "SELECT *, p - 0.5::DOUBLE AS q, sqrt(-ln(least(p, 1 - p))) AS r FROM placed"),
+    ("scores", f"""SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_ratio_sql(NS.MIDDLE, '(0.180625 - q * q)')}
+      WHEN r <= 5 THEN sign(q) * {_ratio_sql(NS.NEAR, '(r - 1.6)')} ELSE sign(q) * {_ratio_sql(NS.FAR, '(r - 5)')} END AS m FROM tails"""))))
+def q_a12_shapiro(spark, sf):
+    return round_doubles(NS.shapiro_francia(load(spark, sf, "lineitem"), NORMAL_COLS).select("column", "count", "w", "z"))
+
+
 CORR_COLS = LI_NUM
 _PAIRS = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
 
