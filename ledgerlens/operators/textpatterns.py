@@ -33,11 +33,10 @@ def _contains_any(low: F.Column, words: list[str]) -> F.Column:
 
 def pattern_shares(df: DataFrame, cols: list[str]) -> DataFrame:
     """X1 per column: % of non-null values showing each of seven patterns (all values, no sample cap)."""
-    parts = []
-    for c in cols:
+    def flags(c):
         v = col(c).cast("string")
         low = F.lower(F.trim(v))
-        flags = {
+        return {
             "email_pattern": v.rlike(EMAIL_RE),
             "phone_pattern": v.rlike(PHONE_RE),
             "date_pattern": v.rlike(DATE_RE),
@@ -46,12 +45,13 @@ def pattern_shares(df: DataFrame, cols: list[str]) -> DataFrame:
             "name_pattern": _contains_any(low, NAME_WORDS) | v.rlike(r"\S+\s+\S+"),
             "address_pattern": _contains_any(low, ADDRESS_WORDS),
         }
-        parts.append(df.filter(v.isNotNull()).agg(
-            F.lit(c).alias("column"), *[(F.avg(F.when(f, 1.0).otherwise(0.0)) * 100).alias(k) for k, f in flags.items()]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.na.fill(0.0)
+
+    found = [(c, flags(c)) for c in cols]
+    # one scan: a flag is null where the value is, so its mean is over the non-null values
+    one = df.agg(*[(F.avg(flag.cast("int")) * 100).alias(f"{k}_{i}") for i, (_, named) in enumerate(found) for k, flag in named.items()])
+    rows = [F.struct(F.lit(c).alias("column"), *[F.coalesce(F.col(f"{k}_{i}"), F.lit(0.0)).alias(k) for k in named])
+            for i, (c, named) in enumerate(found)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def pattern_counts(df: DataFrame, c: str) -> DataFrame:
