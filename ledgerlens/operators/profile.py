@@ -3,7 +3,7 @@
 Two cores hold the distinct values of a table with their counts: ``numeric_core``
 (written in ranges, with places) and ``text_core`` (any column as text). Quantiles,
 modes, unique, zero and outlier counts, inferred types and samples are aggregates of
-a core; moments are one wide aggregate of the scan. No count-distinct per column,
+a core, moments too (sums around the mean). No count-distinct per column,
 no per-column collect, no single-partition window.
 """
 
@@ -93,25 +93,30 @@ def unique_counts(df: DataFrame, cols: list[str], core: DataFrame | None = None)
     return names.join(F.broadcast(found), "column", "left").select("column", F.coalesce("_u", F.lit(0)).alias("unique_values"))
 
 
-def _moments(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Count, mean, deviation, variance, extremes, skewness and kurtosis per column: one wide aggregate of the scan."""
-    aggs, names = [], ["count", "mean", "std_dev", "variance", "min", "max", "skewness", "kurtosis"]
-    made = [F.count, F.avg, F.stddev_samp, F.var_samp, F.min, F.max, F.skewness, F.kurtosis]
-    values = df.select(*[F.when(~_missing(df, c), col(c).cast("double") + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(cols)])
-    for i in range(len(cols)):
-        aggs += [fn(f"v{i}").alias(f"{k}{i}") for k, fn in zip(names, made)]
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in names]) for i, c in enumerate(cols)]
-    return values.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+def _moments(core: DataFrame, first: DataFrame) -> DataFrame:
+    """Deviation, variance, skewness and kurtosis per column: weighted sums of powers around the mean, over the core."""
+    away = F.col("value") - F.col("mean")
+    power = lambda k: F.sum(F.col("cnt") * F.pow(away, F.lit(k)))
+    x = core.join(F.broadcast(first.select("column", "mean")), "column").groupBy("column").agg(
+        F.max("n").alias("_n"), power(2.0).alias("_m2"), power(3.0).alias("_m3"), power(4.0).alias("_m4"))
+    variance = F.when(F.col("_n") > 1, F.col("_m2") / (F.col("_n") - 1))
+    spread = F.when(F.col("_m2") != 0, F.col("_m2"))
+    return x.select("column", F.sqrt(variance).alias("std_dev"), variance.alias("variance"),
+                    (F.sqrt(F.col("_n")) * F.col("_m3") / F.pow(spread, F.lit(1.5))).alias("skewness"),
+                    (F.col("_n") * F.col("_m4") / (spread * spread) - 3.0).alias("kurtosis"))
 
 
 def describe(df: DataFrame, cols: list[str] | None = None, core: DataFrame | None = None) -> DataFrame:
-    """A2: count, mean, median, mode, std, var, min, max, range, q1, q3, iqr, skew, kurtosis, CV% per numeric column."""
-    cols = cols or numeric_columns(df)
+    """A2: count, mean, median, mode, std, var, min, max, range, q1, q3, iqr, skew, kurtosis, CV% per numeric column, in two
+    passes over the core; the table itself is read once."""
     core = core if core is not None else numeric_core(df, cols)
-    per = core.groupBy("column").agg(
+    low, high = F.min("value"), F.max("value")
+    first = core.groupBy("column").agg(
+        F.max("n").alias("count"), F.when(low == high, low).otherwise(F.sum(F.col("value") * F.col("cnt")) / F.max("n")).alias("mean"),
+        low.alias("min"), high.alias("max"),
         ranks.quantile(0.25).alias("q1"), ranks.quantile(0.5).alias("median"), ranks.quantile(0.75).alias("q3"),
         F.min_by("value", F.struct((-F.col("cnt")).alias("c"), F.col("value").alias("v"))).alias("mode"))
-    return (_moments(df, cols).join(F.broadcast(per), "column")
+    return (first.join(F.broadcast(_moments(core, first)), "column")
             .withColumn("range", F.col("max") - F.col("min"))
             .withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("coefficient_of_variation",

@@ -30,11 +30,21 @@ def test_describe_and_outliers_against_pandas(skewed):
         r, o = got[c], out[c]
         assert r["count"] == len(v) and r["mode"] == v.mode().min()
         np.testing.assert_allclose([r["mean"], r["std_dev"], r["q1"], r["median"], r["q3"]], [v.mean(), v.std(), q1, med, q3], atol=1e-9)
+        np.testing.assert_allclose([r["skewness"], r["kurtosis"]], [((v - v.mean()) ** 3).mean() / v.std(ddof=0) ** 3,
+                                                                    ((v - v.mean()) ** 4).mean() / v.std(ddof=0) ** 4 - 3], rtol=1e-9)
         low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         assert o["outliers_count"] == ((v < low) | (v > high)).sum() and o["unique_values"] == v.nunique()
         assert (o["zeros_count"], o["negative_count"], o["positive_count"]) == ((v == 0).sum(), (v < 0).sum(), (v > 0).sum())
 
 
+def test_moments_of_constant_and_single_values(spark):
+    df = spark.createDataFrame([(0.1, 5.0 if i == 0 else None, None) for i in range(3)], "c double, one double, none double")
+    got = {r["column"]: r for r in profile.describe(df).collect()}
+    assert set(got) == {"c", "one"}
+    assert (got["c"]["mean"], got["c"]["variance"], got["c"]["skewness"], got["c"]["kurtosis"]) == (0.1, 0.0, None, None)
+    assert (got["one"]["count"], got["one"]["mean"], got["one"]["std_dev"]) == (1, 5.0, None)
+
+
 def test_types_uniques_and_catalogue_agree(skewed):
     types = {r["column"]: r for r in profile.data_types(skewed).collect()}
     assert {c: r["recommended_type"] for c, r in types.items()} == {
