@@ -3,7 +3,7 @@
 Parsing is regular-expression extraction in Catalyst (no Python); the
 dependency graph is an edge DataFrame. Dependency levels are computed by
 frontier propagation until no cell is new; each round's frontier and
-state are written with a reliable ``checkpoint`` so lineage stays one round
+state are written to the checkpoint folder so lineage stays one round
 deep and a lost executor recomputes at most one round; cells never levelled sit on or behind a
 cycle. Cascades are counted by ``reach``: runs of single dependents by
 doubling, the rest with 64 start cells to a word.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import Rule, rules
 from . import reach
 from .frames import attach, top_k
-from .ranks import _checkpoint
+from .ranks import _round
 
 # The reference's formula patterns, operator characters and array-formula functions.
 FUNCTION_RE = r"([A-Z][A-Z0-9]*)\s*\("
@@ -110,17 +110,17 @@ def dependency_levels(cells: DataFrame, parsed: DataFrame) -> DataFrame:
     Frontier propagation (topological layering) until the frontier is empty, however deep the longest chain: each
     round joins only the cells levelled in the previous round with the edges pointing at them, decrements the
     unresolved-precedent count of their dependents and keeps a running max; dependents reaching zero form the next
-    frontier. Edges are computed once; resolved cells leave the state. State and frontier are checkpointed each round.
+    frontier. Edges are computed once; resolved cells leave the state. State and frontier are written each round.
     """
-    e = _checkpoint(edges(parsed).repartition("book", "dst"))
+    e = _round(edges(parsed).repartition("book", "dst"))
     formula_cells = parsed.select("book", F.concat("sheet", F.lit("!"), "cell").alias("src"))
     need = e.groupBy("book", "src").agg(F.count(F.lit(1)).alias("_need"))
     fc = formula_cells.join(need, ["book", "src"], "left").na.fill(0, ["_need"])
     plain = (e.select("book", "dst").distinct().join(formula_cells.withColumnRenamed("src", "dst"), ["book", "dst"], "left_anti")
              .select("book", F.col("dst").alias("cell"), F.lit(0).alias("level")))
-    roots = _checkpoint(fc.filter(F.col("_need") == 0).select("book", F.col("src").alias("cell"), F.lit(1).alias("level")))
-    frontier = _checkpoint(plain.unionByName(roots))
-    state = _checkpoint(fc.filter(F.col("_need") > 0).select("book", "src", F.col("_need").alias("_left"),
+    roots = _round(fc.filter(F.col("_need") == 0).select("book", F.col("src").alias("cell"), F.lit(1).alias("level")))
+    frontier = _round(plain.unionByName(roots))
+    state = _round(fc.filter(F.col("_need") > 0).select("book", "src", F.col("_need").alias("_left"),
                                                             F.lit(-1).alias("_mx")))
     levelled = [roots]
     while True:
@@ -129,13 +129,13 @@ def dependency_levels(cells: DataFrame, parsed: DataFrame) -> DataFrame:
         upd = (state.join(contrib, ["book", "src"], "left")
                .select("book", "src", (F.col("_left") - F.coalesce("_k", F.lit(0))).alias("_left"),
                        F.greatest(F.col("_mx"), F.coalesce("_m", F.lit(-1))).alias("_mx")))
-        upd = _checkpoint(upd)
+        upd = _round(upd)
         frontier = upd.filter(F.col("_left") == 0).select("book", F.col("src").alias("cell"), (F.col("_mx") + 1).alias("level"))
         if frontier.isEmpty():
             break
         levelled.append(frontier)
         if len(levelled) == 64:  # keep the final plan small
-            levelled = [_checkpoint(reduce(lambda a, b: a.unionByName(b), levelled))]
+            levelled = [_round(reduce(lambda a, b: a.unionByName(b), levelled))]
         state = upd.filter(F.col("_left") > 0)
     known = reduce(lambda a, b: a.unionByName(b), levelled)
     return (formula_cells.withColumnRenamed("src", "cell").join(known, ["book", "cell"], "left")

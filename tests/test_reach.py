@@ -64,3 +64,32 @@ def test_long_balance_column(spark):
 
 def test_empty(spark):
     assert sizes(spark, []) == {}
+
+
+def estimate_bits(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_rounds_follow_the_runs_and_the_estimate_stays_small(spark, monkeypatch):
+    """1,500 runs of four cells beside a cycle: rounds go with the longest run, not with the number of cells, and the planner's
+    size doesn't grow from round to round (it had twice the digits after each)."""
+    rounds = []
+    own = reach._round
+    monkeypatch.setattr(reach, "_round", lambda df: rounds.append(1) or own(df))
+    rows = [("b", f"r{k}x{i}", f"r{k}x{i + 1}") for k in range(1500) for i in range(3)] + [("b", "p", "q"), ("b", "q", "p"), ("b", "o", "p")]
+    step = spark.createDataFrame(rows, "book string, cell string, nxt string")
+    ends = reach.run_ends(step)
+    got = {r.cell: (r.end, r.hops) for r in ends.collect()}
+    assert len(rounds) <= 4 and len(got) == len(rows)
+    assert all(got[f"r{k}x{i}"] == (f"r{k}x3", 3 - i) for k in range(1500) for i in range(3))
+    assert got["p"][0] is None and got["q"][0] is None and got["o"][0] is None
+    assert estimate_bits(ends) < 64
+
+
+def test_estimate_of_deep_levels_stays_small(spark):
+    from ledgerlens.operators import cells as C
+    rows = [("b", "s", f"D{k}", k, 4, f"=D{k - 1}+1" if k > 1 else "=1") for k in range(1, 13)]
+    cells = spark.createDataFrame(rows, "book string, sheet string, cell string, row_no long, col_no int, formula string")
+    levels = C.dependency_levels(cells, C.parse_formulas(cells))
+    assert {r.cell: r.level for r in levels.collect()} == {f"s!D{k}": k for k in range(1, 13)}
+    assert estimate_bits(levels) < 256
