@@ -41,7 +41,9 @@ def cell_presence(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def diff_summary(diff: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """Changes per category with the share of compared attributes and the total."""
-    compared = a.select("sheet", "cell", "category", "attr").union(b.select("sheet", "cell", "category", "attr")).distinct()
+    keys = ["sheet", "cell", "category", "attr"]
+    # dealt by key before they are made distinct: hardly any key repeats within a task that reads, and its map of all keys would grow with the split
+    compared = a.select(*keys).union(b.select(*keys)).repartition(*keys).distinct()
     tot = compared.groupBy("category").agg(F.count(F.lit(1)).alias("compared"))
     ch = diff.groupBy("category").agg(F.count(F.lit(1)).alias("changes"),
                                       F.sum(F.when(F.col("change") == "modified", 1).otherwise(0)).cast("long").alias("modified"))

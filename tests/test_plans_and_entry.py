@@ -53,3 +53,16 @@ def test_catalogue_and_duplicates_over_all_columns(spark):
     assert {("customers", "balance"), ("suppliers", "balance")} <= sheets and len(sheets) == 7
     # customers who share nation and segment are no duplicate rows
     assert q_quality.q_q4_all(spark, SF).first()["duplicate_rows"] == 0 and q_quality.q_q4g_all(spark, SF).count() == 0
+
+
+def test_diff_summary_deals_keys_before_it_makes_them_distinct(spark):
+    """A task that reads held a map of all its keys (503 MB for four tasks of 60 x sf0.1): no aggregate below the exchange by key."""
+    from ledgerlens.operators import formats as G
+    rows = [("s", f"C{k}", "font", "name", "x") for k in range(5)] + [(None, "C1", "fill", None, "y")] * 2
+    a = spark.createDataFrame(rows, "sheet string, cell string, category string, attr string, value string")
+    out = G.diff_summary(G.attribute_diff(a, a), a, a)
+    assert sorted((r.category, r.compared) for r in out.collect()) == [("fill", 1), ("font", 5)]
+    plan = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines()]
+    distinct = [i for i, x in enumerate(plan) if "HashAggregate(keys=[sheet" in x]
+    assert distinct and "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Exchange hashpartitioning(sheet" in "".join(plan[max(distinct) + 1: max(distinct) + 2])
