@@ -148,6 +148,16 @@ def _needs(weights: list[float], t: float) -> list[float]:
     return [(t - 100.0 * (1 - w)) / w if w > 0 else float("-inf") for w in weights]
 
 
+def _sum(terms: list):
+    """The sum with its rounding errors added back, as Python's: what plain addition rounds differently is no tie."""
+    total, error = terms[0], F.lit(0.0)
+    for x in terms[1:]:
+        now = total + x
+        error = error + F.when(F.abs(total) >= F.abs(x), (total - now) + x).otherwise((x - now) + total)
+        total = now
+    return total + error
+
+
 class _Tuples:
     """Distinct tuples of both sides with an id for each tuple and for each distinct value of a field, all pairs as ids."""
 
@@ -190,7 +200,7 @@ class _Tuples:
             pairs = pairs.join(scores, [f"a{j}", f"b{j}"]).drop(f"a{j}", f"b{j}")
             sums, left = sums + F.col(f"_s{j}") * F.lit(weights[j]), left - weights[j]
             pairs = pairs.where(sums + F.lit(100.0 * left + 1e-9) >= F.lit(t))
-        total = reduce(lambda x, y: x + y, [F.col(f"_s{j}") * F.lit(weights[j]) for j in range(self.k)])
+        total = _sum([F.col(f"_s{j}") * F.lit(weights[j]) for j in range(self.k)])
         s = [f"_s{j}" for j in range(self.k)]
         ranked = pairs.withColumn("_score", total).where(F.col("_score") >= F.lit(float(t))).join(self.b.select("_tb", "_pos"), "_tb")
         return ranked.groupBy("_ta").agg(F.min_by(F.struct("_tb", *s, "_score"), F.struct((-F.col("_score")).alias("s"), F.col("_pos").alias("p"))).alias("m")
