@@ -93,3 +93,15 @@ def test_codes(spark):
     """The transducer reads code points: one accented letter is one edit."""
     df = spark.createDataFrame([("señor",), ("senor",), ("seor",), ("señora",)], "word string")
     assert spelling.near_pairs(df).where(F.col("word") == "señor").count() == 3
+
+
+def test_no_join_broadcasts_what_grows_with_the_words(spark, monkeypatch):
+    """Spark took the walks of a small file of words for small as well, and broadcast them."""
+    plans, write = [], spelling.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling, "written", lambda df: plans.append(plan(df)) or write(df))
+    rows = [f"{stem}{end}" for stem in ("walking", "talking", "taking") for end in ("", "s", "x")]
+    out = spelling.variants(documents(spark, [" ".join(rows)] * 4))
+    plans.append(plan(out))
+    assert out.where("n_near > 0").count() == len(rows)
+    assert not any("Broadcast" in p for p in plans) and sum(p.split("Initial Plan")[0].count("SortMergeJoin") for p in plans) >= 8
